@@ -38,9 +38,49 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.language import fit, held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.filter(~held_out()))
+    rows = identify(docs.withColumn("held_out", held_out()), model, keep=("doc_id", "held_out"))
+    return rows.select("doc_id", "held_out", "lang_pred", "score", "n_words", "n_spans")
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.pii import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.media import store_texts
+
+    return store_texts(table(spark, sf_dir, "documents"))
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from loomspan.llm.tokens import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op2_mixing": op2_mixing,
     "op3_decontamination": op3_decontamination,
     "op6_sharding": op6_sharding,
+    "op7_personal_data": op7_personal_data,
+    "op8_media": op8_media,
+    "op9_html": op9_html,
+    "op10_tokens": op10_tokens,
 }
 SQL: dict[str, str] = {}
