@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters of text that one vectorised step holds at most, unless a single text is longer.
 STEP_CHARS = 2_000_000
@@ -131,3 +132,32 @@ class Words:
             order = np.argsort(d, kind="stable")
             h, d = h[order], d[order]
         return mix64(h), d
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str, max_broadcast: int = 2_000_000) -> DataFrame:
+    """Semi, anti or inner join of wide rows with a narrow table of ids (stored or cheap to count).
+
+    Up to ``max_broadcast`` ids are broadcast, so that texts stay where they are; more ids are joined by a shuffle of both sides.
+    """
+    return docs.join(F.broadcast(ids) if ids.count() <= max_broadcast else ids, id_col, how)
+
+
+def groups(batches: Iterator[pa.RecordBatch], key: str, limit: int) -> Iterator[pa.Table]:
+    """Tables of about ``limit`` rows or more from rows sorted by ``key``; no group of equal keys is cut."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n >= limit:
+            table = pa.Table.from_batches(held)
+            keys = table.column(key).to_numpy()
+            last = len(keys) - int(np.argmax(keys[::-1] != keys[-1])) if keys[0] != keys[-1] else 0
+            if last:
+                yield table.slice(0, last)
+            held = table.slice(last).to_batches()
+            n = table.num_rows - last
+    if held:
+        yield pa.Table.from_batches(held)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.llm.common import by_ids, stored
+
 #: Token positions that count (1) and that may differ (0) in a seed.
 MASKS = ("1110010111", "11011001011")
 #: Non-letters and non-digits part tokens.
@@ -88,4 +90,4 @@ def find_leaks(
 
 def drop_leaks(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents that share no passage with the benchmark; rows without an id are kept."""
-    return docs.join(leaks.select(id_col).distinct(), id_col, "left_anti").select(*docs.columns)
+    return by_ids(docs, stored(leaks.select(id_col).distinct()), id_col, "left_anti").select(*docs.columns)

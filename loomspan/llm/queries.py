@@ -28,6 +28,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.jaccard import similarity_classes
+
+    return similarity_classes(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm.sharding import shard_by_bytes
 
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_mixing": op2_mixing,
     "op3_decontamination": op3_decontamination,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_sharding": op6_sharding,
     "op7_personal_data": op7_personal_data,
     "op8_media": op8_media,
