@@ -7,10 +7,22 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.common import shared_dir
 from loomspan.llm.decontamination import drop_leaks, find_leaks
+from loomspan.llm.jaccard import one_of_each, similarity_classes
+from loomspan.llm.language import fit, spoken
 from loomspan.llm.mixing import mixed_documents
 from loomspan.llm.sharding import shard_by_bytes
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters and a language that most of their words are in, by a model of the documents' own labels."""
+    return spoken(docs, fit(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of similar ones: five-word n-grams, similarity 0.8."""
+    return one_of_each(docs, similarity_classes(docs))
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no passage with the benchmark."""
     return drop_leaks(docs, find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
@@ -28,6 +40,8 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
     ("decontamination", decontaminate),
     ("mixing", mix),
     ("sharding", shard),

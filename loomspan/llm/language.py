@@ -206,16 +206,10 @@ def fit(docs: DataFrame, per_lang: int = 2000, max_words: int = 40_000, id_col:
 SCHEMA = "lang_pred string, score double, n_words long, n_spans long, spans array<struct<lang:string,first_word:int,n_words:int>>"
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = 10.0, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The language of each text, and its spans by language.
-
-    Each word is scored for each language that is written in the word's script (for all, if none is); unknown words by their
-    trigrams. A Viterbi path over the words, with ``penalty`` for each change, labels spans. ``lang_pred`` has most of the
-    lettered words; ``score`` is its share of them, 0 to 1; ties go to the first language by name. Texts that are null, empty or without a
-    letter, and any text where nothing was learned, give ``und``, score 0 and no span. The columns ``keep`` pass through.
-    """
+def labelled(docs: DataFrame, model: Model, penalty: float, keep: list[str], text_col: str) -> DataFrame:
+    """What ``identify`` finds, with the columns ``keep`` under the names __0, __1, ..."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [docs.schema[c] for c in keep]
+    held = [f"__{k}" for k in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
@@ -238,11 +232,31 @@ def identify(docs: DataFrame, model: Model, penalty: float = 10.0, keep: tuple[s
                         pred[d], score[d] = m.langs[max(range(k), key=v.__getitem__)], max(v) / t
                     else:
                         spans[d] = []
-            cols = [batch.column(c) for c in keep] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(words, pa.int64()), pa.array(map(len, spans), pa.int64()), pa.array(spans, span)]
-            yield pa.RecordBatch.from_arrays(cols, [*keep, "lang_pred", "score", "n_words", "n_spans", "spans"])
+            cols = [batch.column(c) for c in held] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(words, pa.int64()), pa.array(map(len, spans), pa.int64()), pa.array(spans, span)]
+            yield pa.RecordBatch.from_arrays(cols, [*held, "lang_pred", "score", "n_words", "n_spans", "spans"])
+
+    schema = "".join(f"{h} {docs.schema[c].dataType.simpleString()}, " for h, c in zip(held, keep, strict=True)) + SCHEMA
+    return docs.select(*[F.col(c).alias(h) for h, c in zip(held, keep, strict=True)], F.col(text_col).alias("__text")).mapInArrow(run, schema)
+
+
+def identify(docs: DataFrame, model: Model, penalty: float = 10.0, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """The language of each text, and its spans by language.
+
+    Each word is scored for each language that is written in the word's script (for all, if none is); unknown words by their
+    trigrams. A Viterbi path over the words, with ``penalty`` for each change, labels spans. ``lang_pred`` has most of the
+    lettered words; ``score`` is its share of them, 0 to 1; ties go to the first language by name. Texts that are null, empty or without a
+    letter, and any text where nothing was learned, give ``und``, score 0 and no span. The columns ``keep`` pass
+    through; one named like a result gives way to it.
+    """
+    found = labelled(docs, model, penalty, list(keep), text_col)
+    names = [c for c in found.columns if not c.startswith("__")]
+    return found.select(*[F.col(f"__{k}").alias(c) for k, c in enumerate(keep) if c not in names], *names)
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + SCHEMA
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+def spoken(docs: DataFrame, model: Model, min_score: float = 0.35, penalty: float = 10.0, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, whose text has letters and one language in at least ``min_score`` of its words."""
+    found = labelled(docs, model, penalty, docs.columns, text_col).filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    return found.select(*[F.col(f"__{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def held_out(id_col: str = "doc_id"):

@@ -34,6 +34,12 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(table(spark, sf_dir, "documents"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm.sharding import shard_by_bytes
 
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_decontamination": op3_decontamination,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_substrings": op5_substrings,
     "op6_sharding": op6_sharding,
     "op7_personal_data": op7_personal_data,
     "op8_media": op8_media,
