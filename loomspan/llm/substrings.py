@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from loomspan.llm.common import Prefix, groups, mix64, stored
 
 #: Bytes of text in a shard (a longer text is a shard of its own), and the gram that anchors are chosen from.
-SHARD_BYTES, GRAM = 2_500_000, 16
+SHARD_BYTES, GRAM = 1_000_000, 16
+#: Bytes of text for each bucket of anchors.
+BUCKET_BYTES = 6_000_000
 POS_BITS = 28
 KASAI_BLOCK = 128
 SECOND = np.uint64(0xD6E8FEB86659FD93)
@@ -358,7 +360,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, max_broadcast: int = 64_00
     """
     shards = stored(pack(docs.filter(F.col(id_col).isNotNull()), id_col, text_col))
     total = shards.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
-    n_buckets = max(32, int(total // 24_000_000))
+    n_buckets = max(32, int(total // BUCKET_BYTES))
 
     def reply(rows: DataFrame, *cols: str) -> DataFrame:
         """Shards with what was answered to them."""
@@ -367,7 +369,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, max_broadcast: int = 64_00
         return shards.join(F.broadcast(per) if size <= max_broadcast else per, "shard", "left")
 
     def dealt(rows: DataFrame) -> DataFrame:
-        return rows.repartition("bucket").sortWithinPartitions("bucket", "shard")
+        return rows.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "shard")
 
     asked = shards.mapInArrow(anchors(n_buckets, length), "shard long, bucket long, keys binary, several binary")
     answers = stored(dealt(asked).mapInArrow(answer_anchors, "shard long, bucket long, bits binary"))
