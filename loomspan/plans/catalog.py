@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from loomspan.plans import search, structured, training
+from loomspan.plans.base import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {**structured.R.queries, **search.R.queries, **training.R.queries}
+SQL: dict[str, str] = {**structured.R.sql, **search.R.sql, **training.R.sql}
