@@ -19,7 +19,7 @@ SHARD_BYTES, GRAM = 1_000_000, 16
 #: Bytes of text for each bucket of anchors.
 BUCKET_BYTES = 6_000_000
 POS_BITS = 28
-KASAI_BLOCK = 128
+KASAI_BLOCK = 256
 SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
