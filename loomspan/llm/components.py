@@ -27,15 +27,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         near = e.join(low, "u")
         return near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def stars(e: DataFrame) -> bool:
+        """Whether every node hangs on one root and no root on another node."""
+        seen = e.select("u", F.lit(1).alias("as_u"), F.lit(0).alias("as_v")).unionByName(e.select(F.col("v").alias("u"), F.lit(0).alias("as_u"), F.lit(1).alias("as_v")))
+        per = seen.groupBy("u").agg(F.sum("as_u").alias("n"), F.max("as_v").alias("r"))
+        return not per.filter((F.col("n") > 1) | ((F.col("n") > 0) & (F.col("r") > 0))).limit(1).count()
 
-    before = mark(e)
-    while before[0]:
+    while not stars(e):
         e = stored(small(large(e)))
-        now = mark(e)
-        if now == before:
-            break
-        before = now
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -30,11 +30,15 @@ def sets_of(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def chosen(path: int, threshold: float, recall: float) -> list[int]:
     """The coordinates at a node of the tree: each run samples each with probability 1 / (threshold * SIZE); runs are repeated
-    until a pair at the threshold agrees in one of them with probability ``recall``."""
+    until a pair at the threshold agrees in one of them with probability ``recall``. Below the root a pair is mostly in several buckets,
+    so that fewer runs do: with 0.95 a node has two children for each set, and sets with their paths do not multiply."""
     picked: list[int] = []
     rnd = np.random.RandomState(path % 2**32)
-    while (1 - threshold) ** len(picked) > 1 - recall and len(picked) < SIZE:
-        picked += [i for i in np.flatnonzero(rnd.rand(SIZE) < 1 / (threshold * SIZE)).tolist() if i not in picked]
+    enough = lambda: (1 - threshold) ** len(picked) <= 1 - recall or len(picked) == SIZE
+    while not enough():
+        for i in np.flatnonzero(rnd.rand(SIZE) < 1 / (threshold * SIZE)).tolist():
+            if i not in picked and not enough():
+                picked.append(i)
     return picked
 
 
@@ -140,7 +144,7 @@ def deeper(threshold: float):
             for p, r, s in zip(path.tolist(), rep.tolist(), sk, strict=True):
                 if len(known) > 100_000:
                     known.clear()
-                for i in known.get(p) or known.setdefault(p, chosen(p, threshold, 0.999)):
+                for i in known.get(p) or known.setdefault(p, chosen(p, threshold, 0.95)):
                     out[0].append((p * 31 + i * 257 + s[i] + 1) * MULT % 2**64)
                     out[1].append(r)
                     out[2].append(s)
@@ -191,14 +195,14 @@ def candidate_links(sets: DataFrame, threshold: float, limit: int, depth: int) -
         n_large = large.count()
         small = paths if not n_large else by_ids(paths, large.select("path"), "path", "left_anti")
         dealt = small.repartition("path").sortWithinPartitions("path", "rep")
-        links.append(stored(dealt.mapInArrow(small_buckets, "a long, b long").distinct()))
+        links.append(stored(dealt.mapInArrow(small_buckets, "a long, b long")))
         if not n_large:
             break
         heavy = by_ids(paths, large, "path", "inner")
         if level == depth:
             heavy = heavy.withColumn("blocks", F.ceil(F.col("n") / limit))
             dealt = blocked(heavy, "path", "rep", "blocks").select("task", "rep", "sketch", "side", "halves")
-            links.append(stored(dealt.repartition("task").sortWithinPartitions("task", "rep").mapInArrow(block_links, "a long, b long").distinct()))
+            links.append(stored(dealt.repartition("task").sortWithinPartitions("task", "rep").mapInArrow(block_links, "a long, b long")))
             break
         pivots = stored(large.join(sets.select(F.col("rep").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot").select("path", "pivot_sketch"))
         seen = by_ids(heavy, pivots, "path", "inner").select("path", "rep", "sketch", "pivot", "pivot_sketch")
@@ -271,7 +275,7 @@ def tokens_of(n: int):
     return run
 
 
-def similarity_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99999, limit: int = 1000, depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similarity_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99999, limit: int = 2000, depth: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row the class it belongs to, by similar word n-grams, and how many rows it links with.
 
     Two texts link when the Jaccard similarity of their sets of word n-grams is at least ``threshold``; a class is a connected
