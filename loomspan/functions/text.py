@@ -87,7 +87,7 @@ def id_text(c: Column) -> Column:
 
 
 def split_values(c: Column, sep: str = r"[,，/、]") -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), sep), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), sep), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def token_estimate(c: Column) -> Column:
