@@ -131,7 +131,7 @@ class Shard:
         a = anchor[start]
         at = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (start[1:] != start[:-1] + 1)])
         self.lo, self.hi = start[at], start[np.r_[at[1:], len(start)] - 1]
-        self.key = grams[a[at]]
+        self.key = mix64(grams[a[at]])  # least hashes are small: mixed again, they fill all buckets alike
 
 
 def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
