@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.common import Prefix, groups, mix64, stored
 
-#: Bytes of text in a shard (a longer text is a shard of its own), and the gram that anchors are chosen from.
-SHARD_BYTES, GRAM = 1_000_000, 16
+#: Bytes of text in a shard (a longer text is cut into several), texts in one, and the gram that anchors are chosen from.
+SHARD_BYTES, SHARD_TEXTS, GRAM = 1_000_000, 50_000, 16
 #: Bytes of text for each bucket of anchors.
 BUCKET_BYTES = 6_000_000
 POS_BITS = 28
@@ -134,30 +134,46 @@ class Shard:
         self.key = mix64(grams[a[at]])  # least hashes are small: mixed again, they fill all buckets alike
 
 
-def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of about SHARD_BYTES of text: (shard, ids, sizes, blob)."""
+SHARD = "shard long, whole long, skip int, tail int, ids array<long>, sizes array<long>, blob binary"
+
+
+def pack(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
+    """Shards of about SHARD_BYTES of text, as rows.
+
+    A longer text is cut into shards of its own, which overlap by ``length`` - 1 bytes on both sides, so that each holds every
+    window that covers its own bytes: ``skip`` and ``tail`` count the others'. ``whole`` is the first such shard's number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
         ids, blobs, total = [], [], 0
-        schema = pa.schema([("shard", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("blob", pa.binary())])
+        schema = pa.schema([("shard", pa.int64()), ("whole", pa.int64()), ("skip", pa.int32()), ("tail", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("blob", pa.binary())])
 
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"shard": [part << 32 | seq], "ids": [ids], "sizes": [[len(b) for b in blobs]], "blob": [b"".join(blobs)]}, schema)
+        def row(ids: list[int], blobs: list[bytes], whole: int | None = None, skip: int = 0, tail: int = 0) -> pa.RecordBatch:
+            nonlocal seq
+            seq += 1
+            return pa.RecordBatch.from_pydict({"shard": [part << 32 | seq], "whole": [whole], "skip": [skip], "tail": [tail], "ids": [ids], "sizes": [[len(b) for b in blobs]], "blob": [b"".join(blobs)]}, schema)
 
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 b = (t or "").encode("utf-8", "surrogatepass")
-                if blobs and total + len(b) > SHARD_BYTES:
-                    yield flush()
-                    seq, ids, blobs, total = seq + 1, [], [], 0
+                if len(b) > SHARD_BYTES:
+                    whole = part << 32 | (seq + 1)
+                    for at in range(0, len(b), SHARD_BYTES):
+                        lo, end = max(0, at - length + 1), min(len(b), at + SHARD_BYTES)
+                        hi = min(len(b), end + length - 1)
+                        yield row([i], [b[lo:hi]], whole, at - lo, hi - end)
+                    continue
+                if blobs and (total + len(b) > SHARD_BYTES or len(ids) >= SHARD_TEXTS):
+                    yield row(ids, blobs)
+                    ids, blobs, total = [], [], 0
                 ids.append(i)
                 blobs.append(b)
                 total += len(b)
         if blobs:
-            yield flush()
+            yield row(ids, blobs)
 
-    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(run, "shard long, ids array<long>, sizes array<long>, blob binary")
+    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(run, SHARD)
 
 
 def shards_in(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -310,12 +326,17 @@ def merge_windows(length: int):
     return run
 
 
-def finish(length: int, id_col: str, keep_text: bool):
+FOUND = "shard long, whole long, id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, first_gone boolean, last_gone boolean, kept binary"
+
+
+def finish(length: int, keep: bool):
+    """What is left of each text of a shard, or of the shard's own part of a longer text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in shards_in(batches):
             text = np.frombuffer(row["blob"], np.uint8)
             n = len(text)
-            mark = np.zeros(n + 1, np.int64)
+            mark = np.zeros(n + 1, np.int32)
             for r in row["replies"] or ():
                 raw = np.unpackbits(np.frombuffer(zlib.decompress(r["bits"]), np.uint8))
                 if r["bucket"] < 0:
@@ -324,25 +345,36 @@ def finish(length: int, id_col: str, keep_text: bool):
                     lo, lens = np.frombuffer(r["starts"], np.int32).astype(np.int64), np.frombuffer(r["lens"], np.int32).astype(np.int64)
                     at = np.repeat(lo - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
                     mark[at] |= raw[: len(at)]
-            upto = np.r_[np.zeros(length, np.int64), np.cumsum(mark[:n])]
+            upto = np.r_[np.zeros(length, np.int32), np.cumsum(mark[:n], dtype=np.int32)]
             gone = upto[length:] > upto[: len(upto) - length] if n else np.zeros(0, bool)
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[] for _ in range(10)]
             at = 0
             for i, size in zip(row["ids"].tolist(), row["sizes"].tolist(), strict=True):
-                g = gone[at : at + size]
-                kept = text[at : at + size][~g].tobytes() if g.any() else text[at : at + size].tobytes()
-                values = (i, size, int(g.sum()), int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept)
+                own = slice(at + row["skip"], at + size - row["tail"])
+                g = gone[own]
+                kept = text[own][~g].tobytes() if g.any() else text[own].tobytes()
+                values = (row["shard"], row["whole"], i, len(g), int(g.sum()), int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()), hashlib.sha256(kept).hexdigest(), bool(g[:1].any()), bool(g[-1:].any()), kept if keep else None)
                 for c, v in zip(out, values, strict=True):
                     c.append(v)
                 at += size
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-            names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-            m = 6 if keep_text else 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out[:m], kinds, strict=False)], names[:m])
+            kinds = [pa.int64()] * 6 + [pa.string(), pa.bool_(), pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["shard", "whole", "id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "first_gone", "last_gone", "kept"])
 
     return run
 
 
+def joined_parts(parts: DataFrame) -> DataFrame:
+    """One row for each text that was cut into shards: sums, spans that run over a cut counted once, kept bytes in order."""
+    edges = F.array_sort(F.collect_list(F.struct("shard", "first_gone", "last_gone")))
+    out = parts.groupBy("whole").agg(
+        F.first("id").alias("id"), F.sum("n_bytes").alias("n_bytes"), F.sum("n_removed").alias("n_removed"), F.sum("n_spans").alias("n_spans"),
+        edges.alias("e"), F.expr("listagg(kept) WITHIN GROUP (ORDER BY shard)").alias("kept"),
+    )
+    over = F.filter(F.zip_with(F.slice("e", 1, F.size("e") - 1), F.slice("e", 2, F.size("e") - 1), lambda a, b: a["last_gone"] & b["first_gone"]), lambda x: x)
+    kept = F.coalesce("kept", F.lit(b""))
+    return out.select("id", "n_bytes", "n_removed", (F.col("n_spans") - F.size(over)).alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"), kept.alias("kept"))
+
+
 def remove_repeats(docs: DataFrame, length: int = 50, max_broadcast: int = 64_000_000, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove from each text every byte covered by a ``length``-byte string that also starts in a text with a smaller id.
 
@@ -358,11 +390,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, max_broadcast: int = 64_00
     nothing and is removed by nothing. Ids are integers. The shards' bit lists are broadcast up to ``max_broadcast`` bytes, else joined
     by a shuffle. Returns the id, n_bytes, n_removed, n_spans, kept_sha256, and ``kept`` (the bytes) with ``keep_text``.
     """
-    shards = stored(pack(docs.filter(F.col(id_col).isNotNull()), id_col, text_col))
-    total = shards.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
+    shards = stored(pack(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, length))
+    total, cut = shards.agg(F.coalesce(F.sum(F.octet_length("blob")), F.lit(0)), F.count("whole")).first()
     n_buckets = max(32, int(total // BUCKET_BYTES))
 
-    def reply(rows: DataFrame, *cols: str) -> DataFrame:
+    def reply(shards: DataFrame, rows: DataFrame, *cols: str) -> DataFrame:
         """Shards with what was answered to them."""
         per = rows.groupBy("shard").agg(F.collect_list(F.struct("bucket", *cols)).alias("replies"))
         size = rows.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
@@ -374,12 +406,17 @@ def remove_repeats(docs: DataFrame, length: int = 50, max_broadcast: int = 64_00
     asked = shards.mapInArrow(anchors(n_buckets, length), "shard long, bucket long, keys binary, several binary")
     answers = stored(dealt(asked).mapInArrow(answer_anchors, "shard long, bucket long, bits binary"))
     sent = "shard long, bucket long, keys binary, ids binary, starts binary, lens binary, blob binary"
-    local = stored(reply(answers, "bits").mapInArrow(local_step(n_buckets, length), sent))
+    local = stored(reply(shards, answers, "bits").mapInArrow(local_step(n_buckets, length), sent))
     merged = dealt(local.filter("bucket >= 0")).mapInArrow(merge_windows(length), "shard long, bucket long, starts binary, lens binary, bits binary")
     own = local.filter("bucket < 0").select("shard", "bucket", "starts", "lens", F.col("blob").alias("bits"))
     marks = stored(merged.unionByName(own))
-    schema = f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
-    out = reply(marks, "starts", "lens", "bits").mapInArrow(finish(length, id_col, keep_text), schema)
+
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])]
+    whole = reply(shards.filter("whole IS NULL"), marks, "starts", "lens", "bits").mapInArrow(finish(length, keep_text), FOUND)
+    out = whole.select(F.col("id").alias(id_col), *names)
+    if cut:
+        parts = reply(shards.filter("whole IS NOT NULL"), marks, "starts", "lens", "bits").mapInArrow(finish(length, True), FOUND)
+        out = out.unionByName(joined_parts(parts).select(F.col("id").alias(id_col), *names))
     bytes_ = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     null = docs.filter(F.col(id_col).isNull()).select(F.col(id_col).cast("long").alias(id_col), F.octet_length(bytes_).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(bytes_, 256).alias("kept_sha256"), *([bytes_.alias("kept")] if keep_text else []))
     return out.unionByName(null)

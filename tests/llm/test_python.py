@@ -122,9 +122,12 @@ def test_repeats_by_brute_force(spark, monkeypatch):
     r = random.Random(2)
     passage = "".join(r.choice("ab é") for _ in range(90))
     rows = corpus() + [(500 + k, prose("en", 10, k) + passage[k : 70 + k] + "a" * (40 + 5 * k), "en", "s", 1) for k in range(12)] + [(600, "a" * 300, "en", "s", 1), (601, "\0" * 120, "en", "s", 1), (602, "\0" * 70 + "b", "en", "s", 1)]
+    long = prose("en", 2500, 1)  # several shards: parts of it stand before and after a text of its own, cut at other places
+    rows += [(610, long[70:5000] + "zz" + long[5100:], "en", "s", 1), (611, prose("fr", 20, 9) + long, "en", "s", 1), (3, long[:7000], "en", "s", 1)]
     r.shuffle(rows)
-    got = sorted(tuple(x) for x in substrings.remove_repeats(extra(frame(spark, rows))).collect())
-    assert got == brute_removal(rows, 50)
+    found = substrings.remove_repeats(extra(frame(spark, rows)), keep_text=True).collect()
+    assert sorted(tuple(x)[:5] for x in found) == brute_removal(rows, 50)
+    assert all(hashlib.sha256(x.kept).hexdigest() == x.kept_sha256 and len(x.kept) == x.n_bytes - x.n_removed for x in found)
 
 
 def test_repeats_of_empty_tables_and_null_ids(spark):
