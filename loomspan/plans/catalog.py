@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from loomspan.plans import search, structured, training
+from loomspan.plans import audits, search, structured, training
 from loomspan.plans.base import Query
 
-QUERIES: dict[str, Query] = {**structured.R.queries, **search.R.queries, **training.R.queries}
-SQL: dict[str, str] = {**structured.R.sql, **search.R.sql, **training.R.sql}
+MODULES = (structured, search, training, audits)
+QUERIES: dict[str, Query] = {name: q for m in MODULES for name, q in m.R.queries.items()}
+SQL: dict[str, str] = {name: s for m in MODULES for name, s in m.R.sql.items()}

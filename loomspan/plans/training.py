@@ -133,7 +133,8 @@ def preference_pairs(t):
 
 
 # Events stand for evaluation runs: the user is the case, the type the category, the day the run, the value the score.
-_OK = F.col("value") < 120
+def passed():
+    return F.col("value") < 120
 
 
 @R.add("run_summary_macro", """
@@ -141,7 +142,7 @@ WITH c AS (SELECT user_id, event_type, avg(value) AS m, sum(value) AS s, count(*
 k AS (SELECT event_type, avg(m) AS m, sum(s) AS s, sum(n) AS n, sum(m) AS cs, count(*) AS c, sum(ok::INT) AS ok FROM c GROUP BY 1)
 SELECT sum(n)::BIGINT AS steps, sum(c)::BIGINT AS cases, round(sum(s) / sum(n), 6) AS step_mean, round(sum(cs) / sum(c), 6) AS case_macro, round(avg(m), 6) AS category_macro, round(sum(ok) / sum(c), 6) AS pass_rate FROM k""")
 def run_summary_macro(t):
-    out = E.run_summary(t("events"), "user_id", "event_type", "value", _OK)
+    out = E.run_summary(t("events"), "user_id", "event_type", "value", passed())
     return out.select("steps", "cases", *[F.round(c, 6).alias(c) for c in ("step_mean", "case_macro", "category_macro", "pass_rate")])
 
 
@@ -169,7 +170,7 @@ def runs(t):
 WITH c AS (SELECT user_id, count(DISTINCT run) = (SELECT count(DISTINCT run) FROM {_RUNS}) AS f, bool_and(value < 120) AS a, bool_or(value < 120) AS o FROM {_RUNS} GROUP BY 1)
 SELECT count(*) AS cases, round(avg((f AND a)::INT), 6) AS pass_all, round(avg((f AND o)::INT), 6) AS pass_any, round(avg((f AND o AND NOT a)::INT), 6) AS flaky FROM c""")
 def pass_all_any_flaky(t):
-    out = E.pass_all_any(runs(t), "user_id", "run", _OK)
+    out = E.pass_all_any(runs(t), "user_id", "run", passed())
     return out.select("cases", *[F.round(c, 6).alias(c) for c in ("pass_all", "pass_any", "flaky")])
 
 
@@ -327,10 +328,10 @@ def recent_n(t):
     return S.recent(t("events"), "user_id", [F.desc("ts"), F.desc("event_id")], 5).select("user_id", "event_id", "age")
 
 
-@R.add("ledger_join", "SELECT s.event_id, coalesce(l.props, '') AS payload FROM events s LEFT JOIN (SELECT * FROM events WHERE event_id % 2 = 0) l ON l.event_id = s.event_id + 1")
+@R.add("ledger_join", "SELECT s.event_id, coalesce(l.props, '') AS payload FROM events s LEFT JOIN (SELECT * FROM events WHERE event_type <> 'error') l ON l.event_id = s.event_id + 1")
 def ledger_join(t):
     steps = t("events").select("event_id", (F.col("event_id") + 1).alias("pointer"))
-    return S.ledger_join(steps, t("events").filter("event_id % 2 = 0"), "pointer", "event_id", "props").select("event_id", "payload")
+    return S.ledger_join(steps, t("events").filter("event_type != 'error'"), "pointer", "event_id", "props").select("event_id", "payload")
 
 
 @R.add("event_windows", """
