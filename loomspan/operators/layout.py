@@ -63,7 +63,7 @@ def grown(parts: list[str], least: int) -> list[int]:
         size += len(p) + (2 if size else 0)
         if size >= least:
             group, size = group + 1, 0
-    if size and group:
+    if group:  # the last group is short, or has nothing yet
         out = [min(g, group - 1) for g in out]
     return out
 
