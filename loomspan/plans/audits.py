@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomspan.functions import rules
 from loomspan.functions.text import normalize_query
+from loomspan.operators import audit_logs as L
 from loomspan.operators import audits as A
 from loomspan.plans.base import Registry
 
@@ -178,3 +180,29 @@ SELECT rung, mean, lead(mean) OVER (ORDER BY rung) AS next, lead(mean) OVER (ORD
 def ladder_gates(t):
     g = t("lineitem").groupBy(F.col("l_quantity").cast("int").alias("rung")).agg(F.round(F.avg("l_extendedprice"), 4).alias("mean"))
     return A.adjacent_gates(g, "rung", "mean")
+
+
+@R.add("event_audit", """
+WITH b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error')
+SELECT event_type, count(*) AS events, count(DISTINCT user_id) AS sessions, count(DISTINCT CASE WHEN user_id IN (SELECT user_id FROM b) THEN user_id END) AS with_error FROM events GROUP BY 1""")
+def event_audit(t):
+    return L.event_counts(t("events"), "user_id", "event_type", "error")
+
+
+@R.add("query_aspects", """
+WITH x AS (SELECT regexp_replace(lower(p_name), '\\s+', '', 'g') AS f, lower(p_name) AS l FROM part)
+SELECT CASE WHEN contains(f, 'redbolt') THEN 'both' WHEN contains(f, 'red') OR contains(f, 'blue') THEN 'colour' WHEN contains(f, 'bolt') THEN 'part' ELSE 'general' END AS aspect,
+array_to_string(list_filter([CASE WHEN contains(l, 'red') THEN 'red' END, CASE WHEN contains(l, 'bolt') OR contains(l, 'nut') THEN 'part' END], lambda x: x IS NOT NULL), ',') AS intents, count(*) AS n FROM x GROUP BY 1, 2""")
+def query_aspects(t):
+    first = rules.first_rule(F.col("p_name"), [("both", ("redbolt",)), ("colour", ("red", "blue")), ("part", ("bolt",))])
+    every = rules.all_rules(F.col("p_name"), [("red", ("red",)), ("part", ("bolt", "nut"))])
+    return t("part").groupBy(first.alias("aspect"), F.array_join(every, ",").alias("intents")).agg(F.count("*").alias("n"))
+
+
+@R.add("weighted_term_overlap", """
+SELECT p_partkey, round(s, 6) AS score FROM (SELECT p_partkey, CASE WHEN p_size > 45 THEN 0.0 ELSE greatest(CASE WHEN contains(lower(p_name), 'red') THEN 1.5 ELSE 0.0 END, CASE WHEN contains(lower(p_type), 'red') THEN 0.8 ELSE 0.0 END)
++ greatest(CASE WHEN contains(lower(p_name), 'economy') THEN 1.5 ELSE 0.0 END, CASE WHEN contains(lower(p_type), 'economy') THEN 0.8 ELSE 0.0 END) + CASE WHEN lower(p_brand) = 'brand#3' THEN 4.0 ELSE 0.0 END END::DOUBLE AS s FROM part) WHERE s > 0""")
+def weighted_term_overlap(t):
+    own = rules.weighted_rules([(F.lower("p_brand") == "brand#3", 4.0)])
+    total = F.when(F.col("p_size") > 45, 0.0).otherwise(rules.term_overlap(["red", "economy"], {"p_name": 1.5, "p_type": 0.8}) + own)
+    return t("part").select("p_partkey", F.round(total, 6).alias("score")).filter("score > 0")

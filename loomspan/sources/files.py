@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,10 +23,10 @@ SKIPPED = ("__pycache__", "node_modules", ".git", ".venv")
 CHUNK = T.StructType([T.StructField(c, T.StringType()) for c in ("chunk_id", "doc_id", "doc_name", "source_type", "title", "text", "index_text", "block_type", "page_label", "source_path", "metadata")])
 
 
-def source_type(path: Column) -> Column:
+def source_type(path: Column, deployment: str = "deployment") -> Column:
     """What a file holds, by words in its path."""
     low = F.lower(path)
-    return F.when(low.contains("adela") | low.contains("deployment"), "deployment").when(low.contains("table") | low.rlike(r"\.(csv|xlsx|jsonl)$"), "table").otherwise("document")
+    return F.when(low.contains(deployment), "deployment").when(low.contains("table") | low.rlike(r"\.(csv|xlsx|jsonl)$"), "table").otherwise("document")
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
@@ -64,6 +65,16 @@ def sniff_separator(sample: str) -> str:
     return max(score, key=lambda s: (score[s], -",\t;|".index(s)))
 
 
+def query_column(df: DataFrame, names: tuple[str, ...] = ("query", "question", "text", "问题")) -> str:
+    """The column that holds questions: one with a usual name, or else the one with the longest texts and fewest numbers."""
+    for n in names:
+        if hit := next((c for c in df.columns if c.strip().lower() == n), None):
+            return hit
+    numeric = lambda c: F.avg(F.col(c).cast("string").try_cast("double").isNotNull().cast("double"))
+    row = df.agg(*[F.struct(F.coalesce(numeric(c), F.lit(1.0)).alias("num"), F.coalesce(F.avg(F.length(F.col(c).cast("string"))), F.lit(0.0)).alias("len")).alias(f"c{k}") for k, c in enumerate(df.columns)]).first()
+    return df.columns[max(range(len(df.columns)), key=lambda k: (row[k]["len"] * (1 - row[k]["num"]), -k))]
+
+
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
@@ -155,3 +166,72 @@ def append_unique(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     if first := clash.limit(1).collect():
         raise ValueError(f"{key} is not unique: {first[0][0]}")
     return old.unionByName(new)
+
+
+def folded_rows(lines: list[str], columns: tuple[str, ...], wrapped: tuple[str, ...], starts: str = r"\s*\d+\s+\d+\s") -> list[dict[str, str]]:
+    """Records of a printed table: fields stand three spaces apart; a line that begins none goes on with the ``wrapped`` fields of the one before, in order."""
+    out: list[dict[str, str]] = []
+    for line in lines:
+        parts = [p for p in re.split(r"\s{3,}", line.strip()) if p]
+        if re.match(starts, line) and len(parts) >= len(columns):
+            out.append(dict(zip(columns, parts, strict=False)))
+        elif out and parts and not re.fullmatch(r"[━─=-]+", line.strip()):
+            for c, p in zip(wrapped, parts, strict=False):
+                out[-1][c] += p
+    return out
+
+
+def read_printed_tables(spark: SparkSession, path: str, columns: tuple[str, ...], wrapped: tuple[str, ...], starts: str = r"\s*\d+\s+\d+\s") -> DataFrame:
+    """(path, row_no, record) of tables that a command printed into text files. Lines fold into the record before, so a file is read in one piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                rows = folded_rows(text.splitlines(), columns, wrapped, starts)
+                cols = [pa.array([p] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int32()), pa.array([list(r.items()) for r in rows], pa.map_(pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays(cols, ["path", "row_no", "record"])
+
+    return whole_texts(spark, path).mapInArrow(run, "path string, row_no int, record map<string,string>")
+
+
+def write_lines(df: DataFrame, path: str, how: str = "json", one_file: bool = False, mode: str = "errorifexists") -> None:
+    """JSON lines or CSV with a header. ``one_file`` is for reports of a few rows. The writer commits whole: a failed job leaves no result."""
+    out = df.coalesce(1) if one_file else df
+    (out.write.mode(mode).option("header", True).csv if how == "csv" else out.write.mode(mode).json)(path)
+
+
+def write_vectors(vectors: DataFrame, path: str, models: tuple[str, ...], id_col: str) -> None:
+    """A row for each vector and model, under ids that name the model, in a folder for each model, so that a search reads one folder."""
+    named = vectors.withColumn("embedding_model", F.explode(F.array(*map(F.lit, models))))
+    named.withColumn(id_col, F.concat_ws("_EMB_", F.col(id_col).cast("string"), "embedding_model")).write.mode("append").partitionBy("embedding_model").parquet(path)
+
+
+def kept_table(df: DataFrame, root: str, key_cols: list[str], name: str, make) -> DataFrame:
+    """``make(df)``, written once below ``root`` for what the key columns hold; the same content is read back instead of made again.
+
+    The folder is named by an order-free digest over all rows: their count and the sums of two hashes.
+    """
+    cols = [F.col(c) for c in key_cols]
+    parts = df.agg(F.count("*"), F.sum(F.xxhash64(*cols).cast("decimal(38,0)")), F.sum(F.hash(*cols).cast("long"))).first()
+    spark = df.sparkSession
+    path = f"{root}/{name}-" + "-".join(str(p) for p in parts).replace("--", "-m")
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+        make(df).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def manifest(spark: SparkSession, root: str, exclude: str = "") -> DataFrame:
+    """(path, bytes, sha256) of every file below a folder; ``exclude`` is a pattern of paths left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = files.filter(~F.col("path").rlike(exclude)) if exclude else files
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def verified(spark: SparkSession, root: str, expected: dict[str, str]) -> DataFrame:
+    """The manifest of a folder, after its files' digests were found as expected; else an error names the first that differs."""
+    found = {r.path.rsplit("/", 1)[-1]: r.sha256 for r in manifest(spark, root).collect()}  # a row for each source file
+    for name, digest in expected.items():
+        if found.get(name) != digest:
+            raise ValueError(f"{name} is missing or has another content")
+    return manifest(spark, root)
