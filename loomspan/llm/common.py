@@ -31,10 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends, and later reads cost no recomputation."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

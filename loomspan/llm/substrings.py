@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +20,6 @@ SHARD_BYTES, SHARD_TEXTS, GRAM = 1_000_000, 50_000, 16
 BUCKET_BYTES = 6_000_000
 POS_BITS = 28
 KASAI_BLOCK = 256
-SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
 def suffix_array(text: np.ndarray, end: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +188,10 @@ def buckets_of(key: np.ndarray, n: int) -> np.ndarray:
 
 
 def anchors(n_buckets: int, length: int):
-    """Per shard and bucket: the sorted distinct anchors, and which of them occur in several of the shard's texts."""
+    """Per shard and bucket: the distinct anchors in order, and which of them occur in several of the shard's texts.
+
+    Of an anchor's hash the low half is sent, as the high half chose the bucket; two that agree by chance only make windows candidates.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in shards_in(batches):
@@ -203,7 +205,7 @@ def anchors(n_buckets: int, length: int):
             k = k[at]
             b = buckets_of(k, n_buckets)
             cut = np.searchsorted(b, np.arange(n_buckets + 1))
-            out = [(j, k[x:y].tobytes(), np.packbits(several[x:y]).tobytes()) for j, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if x < y]
+            out = [(j, k[x:y].astype(np.uint32).tobytes(), np.packbits(several[x:y]).tobytes()) for j, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if x < y]
             yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * len(out), pa.int64()), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], ["shard", "bucket", "keys", "several"])
 
     return run
@@ -212,7 +214,7 @@ def anchors(n_buckets: int, length: int):
 def answer_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per shard and bucket: a bit for each anchor, set if another text has it too."""
     for t in groups(batches, "bucket", 1):
-        lists = [np.frombuffer(x, np.uint64) for x in t.column("keys").to_pylist()]
+        lists = [np.frombuffer(x, np.uint32) for x in t.column("keys").to_pylist()]
         several = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(k)].astype(bool) for x, k in zip(t.column("several").to_pylist(), lists, strict=True)]
         buckets = t.column("bucket").to_numpy()
         bits: list[bytes] = []
@@ -221,8 +223,7 @@ def answer_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             merged, count = np.unique(np.concatenate([lists[i] for i in mine]), return_counts=True)
             common = count > 1
             for i in mine:
-                at = np.searchsorted(merged, lists[i])  # sorted lists: where each falls in the merged one
-                common[at] |= several[i]
+                common[np.searchsorted(merged, lists[i][several[i]])] = True  # where each falls in the merged list
             bits += [np.packbits(common[np.searchsorted(merged, lists[i])]).tobytes() for i in mine]
         yield pa.RecordBatch.from_arrays([t.column("shard").combine_chunks(), t.column("bucket").combine_chunks(), pa.array(bits, pa.binary())], ["shard", "bucket", "bits"])
 
@@ -244,9 +245,8 @@ def local_step(n_buckets: int, length: int):
                 common = bits[np.searchsorted(k, s.key)]
             lo, hi, key = s.lo[common], s.hi[common], s.key[common]
             marked, fresh = repeats(s, lo, hi, row["ids"], length)
-            names = ["shard", "bucket", "keys", "ids", "starts", "lens", "blob"]
-            kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 5
-            out = [[row["shard"]], [-1], [b""], [b""], [b""], [b""], [zlib.compress(np.packbits(marked).tobytes(), 1)]]
+            squeeze = zstandard.ZstdCompressor(level=1).compress
+            out = [[row["shard"]], [-1], [b""], [squeeze(np.packbits(marked).tobytes())]]
             seen = np.r_[0, np.cumsum(fresh)]
             send = np.flatnonzero(seen[hi + 1] > seen[lo]) if len(lo) else np.zeros(0, np.int64)
             b = buckets_of(key[send], n_buckets)
@@ -257,13 +257,20 @@ def local_step(n_buckets: int, length: int):
                     r = send[x:y]
                     size = hi[r] - lo[r] + length
                     where = np.repeat(lo[r] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                    for col, v in zip(out, (row["shard"], j, key[r].tobytes(), row["ids"][s.doc[lo[r]]].tobytes(), lo[r].astype(np.int32).tobytes(), (hi[r] - lo[r] + 1).astype(np.int32).tobytes(), s.text[where].tobytes()), strict=True):
+                    runs = squeeze(np.r_[lo[r], hi[r] - lo[r] + 1].astype(np.int32).tobytes())
+                    for col, v in zip(out, (row["shard"], j, runs, squeeze(row["ids"][s.doc[lo[r]]].tobytes() + s.text[where].tobytes())), strict=True):
                         col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "bucket", "runs", "blob"])
 
     return run
 
 
+def runs_sent(runs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First window and number of windows of each run."""
+    both = np.frombuffer(zstandard.decompress(runs), np.int32).astype(np.int64)
+    return both[: len(both) // 2], both[len(both) // 2 :]
+
+
 def repeats(s: Shard, lo: np.ndarray, hi: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For each position of the shard: its window also starts in a text of the shard with a smaller id; or it is a window
     of the runs and does not. The suffix array is built over the runs' text alone."""
@@ -299,16 +306,17 @@ def merge_windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, "bucket", 1):
             buckets = t.column("bucket").to_numpy()
-            rows = list(zip(*(t.column(c).to_pylist() for c in ("keys", "ids", "lens", "blob")), strict=True))
+            rows = list(zip(t.column("runs").to_pylist(), t.column("blob").to_pylist(), strict=True))
             bits: list[bytes] = []
             for b in dict.fromkeys(buckets.tolist()):
                 lists = []
-                for k, i, n, blob in (r for r, x in zip(rows, buckets, strict=True) if x == b):
-                    key, own, lens = np.frombuffer(k, np.uint64), np.frombuffer(i, np.int64), np.frombuffer(n, np.int32).astype(np.int64)
-                    text = np.frombuffer(blob, np.uint8)
+                for runs, blob in (r for r, x in zip(rows, buckets, strict=True) if x == b):
+                    lens = runs_sent(runs)[1]
+                    blob = zstandard.decompress(blob)
+                    own, text = np.frombuffer(blob, np.int64, len(lens)), np.frombuffer(blob, np.uint8, offset=8 * len(lens))
                     begin = np.cumsum(lens + length - 1) - (lens + length - 1)
                     at = np.repeat(begin - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
-                    one = mix64(Prefix(text).windows(length)[at] ^ np.repeat(key, lens) * SECOND)
+                    one = Prefix(text).windows(length)[at]
                     order = np.argsort(one)
                     lists.append((one[order], np.repeat(own, lens)[order], order))
                 merged = np.unique(np.concatenate([x[0] for x in lists]))
@@ -320,8 +328,8 @@ def merge_windows(length: int):
                 for place, (_, own, order) in zip(places, lists, strict=True):
                     mark = np.zeros(len(order), bool)
                     mark[order] = own > least[place]
-                    bits.append(zlib.compress(np.packbits(mark).tobytes(), 1))
-            yield pa.RecordBatch.from_arrays([t.column("shard").combine_chunks(), t.column("bucket").combine_chunks(), t.column("starts").combine_chunks(), t.column("lens").combine_chunks(), pa.array(bits, pa.binary())], ["shard", "bucket", "starts", "lens", "bits"])
+                    bits.append(zstandard.compress(np.packbits(mark).tobytes(), 1))
+            yield pa.RecordBatch.from_arrays([t.column("shard").combine_chunks(), t.column("bucket").combine_chunks(), t.column("runs").combine_chunks(), pa.array(bits, pa.binary())], ["shard", "bucket", "runs", "bits"])
 
     return run
 
@@ -338,11 +346,11 @@ def finish(length: int, keep: bool):
             n = len(text)
             mark = np.zeros(n + 1, np.int32)
             for r in row["replies"] or ():
-                raw = np.unpackbits(np.frombuffer(zlib.decompress(r["bits"]), np.uint8))
+                raw = np.unpackbits(np.frombuffer(zstandard.decompress(r["bits"]), np.uint8))
                 if r["bucket"] < 0:
                     mark |= raw[: n + 1]
                 else:
-                    lo, lens = np.frombuffer(r["starts"], np.int32).astype(np.int64), np.frombuffer(r["lens"], np.int32).astype(np.int64)
+                    lo, lens = runs_sent(r["runs"])
                     at = np.repeat(lo - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
                     mark[at] |= raw[: len(at)]
             upto = np.r_[np.zeros(length, np.int32), np.cumsum(mark[:n], dtype=np.int32)]
@@ -384,13 +392,13 @@ def remove_repeats(docs: DataFrame, length: int = 50, max_broadcast: int = 64_00
     method, and marks what repeats inside the shard. A run whose windows all have a smaller owner in the shard is not sent:
     a group of copies leaves a shard once. (3) The other runs meet in buckets by anchor; the shards' sorted window keys are
     merged by binary search, the least id of each window is found, and each shard gets a bit a window. Keys have 64 bits
-    beyond the anchor's bucket. (4) Shards remove what is marked.
+    and meet those of their bucket only. (4) Shards remove what is marked.
 
     Strings are judged on the input and never cross texts; equal ids are no smaller ids. Null texts are empty; a null id removes
     nothing and is removed by nothing. Ids are integers. The shards' bit lists are broadcast up to ``max_broadcast`` bytes, else joined
     by a shuffle. Returns the id, n_bytes, n_removed, n_spans, kept_sha256, and ``kept`` (the bytes) with ``keep_text``.
     """
-    shards = stored(pack(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, length))
+    shards = stored(pack(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, length), "zstd")
     total, cut = shards.agg(F.coalesce(F.sum(F.octet_length("blob")), F.lit(0)), F.count("whole")).first()
     n_buckets = max(32, int(total // BUCKET_BYTES))
 
@@ -405,17 +413,17 @@ def remove_repeats(docs: DataFrame, length: int = 50, max_broadcast: int = 64_00
 
     asked = shards.mapInArrow(anchors(n_buckets, length), "shard long, bucket long, keys binary, several binary")
     answers = stored(dealt(asked).mapInArrow(answer_anchors, "shard long, bucket long, bits binary"))
-    sent = "shard long, bucket long, keys binary, ids binary, starts binary, lens binary, blob binary"
+    sent = "shard long, bucket long, runs binary, blob binary"
     local = stored(reply(shards, answers, "bits").mapInArrow(local_step(n_buckets, length), sent))
-    merged = dealt(local.filter("bucket >= 0")).mapInArrow(merge_windows(length), "shard long, bucket long, starts binary, lens binary, bits binary")
-    own = local.filter("bucket < 0").select("shard", "bucket", "starts", "lens", F.col("blob").alias("bits"))
+    merged = dealt(local.filter("bucket >= 0")).mapInArrow(merge_windows(length), "shard long, bucket long, runs binary, bits binary")
+    own = local.filter("bucket < 0").select("shard", "bucket", "runs", F.col("blob").alias("bits"))
     marks = stored(merged.unionByName(own))
 
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])]
-    whole = reply(shards.filter("whole IS NULL"), marks, "starts", "lens", "bits").mapInArrow(finish(length, keep_text), FOUND)
+    whole = reply(shards.filter("whole IS NULL"), marks, "runs", "bits").mapInArrow(finish(length, keep_text), FOUND)
     out = whole.select(F.col("id").alias(id_col), *names)
     if cut:
-        parts = reply(shards.filter("whole IS NOT NULL"), marks, "starts", "lens", "bits").mapInArrow(finish(length, True), FOUND)
+        parts = reply(shards.filter("whole IS NOT NULL"), marks, "runs", "bits").mapInArrow(finish(length, True), FOUND)
         out = out.unionByName(joined_parts(parts).select(F.col("id").alias(id_col), *names))
     bytes_ = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     null = docs.filter(F.col(id_col).isNull()).select(F.col(id_col).cast("long").alias(id_col), F.octet_length(bytes_).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(bytes_, 256).alias("kept_sha256"), *([bytes_.alias("kept")] if keep_text else []))
