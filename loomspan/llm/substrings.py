@@ -19,7 +19,13 @@ SHARD_BYTES, SHARD_TEXTS, GRAM = 1_000_000, 50_000, 16
 #: Bytes of text for each bucket of anchors.
 BUCKET_BYTES = 6_000_000
 POS_BITS = 28
-KASAI_BLOCK = 256
+KASAI_BLOCK = 64
+
+
+def eights(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as little-endian numbers; zeros follow the text."""
+    padded = np.r_[text, np.zeros(8, np.uint8)]
+    return np.ndarray(len(text), "<u8", padded, strides=(1,)).astype(np.uint64)
 
 
 def suffix_array(text: np.ndarray, end: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -30,11 +36,9 @@ def suffix_array(text: np.ndarray, end: np.ndarray, depth: int) -> tuple[np.ndar
     a suffix ends there.
     """
     n = len(text)
-    padded = np.r_[text, np.zeros(8, np.uint8)]
-    key = np.zeros(n, np.uint64)
-    room = end - np.arange(n)
-    for k in range(8):
-        key = (key << np.uint64(8)) | np.where(room > k, padded[k : k + n], 0).astype(np.uint64)
+    key = eights(text).byteswap()
+    cut = (np.maximum(8 - (end - np.arange(n)), 0) * 8).astype(np.uint64)  # bits that lie behind the piece
+    key = (key >> cut) << cut
     order = np.argsort(key).astype(np.int32)
     sorted_key = key[order]
     fresh = np.r_[True, sorted_key[1:] != sorted_key[:-1]] if n else np.zeros(0, bool)
@@ -61,7 +65,7 @@ def common_prefixes(text: np.ndarray, end: np.ndarray, order: np.ndarray, rank:
     """Length, up to ``cap``, that each suffix shares with the one before it in the order (Kasai's method).
 
     Positions are passed in text order, each starting from the length before less one. Blocks of positions advance in lockstep, so
-    that each step is one array operation; a block only loses what its first position would have inherited. The order is only by
+    that each step is one array operation, and compare eight bytes at once; a block only loses what its first position would have inherited. The order is only by
     the first bytes: suffixes of equal rank agree in ``cap`` bytes, as far as they go, and pass nothing on.
     """
     n = len(text)
@@ -69,6 +73,7 @@ def common_prefixes(text: np.ndarray, end: np.ndarray, order: np.ndarray, rank:
     before[order[1:]] = order[:-1]
     equal = np.zeros(n, bool)
     equal[order[1:]] = rank[order[1:]] == rank[order[:-1]]
+    eight = eights(text)
     out = np.zeros(n, np.uint8)
     starts = np.arange(0, n, KASAI_BLOCK)
     h = np.zeros(len(starts), np.int64)
@@ -86,10 +91,10 @@ def common_prefixes(text: np.ndarray, end: np.ndarray, order: np.ndarray, rank:
         h = np.where(tie, most, np.minimum(h, most))
         act = np.flatnonzero(h < most)
         while len(act):
-            same = text[i[act] + h[act]] == text[j[act] + h[act]]
-            act = act[same]
-            h[act] += 1
-            act = act[h[act] < most[act]]
+            differ = eight[i[act] + h[act]] ^ eight[j[act] + h[act]]
+            same = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3  # equal bytes before the first that differs
+            h[act] = np.minimum(h[act] + same, most[act])
+            act = act[(same == 8) & (h[act] < most[act])]
         out[i] = h
         h = np.where(tie, 0, np.maximum(h - 1, 0))
     return out[order]
