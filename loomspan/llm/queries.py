@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.llm import sql
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -97,4 +99,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html": op9_html,
     "op10_tokens": op10_tokens,
 }
-SQL: dict[str, str] = {}
+#: Models, parsers and patterns with rules of their own are beyond SQL: those queries are tested against brute force instead.
+SQL: dict[str, str] = {
+    "op2_mixing": sql.mixing(),
+    "op3_decontamination": sql.decontamination(),
+    "op4_ngram_jaccard": sql.ngram_jaccard(),
+    "op5_substrings": sql.substrings(),
+    "op6_sharding": sql.sharding(),
+}
