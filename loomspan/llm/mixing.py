@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,11 +38,11 @@ def source_targets(sizes: DataFrame, weights: list[float], cap: float) -> DataFr
     return s.select("__src", "__source_size", F.least(F.col("__cap"), F.col("__final") * F.col("__w")).alias("__target"))
 
 
-def take_in_order(rows: DataFrame, buckets: int) -> DataFrame:
+def take_in_order(rows: DataFrame, buckets: int, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Mark (``__take``) the rows of each source that fit into ``__left`` words when taken in the order of ``__rank``.
 
     The order within a source is cut into ``buckets`` ranges of the rank. Their totals, made by partial aggregation, tell the
-    one range in which the words run out; only that range is sorted, so a source with most of all rows is no bottleneck.
+    one range in which the words run out; only that range is sorted, so a source with most of all rows is no bottleneck. ``small`` marks tables with a row for each source.
     """
     rows = rows.withColumn("__b", F.floor(F.col("__rank") / (1 + F.col("__rank")) * buckets))
     sums = rows.groupBy("__src", "__b").agg(F.sum("__size").alias("__s"), F.first("__left").alias("__left"))
@@ -48,7 +50,7 @@ def take_in_order(rows: DataFrame, buckets: int) -> DataFrame:
     sums = sums.withColumn("__upto", F.sum("__s").over(running))
     over = sums.filter(F.col("__upto") > F.col("__left"))
     cut = over.groupBy(F.col("__src").alias("__cs")).agg(F.min("__b").alias("__cut"), F.min_by(F.col("__upto") - F.col("__s"), "__b").alias("__before"))
-    rows = rows.join(cut, F.col("__src").eqNullSafe(F.col("__cs")), "left").drop("__cs")
+    rows = rows.join(small(cut), F.col("__src").eqNullSafe(F.col("__cs")), "left").drop("__cs")
     clear = rows.filter(F.col("__cut").isNull() | (F.col("__b") != F.col("__cut"))).withColumn("__take", F.col("__cut").isNull() | (F.col("__b") < F.col("__cut")))
     inside = Window.partitionBy("__src").orderBy("__rank", F.col("__id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     edge = rows.filter(F.col("__b") == F.col("__cut")).withColumn("__upto", F.col("__before") + F.sum("__size").over(inside))
@@ -63,6 +65,7 @@ def mix_sources(
     seed: int = 20,
     buckets: int = 1024,
     rounds: int = 4,
+    max_broadcast: int = 100_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -78,6 +81,7 @@ def mix_sources(
     Returns ``__id, __size, __src, __source_size, __target, __copies`` for each row of ``docs``. Random numbers depend on
     the seed, id, size and round only, so reruns agree. A null text has no words and is never taken more than the certain copies; null
     sources are a source of their own, the last; rows with equal ids and sizes are ranked alike and are taken one by one.
+    Tables with a row for each source are broadcast up to ``max_broadcast`` sources, so that no rows are dealt out by source.
     """
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
     rows = stored(docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__src"), size.alias("__size")))
@@ -86,22 +90,25 @@ def mix_sources(
     targets = targets.withColumn("__whole", F.when(F.col("__source_size") > 0, F.floor(F.col("__target") / F.col("__source_size"))).otherwise(F.lit(0)).cast("long"))
     targets = targets.withColumn("__left", F.greatest(F.lit(0.0), F.col("__target") - F.col("__whole") * F.col("__source_size")))
     targets = stored(targets)  # a row for each source
+    few = targets.count() <= max_broadcast
+    small = lambda df: F.broadcast(df) if few else df
     taken = rows.withColumn("__extra", F.lit(0)).withColumn("__round", F.lit(-1))
     left = targets.select(F.col("__src").alias("__ls"), "__left")
     for k in range(rounds):
         fits = (F.col("__extra") == 0) & (F.col("__size") > 0) & (F.col("__size") <= F.col("__left"))
-        open_ = taken.join(left, F.col("__src").eqNullSafe(F.col("__ls")), "left").drop("__ls")
-        pool = open_.filter(fits).groupBy(F.col("__src").alias("__ps")).agg(F.sum("__size").alias("__pool"))
+        open_ = taken.join(small(left), F.col("__src").eqNullSafe(F.col("__ls")), "left").drop("__ls")
+        pool = stored(open_.filter(fits).groupBy(F.col("__src").alias("__ps")).agg(F.sum("__size").alias("__pool")))
         p = F.least(F.col("__left") / F.col("__pool"), F.lit(1 - 1e-9))
         u = uniform(seed + k, F.col("__id"), F.col("__size"))
-        ranked = open_.filter(fits).join(pool, F.col("__src").eqNullSafe(F.col("__ps")), "left").drop("__ps")
+        ranked = open_.filter(fits).join(small(pool), F.col("__src").eqNullSafe(F.col("__ps")), "left").drop("__ps")
         ranked = ranked.withColumn("__rank", (u / (1 - u)) / (p / (1 - p))).drop("__pool")
-        marked = take_in_order(ranked, buckets).withColumn("__extra", F.col("__take").cast("int")).withColumn("__round", F.lit(k))
+        marked = take_in_order(ranked, buckets, small).withColumn("__extra", F.col("__take").cast("int")).withColumn("__round", F.lit(k))
         rest = open_.filter(~F.coalesce(fits, F.lit(False)))
         taken = stored(rest.drop("__left").unionByName(marked.select("__id", "__src", "__size", "__extra", "__round")))
         got = taken.filter(F.col("__extra") == 1).groupBy(F.col("__src").alias("__gs")).agg(F.sum("__size").alias("__got"))
         left = targets.join(got, F.col("__src").eqNullSafe(F.col("__gs")), "left").select(F.col("__src").alias("__ls"), (F.col("__left") - F.coalesce(F.col("__got"), F.lit(0))).alias("__left"))
-    out = taken.join(targets.withColumnRenamed("__src", "__ts"), F.col("__src").eqNullSafe(F.col("__ts")), "left")
+        left = stored(left) if k < rounds - 1 else left
+    out = taken.join(small(targets.withColumnRenamed("__src", "__ts")), F.col("__src").eqNullSafe(F.col("__ts")), "left")
     return out.select("__id", "__size", "__src", "__source_size", "__target", (F.col("__whole") + F.col("__extra")).cast("int").alias("__copies"))
 
 
