@@ -12,12 +12,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import Prefix, groups, mix64, stored
+from loomspan.llm.common import Prefix, by_ids, groups, mix64, stored
 
 #: Bytes of text in a shard (a longer text is cut into several), texts in one, and the gram that anchors are chosen from.
 SHARD_BYTES, SHARD_TEXTS, GRAM = 1_000_000, 50_000, 16
 #: Bytes of text for each bucket of anchors.
 BUCKET_BYTES = 6_000_000
+#: Bytes sent to one bucket above which its windows are matched as rows.
+HOT_BYTES = 64_000_000
 POS_BITS = 28
 KASAI_BLOCK = 64
 
@@ -305,6 +307,16 @@ def repeats(s: Shard, lo: np.ndarray, hi: np.ndarray, ids: np.ndarray, length: i
     return marked, fresh
 
 
+def windows_of(runs: bytes, blob: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window in runs that a shard sent: its place in the shard, the id of its text, its hash."""
+    lo, lens = runs_sent(runs)
+    blob = zstandard.decompress(blob)
+    own, text = np.frombuffer(blob, np.int64, len(lens)), np.frombuffer(blob, np.uint8, offset=8 * len(lens))
+    nth = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
+    begin = np.cumsum(lens + length - 1) - (lens + length - 1)
+    return np.repeat(lo, lens) + nth, np.repeat(own, lens), Prefix(text).windows(length)[np.repeat(begin, lens) + nth]
+
+
 def merge_windows(length: int):
     """Per shard and bucket: a bit for each window sent, set if a text of another shard with a smaller id has the window."""
 
@@ -316,14 +328,9 @@ def merge_windows(length: int):
             for b in dict.fromkeys(buckets.tolist()):
                 lists = []
                 for runs, blob in (r for r, x in zip(rows, buckets, strict=True) if x == b):
-                    lens = runs_sent(runs)[1]
-                    blob = zstandard.decompress(blob)
-                    own, text = np.frombuffer(blob, np.int64, len(lens)), np.frombuffer(blob, np.uint8, offset=8 * len(lens))
-                    begin = np.cumsum(lens + length - 1) - (lens + length - 1)
-                    at = np.repeat(begin - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
-                    one = Prefix(text).windows(length)[at]
+                    _, own, one = windows_of(runs, blob, length)
                     order = np.argsort(one)
-                    lists.append((one[order], np.repeat(own, lens)[order], order))
+                    lists.append((one[order], own[order], order))
                 merged = np.unique(np.concatenate([x[0] for x in lists]))
                 least = np.full(len(merged), np.iinfo(np.int64).max)
                 places = [np.searchsorted(merged, x[0]) for x in lists]  # sorted lists: where each falls in the merged one
@@ -339,6 +346,39 @@ def merge_windows(length: int):
     return run
 
 
+def as_rows(length: int):
+    """The windows of hot buckets as rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, runs, blob in zip(*(batch.column(c).to_pylist() for c in ("shard", "runs", "blob")), strict=True):
+                place, own, one = windows_of(runs, blob, length)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), shard)), pa.array(place), pa.array(own), pa.array(one.view(np.int64))], ["shard", "place", "id", "window"])
+
+    return run
+
+
+def place_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bit for each place of a shard, set for those given; a shard has a bounded number of places."""
+    for t in groups(batches, "shard", 1):
+        shard, place = t.column("shard").to_numpy(), t.column("place").to_numpy()
+        for part in np.split(np.arange(len(shard)), np.flatnonzero(shard[1:] != shard[:-1]) + 1):
+            mark = np.zeros(int(place[part].max()) + 1, bool)
+            mark[place[part]] = True
+            yield pa.RecordBatch.from_arrays([pa.array([shard[part[0]]]), pa.array([-2]), pa.array([b""]), pa.array([zstandard.compress(np.packbits(mark).tobytes(), 1)])], ["shard", "bucket", "runs", "bits"])
+
+
+def merge_hot(rows: DataFrame, length: int) -> DataFrame:
+    """What ``merge_windows`` finds, for buckets that one task could not hold: windows that very many shards have.
+
+    Windows become rows. Their least id is a partial aggregate, and rows meet it in a join whose hot keys Spark can split.
+    """
+    windows = stored(rows.mapInArrow(as_rows(length), "shard long, place long, id long, window long"))
+    least = stored(windows.groupBy("window").agg(F.min("id").alias("least")))
+    later = windows.join(least, "window").filter("id > least").select("shard", "place")
+    return later.repartition("shard").sortWithinPartitions("shard").mapInArrow(place_bits, "shard long, bucket long, runs binary, bits binary")
+
+
 FOUND = "shard long, whole long, id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, first_gone boolean, last_gone boolean, kept binary"
 
 
@@ -353,7 +393,7 @@ def finish(length: int, keep: bool):
             for r in row["replies"] or ():
                 raw = np.unpackbits(np.frombuffer(zstandard.decompress(r["bits"]), np.uint8))
                 if r["bucket"] < 0:
-                    mark |= raw[: n + 1]
+                    mark[: len(raw)] |= raw[: n + 1]
                 else:
                     lo, lens = runs_sent(r["runs"])
                     at = np.repeat(lo - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
@@ -397,7 +437,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, max_broadcast: int = 64_00
     method, and marks what repeats inside the shard. A run whose windows all have a smaller owner in the shard is not sent:
     a group of copies leaves a shard once. (3) The other runs meet in buckets by anchor; the shards' sorted window keys are
     merged by binary search, the least id of each window is found, and each shard gets a bit a window. Keys have 64 bits
-    and meet those of their bucket only. (4) Shards remove what is marked.
+    and meet those of their bucket only. Buckets above HOT_BYTES are matched as rows instead (``merge_hot``). (4) Shards remove what is marked.
 
     Strings are judged on the input and never cross texts; equal ids are no smaller ids. Null texts are empty; a null id removes
     nothing and is removed by nothing. Ids are integers. The shards' bit lists are broadcast up to ``max_broadcast`` bytes, else joined
@@ -420,8 +460,13 @@ def remove_repeats(docs: DataFrame, length: int = 50, max_broadcast: int = 64_00
     answers = stored(dealt(asked).mapInArrow(answer_anchors, "shard long, bucket long, bits binary"))
     sent = "shard long, bucket long, runs binary, blob binary"
     local = stored(reply(shards, answers, "bits").mapInArrow(local_step(n_buckets, length), sent))
-    merged = dealt(local.filter("bucket >= 0")).mapInArrow(merge_windows(length), "shard long, bucket long, runs binary, bits binary")
+    others = local.filter("bucket >= 0")
+    hot = stored(others.groupBy("bucket").agg(F.sum(F.octet_length("blob")).alias("n")).filter(F.col("n") > HOT_BYTES).select("bucket"))
+    n_hot = hot.count()
+    merged = dealt(by_ids(others, hot, "bucket", "left_anti") if n_hot else others).mapInArrow(merge_windows(length), "shard long, bucket long, runs binary, bits binary")
     own = local.filter("bucket < 0").select("shard", "bucket", "runs", F.col("blob").alias("bits"))
+    if n_hot:
+        merged = merged.unionByName(merge_hot(by_ids(others, hot, "bucket", "left_semi"), length))
     marks = stored(merged.unionByName(own))
 
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])]
