@@ -264,7 +264,7 @@ def local_step(n_buckets: int, length: int):
                     r = send[x:y]
                     size = hi[r] - lo[r] + length
                     where = np.repeat(lo[r] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                    runs = squeeze(np.r_[lo[r], hi[r] - lo[r] + 1].astype(np.int32).tobytes())
+                    runs = squeeze(planes(np.r_[np.diff(lo[r], prepend=0), hi[r] - lo[r] + 1]))
                     for col, v in zip(out, (row["shard"], j, runs, squeeze(row["ids"][s.doc[lo[r]]].tobytes() + s.text[where].tobytes())), strict=True):
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "bucket", "runs", "blob"])
@@ -272,10 +272,16 @@ def local_step(n_buckets: int, length: int):
     return run
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers below 2**32 as their four bytes apart: the high ones are mostly zero and compress to nothing."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
 def runs_sent(runs: bytes) -> tuple[np.ndarray, np.ndarray]:
     """First window and number of windows of each run."""
-    both = np.frombuffer(zstandard.decompress(runs), np.int32).astype(np.int64)
-    return both[: len(both) // 2], both[len(both) // 2 :]
+    raw = np.frombuffer(zstandard.decompress(runs), np.uint8).reshape(4, -1).T
+    both = np.ascontiguousarray(raw).view("<u4").ravel().astype(np.int64)
+    return np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :]
 
 
 def repeats(s: Shard, lo: np.ndarray, hi: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -313,8 +319,8 @@ def windows_of(runs: bytes, blob: bytes, length: int) -> tuple[np.ndarray, np.nd
     blob = zstandard.decompress(blob)
     own, text = np.frombuffer(blob, np.int64, len(lens)), np.frombuffer(blob, np.uint8, offset=8 * len(lens))
     nth = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
-    begin = np.cumsum(lens + length - 1) - (lens + length - 1)
-    return np.repeat(lo, lens) + nth, np.repeat(own, lens), Prefix(text).windows(length)[np.repeat(begin, lens) + nth]
+    begin = np.repeat(np.cumsum(lens + length - 1) - (lens + length - 1), lens) + nth
+    return np.repeat(lo, lens) + nth, np.repeat(own, lens), Prefix(text).ranges(begin, begin + length)
 
 
 def merge_windows(length: int):
@@ -450,7 +456,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, max_broadcast: int = 64_00
     def reply(shards: DataFrame, rows: DataFrame, *cols: str) -> DataFrame:
         """Shards with what was answered to them."""
         per = rows.groupBy("shard").agg(F.collect_list(F.struct("bucket", *cols)).alias("replies"))
-        size = rows.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
+        size = rows.agg(F.sum(sum((F.octet_length(c) for c in cols), F.lit(0)))).first()[0] or 0
         return shards.join(F.broadcast(per) if size <= max_broadcast else per, "shard", "left")
 
     def dealt(rows: DataFrame) -> DataFrame:
