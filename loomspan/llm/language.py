@@ -31,15 +31,9 @@ CHUNK = 64
 
 def word_scripts(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """The script of each word by its first character that is no digit, and whether the word has such a character."""
-    n = len(w.start)
-    at, left = w.start.copy(), np.ones(n, bool)
-    for _ in range(8):  # words that begin with more digits than that count as numbers
-        digit = left & (w.buf[np.minimum(at, len(w.buf) - 1)] < 58)
-        if not digit.any():
-            break
-        at[digit] += 1
-        left &= at < w.end
-    lettered = left & (w.buf[np.minimum(at, len(w.buf) - 1)] >= 58)
+    beyond = np.flatnonzero(WORD_BYTE[w.buf] & (w.buf >= 58))  # bytes of words that are no digits
+    at = np.r_[beyond, len(w.buf)][np.searchsorted(beyond, w.start)]
+    lettered = at < w.end
     b = [w.buf[np.minimum(at + k, len(w.buf) - 1)].astype(np.int64) for k in range(4)]
     two, three = ((b[0] & 31) << 6) | (b[1] & 63), ((b[0] & 15) << 12) | ((b[1] & 63) << 6) | (b[2] & 63)
     four = ((b[0] & 7) << 18) | ((b[1] & 63) << 12) | ((b[2] & 63) << 6) | (b[3] & 63)
@@ -227,8 +221,8 @@ def labelled(docs: DataFrame, model: Model, penalty: float, keep: list[str], tex
                     d = int(w.doc[at])
                     spans[d].append({"lang": m.langs[label[at]], "first_word": at - int(w.first[d]), "n_words": end - at})
                 for d, (v, t) in enumerate(zip(votes.tolist(), votes.sum(axis=1).tolist(), strict=True)):
-                    words[d] = t
-                    if t:
+                    if t and any(map(str.isalpha, texts[d])):  # beyond ASCII, a word may be made of other signs
+                        words[d] = t
                         pred[d], score[d] = m.langs[max(range(k), key=v.__getitem__)], max(v) / t
                     else:
                         spans[d] = []

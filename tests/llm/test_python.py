@@ -33,11 +33,12 @@ def test_language_of_texts_and_spans(spark):
     docs = frame(spark)
     model = language.fit(docs.filter(~language.held_out()))
     mixed = prose("en", 40, "a") + " " + prose("de", 40, "b")
-    rows = corpus() + [(900, mixed, None, None, 1)]
+    rows = corpus() + [(900, mixed, None, None, 1), (901, "…  — 12 😀 ²", None, None, 1), (902, "1234567890123the", None, None, 1)]
     found = {r.doc_id: r for r in language.identify(extra(frame(spark, rows)), model).collect()}
     right = [found[i].lang_pred == lang for i, text, lang, _, _ in rows if lang and text and any(c.isalpha() for c in text)]
     assert sum(right) / len(right) > 0.97
-    assert all(found[i].lang_pred == "und" and found[i].score == 0 and found[i].spans == [] for i in (400, 401, 402))
+    assert all(found[i].lang_pred == "und" and found[i].score == 0 and found[i].spans == [] for i in (400, 401, 402, 901))
+    assert found[902].lang_pred != "und" and found[902].n_words == 1
     assert [s.lang for s in found[900].spans] == ["en", "de"] and abs(found[900].spans[1].first_word - 40) <= 3
     assert language.spoken(frame(spark), model).columns == docs.columns
     assert {r.doc_id for r in frame(spark).collect()} - {r.doc_id for r in language.spoken(frame(spark), model).collect()} == {400, 401, 402}
