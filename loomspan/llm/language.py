@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import WORD_BYTE, Words, steps
+from loomspan.llm.common import WORD_BYTE, Words, steps, stored
 
 #: First code points of script ranges, and the script there. Ranges that are not listed are "other".
 SCRIPTS = [
@@ -178,7 +178,7 @@ def fit(docs: DataFrame, per_lang: int = 2000, max_words: int = 40_000, id_col:
         return Model([], np.zeros(0, np.uint64), np.zeros((0, 0)), np.zeros((2**GRAM_BITS, 0)), np.zeros((0, len(NAMES)), bool))
     share = F.create_map(*[x for r in sizes for x in (F.lit(r.lang), F.lit(min(1.0, per_lang / r["count"])))])
     sample = rows.filter(F.pmod("key", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("text", "lang")
-    counts = sample.mapInArrow(count_features, "lang string, kind int, feature long, n long").groupBy("kind", "feature", "lang").agg(F.sum("n").alias("n"))
+    counts = stored(sample.mapInArrow(count_features, "lang string, kind int, feature long, n long").groupBy("kind", "feature", "lang").agg(F.sum("n").alias("n")))
     totals = counts.filter("kind = 0").groupBy("feature").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "feature").limit(max_words)
     wide = lambda df: df.groupBy("feature").pivot("lang", langs).agg(F.sum("n")).na.fill(0).toPandas()
     words = wide(counts.filter("kind = 0").join(totals, "feature", "left_semi"))
