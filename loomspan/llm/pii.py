@@ -50,7 +50,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of each pattern match that holds, by start and then kind; each kind is matched by itself."""
     out = [(s, e, 0) for s, e in emails(text)] if "@" in text else []
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(n := p.lstrip("0")) <= 3 and int(n or 0) <= 255 for p in m[0].split(".")):
             out.append((*m.span(), 1))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(d := NUMBER.sub("", m[0])) <= 19 and luhn(d):
@@ -199,5 +199,3 @@ def sanitised(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_co
     spans = found.select(F.col(id_col).alias("__id"), F.col("spans").alias("__spans"))
     new = rows.join(spans, "__id", "left").mapInArrow(run, f"__id {docs.schema[id_col].dataType.simpleString()}, __new string")
     return docs.join(new, docs[id_col] == new["__id"], "left").withColumn(text_col, F.col("__new")).select(*docs.columns)
-
-

@@ -172,6 +172,11 @@ def test_patterns_match_plain_regular_expressions():
         assert pii.base_spans(text) == [(s, e, PLAIN[k][0]) for s, k, e in want]
 
 
+def test_very_long_numbers():
+    assert pii.base_spans("0" * 6000 + "1.2.3.4") == [(0, 6007, "ip")]
+    assert pii.base_spans("9" * 6000 + ".2.3.4") == []
+
+
 def test_luhn():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
