@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomspan.functions.text import benchmark_text
 from loomspan.operators import datasets as D
 from loomspan.operators import evaluation as E
+from loomspan.operators import rewards as W
 from loomspan.operators import sessions as S
 from loomspan.plans.base import Registry
 
@@ -340,3 +341,19 @@ def event_windows(t):
     from loomspan.streaming.events import windowed_counts
 
     return windowed_counts(t("events"), "1 hour").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
+
+
+@R.add("case_scores", """
+WITH e AS (SELECT user_id, event_type, event_id % 4 <> 0 AS same, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+c AS (SELECT user_id, any_value(n) AS n, sum(0.55 + CASE WHEN same THEN 0.35 ELSE 0.0 END) AS s, bool_or(CASE WHEN same THEN event_type ELSE 'other' END = 'signup') AS f FROM e GROUP BY 1)
+SELECT user_id, round(((s + CASE WHEN f THEN 0.0 ELSE 0.10 END) / (0.90 * n + 0.10))::DOUBLE, 4) AS score, f AS forbidden_hit FROM c""")
+def case_scores(t):
+    """Every event is an expected step; three of four are met by the decision made."""
+    none, lists = F.lit(None).cast("map<string,string>"), F.lit(None).cast("map<string,array<string>>")
+    made = F.when(F.col("event_id") % 4 != 0, F.col("event_type")).otherwise("other")
+    steps = F.array_sort(F.collect_list(F.struct("event_id", F.col("event_type").alias("w"), made.alias("g"))))
+    cases = t("events").groupBy("user_id").agg(steps.alias("s"))
+    want = F.transform("s", lambda x: F.struct(F.lit("tool").alias("kind"), x["w"].alias("action"), none.alias("args"), lists.alias("contains")))
+    got = F.transform("s", lambda x: F.struct(F.lit("tool").alias("kind"), x["g"].alias("action"), none.alias("args")))
+    out = cases.select("user_id", W.case_score(want, got, F.array(F.lit("signup"))).alias("x"))
+    return out.select("user_id", F.round("x.score", 4).alias("score"), "x.forbidden_hit")
