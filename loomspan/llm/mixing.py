@@ -120,7 +120,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
     copies = mix_sources(docs, id_col=id_col, text_col=text_col, **kw)
-    copies = copies.filter(F.col("__copies") > 0).groupBy(F.col("__id").alias("__mi"), F.col("__size").alias("__ms"), F.col("__src").alias("__mr")).agg(F.sum("__copies").alias("__copies"), F.count("*").alias("__same"))
+    copies = copies.groupBy(F.col("__id").alias("__mi"), F.col("__size").alias("__ms"), F.col("__src").alias("__mr")).agg(F.sum("__copies").alias("__copies"), F.count("*").alias("__same"))
+    copies = copies.filter(F.col("__copies") > 0)
     source = F.col(kw.get("source_col", "source"))
     same = F.col(id_col).eqNullSafe(F.col("__mi")) & (F.col("__size") == F.col("__ms")) & source.eqNullSafe(F.col("__mr"))
     single = docs.withColumn("__size", size).join(copies, same)
