@@ -11,6 +11,8 @@ from loomspan.llm.common import by_ids, stored
 
 #: Token positions that count (1) and that may differ (0) in a seed.
 MASKS = ("1110010111", "11011001011")
+#: With these, every pattern of substitutions that the limits allow (13 tokens, 80 % equal) is hit by a seed.
+MORE_MASKS = ("1111011", "1110111", "1110000100011")
 #: Non-letters and non-digits part tokens.
 BREAK = r"[^\p{L}\p{N}]+"
 
@@ -20,7 +22,7 @@ def tokens(text: Column) -> Column:
 
 
 def seeds(df: DataFrame, words: str, pos: str, masks: tuple[str, ...]) -> DataFrame:
-    """A row for each token position and mask: the position and the hash of the tokens under the mask.
+    """A row for each token position and mask: the position, the mask's number and the hash of the tokens under the mask.
 
     Positions come from ``explode``, and the hash is one built-in call over array items, so the whole step stays in generated
     code and nothing but the position is made for a window that joins with no benchmark seed.
@@ -29,16 +31,17 @@ def seeds(df: DataFrame, words: str, pos: str, masks: tuple[str, ...]) -> DataFr
     starts = F.when(F.size(words) >= span, F.sequence(F.lit(0), F.size(words) - span)).otherwise(F.array().cast("array<int>"))
     df = df.withColumn(pos, F.explode(starts))  # a filter on the size would be pushed below the split, which then runs twice
     hashes = [
-        F.xxhash64(F.lit(k), *[F.get(F.col(words), F.col(pos) + i) for i, bit in enumerate(mask) if bit == "1"])
+        F.when(F.col(pos) + len(mask) <= F.size(words), F.xxhash64(F.lit(k), *[F.get(F.col(words), F.col(pos) + i) for i, bit in enumerate(mask) if bit == "1"]))
         for k, mask in enumerate(masks)
-    ]  # past the end: nulls, which the check of the overlap rejects
-    return df.withColumn("__seed", F.explode(F.array(*hashes)))
+    ]  # past the end: no seed
+    return df.select("*", F.posexplode(F.array(*hashes)).alias("__mask", "__seed"))
 
 
 def find_leaks(
     docs: DataFrame,
     bench: DataFrame,
     masks: tuple[str, ...] = MASKS,
+    more_masks: tuple[str, ...] = MORE_MASKS,
     reach: int = 5,
     min_overlap: int = 13,
     min_equal: float = 0.8,
@@ -51,40 +54,54 @@ def find_leaks(
     """Pairs of a document and a benchmark item that share a passage, substitutions allowed.
 
     Fixed masks over token positions ignore some of them; a document and an item with equal tokens under a mask meet in a hash
-    join. Each hit is checked on the spot: with the hit's window widened by ``reach`` tokens to both sides, as far as both texts
-    go, at least ``min_overlap`` tokens must be there and the share ``min_equal`` of them equal. ``matched`` and ``overlap`` are
-    those of the best hit over the whole alignment of the item with the document.
+    join. Each hit is checked on the spot: in its alignment, some span of at least ``min_overlap`` tokens must have the share
+    ``min_equal`` of them equal. A span of twice ``min_overlap`` tokens holds a shorter one that also does, so it is enough to look at
+    spans of up to 2 * ``min_overlap`` - 1 tokens around the hit. ``matched`` and ``overlap`` are those of the best hit over the whole
+    alignment of the item with the document. ``hits`` counts hits of ``masks`` whose window, widened by ``reach`` tokens to both
+    sides as far as both texts go, passes as a whole; it is 0 where only a span inside or beside the window does, or only a seed of ``more_masks``.
 
     The benchmark's seeds are broadcast, in as many parts as keep each at ``max_broadcast_seeds`` rows, one pass over the
     documents for each part; the windows of the documents are never shuffled. Only checked pairs are.
 
-    Null and empty texts, and texts and items shorter than a mask's span or ``min_overlap`` tokens, match nothing. Repeated items and
+    Null and empty texts, and texts and items shorter than ``min_overlap`` tokens, match nothing. Repeated items and
     documents each give their own pairs. Returns doc_id, item_id, matched, overlap, hits.
     """
     items = bench.select(F.col(item_col).alias("__item"), tokens(F.col(item_text_col)).alias("__it"))
-    made = seeds(items, "__it", "__j", masks).select("__item", "__j", "__seed")
+    made = seeds(items, "__it", "__j", (*masks, *more_masks)).select("__item", "__j", "__mask", "__seed")
     parts = max(1, -(-made.count() // max_broadcast_seeds))
     words = docs.select(F.col(id_col).alias("__doc"), tokens(F.col(text_col)).alias("__w"))
-    span = max(map(len, masks))
+    span, most = max(map(len, masks)), 2 * min_overlap - 1
 
     def equal(lo: Column, hi: Column) -> Column:
         """How many tokens agree for item positions lo to hi (exclusive), in the alignment of the hit."""
         shift = F.col("__i") - F.col("__j")
         return F.when(hi > lo, F.size(F.filter(F.sequence(lo, hi - 1), lambda k: F.get("__w", k + shift) == F.get("__it", k)))).otherwise(0)
 
+    def spans(lo: Column, hi: Column) -> Column:
+        """Whether a span of item positions from lo to hi (exclusive) has enough tokens and enough of them equal."""
+        shift = F.col("__i") - F.col("__j")
+        same = F.transform(F.sequence(lo, hi - 1), lambda k: (F.get("__w", k + shift) == F.get("__it", k)).cast("int"))
+        dense = lambda e, n, s: F.aggregate(F.slice(e, s + 1, n), F.lit(0), lambda a, x: a + x) >= n * F.lit(min_equal)
+        sizes = lambda e: F.sequence(F.lit(min_overlap), F.least(F.lit(most), F.size(e)))
+        within = lambda e: F.exists(sizes(e), lambda n: F.exists(F.sequence(F.lit(0), F.size(e) - n), lambda s: dense(e, n, s)))
+        may = (hi - lo >= min_overlap) & (equal(lo, hi) >= min_overlap * F.lit(min_equal))
+        return F.when(may, F.exists(F.array(same), within)).otherwise(False)  # the outer array makes the comparison run once
+
     def one(part: int) -> DataFrame:
         mine = F.pmod(F.xxhash64("__item"), F.lit(parts)) == part
-        hits = seeds(words, "__w", "__i", masks).join(F.broadcast(made.filter(mine)), "__seed")
-        hits = hits.join(F.broadcast(items.filter(mine & (F.size("__it") >= span - 1))), "__item")
+        hits = seeds(words, "__w", "__i", (*masks, *more_masks)).drop("__mask").join(F.broadcast(made.filter(mine)), "__seed")
+        hits = hits.join(F.broadcast(items.filter(mine & (F.size("__it") >= min_overlap))), "__item")
         lo_all = F.greatest(F.lit(0), F.col("__j") - F.col("__i"))
         hi_all = F.least(F.size("__it"), F.size("__w") - F.col("__i") + F.col("__j"))
-        hits = hits.withColumns({"__lo": F.greatest(lo_all, F.col("__j") - reach), "__hi": F.least(hi_all, F.col("__j") + span + reach), "__la": lo_all, "__ha": hi_all})
-        near = F.col("__hi") - F.col("__lo")
-        hits = hits.filter((near >= min_overlap) & (equal(F.col("__lo"), F.col("__hi")) >= near * F.lit(min_equal)))
-        return hits.select("__doc", "__item", F.struct(equal(F.col("__la"), F.col("__ha")).alias("m"), (F.col("__ha") - F.col("__la")).alias("o")).alias("__best"))
+        hits = hits.withColumns({"__la": lo_all, "__ha": hi_all})
+        hits = hits.filter(spans(F.greatest(F.col("__la"), F.col("__j") - (most - 1)), F.least(F.col("__ha"), F.col("__j") + most)))
+        lo, hi = F.greatest(F.col("__la"), F.col("__j") - reach), F.least(F.col("__ha"), F.col("__j") + span + reach)
+        whole = (F.col("__mask") < len(masks)) & (hi - lo >= min_overlap) & (equal(lo, hi) >= (hi - lo) * F.lit(min_equal))
+        best = F.struct(equal(F.col("__la"), F.col("__ha")).alias("m"), (F.col("__ha") - F.col("__la")).alias("o"))
+        return hits.select("__doc", "__item", best.alias("__best"), whole.cast("long").alias("__whole"))
 
     found = reduce(DataFrame.unionByName, map(one, range(parts)))
-    best = found.groupBy("__doc", "__item").agg(F.max("__best").alias("__best"), F.count("*").alias("hits"))
+    best = found.groupBy("__doc", "__item").agg(F.max("__best").alias("__best"), F.sum("__whole").alias("hits"))
     return best.select(F.col("__doc").alias(id_col), F.col("__item").alias(item_col), F.col("__best.m").cast("long").alias("matched"), F.col("__best.o").cast("long").alias("overlap"), "hits")
 
 

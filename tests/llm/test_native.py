@@ -1,10 +1,12 @@
+import itertools
+import random
 import re
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.llm.decontamination import drop_leaks, find_leaks
+from loomspan.llm.decontamination import MASKS, MORE_MASKS, drop_leaks, find_leaks
 from loomspan.llm.mixing import mix_sources, mixed_documents
 from loomspan.llm.sharding import shard_by_bytes
 from tests.llm.helpers import corpus, extra, frame, prose
@@ -99,6 +101,41 @@ def test_leaks_tolerate_substitutions_and_leave_clean_documents(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6]
 
 
+def leaks(doc, item):
+    """Whether some alignment has a span of 13 tokens or more with 80 % equal, by brute force."""
+    for shift in range(-len(item) + 13, len(doc) - 12):
+        same = [doc[k + shift] == item[k] for k in range(max(0, -shift), min(len(item), len(doc) - shift))]
+        if any(5 * sum(same[s : s + n]) >= 4 * n for n in range(13, len(same) + 1) for s in range(len(same) - n + 1)):
+            return True
+    return False
+
+
+def test_seeds_hit_every_allowed_pattern():
+    for n in range(13, 26):  # a longer span holds one of these
+        for off in itertools.combinations(range(n), n // 5):
+            hit = [any(not any(bit == "1" and s + i in off for i, bit in enumerate(mask)) for s in range(n - len(mask) + 1)) for mask in MASKS + MORE_MASKS]
+            assert any(hit), (n, off)
+
+
+def test_short_and_much_changed_passages_leak(spark):
+    item = [f"t{k}" for k in range(60)]
+    docs = []
+    for n in range(11, 19):  # passages inside the item, in other surroundings
+        docs += [[f"x{k}" for k in range(20)] + item[at : at + n] + [f"y{k}" for k in range(20)] for at in (0, 7, 60 - n)]
+    docs += [[w if k % m != at else "z" for k, w in enumerate(item)] for m in (3, 4, 5, 6) for at in range(m)]
+    r = random.Random(1)
+    for _ in range(150):
+        n, at = r.randint(12, 26), r.randint(0, 34)
+        off = set(r.sample(range(n), r.randint(n // 5, n // 5 + 1)))
+        docs.append(["x"] * 9 + ["z" if k in off else item[at + k] for k in range(n)] + ["y"] * r.choice((0, 9)))
+    rows = [(k, " ".join(d), "en", "a", 1) for k, d in enumerate(docs)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[20:33])), (3, " ".join(item[20:32]))], "item_id long, text string")
+    items = {1: item, 2: item[20:33], 3: item[20:32]}
+    found = {(x.doc_id, x.item_id) for x in find_leaks(frame(spark, rows), bench).collect()}
+    want = {(k, i) for k, d in enumerate(docs) for i, t in items.items() if leaks(d, t)}
+    assert found == want and 0 < len(want) < 2 * len(docs)
+
+
 def test_leaks_of_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert find_leaks(frame(spark), bench).count() == 0
