@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -130,6 +131,20 @@ def longest_common(a: str, b: str) -> int:
     return best
 
 
+def word_runs(df: DataFrame, text: str, n: int, out: str, sizes: Sequence[int] = ()) -> DataFrame:
+    """A row for each run of ``n`` words with its hash; a text under ``n`` words gives one run of all its words. With ``sizes``, all runs of those sizes."""
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda x: x != "")
+    df = df.withColumn("__w", words)
+    starts = F.size("__w") - (F.lit(1) if sizes else F.least(F.lit(n), F.size("__w")))
+    df = df.withColumn("__i", F.explode(F.when(F.size("__w") > 0, F.sequence(F.lit(0), starts)).otherwise(F.array().cast("array<int>"))))
+    key = lambda k: F.xxhash64(F.lit(k), *[F.get("__w", F.col("__i") + i) for i in range(k)])
+    if sizes:
+        key = F.explode(F.array(*[F.when(F.col("__i") + k <= F.size("__w"), key(k)) for k in sizes]))
+    else:
+        key = reduce(lambda rest, k: F.when(F.size("__w") == k, key(k)).otherwise(rest), range(1, n), key(n))
+    return df.withColumn(out, key).drop("__w", "__i").filter(F.col(out).isNotNull())
+
+
 def chunk_recall(pairs: DataFrame, key: str, source: str, found: str, threshold: float = 0.8) -> DataFrame:
     """(key, ratio, hit): the longest substring of the source that a retrieved text has, as a share of the source; the best over a key's texts.
 

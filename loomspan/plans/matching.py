@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomspan.functions.text import benchmark_text, selection_key, squash_query, text_tokens
+from loomspan.functions.text import selection_key, squash_query, text_tokens
 from loomspan.operators import graph, matching, resampling, retrieval
 from loomspan.plans import search
 from loomspan.plans.base import Registry
@@ -77,13 +77,16 @@ def two_key_lookup(t):
 
 @R.add("chunk_recall")
 def chunk_recall(t):
-    """The ten documents that BM25 puts first for each item's first words are too many searches; an item is held against documents with its first words."""
-    b = t("benchmark").select("item_id", F.col("text").alias("item"), F.md5(benchmark_text(F.substring("text", 1, 24))).alias("k"))
-    words = F.split(F.lower("text"), " ")
-    d = t("documents").select("text", words.alias("w")).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("w") - 1)))
-    grams = d.select("text", F.xxhash64(*[F.get("w", F.col("i") + k) for k in range(4)]).alias("g"))
-    bw = b.withColumn("w", F.split(F.lower("item"), " ")).select("item_id", "item", F.xxhash64(*[F.get("w", F.lit(k)) for k in range(1, 5)]).alias("g"))
-    return matching.chunk_recall(grams.join(bw, "g").select("item_id", "item", "text").distinct(), "item_id", "item", "text")
+    """Ten searches for each item's first words are too many; an item is held against every document that has four of its words in a row, at any place of both.
+
+    Items under four words are looked for as a whole. An item without such a document counts as a miss, with ratio 0.
+    """
+    b = t("benchmark").select("item_id", F.col("text").alias("item"))
+    bw = matching.word_runs(b.select(F.col("item_id").alias("id"), F.col("item").alias("of")), "of", 4, "g")
+    d = matching.word_runs(t("documents").select("text"), "text", 4, "g", [1, 2, 3, 4])
+    found = d.join(bw, "g").select("id", "of", "text").distinct()
+    pairs = b.join(found, (F.col("item_id") == F.col("id")) & F.col("item").eqNullSafe(F.col("of")), "left").select("item_id", "item", "text")
+    return matching.chunk_recall(pairs, "item_id", "item", "text")
 
 
 @R.add("nearest_same_group")

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tempfile
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -98,3 +99,16 @@ def test_power_and_replacement(spark):
         resampling.replaced(rows, spark.createDataFrame([(3, "x")], "id int, v string"), "id", "v")
     out = resampling.replaced(rows, spark.createDataFrame([(2, None)], "id int, v string"), "id", "v").collect()
     assert sorted((r.id, r.v, r.replaced) for r in out) == [(1, "a", False), (2, None, True)]
+
+
+def test_recall_has_every_item_and_looks_at_all_of_it(spark):
+    from loomspan.plans import catalog
+
+    path = tempfile.mkdtemp()
+    docs = [(1, "some start; five six seven eight nine ten, the end"), (2, "one two"), (3, "x One Two y"), (4, None), (5, "")]
+    items = [(1, "one two three four five six seven eight nine ten"), (2, "one two"), (3, "in no document at all here"), (4, None), (5, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    got = {r.item_id: (r.ratio, r.hit) for r in catalog.QUERIES["chunk_recall"](spark, path).collect()}
+    part = len(" five six seven eight nine ten") / len(items[0][1])
+    assert got == {1: (pytest.approx(part), False), 2: (1.0, True), 3: (0.0, False), 4: (0.0, False), 5: (0.0, False)}
