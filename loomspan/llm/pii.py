@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import Words, mix64, steps, stored
+from loomspan.llm.common import steps, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -66,103 +67,108 @@ def told(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
+def terms(text: str) -> set[str]:
+    return {w.lower() for w in set(TERM.findall(text))}
+
+
+def free_terms(text: str, base: str) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of every term that lies in no pattern match."""
+    taken = sorted((int(s), int(e)) for _, s, e in (x.split(":") for x in base.split(",") if x))
+    k = last = 0
+    for m in TERM.finditer(text):
+        while k < len(taken) and taken[k][0] < m.end():
+            last, k = max(last, taken[k][1]), k + 1
+        if last <= m.start():
+            yield m[0].lower(), m.start(), m.end()
+
+
+def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text: matches, the keys of the entities matched, and the text itself where there is one."""
+    for batch, texts in steps(batches, "__text"):
+        rows: dict[str, list] = {c: [] for c in ("n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "entities", "text")}
+        for text in texts:
+            spans = base_spans(text)
+            names = [k for _, _, k in spans]
+            for k in KINDS[:4]:
+                rows[f"n_{k}"].append(names.count(k))
+            base = told(spans)
+            rows["base"].append(base)
+            rows["base_sha256"].append(hashlib.sha256(base.encode()).hexdigest())
+            rows["entities"].append(sorted({key64(f"{kind}:{text[s:e].lower()}") for s, e, kind in spans}))
+            rows["text"].append(text if spans else None)
+        types = {"entities": pa.list_(pa.int64()), "base": pa.string(), "base_sha256": pa.string(), "text": pa.string()}
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, types.get(c, pa.int64())) for c, v in rows.items()]], ["__key", *rows])
+
+
 def key64(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def word_key(words: list[str]) -> list[int]:
-    """The hash that the vectorised word count gives a word."""
-    w = Words(words)
-    return w.hash.view(np.int64).tolist()
+def entity_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(entity, term, n) over the texts seen: in how many both occur, summed as far as memory goes."""
+    yield from counted(((e, t) for batch in batches for text, base, entities in zip(*(batch.column(c).to_pylist() for c in ("text", "base", "entities")), strict=True) for t in {t for t, _, _ in free_terms(text, base)} for e in entities), ("entity", "term"))
 
 
-def scan(window: int):
-    """Per text: matches, and the terms around each (entity key, term key, start, end)."""
+def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n): in how many of the texts seen each term occurs."""
+    yield from counted(((t,) for _, texts in steps(batches, "__text") for text in texts for t in terms(text)), ("term",))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in steps(batches, "__text"):
-            rows: dict[str, list] = {c: [] for c in ("n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "near")}
-            for text in texts:
-                spans = base_spans(text)
-                names = [k for _, _, k in spans]
-                for k in KINDS[:4]:
-                    rows[f"n_{k}"].append(names.count(k))
-                base = told(spans)
-                rows["base"].append(base)
-                rows["base_sha256"].append(hashlib.sha256(base.encode()).hexdigest())
-                found = []
-                for s, e, kind in spans:
-                    lo, hi = max(0, s - 20 * window), e + 20 * window
-                    before = [m for m in TERM.finditer(text, lo, s)][-window:]
-                    after = [m for m in TERM.finditer(text, e, hi)][:window]
-                    entity = key64(f"{kind}:{text[s:e].lower()}")
-                    found += [(entity, m[0].lower(), m.start(), m.end()) for m in before + after if not any(x < m.end() and m.start() < y for x, y, _ in spans)]
-                terms = sorted({t for _, t, _, _ in found})
-                keys = {t: k for t in terms if len(ks := word_key([t])) == 1 for k in ks}
-                rows["near"].append([{"entity": en, "term": keys[t], "start": s, "end": e} for en, t, s, e in found if t in keys])
-            near = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
-            cols = [batch.column(0)] + [pa.array(v, near if c == "near" else pa.string() if c.startswith("base") else pa.int64()) for c, v in rows.items()]
-            yield pa.RecordBatch.from_arrays(cols, ["__key", *rows])
-
-    return run
 
+def counted(keys: Iterator[tuple], names: tuple[str, ...], most: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """How often each key comes; beyond ``most`` different ones the counts so far are handed on, to be summed up later."""
+    types = {"entity": pa.int64(), "term": pa.string()}
 
-def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many of the texts seen each word occurs."""
-    schema = pa.schema([("term", pa.int64()), ("n", pa.int64())])
-
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        h, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        order = np.argsort(h)
-        h, n = h[order], n[order]
-        at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, int)
-        return h[at], np.add.reduceat(n, at) if len(at) else n
-
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-    for _, texts in steps(batches, "__text"):
-        w = Words(texts)
-        own = mix64(w.hash ^ mix64(w.doc.astype(np.uint64) + np.uint64(1)))  # a word of a text
-        _, first = np.unique(own, return_index=True)
-        h, n = np.unique(w.hash[first], return_counts=True)
-        parts.append((h, n))
-        if sum(len(p[0]) for p in parts) > 3_000_000:
-            h, n = merged(parts)
-            parts = [(h, n)]
-            if len(h) > 1_500_000:  # more distinct words than a task holds: hand them on, they are summed up later
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], schema=schema)
-                parts = []
-    if parts:
-        h, n = merged(parts)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], schema=schema)
-
-
-def find_personal_data(docs: DataFrame, window: int = 3, min_docs: int = 2, disclosure: float = 0.9, share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pattern matches of each text, and terms around them that disclose them.
-
-    Information-theoretic sanitisation: the matched values are the protected entities. For every term within ``window`` terms of
-    a match, the corpus tells in how many documents the term, the entity and both (near each other) occur. A term discloses an
-    entity when the normalised pointwise mutual information log(N n(e,t) / (n(e) n(t))) / -log(n(e,t) / N) is at least
-    ``disclosure``, at least the share ``share`` of the term's documents have the entity beside it, and that holds in ``min_docs``
-    documents or more. Such occurrences become spans of kind ``term``. All counts are over the whole corpus; frequent terms and
-    entities are counted by partial sums.
+    def out(n: Counter) -> pa.RecordBatch:
+        cols = [pa.array([k[i] for k in n], types[name]) for i, name in enumerate(names)]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(n.values(), pa.int64())], [*names, "n"])
+
+    n: Counter = Counter()
+    for part in iter(lambda: list(islice(keys, 100_000)), []):
+        n.update(part)
+        if len(n) > most:
+            yield out(n)
+            n.clear()
+    if n:
+        yield out(n)
+
+
+def term_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text: where its disclosing terms stand."""
+    for batch in batches:
+        places = [[{"start": s, "end": e} for t, s, e in free_terms(text, base) if t in known] for text, base, known in zip(batch.column("text").to_pylist(), batch.column("base").to_pylist(), map(set, batch.column("telling").to_pylist()), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(places, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["row", "places"])
+
+
+def find_personal_data(docs: DataFrame, min_docs: int = 2, disclosure: float = 0.9, share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pattern matches of each text, and terms of the same text that disclose them.
+
+    Information-theoretic sanitisation: the matched values are the protected entities. For every term of a document with a match,
+    wherever it stands, the corpus tells in how many documents the term, the entity and both occur. A term discloses an entity when
+    the normalised pointwise mutual information log(N n(e,t) / (n(e) n(t))) / -log(n(e,t) / N) is at least ``disclosure``, at least
+    the share ``share`` of the term's documents have the entity, and both are in ``min_docs`` documents or more; entities in fewer
+    documents are not paired with terms at all. All occurrences of the term in the entity's documents become spans of kind ``term``. All
+    counts are over the whole corpus; frequent terms and entities are counted by partial sums.
 
     Null texts count as empty. Rows are handled one by one, also where ids repeat. Returns the id, n_email, n_ip, n_card,
     n_phone, base_sha256, n_term, spans (all of them, ``kind:start:end``).
     """
-    near = "array<struct<entity:long,term:long,start:long,end:long>>"
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row")).alias("__key"), F.col(text_col).alias("__text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    found = stored(keyed.mapInArrow(scan(window), f"__key struct<id:{kind},row:long>, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, near {near}"))
-    pairs = found.select("__key", F.explode("near").alias("x")).select("__key", "x.*")
-    both = pairs.select(F.col("__key.row").alias("row"), "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_docs)
-    entities = pairs.select(F.col("__key.row").alias("row"), "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    terms = docs.select(F.col(text_col).alias("__text")).mapInArrow(document_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    found = stored(keyed.mapInArrow(scan, f"__key struct<id:{kind},row:long>, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, entities array<long>, text string"))
+    of_rows = found.select(F.col("__key.row").alias("row"), F.explode("entities").alias("entity"))
+    entities = stored(of_rows.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= min_docs))
+    held = stored(of_rows.join(entities, "entity").select("row", "entity"))
+    texts = found.filter(F.col("text").isNotNull()).select(F.col("__key.row").alias("row"), "text", "base")
+    paired = texts.join(held.groupBy("row").agg(F.collect_list("entity").alias("entities")), "row").select("text", "base", "entities")
+    both = paired.mapInArrow(entity_terms, "entity long, term string, n long").groupBy("entity", "term").agg(F.sum("n").alias("n_both")).filter(F.col("n_both") >= min_docs)
+    terms = docs.select(F.col(text_col).alias("__text")).mapInArrow(document_counts, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term")).filter(F.col("n_term") >= min_docs)
     total = F.lit(float(found.count()))
     known = both.join(entities, "entity").join(terms, "term")
     shared = F.log(total * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.greatest(-F.log(F.col("n_both") / total), F.lit(1e-9))
     telling = known.filter((shared >= disclosure) & (F.col("n_both") >= share * F.col("n_term"))).select("entity", "term")
-    spans = pairs.join(telling, ["entity", "term"]).groupBy(F.col("__key.row").alias("__row")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__terms"))
-    out = found.select("*", F.col("__key.row").alias("__row")).join(spans, "__row", "left")
+    of_text = held.join(telling, "entity").groupBy("row").agg(F.collect_set("term").alias("telling"))
+    spans = texts.join(of_text, "row").mapInArrow(term_places, "row long, places array<struct<start:long,end:long>>").filter(F.size("places") > 0)
+    out = found.drop("text", "entities").withColumn("__row", F.col("__key.row")).join(spans.select(F.col("row").alias("__row"), F.col("places").alias("__terms")), "__row", "left")
 
     part = F.split(F.when(F.col("base") != "", F.col("base")), ",")
     old = F.transform(part, lambda s: F.struct(F.split(s, ":")[1].cast("long").alias("start"), F.array_position(F.lit(list(KINDS)), F.split(s, ":")[0]).alias("k"), s.alias("s")))

@@ -196,6 +196,18 @@ def test_terms_that_disclose_entities(spark):
     assert pii.find_personal_data(frame(spark, [])).count() == 0
 
 
+def test_terms_count_wherever_they_stand(spark):
+    far = f"Zorblatt 7Quuxel8 {' ' * 90} {'w' * 70} "
+    rows = [(i, f"{far}{prose('en', 200, i)} write z@q.org or +49 30 1234567{i}", "en", "s", 1) for i in range(3)] + [(10 + i, prose("en", 260, i) + " write", "en", "s", 1) for i in range(60)]
+    found = {r.doc_id: r for r in pii.find_personal_data(frame(spark, rows)).collect()}
+    for i in range(3):
+        text, spans = rows[i][1], found[i].spans.split(",")
+        ends = [(int(s), int(e)) for k, s, e in (x.split(":") for x in spans) if k == "term"]
+        assert {text[s:e] for s, e in ends} >= {"Zorblatt", "Quuxel", "w" * 70} and "write" not in {text[s:e] for s, e in ends}
+        assert found[i].n_term == len(ends)
+    assert all(found[10 + i].n_term == 0 for i in range(60))
+
+
 # media
 
 
