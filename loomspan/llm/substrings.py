@@ -15,13 +15,17 @@ from pyspark.sql import functions as F
 from loomspan.llm.common import Prefix, by_ids, groups, mix64, stored
 
 #: Bytes of text in a shard (a longer text is cut into several), texts in one, and the gram that anchors are chosen from.
-SHARD_BYTES, SHARD_TEXTS, GRAM = 1_000_000, 50_000, 16
+SHARD_BYTES, SHARD_TEXTS, GRAM = 4_000_000, 50_000, 16
 #: Bytes of text for each bucket of anchors.
 BUCKET_BYTES = 6_000_000
-#: Bytes sent to one bucket above which its windows are matched as rows.
-HOT_BYTES = 64_000_000
-POS_BITS = 28
+#: Windows sent to one bucket above which they are matched as rows.
+HOT_WINDOWS = 8_000_000
+#: Bits of a gram's place in its shard, and of a text's number there.
+POS_BITS, DOC_BITS = 28, 16
 KASAI_BLOCK = 64
+#: Bytes of text that are hashed at a time.
+HASH_BYTES = 4_000_000
+ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)]
 
 
 def eights(text: np.ndarray) -> np.ndarray:
@@ -66,39 +70,46 @@ def suffix_array(text: np.ndarray, end: np.ndarray, depth: int) -> tuple[np.ndar
 def common_prefixes(text: np.ndarray, end: np.ndarray, order: np.ndarray, rank: np.ndarray, cap: int) -> np.ndarray:
     """Length, up to ``cap``, that each suffix shares with the one before it in the order (Kasai's method).
 
-    Positions are passed in text order, each starting from the length before less one. Blocks of positions advance in lockstep, so
-    that each step is one array operation, and compare eight bytes at once; a block only loses what its first position would have inherited. The order is only by
-    the first bytes: suffixes of equal rank agree in ``cap`` bytes, as far as they go, and pass nothing on.
+    Suffixes that differ in their first eight bytes are done at once. The other positions are passed in text order, each starting
+    from the length before less one. Blocks of positions advance in lockstep, so that each step is one array operation, and compare
+    eight bytes at once; a block only loses what its first position would have inherited. The order is only by the first bytes:
+    suffixes of equal rank agree in ``cap`` bytes, as far as they go, and pass nothing on.
     """
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    equal = np.zeros(n, bool)
-    equal[order[1:]] = rank[order[1:]] == rank[order[:-1]]
     eight = eights(text)
-    out = np.zeros(n, np.uint8)
-    starts = np.arange(0, n, KASAI_BLOCK)
-    h = np.zeros(len(starts), np.int64)
+
+    def same(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many of eight bytes are equal before the first that differs."""
+        differ = eight[i] ^ eight[j]
+        return np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3
+
+    most = np.minimum(np.minimum(end - np.arange(n), end[before] - before), cap)
+    most[before < 0] = 0
+    out = np.minimum(same(np.arange(n), before), most).astype(np.uint8)
+    tie = np.zeros(n, bool)
+    tie[order[1:]] = rank[order[1:]] == rank[order[:-1]]
+    out[tie] = most[tie]
+    rest = np.flatnonzero((out == 8) & (most > 8) & ~tie)
+    starts = np.arange(0, len(rest), KASAI_BLOCK)
+    h = np.full(len(starts), 8, np.int64)
+    last = np.full(len(starts), -2, np.int64)
     for t in range(KASAI_BLOCK):
-        i = starts + t
-        if i[-1] >= n:
-            i = i[:-1]
-            h = h[: len(i)]
-            starts = starts[: len(i)]
-            if not len(i):
-                break
-        j = before[i]
-        most = np.where(j >= 0, np.minimum(np.minimum(end[i] - i, end[j] - j), cap), 0)
-        tie = equal[i]
-        h = np.where(tie, most, np.minimum(h, most))
-        act = np.flatnonzero(h < most)
+        live = starts + t < len(rest)
+        starts, h, last = starts[live], h[live], last[live]
+        if not len(starts):
+            break
+        i = rest[starts + t]
+        j, m = before[i], most[i]
+        h = np.minimum(np.where(last + 1 == i, np.maximum(h - 1, 8), 8), m)
+        act = np.flatnonzero(h < m)
         while len(act):
-            differ = eight[i[act] + h[act]] ^ eight[j[act] + h[act]]
-            same = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3  # equal bytes before the first that differs
-            h[act] = np.minimum(h[act] + same, most[act])
-            act = act[(same == 8) & (h[act] < most[act])]
+            more = same(i[act] + h[act], j[act] + h[act])
+            h[act] = np.minimum(h[act] + more, m[act])
+            act = act[(more == 8) & (h[act] < m[act])]
         out[i] = h
-        h = np.where(tie, 0, np.maximum(h - 1, 0))
+        last = i
     return out[order]
 
 
@@ -114,30 +125,43 @@ class Shard:
     """The texts of a shard end to end, with each 50-byte window's anchor.
 
     A window's anchor is its 16-byte gram of least hash, the first of equals: equal windows have equal anchors at equal places.
-    Neighbouring windows mostly share one. ``key``, ``lo`` and ``hi`` give the runs of windows with one anchor.
+    Neighbouring windows mostly share one. ``lo`` and ``hi`` give the runs of windows with one anchor. ``keys`` holds the
+    distinct anchors in order, ``which`` each run's place among them, and ``several`` whether more than one text of the shard has the anchor.
     """
 
     def __init__(self, blob: bytes, sizes: np.ndarray, length: int):
         self.text = np.frombuffer(blob, np.uint8)
         self.sizes, self.length = sizes, length
         self.first = np.r_[0, np.cumsum(sizes)]
-        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         n = len(self.text)
-        self.key = np.zeros(0, np.uint64)
-        self.lo = self.hi = np.zeros(0, np.int64)
+        self.keys = np.zeros(0, np.uint64)
+        self.several = np.zeros(0, bool)
+        self.which = self.lo = self.hi = np.zeros(0, np.int64)
         if n < length:
             return
-        grams = Prefix(self.text).windows(GRAM)
-        packed = (grams >> np.uint64(POS_BITS)) << np.uint64(POS_BITS) | np.arange(len(grams), dtype=np.uint64)
-        least = sliding_min(packed, length - GRAM + 1)  # one for each window start
-        anchor = (least & np.uint64(2**POS_BITS - 1)).astype(np.int64)
         start = np.flatnonzero(self.doc[: n - length + 1] == self.doc[length - 1 :])
         if not len(start):
             return
-        a = anchor[start]
-        at = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (start[1:] != start[:-1] + 1)])
+        words = eights(self.text)
+        grams = words[: n - GRAM + 1] * ODD[0]
+        grams += words[GRAM - 8 : n - 7] * ODD[1]
+        grams ^= grams >> np.uint64(29)
+        grams *= ODD[2]
+        packed = grams >> np.uint64(POS_BITS)
+        packed <<= np.uint64(POS_BITS)
+        packed |= np.arange(len(grams), dtype=np.uint64)
+        least = sliding_min(packed, length - GRAM + 1)  # one for each window start
+        anchor = (least & np.uint64(2**POS_BITS - 1)).astype(np.int64)[start]
+        at = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)])
         self.lo, self.hi = start[at], start[np.r_[at[1:], len(start)] - 1]
-        self.key = mix64(grams[a[at]])  # least hashes are small: mixed again, they fill all buckets alike
+        key = mix64(grams[anchor[at]]) >> np.uint64(DOC_BITS)  # least hashes are small: mixed again, they fill all buckets alike
+        owned = np.sort(key << np.uint64(DOC_BITS) | self.doc[self.lo].astype(np.uint64))
+        owned = owned[np.r_[True, owned[1:] != owned[:-1]]]
+        of = owned >> np.uint64(DOC_BITS)
+        fresh = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        self.keys, self.several = of[fresh], np.diff(np.r_[fresh, len(of)]) > 1
+        self.which = np.searchsorted(self.keys, key)
 
 
 SHARD = "shard long, whole long, skip int, tail int, ids array<long>, sizes array<long>, blob binary"
@@ -191,28 +215,26 @@ def shards_in(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def buckets_of(key: np.ndarray, n: int) -> np.ndarray:
-    return ((key >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    """Buckets of anchors, whose keys have 48 bits, in the order of the keys."""
+    return ((key >> np.uint64(16)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def cuts(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, start, end) of each stretch of equal numbers."""
+    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    return list(zip(bucket[at].tolist(), at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True)) if len(at) else []
 
 
 def anchors(n_buckets: int, length: int):
     """Per shard and bucket: the distinct anchors in order, and which of them occur in several of the shard's texts.
 
-    Of an anchor's hash the low half is sent, as the high half chose the bucket; two that agree by chance only make windows candidates.
+    Of an anchor's key 32 bits are sent; two that agree by chance only make windows candidates.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in shards_in(batches):
             s = Shard(row["blob"], row["sizes"], length)
-            order = np.lexsort((s.doc[s.lo], s.key))
-            k, d = s.key[order], s.doc[s.lo][order]
-            fresh = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
-            other = np.r_[False, (k[1:] == k[:-1]) & (d[1:] != d[:-1])] if len(k) else fresh
-            at = np.flatnonzero(fresh)
-            several = np.add.reduceat(other.astype(np.int32), at) > 0 if len(at) else np.zeros(0, bool)
-            k = k[at]
-            b = buckets_of(k, n_buckets)
-            cut = np.searchsorted(b, np.arange(n_buckets + 1))
-            out = [(j, k[x:y].astype(np.uint32).tobytes(), np.packbits(several[x:y]).tobytes()) for j, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if x < y]
+            out = [(j, s.keys[x:y].astype(np.uint32).tobytes(), np.packbits(s.several[x:y]).tobytes()) for j, x, y in cuts(buckets_of(s.keys, n_buckets))]
             yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * len(out), pa.int64()), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], ["shard", "bucket", "keys", "several"])
 
     return run
@@ -221,53 +243,53 @@ def anchors(n_buckets: int, length: int):
 def answer_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per shard and bucket: a bit for each anchor, set if another text has it too."""
     for t in groups(batches, "bucket", 1):
-        lists = [np.frombuffer(x, np.uint32) for x in t.column("keys").to_pylist()]
-        several = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(k)].astype(bool) for x, k in zip(t.column("several").to_pylist(), lists, strict=True)]
-        buckets = t.column("bucket").to_numpy()
+        keys, several = t.column("keys").to_pylist(), t.column("several").to_pylist()
         bits: list[bytes] = []
-        for b in dict.fromkeys(buckets.tolist()):
-            mine = [i for i in range(len(lists)) if buckets[i] == b]
-            merged, count = np.unique(np.concatenate([lists[i] for i in mine]), return_counts=True)
+        for _, x, y in cuts(t.column("bucket").to_numpy()):
+            every = np.frombuffer(b"".join(keys[x:y]), np.uint32)
+            size = np.fromiter(map(len, keys[x:y]), np.int64, y - x) // 4
+            own = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=k) for b, k in zip(several[x:y], size.tolist(), strict=True)])
+            merged, count = np.unique(every, return_counts=True)
             common = count > 1
-            for i in mine:
-                common[np.searchsorted(merged, lists[i][several[i]])] = True  # where each falls in the merged list
-            bits += [np.packbits(common[np.searchsorted(merged, lists[i])]).tobytes() for i in mine]
+            common[np.searchsorted(merged, every[own > 0])] = True
+            found = common[np.searchsorted(merged, every)]  # where each falls in the merged list
+            bits += [np.packbits(f).tobytes() for f in np.split(found, np.cumsum(size)[:-1])]
         yield pa.RecordBatch.from_arrays([t.column("shard").combine_chunks(), t.column("bucket").combine_chunks(), pa.array(bits, pa.binary())], ["shard", "bucket", "bits"])
 
 
+SENT = "shard long, bucket long, n long, runs binary, blob binary"
+
+
 def local_step(n_buckets: int, length: int):
-    """Per shard: windows repeated inside it (bucket -1: a bit for each position), and per bucket the runs that others must see."""
+    """Per shard: windows repeated inside it (bucket -1: a bit for each position), and per bucket the runs that others must see.
+
+    What repeats inside a shard has an anchor that several of its texts have: the suffix array is built over such runs alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for row in shards_in(batches):
             s = Shard(row["blob"], row["sizes"], length)
-            common = np.zeros(len(s.key), bool)
-            if len(s.key):
-                k = np.unique(s.key)
-                cut = np.searchsorted(buckets_of(k, n_buckets), np.arange(n_buckets + 1))
-                bits = np.zeros(len(k), bool)
-                for r in row["replies"] or ():
-                    x, y = cut[r["bucket"]], cut[r["bucket"] + 1]
-                    bits[x:y] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))[: y - x]
-                common = bits[np.searchsorted(k, s.key)]
-            lo, hi, key = s.lo[common], s.hi[common], s.key[common]
-            marked, fresh = repeats(s, lo, hi, row["ids"], length)
-            squeeze = zstandard.ZstdCompressor(level=1).compress
-            out = [[row["shard"]], [-1], [b""], [squeeze(np.packbits(marked).tobytes())]]
-            seen = np.r_[0, np.cumsum(fresh)]
-            send = np.flatnonzero(seen[hi + 1] > seen[lo]) if len(lo) else np.zeros(0, np.int64)
-            b = buckets_of(key[send], n_buckets)
-            send = send[np.argsort(b, kind="stable")]
-            cut = np.searchsorted(np.sort(b), np.arange(n_buckets + 1))
-            for j, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-                if x < y:
-                    r = send[x:y]
-                    size = hi[r] - lo[r] + length
-                    where = np.repeat(lo[r] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                    runs = squeeze(planes(np.r_[np.diff(lo[r], prepend=0), hi[r] - lo[r] + 1]))
-                    for col, v in zip(out, (row["shard"], j, runs, squeeze(row["ids"][s.doc[lo[r]]].tobytes() + s.text[where].tobytes())), strict=True):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "bucket", "runs", "blob"])
+            bits = np.zeros(len(s.keys), bool)
+            answers = {r["bucket"]: r["bits"] for r in row["replies"] or ()}
+            for j, x, y in cuts(buckets_of(s.keys, n_buckets)):
+                bits[x:y] = np.unpackbits(np.frombuffer(answers[j], np.uint8), count=y - x)
+            here = s.several[s.which]
+            marked = repeats(s, s.lo[here], s.hi[here], row["ids"], length)
+            seen = np.r_[0, np.cumsum(marked)]
+            send = np.flatnonzero(bits[s.which] & (seen[s.hi + 1] - seen[s.lo] < s.hi + 1 - s.lo))
+            send = send[np.argsort(s.which[send], kind="stable")]
+            lo, hi, of = s.lo[send], s.hi[send], s.which[send]
+            out = [[row["shard"]], [-1], [0], [b""], [squeeze(np.packbits(marked).tobytes())]]
+            for j, x, y in cuts(buckets_of(s.keys[of], n_buckets)):
+                r = np.arange(x, y)[np.argsort(lo[x:y])]
+                size = hi[r] - lo[r] + length
+                where = np.repeat(lo[r] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                runs = squeeze(planes(np.r_[np.diff(lo[r], prepend=0), hi[r] - lo[r] + 1]))
+                blob = squeeze(row["ids"][s.doc[lo[r]]].tobytes() + s.keys[of[r]].astype(np.uint32).tobytes() + s.text[where].tobytes())
+                for col, v in zip(out, (row["shard"], j, int((hi[r] - lo[r] + 1).sum()), runs, blob), strict=True):
+                    col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "bucket", "n", "runs", "blob"])
 
     return run
 
@@ -284,18 +306,15 @@ def runs_sent(runs: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :]
 
 
-def repeats(s: Shard, lo: np.ndarray, hi: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each position of the shard: its window also starts in a text of the shard with a smaller id; or it is a window
-    of the runs and does not. The suffix array is built over the runs' text alone."""
+def repeats(s: Shard, lo: np.ndarray, hi: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+    """Which positions of the shard begin a window of the runs that also starts in a text of the shard with a smaller id.
+    The suffix array is built over the runs' text alone."""
     n = len(s.text)
-    marked, fresh = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+    marked = np.zeros(n + 1, bool)
     if not len(lo):
-        return marked, fresh
-    cover = np.zeros(n + 1, np.int32)
-    np.add.at(cover, lo, 1)
-    np.add.at(cover, hi + length, -1)
-    inside = np.cumsum(cover[:-1]) > 0
-    where = np.flatnonzero(inside)
+        return marked
+    cover = np.bincount(lo, minlength=n + 1) - np.bincount(hi + length, minlength=n + 1)
+    where = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
     piece = np.cumsum(np.r_[True, (where[1:] != where[:-1] + 1) | (s.doc[where[1:]] != s.doc[where[:-1]])])
     last = np.flatnonzero(np.r_[piece[1:] != piece[:-1], True])
     end = (last + 1)[piece - 1]
@@ -306,72 +325,156 @@ def repeats(s: Shard, lo: np.ndarray, hi: np.ndarray, ids: np.ndarray, length: i
     owner = ids[s.doc[where]][order]
     least = np.minimum.reduceat(owner, group)
     repeated = owner > np.repeat(least, np.diff(np.r_[group, len(order)]))
-    whole = (end - np.arange(len(text)))[order] >= length
-    at = where[order[whole]]
-    marked[at] = repeated[whole]
-    fresh[at] = ~repeated[whole]
-    return marked, fresh
+    marked[where[order[repeated & ((end - np.arange(len(text)))[order] >= length)]]] = True
+    return marked
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the ranges that begin at ``start``, range by range."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
 
+def ranges_hash(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each range of a text, for ranges in the order of their start, a bounded stretch of text at a time."""
+    out = np.empty(len(start), np.uint64)
+    x = 0
+    while x < len(start):
+        y = max(x + 1, int(np.searchsorted(start, start[x] + HASH_BYTES)))
+        base, stop = int(start[x]), int(end[x:y].max())
+        out[x:y] = Prefix(text[base:stop]).ranges(start[x:y] - base, end[x:y] - base)
+        x = y
+    return out
 
-def windows_of(runs: bytes, blob: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every window in runs that a shard sent: its place in the shard, the id of its text, its hash."""
-    lo, lens = runs_sent(runs)
-    blob = zstandard.decompress(blob)
-    own, text = np.frombuffer(blob, np.int64, len(lens)), np.frombuffer(blob, np.uint8, offset=8 * len(lens))
-    nth = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
-    begin = np.repeat(np.cumsum(lens + length - 1) - (lens + length - 1), lens) + nth
-    return np.repeat(lo, lens) + nth, np.repeat(own, lens), Prefix(text).ranges(begin, begin + length)
+
+def first_of_equals(key: np.ndarray, own: np.ndarray, equal) -> np.ndarray:
+    """For each item the index of the one of least ``own`` among those equal to it.
+
+    Keys are sorted and each item is searched for among the distinct ones; ``equal(i, j)`` then compares the items themselves, and
+    items that share a key by chance only are parted, one kind after the other.
+    """
+    first = np.arange(len(key))
+    rest = first
+    while len(rest):
+        by = rest[np.lexsort((own[rest], key[rest]))]
+        head = np.flatnonzero(np.r_[True, key[by[1:]] != key[by[:-1]]])
+        lead = by[head][np.searchsorted(key[by[head]], key[rest])]
+        ok = equal(rest, lead)
+        first[rest[ok]] = lead[ok]
+        rest = rest[~ok]
+    return first
+
+
+def sent_runs(runs: list[bytes], blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """What shards sent, end to end: the row of each run, its first window, number of windows, text id, anchor; and the text."""
+    lo, lens, own, anchor, text = [], [], [], [], []
+    for r, b in zip(runs, blobs, strict=True):
+        start, n = runs_sent(r)
+        raw = zstandard.decompress(b)
+        lo.append(start)
+        lens.append(n)
+        own.append(np.frombuffer(raw, np.int64, len(n)))
+        anchor.append(np.frombuffer(raw, np.uint32, len(n), 8 * len(n)))
+        text.append(raw[12 * len(n) :])
+    row = np.repeat(np.arange(len(lo)), list(map(len, lo)))
+    return row, *map(np.concatenate, (lo, lens, own, anchor)), np.frombuffer(b"".join(text), np.uint8)
+
+
+def repeated_windows(own: np.ndarray, lens: np.ndarray, anchor: np.ndarray, text: np.ndarray, length: int) -> np.ndarray:
+    """Which windows of the runs, run by run, also start in a text with a smaller id.
+
+    Whole runs are matched first, since most of a repeated passage is made of equal runs; the windows of different runs with one
+    anchor are matched after that. Bytes are compared in both, so that no hash decides.
+    """
+    size = lens + length - 1
+    start = np.cumsum(size) - size
+
+    def same_run(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        ok = size[i] == size[j]
+        ok[ok] = same_bytes(text, start[i[ok]], start[j[ok]], size[i[ok]])
+        return ok
+
+    lead = first_of_equals(ranges_hash(text, start, start + size), own, same_run)
+    leads = np.unique(lead)
+    by = leads[np.argsort(anchor[leads], kind="stable")]
+    alone = np.r_[True, anchor[by[1:]] != anchor[by[:-1]]]
+    alone &= np.r_[alone[1:], True]
+    open_ = np.sort(by[~alone])
+    mark = np.zeros(int(lens.sum()), bool)
+    first = np.cumsum(lens) - lens
+    begin = spread(start[open_], lens[open_])
+    of = np.repeat(own[open_], lens[open_])
+    least = first_of_equals(ranges_hash(text, begin, begin + length), of, lambda i, j: same_bytes(text, begin[i], begin[j], np.full(len(i), length)))
+    mark[spread(first[open_], lens[open_])] = of > of[least]
+    copies = np.flatnonzero(lead != np.arange(len(lead)))
+    mark[spread(first[copies], lens[copies])] = mark[spread(first[lead[copies]], lens[copies])] | np.repeat(own[copies] > own[lead[copies]], lens[copies])
+    return mark
+
+
+def same_bytes(text: np.ndarray, i: np.ndarray, j: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ranges at ``i`` and ``j`` hold the same bytes; sizes are eight or more."""
+    ok = i == j
+    todo = np.flatnonzero(~ok)
+    ok[todo] = True
+    eight = np.ndarray(max(0, len(text) - 7), "<u8", text, strides=(1,))
+    for k in range(0, int(size.max(initial=0)), 8):
+        todo = todo[size[todo] > k]
+        at = np.minimum(k, size[todo] - 8)
+        same = eight[i[todo] + at] == eight[j[todo] + at]
+        ok[todo[~same]] = False
+        todo = todo[same]
+    return ok
+
+
+def stretches(place: np.ndarray) -> bytes:
+    """Sorted places as starts and lengths of stretches without a gap."""
+    at = np.flatnonzero(np.r_[True, place[1:] != place[:-1] + 1])
+    start, stop = place[at], place[np.r_[at[1:], len(place)] - 1] + 1
+    return zstandard.compress(planes(np.r_[np.diff(start, prepend=0), stop - start]), 1)
 
 
 def merge_windows(length: int):
-    """Per shard and bucket: a bit for each window sent, set if a text of another shard with a smaller id has the window."""
+    """Per shard and bucket: the windows sent that a text with a smaller id has too; nothing where there is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, "bucket", 1):
-            buckets = t.column("bucket").to_numpy()
-            rows = list(zip(t.column("runs").to_pylist(), t.column("blob").to_pylist(), strict=True))
-            bits: list[bytes] = []
-            for b in dict.fromkeys(buckets.tolist()):
-                lists = []
-                for runs, blob in (r for r, x in zip(rows, buckets, strict=True) if x == b):
-                    _, own, one = windows_of(runs, blob, length)
-                    order = np.argsort(one)
-                    lists.append((one[order], own[order], order))
-                merged = np.unique(np.concatenate([x[0] for x in lists]))
-                least = np.full(len(merged), np.iinfo(np.int64).max)
-                places = [np.searchsorted(merged, x[0]) for x in lists]  # sorted lists: where each falls in the merged one
-                for place, (_, own, _) in zip(places, lists, strict=True):
-                    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-                    least[place[first]] = np.minimum(least[place[first]], np.minimum.reduceat(own, first))
-                for place, (_, own, order) in zip(places, lists, strict=True):
-                    mark = np.zeros(len(order), bool)
-                    mark[order] = own > least[place]
-                    bits.append(zstandard.compress(np.packbits(mark).tobytes(), 1))
-            yield pa.RecordBatch.from_arrays([t.column("shard").combine_chunks(), t.column("bucket").combine_chunks(), t.column("runs").combine_chunks(), pa.array(bits, pa.binary())], ["shard", "bucket", "runs", "bits"])
+            shard, runs, blobs = t.column("shard").to_numpy(), t.column("runs"), t.column("blob")
+            out: tuple[list, list] = ([], [])
+            for _, x, y in cuts(t.column("bucket").to_numpy()):
+                row, lo, lens, own, anchor, text = sent_runs(runs.slice(x, y - x).to_pylist(), blobs.slice(x, y - x).to_pylist())
+                mark = repeated_windows(own, lens, anchor, text, length)
+                of, place = np.repeat(row, lens)[mark], spread(lo, lens)[mark]
+                for r, a, z in cuts(of):
+                    out[0].append(shard[x + r])
+                    out[1].append(stretches(place[a:z]))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], ["shard", "runs"])
 
     return run
 
 
 def as_rows(length: int):
-    """The windows of hot buckets as rows."""
+    """The windows of hot buckets as rows, with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, runs, blob in zip(*(batch.column(c).to_pylist() for c in ("shard", "runs", "blob")), strict=True):
-                place, own, one = windows_of(runs, blob, length)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), shard)), pa.array(place), pa.array(own), pa.array(one.view(np.int64))], ["shard", "place", "id", "window"])
+                _, lo, lens, own, _, text = sent_runs([runs], [blob])
+                size = lens + length - 1
+                begin = spread(np.cumsum(size) - size, lens)
+                place, of = spread(lo, lens), np.repeat(own, lens)
+                for x in range(0, len(begin), 200_000):
+                    b = begin[x : x + 200_000]
+                    window = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), len(b), [None, pa.py_buffer(text[b[:, None] + np.arange(length)].tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), shard)), pa.array(place[x : x + 200_000]), pa.array(of[x : x + 200_000]), window.cast(pa.binary())], ["shard", "place", "id", "window"])
 
     return run
 
 
-def place_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bit for each place of a shard, set for those given; a shard has a bounded number of places."""
+def gathered_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places given for each shard, as stretches; a shard has a bounded number of places."""
     for t in groups(batches, "shard", 1):
         shard, place = t.column("shard").to_numpy(), t.column("place").to_numpy()
-        for part in np.split(np.arange(len(shard)), np.flatnonzero(shard[1:] != shard[:-1]) + 1):
-            mark = np.zeros(int(place[part].max()) + 1, bool)
-            mark[place[part]] = True
-            yield pa.RecordBatch.from_arrays([pa.array([shard[part[0]]]), pa.array([-2]), pa.array([b""]), pa.array([zstandard.compress(np.packbits(mark).tobytes(), 1)])], ["shard", "bucket", "runs", "bits"])
+        found = [(s, stretches(np.unique(place[x:y]))) for s, x, y in cuts(shard)]
+        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["shard", "runs"])
 
 
 def merge_hot(rows: DataFrame, length: int) -> DataFrame:
@@ -379,10 +482,10 @@ def merge_hot(rows: DataFrame, length: int) -> DataFrame:
 
     Windows become rows. Their least id is a partial aggregate, and rows meet it in a join whose hot keys Spark can split.
     """
-    windows = stored(rows.mapInArrow(as_rows(length), "shard long, place long, id long, window long"))
+    windows = stored(rows.mapInArrow(as_rows(length), "shard long, place long, id long, window binary"))
     least = stored(windows.groupBy("window").agg(F.min("id").alias("least")))
     later = windows.join(least, "window").filter("id > least").select("shard", "place")
-    return later.repartition("shard").sortWithinPartitions("shard").mapInArrow(place_bits, "shard long, bucket long, runs binary, bits binary")
+    return later.repartition("shard").sortWithinPartitions("shard").mapInArrow(gathered_places, "shard long, runs binary")
 
 
 FOUND = "shard long, whole long, id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, first_gone boolean, last_gone boolean, kept binary"
@@ -395,15 +498,12 @@ def finish(length: int, keep: bool):
         for row in shards_in(batches):
             text = np.frombuffer(row["blob"], np.uint8)
             n = len(text)
-            mark = np.zeros(n + 1, np.int32)
+            mark = np.zeros(n + 1, bool)
             for r in row["replies"] or ():
-                raw = np.unpackbits(np.frombuffer(zstandard.decompress(r["bits"]), np.uint8))
-                if r["bucket"] < 0:
-                    mark[: len(raw)] |= raw[: n + 1]
+                if r["bits"] is not None:
+                    mark |= np.unpackbits(np.frombuffer(zstandard.decompress(r["bits"]), np.uint8), count=n + 1).astype(bool)
                 else:
-                    lo, lens = runs_sent(r["runs"])
-                    at = np.repeat(lo - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
-                    mark[at] |= raw[: len(at)]
+                    mark[spread(*runs_sent(r["runs"]))] = True
             upto = np.r_[np.zeros(length, np.int32), np.cumsum(mark[:n], dtype=np.int32)]
             gone = upto[length:] > upto[: len(upto) - length] if n else np.zeros(0, bool)
             out: list[list] = [[] for _ in range(10)]
@@ -439,14 +539,15 @@ def remove_repeats(docs: DataFrame, length: int = 50, max_broadcast: int = 64_00
 
     Texts are packed into shards. (1) Winnowing picks an anchor gram for each window; shards send their sorted distinct anchors to
     buckets by hash, where binary search in the merged list tells which occur in several texts. Only windows with such an
-    anchor can repeat. (2) Each shard builds a suffix array (Larsson-Sadakane) over the text of those windows, with common prefixes by Kasai's
-    method, and marks what repeats inside the shard. A run whose windows all have a smaller owner in the shard is not sent:
-    a group of copies leaves a shard once. (3) The other runs meet in buckets by anchor; the shards' sorted window keys are
-    merged by binary search, the least id of each window is found, and each shard gets a bit a window. Keys have 64 bits
-    and meet those of their bucket only. Buckets above HOT_BYTES are matched as rows instead (``merge_hot``). (4) Shards remove what is marked.
+    anchor can repeat. (2) Each shard builds a suffix array (Larsson-Sadakane) over the text of windows whose anchor several of its own
+    texts have, with common prefixes by Kasai's method, and marks what repeats inside the shard. A run of windows that all have a smaller
+    owner in the shard is not sent: a group of copies leaves a shard once. (3) The other runs with an anchor that another shard
+    has meet in buckets by anchor. There runs, and then the windows of runs that differ, are searched for in the sorted list of
+    distinct ones, compared byte by byte, and each shard gets the stretches of its windows that a text with a smaller id has.
+    Buckets above HOT_WINDOWS are matched as rows instead (``merge_hot``). (4) Shards remove what is marked.
 
     Strings are judged on the input and never cross texts; equal ids are no smaller ids. Null texts are empty; a null id removes
-    nothing and is removed by nothing. Ids are integers. The shards' bit lists are broadcast up to ``max_broadcast`` bytes, else joined
+    nothing and is removed by nothing. Ids are integers. Answers to the shards are broadcast up to ``max_broadcast`` bytes, else joined
     by a shuffle. Returns the id, n_bytes, n_removed, n_spans, kept_sha256, and ``kept`` (the bytes) with ``keep_text``.
     """
     shards = stored(pack(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, length), "zstd")
@@ -455,8 +556,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, max_broadcast: int = 64_00
 
     def reply(shards: DataFrame, rows: DataFrame, *cols: str) -> DataFrame:
         """Shards with what was answered to them."""
-        per = rows.groupBy("shard").agg(F.collect_list(F.struct("bucket", *cols)).alias("replies"))
-        size = rows.agg(F.sum(sum((F.octet_length(c) for c in cols), F.lit(0)))).first()[0] or 0
+        per = rows.groupBy("shard").agg(F.collect_list(F.struct(*cols)).alias("replies"))
+        size = rows.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in cols if c != "bucket"), F.lit(0)))).first()[0] or 0
         return shards.join(F.broadcast(per) if size <= max_broadcast else per, "shard", "left")
 
     def dealt(rows: DataFrame) -> DataFrame:
@@ -464,16 +565,15 @@ def remove_repeats(docs: DataFrame, length: int = 50, max_broadcast: int = 64_00
 
     asked = shards.mapInArrow(anchors(n_buckets, length), "shard long, bucket long, keys binary, several binary")
     answers = stored(dealt(asked).mapInArrow(answer_anchors, "shard long, bucket long, bits binary"))
-    sent = "shard long, bucket long, runs binary, blob binary"
-    local = stored(reply(shards, answers, "bits").mapInArrow(local_step(n_buckets, length), sent))
+    local = stored(reply(shards, answers, "bucket", "bits").mapInArrow(local_step(n_buckets, length), SENT))
     others = local.filter("bucket >= 0")
-    hot = stored(others.groupBy("bucket").agg(F.sum(F.octet_length("blob")).alias("n")).filter(F.col("n") > HOT_BYTES).select("bucket"))
+    hot = stored(others.groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT_WINDOWS).select("bucket"))
     n_hot = hot.count()
-    merged = dealt(by_ids(others, hot, "bucket", "left_anti") if n_hot else others).mapInArrow(merge_windows(length), "shard long, bucket long, runs binary, bits binary")
-    own = local.filter("bucket < 0").select("shard", "bucket", "runs", F.col("blob").alias("bits"))
+    merged = dealt(by_ids(others, hot, "bucket", "left_anti") if n_hot else others).mapInArrow(merge_windows(length), "shard long, runs binary")
     if n_hot:
         merged = merged.unionByName(merge_hot(by_ids(others, hot, "bucket", "left_semi"), length))
-    marks = stored(merged.unionByName(own))
+    own = local.filter("bucket < 0").select("shard", F.lit(None).cast("binary").alias("runs"), F.col("blob").alias("bits"))
+    marks = stored(merged.withColumn("bits", F.lit(None).cast("binary")).unionByName(own))
 
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])]
     whole = reply(shards.filter("whole IS NULL"), marks, "runs", "bits").mapInArrow(finish(length, keep_text), FOUND)

@@ -118,10 +118,10 @@ def brute_removal(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [64_000_000, 3_000])
+@pytest.mark.parametrize("hot", [8_000_000, 300])
 def test_repeats_by_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(substrings, "SHARD_BYTES", 3000)
-    monkeypatch.setattr(substrings, "HOT_BYTES", hot)
+    monkeypatch.setattr(substrings, "HOT_WINDOWS", hot)
     r = random.Random(2)
     passage = "".join(r.choice("ab é") for _ in range(90))
     rows = corpus() + [(500 + k, prose("en", 10, k) + passage[k : 70 + k] + "a" * (40 + 5 * k), "en", "s", 1) for k in range(12)] + [(600, "a" * 300, "en", "s", 1), (601, "\0" * 120, "en", "s", 1), (602, "\0" * 70 + "b", "en", "s", 1)]
