@@ -23,8 +23,8 @@ HOT_WINDOWS = 8_000_000
 #: Bits of a gram's place in its shard, and of a text's number there.
 POS_BITS, DOC_BITS = 28, 16
 KASAI_BLOCK = 64
-#: Bytes of text that are hashed at a time.
-HASH_BYTES = 4_000_000
+#: Bytes of text that are hashed at a time, and windows.
+HASH_BYTES, BLOCK = 500_000, 1 << 16
 ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)]
 
 
@@ -143,19 +143,11 @@ class Shard:
         start = np.flatnonzero(self.doc[: n - length + 1] == self.doc[length - 1 :])
         if not len(start):
             return
-        words = eights(self.text)
-        grams = words[: n - GRAM + 1] * ODD[0]
-        grams += words[GRAM - 8 : n - 7] * ODD[1]
-        grams ^= grams >> np.uint64(29)
-        grams *= ODD[2]
-        packed = grams >> np.uint64(POS_BITS)
-        packed <<= np.uint64(POS_BITS)
-        packed |= np.arange(len(grams), dtype=np.uint64)
-        least = sliding_min(packed, length - GRAM + 1)  # one for each window start
-        anchor = (least & np.uint64(2**POS_BITS - 1)).astype(np.int64)[start]
+        places, grams = self.anchors(n - length + 1)
+        anchor = places[start]
         at = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)])
         self.lo, self.hi = start[at], start[np.r_[at[1:], len(start)] - 1]
-        key = mix64(grams[anchor[at]]) >> np.uint64(DOC_BITS)  # least hashes are small: mixed again, they fill all buckets alike
+        key = mix64(grams[start[at]]) >> np.uint64(DOC_BITS)  # least hashes are small: mixed again, they fill all buckets alike
         owned = np.sort(key << np.uint64(DOC_BITS) | self.doc[self.lo].astype(np.uint64))
         owned = owned[np.r_[True, owned[1:] != owned[:-1]]]
         of = owned >> np.uint64(DOC_BITS)
@@ -163,6 +155,26 @@ class Shard:
         self.keys, self.several = of[fresh], np.diff(np.r_[fresh, len(of)]) > 1
         self.which = np.searchsorted(self.keys, key)
 
+    def anchors(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Place and hash of the anchor of each of the first ``n`` windows, made in blocks that fit a processor's cache."""
+        places, hashes = np.empty(n, np.int32), np.empty(n, np.uint64)
+        low = np.uint64(2**POS_BITS - 1)
+        for lo in range(0, n, BLOCK):
+            hi = min(n, lo + BLOCK)
+            words = eights(self.text[lo : hi + self.length])
+            m = hi - lo + self.length - GRAM
+            grams = words[:m] * ODD[0]
+            grams += words[GRAM - 8 : m + GRAM - 8] * ODD[1]
+            grams ^= grams >> np.uint64(29)
+            grams *= ODD[2]
+            grams >>= np.uint64(POS_BITS)
+            grams <<= np.uint64(POS_BITS)
+            grams |= np.arange(lo, lo + m, dtype=np.uint64)
+            least = sliding_min(grams, self.length - GRAM + 1)
+            places[lo:hi] = least & low
+            hashes[lo:hi] = least >> np.uint64(POS_BITS)
+        return places, hashes
+
 
 SHARD = "shard long, whole long, skip int, tail int, ids array<long>, sizes array<long>, blob binary"
 
@@ -276,7 +288,7 @@ def local_step(n_buckets: int, length: int):
                 bits[x:y] = np.unpackbits(np.frombuffer(answers[j], np.uint8), count=y - x)
             here = s.several[s.which]
             marked = repeats(s, s.lo[here], s.hi[here], row["ids"], length)
-            seen = np.r_[0, np.cumsum(marked)]
+            seen = np.r_[0, np.cumsum(marked, dtype=np.int32)]
             send = np.flatnonzero(bits[s.which] & (seen[s.hi + 1] - seen[s.lo] < s.hi + 1 - s.lo))
             send = send[np.argsort(s.which[send], kind="stable")]
             lo, hi, of = s.lo[send], s.hi[send], s.which[send]
@@ -313,11 +325,11 @@ def repeats(s: Shard, lo: np.ndarray, hi: np.ndarray, ids: np.ndarray, length: i
     marked = np.zeros(n + 1, bool)
     if not len(lo):
         return marked
-    cover = np.bincount(lo, minlength=n + 1) - np.bincount(hi + length, minlength=n + 1)
-    where = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
-    piece = np.cumsum(np.r_[True, (where[1:] != where[:-1] + 1) | (s.doc[where[1:]] != s.doc[where[:-1]])])
-    last = np.flatnonzero(np.r_[piece[1:] != piece[:-1], True])
-    end = (last + 1)[piece - 1]
+    stop = np.maximum.accumulate(hi + length)
+    new = np.r_[True, lo[1:] >= stop[:-1]]
+    first = lo[new]
+    size = stop[np.r_[np.flatnonzero(new)[1:] - 1, len(lo) - 1]] - first
+    where, end = spread(first, size), np.repeat(np.cumsum(size), size)
     text = s.text[where]
     order, rank = suffix_array(text, end, length)
     lcp = common_prefixes(text, end, order, rank, length)
@@ -355,12 +367,17 @@ def first_of_equals(key: np.ndarray, own: np.ndarray, equal) -> np.ndarray:
     first = np.arange(len(key))
     rest = first
     while len(rest):
-        by = rest[np.lexsort((own[rest], key[rest]))]
-        head = np.flatnonzero(np.r_[True, key[by[1:]] != key[by[:-1]]])
-        lead = by[head][np.searchsorted(key[by[head]], key[rest])]
-        ok = equal(rest, lead)
-        first[rest[ok]] = lead[ok]
-        rest = rest[~ok]
+        by = rest[np.argsort(key[rest])]
+        sorted_key, sorted_own = key[by], own[by]
+        head = np.flatnonzero(np.r_[True, sorted_key[1:] != sorted_key[:-1]])
+        group = np.searchsorted(sorted_key[head], sorted_key)  # in order, so that the search stays in a processor's cache
+        least = np.flatnonzero(sorted_own == np.minimum.reduceat(sorted_own, head)[group])
+        lead = by[least[np.searchsorted(least, head)]][group]  # the first of least owner in each group
+        ok = by == lead
+        todo = np.flatnonzero(~ok)
+        ok[todo] = equal(by[todo], lead[todo])
+        first[by[ok]] = lead[ok]
+        rest = by[~ok]
     return first
 
 
@@ -412,9 +429,8 @@ def repeated_windows(own: np.ndarray, lens: np.ndarray, anchor: np.ndarray, text
 
 def same_bytes(text: np.ndarray, i: np.ndarray, j: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether the ranges at ``i`` and ``j`` hold the same bytes; sizes are eight or more."""
-    ok = i == j
-    todo = np.flatnonzero(~ok)
-    ok[todo] = True
+    ok = np.ones(len(i), bool)
+    todo = np.arange(len(i))
     eight = np.ndarray(max(0, len(text) - 7), "<u8", text, strides=(1,))
     for k in range(0, int(size.max(initial=0)), 8):
         todo = todo[size[todo] > k]
