@@ -12,17 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one vectorised step holds at most, unless a single text is longer.
-STEP_CHARS = 2_000_000
+STEP_CHARS = 1_000_000
 SEED_BYTES = np.random.RandomState(7).randint(1, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 MULT = 0x9E3779B97F4A7C15
 MULT_INV = pow(MULT, -1, 2**64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset (tests), below a temporary folder."""
+    """A new folder below ``spark.checkpoint.dir``; where that is unset, below a temporary folder in local mode and nowhere else."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or (str(sc.getCheckpointDir()) if sc.getCheckpointDir() else None)
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="loomspan-")
         sc.setCheckpointDir(base)
     path = f"{base}/table-{uuid.uuid4().hex}"

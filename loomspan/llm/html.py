@@ -1,18 +1,20 @@
-"""Main text of web pages: marked articles, and differencing against the page with the nearest URL."""
+"""Main text of web pages: differencing against the page with the nearest URL, and the structure that pages declare."""
 
 from __future__ import annotations
 
+import json
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Elements that part blocks, elements that never hold main text, elements without content, and words in
-#: class, id and role that mark boilerplate.
+#: class, id and role that mark boilerplate. Inside an article its own header is text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 SKIP = frozenset("nav header footer aside form script style noscript template iframe svg canvas object audio video button select textarea input head title menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -22,34 +24,34 @@ HEADS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 class Blocks(HTMLParser):
-    """Text blocks of a page in order: (text, stands in a marked article, stands in boilerplate)."""
+    """Text blocks of a page in order: (text, number of the marked article it stands in or 0, stands in boilerplate)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out: list[tuple[str, bool, bool]] = []
-        self.open: list[tuple[str, str]] = []  # element and its role: skip, main or none
+        self.out: list[tuple[str, int, bool]] = []
+        self.open: list[tuple[str, str, int]] = []  # element, its role (skip, main or none), its number
         self.text: list[str] = []
+        self.n = 0
 
     def flush(self) -> None:
         line = " ".join("".join(self.text).split())
         self.text.clear()
         if line:
-            roles = [r for _, r in self.open]
-            last = max((k for k, r in enumerate(roles) if r == "main"), default=-1)
-            inside = last >= 0 and "skip" not in roles[last:]
-            self.out.append((line, inside, not inside and "skip" in roles))
+            last = max((k for k, (_, r, _) in enumerate(self.open) if r == "main"), default=-1)
+            inside = last >= 0 and all(r != "skip" for _, r, _ in self.open[last:])
+            self.out.append((line, self.open[last][2] if inside else 0, not inside and any(r == "skip" for _, r, _ in self.open)))
 
     def role(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
-        words = {w for k, v in attrs if k in ("class", "id", "role") and v for w in PARTS.split(v.lower())}
-        if any(k in ("hidden",) or (k == "aria-hidden" and v == "true") for k, v in attrs) and tag not in ("html", "body"):
-            return "skip"
         if tag in ("html", "body"):
             return ""
-        if words & MARKS and tag not in ("article", "main"):
+        if any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs):
             return "skip"
-        if tag in ("article", "main") or "main" in words:
-            return "skip" if words & MARKS else "main"
-        return "skip" if tag in SKIP else ""
+        within = any(r == "main" for _, r, _ in self.open)
+        names = [PARTS.split(w.strip("-_")) for k, v in attrs if k in ("class", "id", "role") and v for w in v.lower().split()]
+        marked = {w for parts in names for w in (parts[0], parts[-1])} & (MARKS - {"header"} if within else MARKS)
+        if tag in ("article", "main") or ["main"] in names:
+            return "skip" if marked else "main"
+        return "skip" if marked or (tag in SKIP and not (within and tag == "header")) else ""
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
@@ -62,7 +64,8 @@ class Blocks(HTMLParser):
         if tag in BLOCKS or tag in SKIP or role:
             if tag == "p" or tag in HEADS:
                 self.close("p")
-            self.open.append((tag, role))
+            self.n += 1
+            self.open.append((tag, role, self.n))
 
     def close(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
@@ -85,11 +88,11 @@ class Blocks(HTMLParser):
         self.close(tag)
 
     def handle_data(self, data: str) -> None:
-        if not any(t in ("script", "style", "template", "noscript", "head", "title") for t, _ in self.open):
+        if not any(t in ("script", "style", "template", "noscript", "head", "title") for t, _, _ in self.open):
             self.text.append(data)
 
 
-def parse(page: str) -> list[tuple[str, bool, bool]]:
+def parse(page: str) -> list[tuple[str, int, bool]]:
     p = Blocks()
     p.feed(page)
     p.goahead(1)
@@ -122,40 +125,46 @@ def near(a: str, b: str) -> int:
     return next((k for k in range(n) if a[k] != b[k]), n)
 
 
-def main_text(blocks: list[tuple[str, bool, bool]], other: list[tuple[str, bool, bool]] | None) -> str:
-    """Blocks joined by line feeds: those of the marked article, or else what the nearest page does not share."""
-    if any(inside for _, inside, _ in blocks):
-        return "\n".join(t for t, inside, _ in blocks if inside)
-    left = [t for t, _, skip in blocks if not skip]
-    if other:
-        shared = common(left, [t for t, _, _ in other])
-        if len(shared) < len(left):  # else the other page is a copy and tells nothing
-            left = [t for k, t in enumerate(left) if k not in shared]
-    return "\n".join(left)
+def main_text(blocks: list[tuple[str, int, bool]], other: list[tuple[str, int, bool]] | None) -> str:
+    """Blocks joined by line feeds: those of the marked articles, or else of what no element marks as boilerplate; without the lines
+    shared with the nearest page where that leaves any."""
+    articles = {a for _, a, _ in blocks if a}
+    left = [(t, a) for t, a, skip in blocks if (a if articles else not skip)]
+    if other and len(articles) != 1:
+        shared = common([t for t, _ in left], [t for t, _, _ in other])
+        own = {a for k, (_, a) in enumerate(left) if k not in shared}
+        if articles and own:  # an article that says nothing of its own is part of the site
+            left = [x for x in left if x[1] in own]
+        elif own:  # else the other page is a copy and tells nothing
+            left = [x for k, x in enumerate(left) if k not in shared]
+    return "\n".join(t for t, _ in left)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", per_range: int = 20) -> DataFrame:
     """The main text of each page.
 
-    Pages are dealt out in ranges of (host, path, id) and sorted, so that the page before or after, the one whose path shares more
-    leading characters, is the nearest page of the same host; a host with most of all pages spans many ranges. Lines of
-    the two pages are aligned by a longest common subsequence and shared lines are deleted, where the page has no marked article.
-    Inside an article or main element every block that is no marked boilerplate stays: articles that quote each other or are
-    copied would lose their own text to differencing.
+    Pages are put in the order of (host, path, id). Of the pages before and after, the one of the same host whose path shares more
+    leading characters is the nearest page. Lines of the two are aligned by a longest common subsequence and shared lines are deleted,
+    where the page marks no article. Of several marked articles those without a line of their own are deleted. A single marked
+    article stays whole: articles that quote each other or are copied would lose their own text to differencing. Elements that
+    say they are boilerplate (by their tag, or by the first or last part of a class, id or role) are left out.
+
+    The order is cut into ranges at places drawn from ``per_range`` keys a range, chosen by a hash; a host with most of all pages spans many
+    ranges. A range's first and last page are handed to its neighbours too, so that the result does not depend on the ranges.
 
-    Null and empty pages give an empty text; null URLs form a host of their own; equal pages are told apart by their id. In
-    a range's first and last page only one neighbour is seen. Returns id, url, text, n_chars.
+    Null and empty pages give an empty text; null URLs form a host of their own; pages with equal URLs are ordered by id, rows with equal
+    ids by their content. Other columns are left out. Returns id, url, text, n_chars.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for r in batch.to_pylist():
-                    yield r[id_col], r[url_col], r["__host"], r["__path"], parse(r["__html"] or "")
+                    yield r["__id"], r["__url"], (r["__task"], r["__host"]), r["__path"], parse(r["__html"] or ""), r["__own"]
 
         def pick(prev: tuple | None, cur: tuple, after: tuple | None) -> str:
-            with_path = [x for x in (prev, after) if x and x[2] == cur[2]]
-            best = max(with_path, key=lambda x: near(x[3], cur[3]), default=None)
+            near_by = [x for x in (prev, after) if x and x[2] == cur[2]]
+            best = max(near_by, key=lambda x: near(x[3], cur[3]), default=None)
             return main_text(cur[4], best and best[4])
 
         def emit(done: list[tuple]) -> pa.RecordBatch:
@@ -164,25 +173,41 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
         prev = cur = None
         done: list[tuple] = []
-        for row in rows():
-            if cur:
+        for row in chain(rows(), [None]):
+            if cur and cur[5]:
                 done.append((cur[0], cur[1], pick(prev, cur, row)))
             prev, cur = cur, row
             if len(done) >= 500:
                 yield emit(done)
                 done = []
-        if cur:
-            done.append((cur[0], cur[1], pick(prev, cur, None)))
         if done:
             yield emit(done)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
-    kind = to_arrow_type(pages.schema[id_col].dataType)
+    spark, id_type = pages.sparkSession, pages.schema[id_col].dataType
+    kind = to_arrow_type(id_type)
     url = F.coalesce(F.col(url_col), F.lit(""))
     host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    rows = pages.select(id_col, url_col, F.col(html_col).alias("__html"), host.alias("__host"), path.alias("__path"))
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, "__host", "__path", id_col).sortWithinPartitions("__host", "__path", id_col)
-    return dealt.mapInArrow(run, f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, `{url_col}` string, text string, n_chars long")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = F.struct(F.col("__host"), F.col("__path"), F.col("__id"))
+    keys = pages.select(host.alias("__host"), path.alias("__path"), F.col(id_col).alias("__id"))
+    some = sorted({(r[0], r[1], r[2] is not None, r[2]) for r in keys.orderBy(F.xxhash64("__host", "__path", "__id")).limit(n * per_range).collect()})
+    places = [some[k * len(some) // n] for k in range(1, n)] if some else []
+    known = json.dumps([{"__host": h, "__path": p, "__id": i} for h, p, _, i in dict.fromkeys(places)])
+    places = F.from_json(F.lit(known), f"array<struct<__host:string,__path:string,__id:{id_type.simpleString()}>>")
+
+    def ranged(df: DataFrame) -> DataFrame:
+        """With the range of each row: how many of the places lie at or before its key."""
+        return df.withColumn("__range", F.size(F.filter(places, lambda x: x <= order)))
+
+    ends = ranged(keys).groupBy("__range").agg(F.min(order).alias("__first"), F.max(order).alias("__last"))  # a row for each range
+    along = Window.orderBy("__range")
+    ends = ends.withColumns({"__before": F.lag("__range").over(along), "__after": F.lead("__range").over(along)})
+    rows = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), F.col(html_col).alias("__html"), host.alias("__host"), path.alias("__path"))
+    rows = ranged(rows).join(F.broadcast(ends), "__range")
+    tasks = F.filter(F.array("__range", F.when(order == F.col("__first"), F.col("__before")), F.when(order == F.col("__last"), F.col("__after"))), lambda x: x.isNotNull())
+    dealt = rows.withColumn("__task", F.explode(tasks)).select("__id", "__url", "__html", "__host", "__path", "__task", (F.col("__task") == F.col("__range")).alias("__own"), F.xxhash64("__html").alias("__hash"))
+    dealt = dealt.repartition(n, "__task").sortWithinPartitions("__task", "__host", "__path", "__id", "__hash").drop("__hash")
+    return dealt.mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, `{url_col}` string, text string, n_chars long")

@@ -15,8 +15,9 @@ from loomspan.llm.components import components
 #: Coordinates of the min-hash embedding of a set; bits of a shingle's hash that are used.
 SIZE, BITS = 64, 44
 FACTORS = mix64(np.arange(1, SIZE + 1, dtype=np.uint64) * np.uint64(MULT)) | np.uint64(1)
-#: Estimated similarities from which sets are linked as candidates, and from which a set leaves a large bucket with its pivot.
-LINK, LEAVE = 0.5, 0.9
+#: Estimated similarities from which sets are linked as candidates (five standard deviations below 0.8), and from
+#: which a set leaves a large bucket with its pivot.
+LINK, LEAVE = 0.55, 0.9
 
 
 def sets_of(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -297,7 +298,8 @@ def similarity_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, reca
     heads = stored(real.groupBy("k1", "k2", "size").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min_by("paths", "id").alias("paths"), F.min_by("sketch", "id").alias("sketch")))
     roots = components(candidate_links(heads.select("rep", "paths", "sketch"), threshold, limit, depth))
     members = heads.select("rep", "copies", "size").join(roots.select(F.col("node").alias("rep"), "root"), "rep")
-    per_root = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / limit), F.ceil(F.sum("size") / 4_000_000)).alias("blocks"))
+    few = F.least(F.ceil(F.count("*") / (limit / 4)), F.lit(16))  # a middling component goes to several tasks; a large one is not cut finer than it must
+    per_root = members.groupBy("root").agg(F.greatest(few, F.ceil(F.count("*") / limit), F.ceil(F.sum("size") / 4_000_000)).alias("blocks"))
     members = stored(members.join(per_root, "root").select("rep", "root", "copies", "blocks"))
     texts = by_ids(source.withColumnRenamed("__id", "rep"), members.select("rep"), "rep", "left_semi").mapInArrow(tokens_of(n), "rep long, tokens array<long>").dropDuplicates(["rep"])
     dealt = blocked(texts.join(members, "rep"), "root", "rep", "blocks").select("task", "rep", "copies", "side", "halves", "alone", "tokens")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import WORD_BYTE, Words, steps, stored
@@ -164,11 +164,12 @@ def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_pydict({"lang": [lang] * len(counts), "kind": [kind] * len(counts), "feature": list(counts), "n": list(counts.values())}, pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("feature", pa.int64()), ("n", pa.int64())]))
 
 
-def fit(docs: DataFrame, per_lang: int = 2000, max_words: int = 40_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, per_lang: int = 2000, max_words: int = 10_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit a model on about ``per_lang`` labelled documents of each language, chosen by a hash of the id.
 
     Word and trigram counts are made and summed on the executors. The driver gets the counts of the ``max_words`` most
-    frequent words of the sample, of 2**16 trigram cells and of the scripts, for each language.
+    frequent words of each language's sample, of 2**16 trigram cells and of the scripts, for each language. Documents with a
+    null id are in the sample or not as their hash says, like all others.
     """
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")).alias("key"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -179,7 +180,8 @@ def fit(docs: DataFrame, per_lang: int = 2000, max_words: int = 40_000, id_col:
     share = F.create_map(*[x for r in sizes for x in (F.lit(r.lang), F.lit(min(1.0, per_lang / r["count"])))])
     sample = rows.filter(F.pmod("key", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("text", "lang")
     counts = stored(sample.mapInArrow(count_features, "lang string, kind int, feature long, n long").groupBy("kind", "feature", "lang").agg(F.sum("n").alias("n")))
-    totals = counts.filter("kind = 0").groupBy("feature").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "feature").limit(max_words)
+    often = Window.partitionBy("lang").orderBy(F.desc("n"), "feature")  # over the words of a bounded sample
+    totals = counts.filter("kind = 0").withColumn("place", F.row_number().over(often)).filter(F.col("place") <= max_words).select("feature").distinct()
     wide = lambda df: df.groupBy("feature").pivot("lang", langs).agg(F.sum("n")).na.fill(0).toPandas()
     words = wide(counts.filter("kind = 0").join(totals, "feature", "left_semi"))
     gram, script = wide(counts.filter("kind = 1")), wide(counts.filter("kind = 2"))
@@ -208,7 +210,7 @@ def labelled(docs: DataFrame, model: Model, penalty: float, keep: list[str], tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         span = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32())]))
-        for batch, texts in steps(batches, "__text", 2_000_000 // max(1, len(m.langs) ** 2 // 16)):
+        for batch, texts in steps(batches, "__text", 800_000 // max(1, len(m.langs) ** 2 // 16)):
             n, k = len(texts), len(m.langs)
             pred, score, words, spans = ["und"] * n, [0.0] * n, [0] * n, [[] for _ in range(n)]
             if k:

@@ -23,6 +23,18 @@ TYPES = {"png": "image/png", "gif": "image/gif", "jpeg": "image/jpeg", "bmp": "i
 RIFF = {b"WAVE": "wav", b"WEBP": "webp", b"AVI ": "avi"}
 
 
+_places: dict[bytes, tuple[bytes, int, int]] = {}
+
+
+def next_place(b: bytes, mark: bytes, at: int) -> int:
+    """Where ``mark`` stands next in a blob, -1 if nowhere. The last answer holds for all places up to it, so many calls cost one search."""
+    blob, lo, hit = _places.get(mark, (None, 0, 0))
+    if blob is not b or not lo <= at or (0 <= hit < at):
+        hit = b.find(mark, at)
+        _places[mark] = (b, at, hit)
+    return hit
+
+
 def u32(b: bytes, at: int, order: str = "<") -> int:
     return struct.unpack_from(order + "I", b, at)[0] if at + 4 <= len(b) else -1
 
@@ -113,7 +125,7 @@ def bmp(b: bytes, at: int) -> tuple[str, int] | None:
 
 
 def pdf(b: bytes, at: int) -> tuple[str, int] | None:
-    following = b.find(b"%PDF-", at + 5)
+    following = b.find(b"%PDF-", at + 5)  # so that every byte is looked at for one signature only
     end = b.rfind(b"%%EOF", at, following if following >= 0 else len(b))
     return ("pdf", end + 5 - at) if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
 
@@ -131,7 +143,7 @@ def gzip(b: bytes, at: int) -> tuple[str, int] | None:
 
 
 def zipped(b: bytes, at: int) -> tuple[str, int] | None:
-    end = b.find(b"PK\x05\x06", at)
+    end = next_place(b, b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b):
         return None
     size, offset = u32(b, end + 12), u32(b, end + 16)

@@ -73,10 +73,12 @@ def mix_sources(
     """How often each document goes into a mix whose sources have target shares of all words.
 
     A source's target divided by its words is the number of copies expected of each of its documents. Its whole part is taken
-    for certain. For the fraction p, documents are ranked by Pareto order sampling: random odds u / (1 - u) divided by the odds of
-    inclusion p' / (1 - p'), where p' is 0 for a document too long for the words that are left, and p scaled up to make good
-    for it otherwise. In that order documents are taken while they fit. Since a long document at the end may leave words over,
-    the same is done ``rounds`` times in all with the words and documents left; each round has a smaller bound on size.
+    for certain. For the words that are left, documents are ranked by Pareto order sampling: random odds u / (1 - u) divided by the odds
+    of inclusion p / (1 - p). Inclusion is unequal: p is 0 for a document too long for the words that are left, and falls with the
+    share of them that a document would use up, p = c (1 - size / left / 2), with c such that the words expected are the words
+    left. So a document that would crowd out the others has lower odds, and what the end of the order leaves open is small. In
+    that order documents are taken while they fit. The same is done ``rounds`` times in all with the words and documents left;
+    each round has a smaller bound on size.
 
     Returns ``__id, __size, __src, __source_size, __target, __copies`` for each row of ``docs``. Random numbers depend on
     the seed, id, size and round only, so reruns agree. A null text has no words and is never taken more than the certain copies; null
@@ -97,11 +99,13 @@ def mix_sources(
     for k in range(rounds):
         fits = (F.col("__extra") == 0) & (F.col("__size") > 0) & (F.col("__size") <= F.col("__left"))
         open_ = taken.join(small(left), F.col("__src").eqNullSafe(F.col("__ls")), "left").drop("__ls")
-        pool = stored(open_.filter(fits).groupBy(F.col("__src").alias("__ps")).agg(F.sum("__size").alias("__pool")))
-        p = F.least(F.col("__left") / F.col("__pool"), F.lit(1 - 1e-9))
+        square = F.sum(F.col("__size").cast("decimal(19,0)") * F.col("__size").cast("decimal(19,0)"))
+        pool = stored(open_.filter(fits).groupBy(F.col("__src").alias("__ps")).agg(F.sum("__size").cast("double").alias("__pool"), square.cast("double").alias("__squares"), F.count("*").alias("__n")))
+        room = F.when(F.col("__n") > 1, 1 - F.col("__size") / F.col("__left") / 2).otherwise(F.lit(1.0))
+        p = F.least(F.col("__left") / (F.col("__pool") - F.col("__squares") / F.col("__left") / 2) * room, F.lit(1 - 1e-9))
         u = uniform(seed + k, F.col("__id"), F.col("__size"))
         ranked = open_.filter(fits).join(small(pool), F.col("__src").eqNullSafe(F.col("__ps")), "left").drop("__ps")
-        ranked = ranked.withColumn("__rank", (u / (1 - u)) / (p / (1 - p))).drop("__pool")
+        ranked = ranked.withColumn("__rank", (u / (1 - u)) / (p / (1 - p))).drop("__pool", "__squares", "__n")
         marked = take_in_order(ranked, buckets, small).withColumn("__extra", F.col("__take").cast("int")).withColumn("__round", F.lit(k))
         rest = open_.filter(~F.coalesce(fits, F.lit(False)))
         taken = stored(rest.drop("__left").unionByName(marked.select("__id", "__src", "__size", "__extra", "__round")))

@@ -17,7 +17,7 @@ from loomspan.llm.common import steps, stored
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+NUMBERS = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
@@ -39,6 +39,18 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, last))
 
 
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Four numbers with dots between, at most 255 each. A chain of more numbers holds a match for each four of them."""
+    for m in NUMBERS.finditer(text):  # whole chains of numbers, so that no digit is looked at twice
+        parts, at = m[0].split("."), m.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            size = sum(map(len, four)) + 3
+            if all(len(n := p.lstrip("0")) <= 3 and int(n or 0) <= 255 for p in four):
+                yield at, at + size
+            at += size + 1
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -50,9 +62,7 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of each pattern match that holds, by start and then kind; each kind is matched by itself."""
     out = [(s, e, 0) for s, e in emails(text)] if "@" in text else []
-    for m in IP.finditer(text):
-        if all(len(n := p.lstrip("0")) <= 3 and int(n or 0) <= 255 for p in m[0].split(".")):
-            out.append((*m.span(), 1))
+    out += [(s, e, 1) for s, e in addresses(text)]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(d := NUMBER.sub("", m[0])) <= 19 and luhn(d):
             out.append((*m.span(), 2))
@@ -150,7 +160,7 @@ def find_personal_data(docs: DataFrame, min_docs: int = 2, disclosure: float = 0
     counts are over the whole corpus; frequent terms and entities are counted by partial sums.
 
     Null texts count as empty. Rows are handled one by one, also where ids repeat. Returns the id, n_email, n_ip, n_card,
-    n_phone, base_sha256, n_term, spans (all of them, ``kind:start:end``).
+    n_phone, base_sha256, spans (all of them, ``kind:start:end``), n_term.
     """
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row")).alias("__key"), F.col(text_col).alias("__text"))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -177,8 +187,8 @@ def find_personal_data(docs: DataFrame, min_docs: int = 2, disclosure: float = 0
     every = F.array_sort(F.concat(F.coalesce(old, empty), F.coalesce(new, empty)))
     return out.select(
         F.col("__key.id").alias(id_col), "n_email", "n_ip", "n_card", "n_phone", "base_sha256",
-        F.coalesce(F.size("__terms"), F.lit(0)).cast("long").alias("n_term"),
         F.when(F.col("__terms").isNull(), F.col("base")).otherwise(F.array_join(F.transform(every, lambda x: x["s"]), ",")).alias("spans"),
+        F.coalesce(F.size("__terms"), F.lit(0)).cast("long").alias("n_term"),
     )
 
 

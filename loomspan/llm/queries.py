@@ -48,7 +48,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
     return placed.select(
         "doc_id", F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit("bytes").alias("law"),
-        F.col("__shard").alias("shard"), F.col("__slot").cast("int").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        F.col("__shard").alias("shard"), F.col("__slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
 
 

@@ -22,7 +22,8 @@ def mixing(weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0, seed:
         u = f"((('0x' || substr(md5('{seed + k}:' || coalesce(doc_id::VARCHAR, '-') || ':' || size), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
         parts += [
             f"open{k} AS (SELECT x.*, y.room, {u} AS u FROM taken{k} x JOIN left{k} y ON x.src IS NOT DISTINCT FROM y.src WHERE extra = 0 AND size > 0 AND size <= room)",
-            f"p{k} AS (SELECT *, least(room / sum(size) OVER (PARTITION BY src), 1 - 1e-9::DOUBLE) AS p FROM open{k})",
+            f"q{k} AS (SELECT *, (sum(size) OVER (PARTITION BY src))::DOUBLE AS pool, (sum(size::HUGEINT * size) OVER (PARTITION BY src))::DOUBLE AS sq, count(*) OVER (PARTITION BY src) AS n FROM open{k})",
+            f"p{k} AS (SELECT *, least(room / (pool - sq / room / 2) * (CASE WHEN n > 1 THEN 1 - size / room / 2 ELSE 1.0::DOUBLE END), 1 - 1e-9::DOUBLE) AS p FROM q{k})",
             f"r{k} AS (SELECT *, sum(size) OVER (PARTITION BY src ORDER BY (u / (1 - u)) / (p / (1 - p)), doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto FROM p{k})",
             f"taken{k + 1} AS (SELECT doc_id, src, size, CASE WHEN doc_id IN (SELECT doc_id FROM r{k} WHERE upto <= room) THEN 1 ELSE extra END AS extra FROM taken{k})",
             f"left{k + 1} AS (SELECT h.src, h.room - coalesce((SELECT sum(size) FROM taken{k + 1} x WHERE x.extra = 1 AND x.src IS NOT DISTINCT FROM h.src), 0) AS room FROM h)",
@@ -87,4 +88,4 @@ c AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295, bytes), lambda c,
 s AS (SELECT d.doc_id, length(x) // 2 + 8 AS size, coalesce(crc, 0) AS crc FROM d LEFT JOIN c USING (doc_id)),
 u AS (SELECT *, sum(size) OVER (ORDER BY doc_id, size, crc ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS every FROM s),
 p AS (SELECT *, ((2 * upto - size) * {shards} // (2 * every))::INT AS shard FROM u)
-SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, crc) - 1)::INT AS slot, NULL::INT AS grown_shard FROM p"""
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, crc) - 1)::BIGINT AS slot, NULL::INT AS grown_shard FROM p"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from heapq import heappop, heappush
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ from loomspan.llm.common import steps
 #: How byte-level vocabularies part a text before merging.
 PRE_TOKEN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+")
 NONE = np.int64(2**62)
+#: Bytes of a piece from which it is merged by itself.
+LONG = 2048
 
 
 def byte_symbols() -> dict[int, str]:
@@ -79,6 +82,58 @@ class Counter:
             sym, who = sym[keep], who[~done]
         return counts
 
+    def merge_long(self, piece: bytes) -> int:
+        """The same for one long piece without a break: pairs wait by rank, so that a round looks at its own pairs only.
+
+        Symbols that have gone leave links between their neighbours. A pair that has changed since it was listed no longer has the
+        round's rank and is passed over.
+        """
+        sym = self.start[np.frombuffer(piece, np.uint8)]
+        n = len(sym)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        alive = np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        order: list[int] = []
+
+        def rank_of(at: np.ndarray) -> np.ndarray:
+            right = after[at]
+            return np.where(right < n, self.ranks(sym[at], sym[np.minimum(right, n - 1)]), NONE)
+
+        def wait(at: np.ndarray) -> None:
+            rank = rank_of(at)
+            at, rank = at[rank != NONE], rank[rank != NONE]
+            by = np.argsort(rank, kind="stable")
+            at, rank = at[by], rank[by]
+            cut = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]) if len(rank) else ()
+            for x, y in zip(cut, [*cut[1:], len(rank)], strict=True) if len(cut) else ():
+                r = int(rank[x])
+                if r not in waiting:
+                    waiting[r] = []
+                    heappush(order, r)
+                waiting[r].append(at[x:y])
+
+        wait(np.arange(n))
+        left = n
+        while order:
+            r = heappop(order)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[alive[at]]
+            at = at[rank_of(at) == r]
+            if not len(at):
+                continue
+            head = np.r_[True, after[at[:-1]] != at[1:]]  # in a run of overlapping pairs, every second one merges
+            start = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - start) % 2 == 0]
+            gone = after[at]
+            sym[at] = self.merged[r]
+            alive[gone] = False
+            after[at] = after[gone]
+            inside = after[at] < n
+            before[after[at[inside]]] = at[inside]
+            left -= len(at)
+            wait(np.unique(np.r_[at, before[at][before[at] >= 0]]))
+        return left
+
     def count(self, texts: list[str]) -> list[int]:
         out, parts = [], []
         for t in texts:
@@ -87,7 +142,10 @@ class Counter:
             parts.append([p for s in (self.special.split(t) if found else (t,)) for p in PRE_TOKEN.findall(s)])
         if len(self.cache) > self.limit:
             self.cache.clear()
-        new = list(set().union(*parts).difference(self.cache))
+        new = set().union(*parts).difference(self.cache)
+        raw = {p: p.encode("utf-8", "surrogatepass") for p in new if len(p) * 4 >= LONG}
+        self.cache.update({p: self.merge_long(b) for p, b in raw.items() if len(b) >= LONG})
+        new = list(new.difference(self.cache))
         for k in range(0, len(new), 200_000):
             some = new[k : k + 200_000]
             self.cache.update(zip(some, self.merge([p.encode("utf-8", "surrogatepass") for p in some]).tolist(), strict=True))

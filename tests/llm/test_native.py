@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 import re
@@ -66,6 +67,34 @@ def test_mix_meets_targets(spark):
         assert t - 45 <= taken[s] <= t + 1e-6 or sizes[s] < 45
 
 
+def test_odds_of_inclusion_are_unequal(spark):
+    """Of one long document and many short ones the long one is taken less often than in an order of plain random numbers."""
+    rows = [(i, prose("en", 90 if i == 0 else 5, i), "en", s, 1) for i in range(60) for s in ("a",)] + [(100 + i, prose("fr", 5, i), "fr", "b", 1) for i in range(20)]
+    sizes = {i: size(t) for i, t, *_ in rows if i < 100}
+    often = plain = 0
+    for seed in range(25):
+        mix = {r["__id"]: r for r in mix_sources(frame(spark, rows), seed=seed, rounds=1, weights=(1.0, 2.0)).collect()}
+        left = mix[1]["__target"] % sum(sizes.values())
+        order, upto, got = sorted(sizes, key=lambda i: draw(seed, i, sizes[i])), 0, set()
+        for i in order:
+            upto += sizes[i]
+            got |= {i} if upto <= left else set()
+        often += mix[0]["__copies"] > mix[0]["__target"] // sum(sizes.values())
+        plain += 0 in got
+        p = lambda i: left / (sum(sizes.values()) - sum(x * x for x in sizes.values()) / left / 2) * (1 - sizes[i] / left / 2)  # noqa: B023, E731
+        rank = lambda i: (u := draw(seed, i, sizes[i])) / (1 - u) / (p(i) / (1 - p(i)))  # noqa: B023, E731
+        upto, want = 0, set()
+        for i in sorted(sizes, key=rank):
+            upto += sizes[i]
+            want |= {i} if upto <= left else set()
+        assert {i for i in sizes if mix[i]["__copies"] > mix[i]["__target"] // sum(sizes.values())} == want
+    assert often < plain
+
+
+def draw(seed, i, n):
+    return (int(hashlib.md5(f"{seed}:{i}:{n}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+
+
 def test_mix_documents_repeats_rows(spark):
     docs = frame(spark)
     copies = mix_sources(docs).agg(F.sum("__copies")).first()[0]

@@ -3,10 +3,12 @@ import html as html_lib
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomspan.llm import html, language, media, pii, substrings, tokens
 from loomspan.llm.common import Words
@@ -175,6 +177,8 @@ def test_patterns_match_plain_regular_expressions():
 def test_very_long_numbers():
     assert pii.base_spans("0" * 6000 + "1.2.3.4") == [(0, 6007, "ip")]
     assert pii.base_spans("9" * 6000 + ".2.3.4") == []
+    began = time.time()
+    assert pii.base_spans("7" * 1_000_000) == pii.base_spans("7." * 500_000)[:0] and time.time() - began < 20
 
 
 def test_luhn():
@@ -228,6 +232,8 @@ def test_sniffing_confirms_structure_and_carves():
     blob = b"junk" + png + b"--" + wav + gz + z.getvalue() + b"BM not a bitmap" + png[:-1]
     kinds = [(k, blob[at : at + n]) for k, at, n in media.sniff(blob)]
     assert kinds == [("png", png), ("wav", wav), ("gzip", gz), ("zip", z.getvalue())]
+    began = time.time()
+    assert media.sniff(b"PK\x03\x04" * 250_000) == [] and time.time() - began < 20
     assert media.sniff(b"") == [] and media.sniff(png.replace(b"IDAT", b"IDAX")) == []
 
 
@@ -267,10 +273,27 @@ def test_articles_are_taken_whole(spark):
 
 def test_shared_lines_of_neighbours_are_deleted(spark):
     page = lambda k: f"<html><body><div>Site name</div><div>All rights</div><p>Story {k} of many</p><p>More {k}</p><div>Imprint</div></body></html>"
-    rows = [(k, f"https://b.org/news/{k}?q=1", page(k)) for k in range(6)] + [(10, "https://c.org/", page(10))]
-    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)).collect()}
-    assert sum(got[k] == f"Story {k} of many\nMore {k}" for k in range(6)) >= 4  # a range with a single page has no neighbour
-    assert got[10] == "Site name\nAll rights\nStory 10 of many\nMore 10\nImprint"
+    card = "<article><p>Read us daily</p></article>"
+    rows = [(k, f"https://b.org/news/{k:02d}?q=1", page(k)) for k in range(40)] + [(100, "https://c.org/", page(100)), (101, None, page(101)), (102, None, page(102))]
+    rows += [(200 + k, "https://d.org/same", f"{card}<article><header class='top-header'><h1>T{k}</h1></header><p>Own {k}</p><div class='story-share-of-market'>Kept</div></article>") for k in range(3)]
+    frame_ = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("x"), "n_chars": F.lit(1)})
+    own = lambda k: f"Story {k} of many\nMore {k}"
+    want = {k: own(k) for k in (*range(40), 101, 102)} | {100: f"Site name\nAll rights\n{own(100)}\nImprint"} | {200 + k: f"T{k}\nOwn {k}\nKept" for k in range(3)}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 3, 17):  # results do not depend on how the pages are cut into ranges
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            assert {r.page_id: r.text for r in html.extract(frame_).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert html.extract(frame_.limit(0)).count() == 0
+
+
+def test_long_and_repeated_pages(spark):
+    long = "<article>" + "<p>line &amp; more</p>" * 20_000 + "</article>"
+    rows = [(1, "http://a.org/1", long), (1, "http://a.org/1", long), (None, "http://a.org/1", "<main><p>x</p></main>")]
+    got = sorted(r.n_chars for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == [1, 20_000 * 12 - 1, 20_000 * 12 - 1]
 
 
 def test_longest_common_subsequence():
@@ -306,12 +329,14 @@ def test_counts_equal_the_library(spark, vocabulary):
     t = Tokenizer.from_file(vocabulary)
     r = random.Random(1)
     parts = list("abcsdtmrl' ’\n\t\r\x0b\x1c\x85 　019²½éßñ漢字かАБ!?.,-_́😀\x00") + ["'s", "'ll", " 've", "<|endoftext|>", "  ", "aaaa"]
-    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(3000)] + ["ab" * 3000, "x" * 5001, "<|endoftext|>"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(3000)] + ["ab" * 3000, "x" * 5001, "<|endoftext|>", prose("de", 3000, 1).replace(" ", ""), "漢字かな" * 2000]
     assert tokens.Counter(vocabulary).count(texts) == [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
     got = {(r.doc_id, r.n_tokens, r.n_bytes, r.over_limit) for r in tokens.count_tokens(extra(frame(spark)), vocabulary).collect()}
     want = {i: t.encode(x or "", add_special_tokens=False).ids for i, x, *_ in corpus()}
     assert got == {(i, len(want[i]), len((x or "").encode()), len(want[i]) > 1024) for i, x, *_ in corpus()}
     assert tokens.count_tokens(frame(spark, []), vocabulary).count() == 0
+    began = time.time()
+    assert tokens.Counter(vocabulary).count(["a" * 1_000_000, prose("en", 200_000, 2).replace(" ", "")])[0] == 250_000 and time.time() - began < 60
 
 
 # pipeline
