@@ -314,6 +314,16 @@ def similarity_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, reca
 
 
 def one_of_each(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The document of each class that has the smallest id; rows without an id stay."""
+    """One row of each class: the first one of the smallest id.
+
+    Rows that repeat an id repeat its text, so one of them stays; rows without an id are told apart by their whole content. Such
+    rows are few among all, so that texts stay where they are otherwise.
+    """
     others = stored(classes.filter(F.col("class_id") != F.col(id_col)).select(id_col).distinct())
-    return by_ids(docs, others, id_col, "left_anti").select(*docs.columns)
+    left = by_ids(docs, others, id_col, "left_anti").select(*docs.columns)
+    repeated = stored(classes.filter(F.col(id_col).isNotNull() & (F.col("class_id") == F.col(id_col))).groupBy(id_col).agg(F.count("*").alias("__n")).filter(F.col("__n") > 1).select(id_col))
+    out = left.filter(F.col(id_col).isNotNull()).unionByName(left.filter(F.col(id_col).isNull()).distinct())
+    if not repeated.count():
+        return out
+    again = by_ids(left, repeated, id_col, "left_semi").dropDuplicates([id_col])
+    return by_ids(out, repeated, id_col, "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))

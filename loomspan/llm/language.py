@@ -64,8 +64,8 @@ class Model:
     scripts: np.ndarray
     clip: float = 6.0
 
-    def scores(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of each word for each language, and which words have letters."""
+    def scores(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of each word for each language, which words have letters, and which of them the model knows."""
         script, lettered = word_scripts(w)
         out = np.zeros((len(w.hash), len(self.langs)), np.float32)
         at = np.minimum(np.searchsorted(self.words, w.hash), max(len(self.words) - 1, 0))
@@ -81,7 +81,7 @@ class Model:
         narrowed = lettered & fits.any(axis=1)
         out[narrowed] = np.where(fits[narrowed], out[narrowed], -4 * self.clip)
         out[~lettered] = 0
-        return out, lettered
+        return out, lettered, known
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
@@ -199,24 +199,26 @@ def fit(docs: DataFrame, per_lang: int = 2000, max_words: int = 10_000, id_col:
     return Model(langs, keys[order], logs(words[langs].to_numpy(), 0.5)[order], logs(dense, 0.5), seen >= 0.01 * seen.sum(axis=1, keepdims=True))
 
 
-SCHEMA = "lang_pred string, score double, n_words long, n_spans long, spans array<struct<lang:string,first_word:int,n_words:int>>"
+SCHEMA = "lang_pred string, score double, n_words long, n_known long, n_spans long, spans array<struct<lang:string,first_word:int,n_words:int>>"
 
 
 def labelled(docs: DataFrame, model: Model, penalty: float, keep: list[str], text_col: str) -> DataFrame:
     """What ``identify`` finds, with the columns ``keep`` under the names __0, __1, ..."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held = [f"__{k}" for k in range(len(keep))]
+    text_at = f"__{keep.index(text_col)}" if text_col in keep else "__text"  # the text is sent once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         span = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32())]))
-        for batch, texts in steps(batches, "__text", 800_000 // max(1, len(m.langs) ** 2 // 16)):
+        for batch, texts in steps(batches, text_at, 800_000 // max(1, len(m.langs) ** 2 // 16)):
             n, k = len(texts), len(m.langs)
-            pred, score, words, spans = ["und"] * n, [0.0] * n, [0] * n, [[] for _ in range(n)]
+            pred, score, words, known, spans = ["und"] * n, [0.0] * n, [0] * n, [0] * n, [[] for _ in range(n)]
             if k:
                 w = Words(texts)
-                s, lettered = m.scores(w)
+                s, lettered, in_model = m.scores(w)
                 label = viterbi(s, w.first, penalty)
+                known = np.bincount(w.doc[in_model], minlength=n).tolist()
                 votes = np.bincount((w.doc * k + label)[lettered], minlength=n * k).reshape(n, k)
                 cut = np.flatnonzero(np.r_[True, (label[1:] != label[:-1]) | (w.doc[1:] != w.doc[:-1])]) if len(label) else np.zeros(0, int)
                 for at, end in zip(cut.tolist(), [*cut[1:].tolist(), len(label)], strict=True) if len(cut) else ():
@@ -228,11 +230,11 @@ def labelled(docs: DataFrame, model: Model, penalty: float, keep: list[str], tex
                         pred[d], score[d] = m.langs[max(range(k), key=v.__getitem__)], max(v) / t
                     else:
                         spans[d] = []
-            cols = [batch.column(c) for c in held] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(words, pa.int64()), pa.array(map(len, spans), pa.int64()), pa.array(spans, span)]
-            yield pa.RecordBatch.from_arrays(cols, [*held, "lang_pred", "score", "n_words", "n_spans", "spans"])
+            cols = [batch.column(c) for c in held] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(words, pa.int64()), pa.array(known, pa.int64()), pa.array(map(len, spans), pa.int64()), pa.array(spans, span)]
+            yield pa.RecordBatch.from_arrays(cols, [*held, "lang_pred", "score", "n_words", "n_known", "n_spans", "spans"])
 
     schema = "".join(f"{h} {docs.schema[c].dataType.simpleString()}, " for h, c in zip(held, keep, strict=True)) + SCHEMA
-    return docs.select(*[F.col(c).alias(h) for h, c in zip(held, keep, strict=True)], F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(c).alias(h) for h, c in zip(held, keep, strict=True)], *([F.col(text_col).alias(text_at)] if text_at == "__text" else [])).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, model: Model, penalty: float = 10.0, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
@@ -249,14 +251,17 @@ def identify(docs: DataFrame, model: Model, penalty: float = 10.0, keep: tuple[s
     return found.select(*[F.col(f"__{k}").alias(c) for k, c in enumerate(keep) if c not in names], *names)
 
 
-def spoken(docs: DataFrame, model: Model, min_score: float = 0.35, penalty: float = 10.0, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, unchanged, whose text has letters and one language in at least ``min_score`` of its words."""
-    found = labelled(docs, model, penalty, docs.columns, text_col).filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
-    return found.select(*[F.col(f"__{k}").alias(c) for k, c in enumerate(docs.columns)])
+def spoken(docs: DataFrame, model: Model, min_known: float = 0.1, min_words: int = 20, penalty: float = 10.0, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, whose text has letters and fits the languages learned.
+
+    A text of ``min_words`` words or more fits if the model knows at least ``min_known`` of them, in whatever language each is: texts of
+    several languages stay, those of a language never learned go. A shorter text with letters stays.
+    """
+    found = labelled(docs, model, penalty, docs.columns, text_col)
+    fits = (F.col("n_words") < min_words) | (F.col("n_known") >= F.lit(min_known) * F.col("n_words"))
+    return found.filter((F.col("lang_pred") != "und") & fits).select(*[F.col(f"__{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def held_out(id_col: str = "doc_id"):
     """Whether a document is kept from training: crc32 of the id as text is a multiple of 5."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
-
-
