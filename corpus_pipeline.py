@@ -34,9 +34,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its shard and its place there."""
+    """Every row with its shard and its place there; columns of these names give way to them."""
     placed = shard_by_bytes(docs, 24)
-    return placed.select(*docs.columns, F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
+    own = [c for c in docs.columns if c not in ("shard", "slot")]
+    return placed.select(*own, F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
 
 
 STAGES = [
