@@ -55,8 +55,14 @@ def text_tokens(c: Column) -> Column:
     low = F.lower(F.coalesce(c, F.lit("")))
     words = F.regexp_extract_all(low, F.lit(ASCII_TOKEN), F.lit(0))
     one = F.regexp_extract_all(low, F.lit(CJK), F.lit(0))
-    two = F.when(F.size(one) > 1, F.zip_with(F.slice(one, 1, F.greatest(F.size(one) - 1, F.lit(0))), F.slice(one, 2, F.size(one)), lambda a, b: F.concat(a, b))).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, one, two)
+    return F.concat(words, with_runs(one, 2))
+
+
+def with_runs(chars: Column, *sizes: int) -> Column:
+    """The characters, then their runs of the given sizes. The array is made once, being the item of an array of one."""
+    run = lambda o, n: F.transform(F.sequence(F.lit(1), F.size(o) - n + 1), lambda k: F.array_join(F.slice(o, k, n), ""))
+    none = F.array().cast("array<string>")
+    return F.flatten(F.transform(F.array(chars), lambda o: F.concat(o, *[F.when(F.size(o) >= n, run(o, n)).otherwise(none) for n in sizes])))
 
 
 def playbook_tokens(c: Column) -> Column:

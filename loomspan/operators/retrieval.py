@@ -11,43 +11,47 @@ from loomspan.functions.text import text_tokens
 
 
 def token_counts(docs: DataFrame, id_col: str, tokens: Column, terms: Sequence[str]) -> DataFrame:
-    """(id, length, tf): the token count of each document and how often each query term occurs, in one pass without a shuffle."""
-    rows = docs.select(id_col, tokens.alias("__t"))
+    """(id, length, tf): the token count of each document and how often each query term occurs.
+
+    Each generator is a barrier: what is made before it is made once a row, however often later steps use it. The result is dealt out
+    by id, a few numbers a row, so that all parts of one query that need it share one pass over the texts.
+    """
+    once = docs.select(id_col, F.explode(F.array(tokens)).alias("__t"))
+    hits = F.struct(F.size("__t").alias("length"), F.filter("__t", lambda t: t.isin(list(terms))).alias("hits"))
+    few = once.select(id_col, F.explode(F.array(hits)).alias("__h")).select(id_col, "__h.length", "__h.hits").repartition(id_col)
 
     def occurrences(term: str) -> Column:
-        return F.size(F.filter("__t", lambda t: t == term))
+        return F.size(F.filter("hits", lambda t: t == term))
 
-    tf = F.array(*map(occurrences, terms))
-    return rows.select(id_col, F.size("__t").alias("length"), tf.alias("tf"))
+    tf = F.array(*map(occurrences, terms)).cast("array<int>")
+    return few.select(id_col, F.explode(F.array(F.struct("length", tf.alias("tf")))).alias("__c")).select(id_col, "__c.length", "__c.tf")
 
 
 def bm25(docs: DataFrame, terms: Sequence[str], id_col: str, tokens: Column, k1: float = 1.5, b: float = 0.75, keep_zero: bool = False) -> DataFrame:
     """(id, score) for the given query terms, which are taken once each.
 
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)) with N over all documents; the average length is over documents with tokens. Corpus
-    statistics are one partial aggregate with a number for each term; scoring is then a projection.
+    statistics are one partial aggregate with a number for each term, read as a scalar by the scoring projection.
     """
     terms = list(dict.fromkeys(terms))
     counts = token_counts(docs, id_col, tokens, terms)
-    df = [F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]
-    stats = counts.agg(F.count("*").alias("n"), F.avg(F.when(F.col("length") > 0, F.col("length"))).alias("avg"), *df).first()
-    if not terms or not stats.avg:
-        return counts.select(id_col, F.lit(0.0).alias("score")).filter(F.lit(keep_zero))
+    df = F.array(*[F.sum((F.col("tf")[i] > 0).cast("long")) for i in range(len(terms))]).cast("array<bigint>")
+    stats = counts.agg(F.struct(F.count("*").alias("n"), F.avg(F.when(F.col("length") > 0, F.col("length"))).alias("avg"), df.alias("df"))).scalar()
     score: Column = F.lit(0.0)
-    norm = F.lit(k1) * (1 - b + b * F.col("length") / F.lit(float(stats.avg)))
+    norm = F.lit(k1) * (1 - b + b * F.col("length") / stats["avg"])
     for i in range(len(terms)):
-        n = stats[f"df{i}"] or 0
-        idf = F.log(F.lit(1 + (stats.n - n + 0.5) / (n + 0.5)))
+        n = stats["df"][i]
+        idf = F.log(1 + (stats["n"] - n + 0.5) / (n + 0.5))
         tf = F.col("tf")[i]
         score = score + F.when(tf > 0, idf * (tf * (k1 + 1) / (tf + norm))).otherwise(0.0)
-    scored = counts.select(id_col, score.alias("score"))
-    return scored if keep_zero else scored.filter("score > 0")
+    hit = F.exists("tf", lambda x: x > 0)
+    return (counts if keep_zero else counts.filter(hit)).select(id_col, score.alias("score"))
 
 
 def over_max(scored: DataFrame, score: str = "score") -> DataFrame:
-    """Scores divided by the largest one."""
-    top = scored.agg(F.max(score)).first()[0]
-    return scored.withColumn(score, F.col(score) / F.lit(float(top) if top else 1.0))
+    """Scores divided by the largest one; as they are where that is 0."""
+    best = scored.agg(F.max(score)).scalar()
+    return scored.withColumn(score, F.col(score) / F.when(best != 0, best).otherwise(1.0))
 
 
 def top(scored: DataFrame, k: int, id_col: str, score: str = "score") -> DataFrame:

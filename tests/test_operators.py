@@ -184,7 +184,7 @@ def test_islands_and_fill(spark):
 
 
 def test_entities_and_their_graph(spark):
-    rows = spark.createDataFrame([(1, "see net.onnx v1.2 and NET.onnx"), (2, "net.onnx v1.2"), (3, "标签识别模型"), (4, None)], "id int, t string")
+    rows = spark.createDataFrame([(1, "see yolo.onnx v1.2 and YOLO.onnx"), (2, "yolo.onnx v1.2"), (3, "标签识别模型"), (4, None)], "id int, t string")
     m = graph.mentions(rows, "id", "t")
-    assert {(r.id, r.kind, r.name) for r in m.collect() if r.kind in ("model", "version")} == {(1, "model", "net.onnx"), (1, "version", "v1.2"), (2, "model", "net.onnx"), (2, "version", "v1.2")}
-    assert [(r.a, r.b, r.evidence) for r in graph.cooccurrences(m.filter("id < 3"), "id").collect()] == [("model:net.onnx", "version:v1.2", 2)]
+    assert {(r.id, r.kind, r.name) for r in m.collect() if r.kind in ("model", "version")} == {(1, "model", "yolo.onnx"), (1, "version", "v1.2"), (2, "model", "yolo.onnx"), (2, "version", "v1.2")}
+    assert [(r.a, r.b, r.evidence) for r in graph.cooccurrences(m.filter("id < 3"), "id").collect()] == [("model:yolo.onnx", "version:v1.2", 2)]
