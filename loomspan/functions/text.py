@@ -113,3 +113,48 @@ def integer_answer(c: Column) -> Column:
 def last_integer(c: Column) -> Column:
     found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"-?\d+"), F.lit(0))
     return F.try_element_at(found, F.lit(-1))
+
+
+def queries_equivalent(a: Column, b: Column) -> Column:
+    """Whether two queries say the same but for case and white space; empty ones say nothing."""
+    x, y = squash_query(a), squash_query(b)
+    return (x != "") & (x == y)
+
+
+def split_tokens(c: Column) -> Column:
+    """Runs of ASCII letters, digits and CJK characters, lower case."""
+    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^0-9a-z一-鿿]+"), lambda x: x != "")
+
+
+def clean_text(c: Column) -> Column:
+    """Control and invisible characters go, middle dots become spaces, white space runs one space; spaces beside CJK characters go."""
+    bare = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]", "")
+    one = F.trim(F.regexp_replace(F.translate(bare, "·", " "), r"\s+", " "))
+    return F.regexp_replace(one, r"(?<=[一-鿿]) | (?=[一-鿿])", "")
+
+
+def eos_trimmed(ids: Column, eos: int) -> Column:
+    """Token ids up to the first end mark, which goes too."""
+    at = F.array_position(ids, F.lit(eos)).cast("int")
+    return F.when(at > 0, F.slice(ids, 1, F.greatest(at - 1, F.lit(0)))).otherwise(ids)
+
+
+def without_prefix_hint(c: Column, prefix: str) -> Column:
+    """The text without a hint that begins with ``prefix`` and reaches to the next quote that no backslash escapes."""
+    import re
+
+    return F.regexp_replace(c, re.escape(prefix) + r'(?:[^"\\]|\\.)*', "")
+
+
+def source_of_id(c: Column, kinds: dict[str, str], other: str = "document") -> Column:
+    """The kind of source that an evidence id tells by the part before its first colon or dash."""
+    head = F.lower(F.regexp_extract(F.coalesce(c, F.lit("")), r"^([^:\-]*)", 1))
+    return F.coalesce(*[F.when(head == k, v) for k, v in kinds.items()], F.lit(other))
+
+
+def names_platform(text: Column, platform: str) -> Column:
+    """Whether a text names a platform: names of up to three characters stand between other signs, longer ones anywhere."""
+    import re
+
+    low, name = F.lower(F.coalesce(text, F.lit(""))), platform.lower()
+    return low.rlike(rf"(?:^|[^a-z0-9]){re.escape(name)}(?:$|[^a-z0-9])") if len(name) <= 3 else F.contains(low, F.lit(name))

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from loomspan.functions import aspects as A
 from loomspan.functions import rules
 from loomspan.operators import audit_logs
 from loomspan.sources import files
@@ -26,10 +27,23 @@ def test_aspects_intents_and_roles(spark):
     q = ["这个模型精度如何", "哪些情况 无法保证", "DID 是多少", "owner 是谁", "hello", None]
     df = spark.createDataFrame([(x,) for x in q], "q string")
     got = [tuple(r) for r in df.select(rules.first_rule(F.col("q"), rules.QUERY_ASPECTS), rules.all_rules(F.col("q"), rules.QUERY_INTENTS)).collect()]
-    assert got == [("accuracy", ["document_detail"]), ("limitation", []), ("deployment", ["deployment", "aggregate", "field_lookup"]), ("owner_metadata", ["release_table", "field_lookup"]), ("general", []), ("general", [])]
-    rows = spark.createDataFrame([("accuracy", ["accuracy"], True), ("accuracy", ["limitation"], False), ("general", ["label"], True), ("limitation", ["accuracy"], False)], "a string, f array<string>, m boolean")
-    score = rules.answerability(F.col("a"), F.col("f"), {"accuracy:metric": (F.col("m"), 0.5), "accuracy:big": (F.col("m"), 3.0)})
-    assert [tuple(r) for r in rows.select(score, rules.evidence_role(F.col("a"), F.col("f"), score)).collect()] == [(1.8, "primary"), (-0.12, "caveat"), (0.0, "supporting"), (-0.12, "supporting")]
+    assert got == [("accuracy_metric", ["document_detail"]), ("limitation", []), ("deployment", ["deployment", "aggregate", "field_lookup"]), ("owner_metadata", ["release_table", "field_lookup"]), ("general", []), ("general", [])]
+    rows = spark.createDataFrame([("accuracy_metric", ["accuracy_metric"], 0.7), ("accuracy_metric", ["limitation"], 0.9), ("general", ["label_schema"], 0.9), ("limitation", ["accuracy_metric"], 0.1), ("general", ["limitation"], 0.1), ("owner_metadata", ["owner_metadata"], 0.6)], "a string, f array<string>, s double")
+    assert [r[0] for r in rows.select(rules.evidence_role(F.col("a"), F.col("f"), F.col("s"))).collect()] == ["primary", "caveat", "supporting", "supporting", "caveat", "supporting"]
+
+
+def test_aspects_of_chunks(spark):
+    texts = [
+        ("模型精度测试: acc 97.2%", "document", []), ("算法边界: 夜间无法保证精度", "document", []), ("输入: 图片 输出: 标签", "document", []), ("net.onnx 特征维度 256", "table", ["owner"]),
+        ("plain words", "deployment", ["benchmark_info"]), ("plain words", "document", []), (None, "table", ["labels"]), ("本版本相比上版提升 0.5%", "document", []), ("耗时 12 ms", "document", []),
+    ]
+    df = spark.createDataFrame(texts, "t string, s string, k array<string>").withColumn("a", A.chunk_aspects(F.col("t"), F.col("s"), F.col("k")))
+    rows = df.withColumn("sec", A.section_type(F.col("t"), F.col("a"))).withColumn("score", A.answerability("accuracy_metric", F.col("t"), F.col("s"), F.col("a"), F.col("sec"))).collect()
+    assert [(r.a, r.sec) for r in rows] == [
+        (["accuracy_metric"], "accuracy_eval"), (["limitation"], "algorithm_boundary"), (["input_output"], "input_output"), (["owner_metadata", "model_artifact"], "model_artifact"),
+        (["deployment", "accuracy_metric"], "accuracy_metric"), (["general"], "general"), (["label_schema"], "label_schema"), (["accuracy_metric", "release_change"], "release_note"), (["performance_latency"], "performance_eval"),
+    ]
+    assert [round(r.score, 2) for r in rows] == [1.65, -0.62, -0.12, -0.57, 0.95, -0.12, -0.54, 1.65, -0.12]
 
 
 def test_query_column_and_printed_tables(spark, tmp_path):
