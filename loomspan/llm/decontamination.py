@@ -45,6 +45,7 @@ def find_leaks(
     reach: int = 5,
     min_overlap: int = 13,
     min_equal: float = 0.8,
+    min_exact: int = 5,
     max_broadcast_seeds: int = 500_000,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -63,10 +64,15 @@ def find_leaks(
     The benchmark's seeds are broadcast, in as many parts as keep each at ``max_broadcast_seeds`` rows, one pass over the
     documents for each part; the windows of the documents are never shuffled. Only checked pairs are.
 
-    Null and empty texts, and texts and items shorter than ``min_overlap`` tokens, match nothing. Repeated items and
-    documents each give their own pairs. Returns doc_id, item_id, matched, overlap, hits.
+    An item of fewer than ``min_overlap`` tokens, but ``min_exact`` or more, leaks where all its tokens stand in a row; ``hits`` counts the
+    places. Shorter items are everyday phrases and no evidence.
+
+    Null and empty texts match nothing; null ids are ids like others. Repeated items and documents add to the hits of one pair. Returns
+    doc_id, item_id, matched, overlap, hits.
     """
     items = bench.select(F.col(item_col).alias("__item"), tokens(F.col(item_text_col)).alias("__it"))
+    short = stored(items.filter(F.size("__it").between(min_exact, min_overlap - 1)).select("__item", F.size("__it").alias("__n"), F.xxhash64("__it").alias("__seed"), "__it"))
+    sizes = sorted(r[0] for r in short.select("__n").distinct().collect())  # fewer than ``min_overlap``
     made = seeds(items, "__it", "__j", (*masks, *more_masks)).select("__item", "__j", "__mask", "__seed")
     parts = max(1, -(-made.count() // max_broadcast_seeds))
     words = docs.select(F.col(id_col).alias("__doc"), tokens(F.col(text_col)).alias("__w"))
@@ -100,7 +106,14 @@ def find_leaks(
         best = F.struct(equal(F.col("__la"), F.col("__ha")).alias("m"), (F.col("__ha") - F.col("__la")).alias("o"))
         return hits.select("__doc", "__item", best.alias("__best"), whole.cast("long").alias("__whole"))
 
-    found = reduce(DataFrame.unionByName, map(one, range(parts)))
+    def exact() -> DataFrame:
+        """Short items: every run of as many tokens as some short item has, joined by hash and compared."""
+        at = words.withColumn("__i", F.explode(F.when(F.size("__w") >= sizes[0], F.sequence(F.lit(0), F.size("__w") - sizes[0])).otherwise(F.array().cast("array<int>"))))
+        runs = F.array(*[F.when(F.col("__i") + n <= F.size("__w"), F.struct(F.lit(n).alias("__n"), F.xxhash64(F.slice("__w", F.col("__i") + 1, n)).alias("__seed"))) for n in sizes])
+        hits = at.select("__doc", "__w", "__i", F.inline(F.array_compact(runs))).join(short, ["__n", "__seed"]).filter(F.slice("__w", F.col("__i") + 1, F.col("__n")) == F.col("__it"))
+        return hits.select("__doc", "__item", F.struct(F.col("__n").alias("m"), F.col("__n").alias("o")).alias("__best"), F.lit(1).cast("long").alias("__whole"))
+
+    found = reduce(DataFrame.unionByName, [*map(one, range(parts)), *([exact()] if sizes else [])])
     best = found.groupBy("__doc", "__item").agg(F.max("__best").alias("__best"), F.sum("__whole").alias("hits"))
     return best.select(F.col("__doc").alias(id_col), F.col("__item").alias(item_col), F.col("__best.m").cast("long").alias("matched"), F.col("__best.o").cast("long").alias("overlap"), "hits")
 

@@ -31,7 +31,7 @@ def mixing(weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0, seed:
     return f"""WITH {', '.join(parts)} SELECT doc_id, size, ss AS source_size, target, ((whole + extra) * size)::BIGINT AS taken, (whole + extra)::INT AS copies FROM taken{rounds} x JOIN h ON x.src IS NOT DISTINCT FROM h.src"""
 
 
-def decontamination(masks: tuple[str, ...] = ("1110010111", "11011001011"), reach: int = 5, min_overlap: int = 13, min_equal: float = 0.8) -> str:
+def decontamination(masks: tuple[str, ...] = ("1110010111", "11011001011"), reach: int = 5, min_overlap: int = 13, min_equal: float = 0.8, min_exact: int = 5) -> str:
     """Documents and items with equal tokens under a mask, and the check of the overlap around each hit."""
     span, short = max(map(len, masks)), min(map(len, masks))
 
@@ -46,8 +46,9 @@ def decontamination(masks: tuple[str, ...] = ("1110010111", "11011001011"), reac
     return f"""WITH docs AS (SELECT doc_id AS id, {tokens} AS w FROM documents), items AS (SELECT item_id AS id, {tokens} AS w FROM benchmark),
 a AS ({side('docs')}), b AS ({side('items')}), hit AS (SELECT a.id AS doc_id, b.id AS item_id, a.w AS dw, b.w AS iw, a.i AS i, b.i AS j FROM a JOIN b ON a.m = b.m AND a.key = b.key),
 lim AS (SELECT *, greatest(0, j - i) AS la, least(len(iw), len(dw) - i + j) AS ha FROM hit), win AS (SELECT *, greatest(la, j - {reach}) AS lo, least(ha, j + {span + reach}) AS hi FROM lim),
-ok AS (SELECT doc_id, item_id, {equal('la', 'ha')} AS m, ha - la AS o FROM win WHERE hi - lo >= {min_overlap} AND {equal('lo', 'hi')} >= (hi - lo) * {min_equal}::DOUBLE)
-SELECT doc_id, item_id, arg_max(m, (m, o))::BIGINT AS matched, arg_max(o, (m, o))::BIGINT AS overlap, count(*) AS hits FROM ok GROUP BY 1, 2"""
+ok AS (SELECT doc_id, item_id, {equal('la', 'ha')} AS m, ha - la AS o FROM win WHERE hi - lo >= {min_overlap} AND {equal('lo', 'hi')} >= (hi - lo) * {min_equal}::DOUBLE),
+e AS (SELECT d.id AS doc_id, i.id AS item_id, len(i.w) AS m, len(i.w) AS o FROM (SELECT id, w, unnest(range(0, len(w) - {min_exact - 1})) AS p FROM docs) d JOIN items i ON len(i.w) BETWEEN {min_exact} AND {min_overlap - 1} AND d.w[p + 1] = i.w[1] AND d.w[p + 1 : p + len(i.w)] = i.w)
+SELECT doc_id, item_id, arg_max(m, (m, o))::BIGINT AS matched, arg_max(o, (m, o))::BIGINT AS overlap, count(*) AS hits FROM (FROM ok UNION ALL FROM e) GROUP BY 1, 2"""
 
 
 def ngram_jaccard(n: int = 5, threshold: float = 0.8) -> str:

@@ -132,6 +132,8 @@ def test_leaks_tolerate_substitutions_and_leave_clean_documents(spark):
 
 def leaks(doc, item):
     """Whether some alignment has a span of 13 tokens or more with 80 % equal, by brute force."""
+    if len(item) < 13:
+        return len(item) >= 5 and any(doc[k : k + len(item)] == item for k in range(len(doc)))
     for shift in range(-len(item) + 13, len(doc) - 12):
         same = [doc[k + shift] == item[k] for k in range(max(0, -shift), min(len(item), len(doc) - shift))]
         if any(5 * sum(same[s : s + n]) >= 4 * n for n in range(13, len(same) + 1) for s in range(len(same) - n + 1)):
@@ -158,11 +160,11 @@ def test_short_and_much_changed_passages_leak(spark):
         off = set(r.sample(range(n), r.randint(n // 5, n // 5 + 1)))
         docs.append(["x"] * 9 + ["z" if k in off else item[at + k] for k in range(n)] + ["y"] * r.choice((0, 9)))
     rows = [(k, " ".join(d), "en", "a", 1) for k, d in enumerate(docs)]
-    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[20:33])), (3, " ".join(item[20:32]))], "item_id long, text string")
-    items = {1: item, 2: item[20:33], 3: item[20:32]}
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[20:33])), (3, " ".join(item[7:18])), (4, " ".join(item[40:45])), (5, "t1 t2 t3 t4")], "item_id long, text string")
+    items = {1: item, 2: item[20:33], 3: item[7:18], 4: item[40:45], 5: item[1:5]}
     found = {(x.doc_id, x.item_id) for x in find_leaks(frame(spark, rows), bench).collect()}
     want = {(k, i) for k, d in enumerate(docs) for i, t in items.items() if leaks(d, t)}
-    assert found == want and 0 < len(want) < 2 * len(docs)
+    assert found == want and 0 < len(want) < 3 * len(docs) and {i for _, i in want} == {1, 2, 3, 4}
 
 
 def test_leaks_of_empty_tables(spark):
