@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,16 +23,30 @@ def keep_first_key(df: DataFrame, key: Column, id_col: str) -> DataFrame:
     return df.groupBy(key.alias("key")).agg(F.min(id_col).alias(id_col), F.count("*").alias("copies"))
 
 
+def numbered(rows: DataFrame, group: list[str], digest: str, *ties: str, digits: int = 3) -> DataFrame:
+    """Add ``__place`` (from 1) in the order of a hexadecimal digest inside each group, and the group's size ``__size``.
+
+    A group is cut into ranges by the digest's first digits. Their counts, a partial aggregate, tell how many rows stand before a
+    range, and only ranges are sorted: a group with most of all rows is sorted in 16**digits pieces.
+    """
+    names = [f"__g{k}" for k in range(len(group))]
+    rows = rows.withColumn("__b", F.substring(digest, 1, digits))
+    sums = rows.groupBy(*[F.col(g).alias(n) for g, n in zip(group, names, strict=True)], F.col("__b").alias("__gb")).agg(F.count("*").alias("__n"))
+    along = Window.partitionBy(*names).orderBy("__gb").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
+    sums = sums.withColumns({"__before": F.coalesce(F.sum("__n").over(along), F.lit(0)), "__size": F.sum("__n").over(Window.partitionBy(*names))})
+    place = F.row_number().over(Window.partitionBy(*group, "__b").orderBy(digest, *ties))
+    same = reduce(and_, [F.col(g).eqNullSafe(F.col(n)) for g, n in zip(group, names, strict=True)], F.col("__b") == F.col("__gb"))
+    return rows.withColumn("__r", place).join(sums, same).withColumn("__place", F.col("__r") + F.col("__before")).drop(*names, "__gb", "__b", "__n", "__r", "__before")
+
+
 def stratified_split(df: DataFrame, stratum: str, id_col: str, ratio: float, seed: int = 0) -> DataFrame:
     """Split by id inside each stratum: max(1, round(n * ratio)) ids to validation, ties to even; a single id stays in training.
 
     Ids are in order of a digest of seed and id, so the split is the same in any run.
     """
     ids = df.select(stratum, id_col).distinct().withColumn("__k", selection_key(seed, F.col(id_col)))
-    n = F.count("*").over(Window.partitionBy(stratum))
-    ids = ids.withColumn("__n", n).withColumn("__r", F.row_number().over(Window.partitionBy(stratum).orderBy("__k")))
-    val = F.when(F.col("__n") > 1, F.greatest(F.lit(1), F.bround(F.col("__n") * F.lit(ratio)).cast("int"))).otherwise(0)
-    return ids.select(stratum, id_col, F.when(F.col("__r") <= val, "val").otherwise("train").alias("split"))
+    val = F.when(F.col("__size") > 1, F.greatest(F.lit(1), F.bround(F.col("__size") * F.lit(ratio)).cast("int"))).otherwise(0)
+    return numbered(ids, [stratum], "__k", id_col).select(stratum, id_col, F.when(F.col("__place") <= val, "val").otherwise("train").alias("split"))
 
 
 def hash_split(df: DataFrame, key: Column, parts: dict[str, int], seed: int = 0, rest: str = "rest") -> DataFrame:
@@ -78,12 +94,10 @@ def entity_first(df: DataFrame, category: str, entity: str, ordinal: str, n: int
 
 def balance_up(df: DataFrame, group: str, id_col: str) -> DataFrame:
     """Repeat the rows of smaller groups, whole rounds first, until each group is as large as the largest; ``copy`` tells them apart."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("__n"))
-    sizes = sizes.withColumn("__most", F.max("__n").over(Window.partitionBy()))
-    place = F.row_number().over(Window.partitionBy(group).orderBy(selection_key("balance", F.col(id_col)), id_col))
-    copies = F.floor(F.col("__most") / F.col("__n")) + (F.col("__r") <= F.col("__most") % F.col("__n")).cast("int")
-    rows = df.join(F.broadcast(sizes), group).withColumn("__r", place).withColumn("copy", F.explode(F.sequence(F.lit(0), (copies - 1).cast("int"))))
-    return rows.drop("__n", "__most", "__r")
+    most = df.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n")).scalar()
+    rows = numbered(df.withColumn("__k", selection_key("balance", F.col(id_col))), [group], "__k", id_col)
+    copies = F.floor(most / F.col("__size")) + (F.col("__place") <= most % F.col("__size")).cast("int")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(0), (copies - 1).cast("int")))).drop("__k", "__place", "__size")
 
 
 def replicate(df: DataFrame, weight: Column) -> DataFrame:
@@ -106,10 +120,15 @@ def field_overlap(df: DataFrame, fields: list[str], split: str) -> DataFrame:
     return held.select("field", F.explode(F.flatten(names)).alias("x")).groupBy("field", F.col("x.a").alias("split_a"), F.col("x.b").alias("split_b")).agg(F.count("*").alias("overlap"))
 
 
-def preference_pairs(good: DataFrame, bad: DataFrame, on: str, key: list[str]) -> DataFrame:
-    """Chosen and rejected answers of the same prompt, one for each key."""
-    pairs = good.join(bad, on)
-    return pairs.groupBy(*key).agg(F.count("*").alias("n_pairs"))
+def preference_pairs(good: DataFrame, bad: DataFrame, on: list[str], id_col: str, key: list[str]) -> DataFrame:
+    """A row for each pair of a chosen and a rejected answer with equal values of ``on`` (a null is equal to a null), one for each
+    ``key`` (columns of the pair); ``pair_id`` is a digest of the key."""
+    from loomspan.functions.text import stable_id
+
+    a = good.select(*on, F.col(id_col).alias("chosen"))
+    b = bad.select(*[F.col(c).alias(f"__{c}") for c in on], F.col(id_col).alias("rejected"))
+    pairs = a.join(b, reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on])).drop(*[f"__{c}" for c in on])
+    return pairs.dropDuplicates(key).withColumn("pair_id", stable_id(*map(F.col, key)))
 
 
 def step_rows(turns: DataFrame, case: str, order: str, action: str) -> DataFrame:

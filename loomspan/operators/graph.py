@@ -13,6 +13,7 @@ PATTERNS = [
     ("version", r"\b([vV]?\d+(?:\.\d+){1,3}(?:[-_][A-Za-z0-9]+)?)\b", 1),
     ("oid", r"\b([a-fA-F0-9]{32,64})\b", 1),
     ("deployment", r"(?i)\b(?:did|rid|deployment_id|release_id)[:=\s_-]*(\d{4,})\b", 1),
+    ("platform", r"(?i)\b(cuda\d+(?:\.\d+)?-trt\d+(?:\.\d+)?-[a-z0-9]+-[A-Za-z0-9]+|acl-[A-Za-z0-9]+-[a-z0-9]+|cpu-[A-Za-z0-9]+-[a-z0-9]+)\b", 1),
     ("field", r"(输入|输出|阈值|推荐阈值|追加数据|优化点|标签|负责人|更新时间|推荐配置)", 1),
     ("scene", r"([一-鿿]{2,12}(?:检测|识别|分类|属性|特征|质量|模型|项目|场景))", 1),
 ]

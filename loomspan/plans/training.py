@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomspan.functions.text import benchmark_text
+from loomspan.functions.text import benchmark_text, selection_key
 from loomspan.operators import datasets as D
 from loomspan.operators import evaluation as E
 from loomspan.operators import rewards as W
@@ -124,13 +124,13 @@ def chatml_render(t):
 
 
 @R.add("preference_pairs", """
-WITH l AS (SELECT doc_id, lang, quality, toxic FROM documents JOIN labels USING (doc_id))
-SELECT g.lang, count(*) AS n_pairs FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM l WHERE quality = 1) g
-JOIN (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM l WHERE quality = 0) b ON g.lang = b.lang AND g.k = b.k GROUP BY 1""")
+WITH l AS (SELECT doc_id, lang, quality, row_number() OVER (PARTITION BY lang, quality ORDER BY sha256('5' || chr(10) || doc_id), doc_id) AS k FROM documents JOIN labels USING (doc_id))
+SELECT g.lang, g.k, g.doc_id AS chosen, b.doc_id AS rejected, substr(sha1(coalesce(g.lang, 'None') || chr(10) || g.doc_id || chr(10) || b.doc_id), 1, 24) AS pair_id FROM l g JOIN l b ON g.lang IS NOT DISTINCT FROM b.lang AND g.k = b.k WHERE g.quality = 1 AND b.quality = 0""")
 def preference_pairs(t):
-    rows = t("documents").select("doc_id", "lang").join(t("labels"), "doc_id")
-    rows = rows.withColumn("k", F.concat_ws(":", "lang", F.row_number().over(Window.partitionBy("lang", "quality").orderBy("doc_id"))))
-    return D.preference_pairs(rows.filter("quality = 1"), rows.filter("quality = 0").select("k"), "k", ["lang"])
+    """The n-th good and the n-th bad document of a language, in the order of a digest."""
+    rows = t("documents").select("doc_id", "lang").join(t("labels").select("doc_id", "quality"), "doc_id").withColumn("__k", selection_key(5, F.col("doc_id")))
+    rows = D.numbered(rows, ["lang", "quality"], "__k", "doc_id").withColumnRenamed("__place", "k")
+    return D.preference_pairs(rows.filter("quality = 1"), rows.filter("quality = 0"), ["lang", "k"], "doc_id", ["lang", "chosen", "rejected"])
 
 
 # Events stand for evaluation runs: the user is the case, the type the category, the day the run, the value the score.
@@ -289,11 +289,12 @@ event_type = 'signup' AS forbidden FROM events)"""
 
 
 def step_scores(t):
-    e = t("events")
     want = F.when(F.col("event_id") % 3 == 0, "click").when(F.col("event_id") % 3 == 1, "view").otherwise("error")
-    arg = F.get_json_object("props", "$.k").cast("int") % 2 == 0
-    s = 0.10 + 0.10 + F.when(F.col("event_type") == want, 0.35).otherwise(0.0) + F.when(arg, 0.25).otherwise(0.0) + 0.10
-    return e.select("user_id", "event_id", s.alias("s"), (F.col("event_type") == "signup").alias("forbidden"))
+    arg, even = F.get_json_object("props", "$.k"), F.create_map(F.lit("k"), F.lit("even"))
+    given = F.create_map(F.lit("k"), F.when(arg.cast("int") % 2 == 0, "Even ").otherwise(arg))
+    expected = F.struct(F.lit("tool").alias("kind"), want.alias("action"), even.alias("args"), F.lit(None).cast("map<string,array<string>>").alias("contains"))
+    made = F.struct(F.lit("tool").alias("kind"), F.col("event_type").alias("action"), given.alias("args"))
+    return t("events").select("user_id", "event_id", W.step_score(W.step_detail(expected, made)).alias("s"), (F.col("event_type") == "signup").alias("forbidden"))
 
 
 @R.add("step_reward", f"SELECT event_id, round(s, 6)::DOUBLE AS score FROM {_STEP}")
