@@ -140,7 +140,7 @@ def main_text(blocks: list[tuple[str, int, bool]], other: list[tuple[str, int, b
     return "\n".join(t for t, _ in left)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", per_range: int = 20) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rows_per_range: int = 20_000, most_ranges: int = 20_000) -> DataFrame:
     """The main text of each page.
 
     Pages are put in the order of (host, path, id). Of the pages before and after, the one of the same host whose path shares more
@@ -149,8 +149,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     article stays whole: articles that quote each other or are copied would lose their own text to differencing. Elements that
     say they are boilerplate (by their tag, or by the first or last part of a class, id or role) are left out.
 
-    The order is cut into ranges at places drawn from ``per_range`` keys a range, chosen by a hash; a host with most of all pages spans many
-    ranges. A range's first and last page are handed to its neighbours too, so that the result does not depend on the ranges.
+    The order is cut into ranges at places drawn from up to 20 keys a range (200,000 in all), chosen by a hash: one range for
+    ``rows_per_range`` pages, at least as many as there are shuffle partitions and at most ``most_ranges``, each a task. A host with most of all
+    pages spans many ranges. A range's first and last page are handed to its neighbours too, so that the result does not depend on the ranges.
 
     Null and empty pages give an empty text; null URLs form a host of their own; pages with equal URLs are ordered by id, rows with equal
     ids by their content. Other columns are left out. Returns id, url, text, n_chars.
@@ -190,17 +191,22 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     url = F.coalesce(F.col(url_col), F.lit(""))
     host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = min(most_ranges, max(int(spark.conf.get("spark.sql.shuffle.partitions")), pages.count() // rows_per_range))
     order = F.struct(F.col("__host"), F.col("__path"), F.col("__id"))
     keys = pages.select(host.alias("__host"), path.alias("__path"), F.col(id_col).alias("__id"))
-    some = sorted({(r[0], r[1], r[2] is not None, r[2]) for r in keys.orderBy(F.xxhash64("__host", "__path", "__id")).limit(n * per_range).collect()})
+    some = sorted({(r[0], r[1], r[2] is not None, r[2]) for r in keys.orderBy(F.xxhash64("__host", "__path", "__id")).limit(min(20 * n, max(200_000, n))).collect()})
     places = [some[k * len(some) // n] for k in range(1, n)] if some else []
-    known = json.dumps([{"__host": h, "__path": p, "__id": i} for h, p, _, i in dict.fromkeys(places)])
-    places = F.from_json(F.lit(known), f"array<struct<__host:string,__path:string,__id:{id_type.simpleString()}>>")
+    places = [{"__host": h, "__path": p, "__id": i} for h, p, _, i in dict.fromkeys(places)]
+    width = max(1, round(len(places) ** 0.5))
+    groups = [places[k : k + width] for k in range(0, len(places), width)]
+    kind_of = f"array<struct<__host:string,__path:string,__id:{id_type.simpleString()}>>"
+    heads, lists = F.from_json(F.lit(json.dumps([g[0] for g in groups])), kind_of), F.from_json(F.lit(json.dumps(groups)), f"array<{kind_of}>")
 
     def ranged(df: DataFrame) -> DataFrame:
-        """With the range of each row: how many of the places lie at or before its key."""
-        return df.withColumn("__range", F.size(F.filter(places, lambda x: x <= order)))
+        """With the range of each row: how many of the places lie at or before its key, told in two steps of about the root of their number."""
+        at_or_before = lambda xs: F.size(F.filter(xs, lambda x: x <= order))
+        df = df.withColumn("__c", at_or_before(heads))
+        return df.withColumn("__range", F.when(F.col("__c") > 0, (F.col("__c") - 1) * width + at_or_before(F.get(lists, F.col("__c") - 1))).otherwise(0)).drop("__c")
 
     ends = ranged(keys).groupBy("__range").agg(F.min(order).alias("__first"), F.max(order).alias("__last"))  # a row for each range
     along = Window.orderBy("__range")
@@ -209,5 +215,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = ranged(rows).join(F.broadcast(ends), "__range")
     tasks = F.filter(F.array("__range", F.when(order == F.col("__first"), F.col("__before")), F.when(order == F.col("__last"), F.col("__after"))), lambda x: x.isNotNull())
     dealt = rows.withColumn("__task", F.explode(tasks)).select("__id", "__url", "__html", "__host", "__path", "__task", (F.col("__task") == F.col("__range")).alias("__own"), F.xxhash64("__html").alias("__hash"))
-    dealt = dealt.repartition(n, "__task").sortWithinPartitions("__task", "__host", "__path", "__id", "__hash").drop("__hash")
+    dealt = dealt.repartitionById(n, F.col("__task")).sortWithinPartitions("__task", "__host", "__path", "__id", "__hash").drop("__hash")
     return dealt.mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, `{url_col}` string, text string, n_chars long")
