@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
@@ -105,3 +106,25 @@ def distribution_shift(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
     both = share(a, "share_a").join(share(b, "share_b"), "value", "full").na.fill(0.0, ["share_a", "share_b"])
     both = both.withColumn("delta", F.col("share_b") - F.col("share_a"))
     return both.withColumn("total_variation", 0.5 * F.sum(F.abs("delta")).over(Window.partitionBy()))
+
+
+def order_statistics(df: DataFrame, group: str, value: str, places: dict[str, Callable[[Column], Column]], cuts: int = 64) -> DataFrame:
+    """For each group the values at given places of its sorted values: (group, n, a column for each place).
+
+    ``places`` map a name to a function from the number of values to a place from 0; a place outside gives null. Null values are left
+    out. Rows are counted by value; a group's distinct values are cut into ranges at approximate quantiles, whose sketch has a bounded
+    size, the exact counts of ranges tell which of them hold a place, and only these are sorted: no group is sorted or gathered whole.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(group).alias("__g"), F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    marks = counts.groupBy(F.col("__g").alias("__mg")).agg(F.percentile_approx("__v", [k / cuts for k in range(1, cuts)], 1000).alias("__marks"))
+    ranged = counts.join(marks, F.col("__g").eqNullSafe(F.col("__mg"))).withColumn("__b", F.size(F.filter("__marks", lambda m: m < F.col("__v")))).select("__g", "__v", "__n", "__b")
+    per = ranged.groupBy(F.col("__g").alias("__wg"), F.col("__b").alias("__wb")).agg(F.sum("__n").alias("__in"))  # one row for each range
+    per = per.withColumns({"__upto": F.sum("__in").over(Window.partitionBy("__wg").orderBy("__wb")), "n": F.sum("__in").over(Window.partitionBy("__wg"))})
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("n")).cast("long").alias("at")) for name, place in places.items()]))
+    asked = per.withColumn("__a", asked).filter((F.col("__a.at") < F.col("__upto")) & (F.col("__a.at") >= F.col("__upto") - F.col("__in")))
+    asked = asked.groupBy("__wg", "__wb", "n", (F.col("__upto") - F.col("__in")).alias("__before")).agg(F.collect_list("__a").alias("__asked"))  # at most one entry for each place
+    inside = ranged.join(asked, F.col("__g").eqNullSafe(F.col("__wg")) & (F.col("__b") == F.col("__wb")))
+    last = F.col("__before") + F.sum("__n").over(Window.partitionBy("__g", "__b").orderBy("__v"))
+    hits = inside.withColumn("__last", last).select("__g", "n", "__v", "__n", "__last", F.explode("__asked").alias("__a"))
+    hits = hits.filter((F.col("__a.at") < F.col("__last")) & (F.col("__a.at") >= F.col("__last") - F.col("__n")))
+    return hits.groupBy(F.col("__g").alias(group), "n").agg(*[F.max(F.when(F.col("__a.name") == name, F.col("__v"))).alias(name) for name in places])

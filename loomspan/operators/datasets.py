@@ -49,17 +49,40 @@ def stratified_split(df: DataFrame, stratum: str, id_col: str, ratio: float, see
     return numbered(ids, [stratum], "__k", id_col).select(stratum, id_col, F.when(F.col("__place") <= val, "val").otherwise("train").alias("split"))
 
 
+def nth_digest(keys: DataFrame, digest: str, n: int, most: int = 100_000) -> str | None:
+    """The n-th smallest of hexadecimal digests of one length (the largest, if there are fewer; null without rows).
+
+    Counts by three more digits at a time, at most 4096 a step, lead to a range of up to ``most`` rows, and only that one is sorted.
+    """
+    prefix, left = "", n
+    while True:
+        inside = keys.filter(F.col(digest).startswith(prefix))
+        rows = inside.groupBy(F.substring(digest, 1, len(prefix) + 3).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()
+        if not rows:
+            return None
+        before = 0
+        for p, size in rows:
+            if before + size >= left or p == rows[-1].p:
+                break
+            before += size
+        if p == prefix:
+            return p  # rows that share a whole digest
+        prefix, left = p, left - before
+        if size <= most:
+            return keys.filter(F.col(digest).startswith(prefix)).select(digest).orderBy(digest).limit(max(1, left)).agg(F.max(digest)).first()[0]
+
+
 def hash_split(df: DataFrame, key: Column, parts: dict[str, int], seed: int = 0, rest: str = "rest") -> DataFrame:
     """The first rows in order of a digest go to the first part, and so on; what is left is ``rest``.
 
-    Only as many rows as the parts need are ever sorted in full (top-k); the others are told by comparison with the last digest.
+    No part is sorted whole: the last digest of each part is found by counts, and rows are told by comparison with it. A part of no
+    rows stays empty.
     """
     keyed = df.withColumn("__k", selection_key(seed, key))
     bounds, total = [], 0
     for name, n in parts.items():
         total += n
-        last = keyed.select("__k").orderBy("__k").limit(total).agg(F.max("__k")).first()[0]
-        bounds.append((name, last))
+        bounds.append((name, nth_digest(keyed, "__k", total) if total else ""))
     split = F.lit(rest)
     for name, last in reversed(bounds):
         split = F.when(F.col("__k") <= F.lit(last), name).otherwise(split)

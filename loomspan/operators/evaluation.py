@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.operators.datasets import numbered
+
 
 def share(cond: Column) -> Column:
     return F.avg(cond.cast("double"))
@@ -75,17 +77,19 @@ def contingency(pairs: DataFrame, base: Column, reference: Column) -> DataFrame:
 def bootstrap(clusters: DataFrame, cluster: str, total: str, count: str, samples: int, seed: int = 7) -> DataFrame:
     """Means of resampled clusters: (replicate, mean).
 
-    Clusters come pre-aggregated to a sum and a count. Draw d of replicate r takes the cluster numbered by a digest of (seed, r,
-    d) modulo the number of clusters; draws are counted per (replicate, cluster number) before they meet the clusters in an
-    equi-join, and no random state is kept, so the result is the same on any number of machines and in SQL.
+    Clusters come pre-aggregated to a sum and a count, and are numbered in order of a digest, by ranges of it. Draw d of replicate r
+    takes the cluster whose number is a digest of (seed, r, d) modulo the number of clusters; draws are counted per (replicate, cluster
+    number) before they meet the clusters in an equi-join, and no random state is kept, so the result is the same on any number of
+    machines and in SQL.
     """
-    numbered = clusters.withColumn("__no", F.row_number().over(Window.orderBy(cluster)) - 1)  # one narrow row a cluster
+    keyed = clusters.select(cluster, total, count, F.md5(F.col(cluster).cast("string")).alias("__k"))
+    places = numbered(keyed, [], "__k", cluster).withColumn("__no", F.col("__place") - 1)
     n = clusters.count()
     draws = clusters.sparkSession.range(samples * n).select(F.floor(F.col("id") / n).alias("replicate"), (F.col("id") % n).alias("draw"))
     key = F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("draw").cast("string"))
     number = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % n
     counts = draws.groupBy("replicate", number.alias("__no")).agg(F.count("*").alias("times"))
-    return counts.join(numbered, "__no").groupBy("replicate").agg((F.sum(F.col("times") * F.col(total)) / F.sum(F.col("times") * F.col(count))).alias("mean"))
+    return counts.join(places, "__no").groupBy("replicate").agg((F.sum(F.col("times") * F.col(total)) / F.sum(F.col("times") * F.col(count))).alias("mean"))
 
 
 def interval(means: DataFrame, low: float = 0.025, high: float = 0.975) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -161,17 +161,26 @@ def chunk_recall(pairs: DataFrame, key: str, source: str, found: str, threshold:
     return each.groupBy(key).agg(F.max("ratio").alias("ratio")).withColumn("hit", F.col("ratio") > threshold)
 
 
-def nearest_texts(queries: DataFrame, candidates: DataFrame, group: str, query_id: str, query_text: str, cand_id: str, cand_text: str, most_queries: int = 50_000) -> DataFrame:
+def nearest_texts(queries: DataFrame, candidates: DataFrame, group: str, query_id: str, query_text: str, cand_id: str, cand_text: str, most_queries: int = 50_000, block_chars: int = 8_000_000) -> DataFrame:
     """For each query the candidate of its group whose text is most alike: (query_id, cand_id, ratio).
 
     The ratio is twice the matching characters over all characters, matched block by block. Queries are a stated set of at most
-    ``most_queries`` rows (more are an error) that every block of candidates is held against. A bound by character counts, made for the
-    whole block at once, orders the candidates, so that few pairs are compared in full. Ties go to the smallest id.
+    ``most_queries`` rows (more are an error) that every block of candidates is held against. Queries are taken in blocks of about
+    ``block_chars`` characters of text, one pass over the candidates each, so that no more than a block is ever broadcast or on the
+    driver. A bound by character counts, made for the whole block at once, orders the candidates, so that few pairs are compared in
+    full. Ties go to the smallest id.
     """
     if queries.count() > most_queries:
         raise ValueError(f"more than {most_queries} queries")
-    rows = [(r[0], r[1], r[2] or "") for r in queries.select(group, query_id, query_text).collect()]
-    shared = queries.sparkSession.sparkContext.broadcast(rows)
+    context = queries.sparkSession.sparkContext
+    blocks, held, size = [], [], 0
+    for r in queries.select(group, query_id, query_text).toLocalIterator():
+        held.append((r[0], r[1], r[2] or ""))
+        size += len(held[-1][2])
+        if size >= block_chars:
+            blocks.append(context.broadcast(held))
+            held, size = [], 0
+    blocks.append(context.broadcast(held))
 
     def counts(texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), 128), np.int32)
@@ -180,7 +189,7 @@ def nearest_texts(queries: DataFrame, candidates: DataFrame, group: str, query_i
             out[k] = np.bincount(codes.astype(np.int64), minlength=128)
         return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = shared.value
         have = counts([q[2] for q in asked])
         best: dict[int, tuple[float, int]] = {}
@@ -209,7 +218,8 @@ def nearest_texts(queries: DataFrame, candidates: DataFrame, group: str, query_i
         if best:
             yield pa.RecordBatch.from_arrays([pa.array([asked[n][1] for n in best], pa.int64()), pa.array([c for _, c in best.values()], pa.int64()), pa.array([r for r, _ in best.values()], pa.float64())], [query_id, cand_id, "ratio"])
 
-    found = candidates.select(group, cand_id, cand_text).mapInArrow(run, f"`{query_id}` long, `{cand_id}` long, ratio double")
+    texts = candidates.select(group, cand_id, cand_text)
+    found = reduce(DataFrame.unionByName, [texts.mapInArrow(partial(run, x), f"`{query_id}` long, `{cand_id}` long, ratio double") for x in blocks])
     top = F.max_by(F.struct(F.col(cand_id).alias("c"), F.col("ratio").alias("r")), F.struct(F.col("ratio"), -F.col(cand_id)))
     return found.groupBy(query_id).agg(top.alias("b")).select(query_id, F.col("b.c").alias(cand_id), F.col("b.r").alias("ratio"))
 
@@ -228,11 +238,31 @@ def retrieval_scores(evidence: DataFrame, query: str, rank: str, expected: Colum
 def organised(items: DataFrame, key: Column, item: str, confidence: str, order: str, unions: Sequence[str], most: int = 24) -> DataFrame:
     """Items merged by key: ids and distinct list entries in order of confidence and recency, mean confidence, an id from the members' ids.
 
-    ``unions`` are array columns. Lists of a group are exploded and ranked as rows, then cut to ``most`` entries each.
+    ``unions`` are array columns. Lists of a group are exploded and ranked as rows, then cut to ``most`` entries each. The id is a
+    digest over all ids in order, fed row by row: a group is sorted, but never held.
     """
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        running, key, out = None, None, []
+        for batch in batches:
+            for place, k, i in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if place == 1:
+                    if running:
+                        out.append((key, running.hexdigest()))
+                    running, key = hashlib.sha1(), k
+                elif i is not None:
+                    running.update(b"|")
+                running.update((i or "").encode("utf-8", "surrogatepass"))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], batch.schema.field(1).type), pa.array([x[1] for x in out])], ["__k", "__s"])
+                out = []
+        if running:
+            yield pa.RecordBatch.from_arrays([pa.array([key], batch.schema.field(1).type), pa.array([running.hexdigest()])], ["__k", "__s"])
+
     rows = items.withColumn("__k", key).withColumn("__o", F.row_number().over(Window.partitionBy("__k").orderBy(F.desc(confidence), F.desc(order), item)))
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("__o", F.col(item).cast("string").alias("i")))), lambda x: x["i"])
-    out = rows.groupBy("__k").agg(F.count("*").alias("n_items"), F.avg(confidence).alias("confidence"), F.sha1(F.array_join(ids, "|")).alias("__s"))
+    ordered = rows.select("__o", "__k", F.col(item).cast("string")).repartition("__k").sortWithinPartitions("__k", "__o")
+    signs = ordered.mapInArrow(digests, f"__k {rows.schema['__k'].dataType.simpleString()}, __s string").withColumnRenamed("__k", "__d")
+    out = rows.groupBy("__k").agg(F.count("*").alias("n_items"), F.avg(confidence).alias("confidence")).join(signs, F.col("__k").eqNullSafe(F.col("__d")))
     out = out.select(F.col("__k").alias("group_key"), F.concat(F.lit("org-"), F.substring("__s", 1, 16)).alias("candidate_id"), "n_items", "confidence")
     for u in unions:
         e = rows.select("__k", "__o", F.posexplode(u).alias("__j", "__v")).groupBy("__k", "__v").agg(F.min(F.struct("__o", "__j")).alias("__at"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from loomspan.functions import percentiles as P
@@ -111,20 +113,22 @@ WITH s AS (SELECT event_type, list(value ORDER BY value) AS v, count(*) AS n, qu
 SELECT event_type, v[least(n - 1, floor(n * 0.95)::BIGINT) + 1] AS truncating, v[round_even((n - 1) * 0.95, 0)::BIGINT + 1] AS half_even,
 round(lin, 6) AS linear, v[floor((n - 1) * 0.95)::BIGINT + 1] AS lower, v[n // 2 + 1] AS upper_half FROM s""")
 def percentile_variants(t):
-    # A sorted array for each event type: the definitions index into it. For large groups use percentile() instead.
-    g = t("events").groupBy("event_type").agg(F.array_sort(F.collect_list("value")).alias("v"), F.round(P.linear(F.col("value"), 0.95), 6).alias("linear"))
-    v = F.col("v")
-    return g.select("event_type", P.truncating(v, 0.95).alias("truncating"), P.half_even(v, 0.95).alias("half_even"), "linear", P.lower(v, 0.95).alias("lower"), P.upper_half(v).alias("upper_half"))
+    g = A.order_statistics(t("events"), "event_type", "value", {name: partial(place, f=0.95) for name, place in P.PLACES.items()})
+    linear = F.round(P.between(F.col("lower"), F.col("upper"), F.col("n"), 0.95), 6)
+    return g.select("event_type", "truncating", "half_even", linear.alias("linear"), "lower", "upper_half")
 
 
 @R.add("latency_stats", """
 SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, round(quantile_cont(value, 0.5), 6) AS p50,
 round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1""")
 def latency_stats(t):
-    return t("events").groupBy("event_type").agg(
-        F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"),
-        F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"),
-    )
+    e = t("events")
+    shares = {"p50": 0.5, "p95": 0.95}
+    places = {f"{side}_{name}": partial(P.PLACES[side], f=f) for name, f in shares.items() for side in ("lower", "upper")}
+    at = A.order_statistics(e, "event_type", "value", places)
+    at = at.select("event_type", *[F.round(P.between(F.col(f"lower_{name}"), F.col(f"upper_{name}"), F.col("n"), f), 6).alias(name) for name, f in shares.items()])
+    g = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return g.join(at, "event_type", "left")
 
 
 @R.add("wilson_interval", """

@@ -204,7 +204,7 @@ def contingency_2x2(t):
     return out.select("both", "neither", "base_only", "reference_only", F.round("base_rate", 6).alias("base_rate"), F.round("reference_rate", 6).alias("reference_rate"))
 
 
-_CLUSTERS = f"(SELECT row_number() OVER (ORDER BY user_id) - 1 AS no, round(sum(d), 6) AS s, count(*) AS n FROM {_PAIRS} GROUP BY user_id)"
+_CLUSTERS = f"(SELECT row_number() OVER (ORDER BY md5(user_id::VARCHAR), user_id) - 1 AS no, round(sum(d), 6) AS s, count(*) AS n FROM {_PAIRS} GROUP BY user_id)"
 
 
 @R.add("cluster_bootstrap_ci", f"""
