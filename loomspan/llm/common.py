@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 #: Characters of text that one vectorised step holds at most, unless a single text is longer.
 STEP_CHARS = 1_000_000
@@ -136,12 +137,14 @@ class Words:
         return mix64(h), d
 
 
-def by_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str, max_broadcast: int = 2_000_000) -> DataFrame:
+def by_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str, max_bytes: int = 64_000_000) -> DataFrame:
     """Semi, anti or inner join of wide rows with a narrow table of ids (stored or cheap to count).
 
-    Up to ``max_broadcast`` ids are broadcast, so that texts stay where they are; more ids are joined by a shuffle of both sides.
+    Up to ``max_bytes`` are broadcast, so that texts stay where they are; larger tables are joined by a shuffle of both sides. A row
+    counts 24 bytes and 8 for each number or flag, 88 for any other value (the longest here is a sketch of 64 bytes).
     """
-    return docs.join(F.broadcast(ids) if ids.count() <= max_broadcast else ids, id_col, how)
+    width = 24 + sum(8 if isinstance(f.dataType, (NumericType, BooleanType)) else 88 for f in ids.schema.fields)
+    return docs.join(F.broadcast(ids) if ids.count() * width <= max_bytes else ids, id_col, how)
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str, limit: int) -> Iterator[pa.Table]:
