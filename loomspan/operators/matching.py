@@ -166,8 +166,8 @@ def nearest_texts(queries: DataFrame, candidates: DataFrame, group: str, query_i
 
     The ratio is twice the matching characters over all characters, matched block by block. Queries are a stated set of at most
     ``most_queries`` rows (more are an error) that every block of candidates is held against. Queries are taken in blocks of about
-    ``block_chars`` characters of text, one pass over the candidates each, so that no more than a block is ever broadcast or on the
-    driver. A bound by character counts, made for the whole block at once, orders the candidates, so that few pairs are compared in
+    ``block_chars`` characters of text, one pass over the candidates each: the driver gathers one block at a time and a task
+    opens one; the blocks of one call are all broadcast, which the number of queries bounds but not the length of their texts. A bound by character counts, made for the whole block at once, orders the candidates, so that few pairs are compared in
     full. Ties go to the smallest id.
     """
     if queries.count() > most_queries:
