@@ -101,8 +101,9 @@ WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] =
 class Words:
     """Lower-case words of many texts as flat arrays. A word is a run of ASCII letters, digits and non-ASCII characters."""
 
-    def __init__(self, texts: list[str]):
-        parts = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    def __init__(self, texts: list[str], ascii_only: bool = False):
+        """ascii_only: lower-case A-Z and no other letter."""
+        parts = [t.encode("utf-8", "surrogatepass").lower() if ascii_only else t.lower().encode("utf-8", "surrogatepass") for t in texts]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         self.buf = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
         first = np.zeros(len(parts) + 1, np.int64)

@@ -87,6 +87,24 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.lexical import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.simhash import fingerprint_classes
+
+    return fingerprint_classes(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.vectors import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_mixing": op2_mixing,
@@ -98,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_html": op9_html,
     "op10_tokens": op10_tokens,
+    "op11_search": op11_search,
+    "op12_simhash": op12_simhash,
+    "op13_vector_codes": op13_vector_codes,
 }
 #: Models, parsers and patterns with rules of their own are beyond SQL: those queries are tested against brute force instead.
 SQL: dict[str, str] = {
@@ -106,4 +127,6 @@ SQL: dict[str, str] = {
     "op4_ngram_jaccard": sql.ngram_jaccard(),
     "op5_substrings": sql.substrings(),
     "op6_sharding": sql.sharding(),
+    "op11_search": sql.search(),
+    "op13_vector_codes": sql.vector_codes(),
 }

@@ -90,3 +90,35 @@ s AS (SELECT d.doc_id, length(x) // 2 + 8 AS size, coalesce(crc, 0) AS crc FROM
 u AS (SELECT *, sum(size) OVER (ORDER BY doc_id, size, crc ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS every FROM s),
 p AS (SELECT *, ((2 * upto - size) * {shards} // (2 * every))::INT AS shard FROM u)
 SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, crc) - 1)::BIGINT AS slot, NULL::INT AS grown_shard FROM p"""
+
+
+def search(k: int = 50) -> str:
+    """Statistics of all terms, the integer weight and impact of each posting an item asks for, and the first rows by score and id."""
+    terms = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""WITH d AS (SELECT doc_id, {terms} AS t FROM documents), s AS (SELECT count(*) FILTER (WHERE len(t) > 0)::BIGINT AS nd, sum(len(t))::BIGINT AS l FROM d),
+q AS (SELECT DISTINCT item_id, unnest({terms}) AS t FROM benchmark), p AS (SELECT doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, len(t)::BIGINT AS n, unnest(t) AS t FROM d) GROUP BY 1, 2, 3),
+w AS (SELECT t, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY t, nd),
+r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // l))))::BIGINT AS score FROM q JOIN p USING (t) JOIN w USING (t), s GROUP BY 1, 2)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= {k}"""
+
+
+def vector_codes(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Plain assignment of all parts to all entries, in each round."""
+    floor = "((s - ((s % n) + n) % n) // n)::BIGINT"
+    far = "list_sum(list_transform(list_zip(p.q, e.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    parts_ = [
+        "k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS (SELECT vec_id, label, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS q FROM (SELECT *, unnest(range({parts})) AS part FROM k))",
+        f"o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k QUALIFY entry < {entries})",
+        "e0 AS (SELECT part, entry, q FROM p JOIN o USING (vec_id))",
+    ]
+    for r in range(rounds + 1):
+        parts_.append(f"a{r} AS (SELECT vec_id, any_value(label) AS label, part, any_value(q) AS q, min(struct_pack(d := d, entry := entry)) AS best FROM (SELECT p.*, e.entry, {far} AS d FROM p JOIN e{r} e USING (part)) GROUP BY vec_id, part)")
+        if r < rounds:
+            parts_ += [
+                f"s{r} AS (SELECT part, entry, list({floor} ORDER BY i) AS q FROM (SELECT part, best.entry AS entry, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT part, best, unnest(q) AS x, unnest(range(len(q))) AS i FROM a{r}) GROUP BY 1, 2, 3) GROUP BY 1, 2)",
+                f"e{r + 1} AS (SELECT part, entry, coalesce(s{r}.q, e{r}.q) AS q FROM e{r} LEFT JOIN s{r} USING (part, entry))",
+            ]
+    return f"""WITH {', '.join(parts_)}, c AS (SELECT vec_id, any_value(label) AS label, string_agg(lpad(lower(hex(best.entry)), 2, '0'), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+b AS (SELECT sha256(string_agg(array_to_string(q, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM e{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c, b"""
