@@ -8,42 +8,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions.text import text_tokens
+from loomspan.sources.snapshots import stored
 
 
 def token_counts(docs: DataFrame, id_col: str, tokens: Column, terms: Sequence[str]) -> DataFrame:
     """(id, length, tf): the token count of each document and how often each query term occurs.
 
-    Each generator is a barrier: what is made before it is made once a row, however often later steps use it. The result is dealt out
-    by id, a few numbers a row, so that all parts of one query that need it share one pass over the texts.
+    Each generator is a barrier: what is made before it is made once a row, however often later steps use it.
     """
     once = docs.select(id_col, F.explode(F.array(tokens)).alias("__t"))
     hits = F.struct(F.size("__t").alias("length"), F.filter("__t", lambda t: t.isin(list(terms))).alias("hits"))
-    few = once.select(id_col, F.explode(F.array(hits)).alias("__h")).select(id_col, "__h.length", "__h.hits").repartition(id_col)
+    few = once.select(id_col, F.explode(F.array(hits)).alias("__h"))
 
     def occurrences(term: str) -> Column:
-        return F.size(F.filter("hits", lambda t: t == term))
+        return F.size(F.filter("__h.hits", lambda t: t == term))
 
-    tf = F.array(*map(occurrences, terms)).cast("array<int>")
-    return few.select(id_col, F.explode(F.array(F.struct("length", tf.alias("tf")))).alias("__c")).select(id_col, "__c.length", "__c.tf")
+    return few.select(id_col, "__h.length", F.array(*map(occurrences, terms)).cast("array<int>").alias("tf"))
 
 
 def bm25(docs: DataFrame, terms: Sequence[str], id_col: str, tokens: Column, k1: float = 1.5, b: float = 0.75, keep_zero: bool = False) -> DataFrame:
     """(id, score) for the given query terms, which are taken once each.
 
-    idf = ln(1 + (N - df + 0.5) / (df + 0.5)) with N over all documents; the average length is over documents with tokens. Corpus
-    statistics are one partial aggregate with a number for each term, read as a scalar by the scoring projection.
+    idf = ln(1 + (N - df + 0.5) / (df + 0.5)) with N over all documents; the average length is over documents with tokens. One pass
+    over the texts writes a few numbers a document; statistics (one partial aggregate, a number for each term) and scores read
+    those. Where many queries go to one corpus, ``sources.inverted`` keeps the postings.
     """
     terms = list(dict.fromkeys(terms))
-    counts = token_counts(docs, id_col, tokens, terms)
+    counts = stored(token_counts(docs, id_col, tokens, terms))
     df = F.array(*[F.sum((F.col("tf")[i] > 0).cast("long")) for i in range(len(terms))]).cast("array<bigint>")
-    stats = counts.agg(F.struct(F.count("*").alias("n"), F.avg(F.when(F.col("length") > 0, F.col("length"))).alias("avg"), df.alias("df"))).scalar()
+    stats = counts.agg(F.count("*").alias("n"), F.avg(F.when(F.col("length") > 0, F.col("length"))).alias("avg"), df.alias("df")).first()
     score: Column = F.lit(0.0)
-    norm = F.lit(k1) * (1 - b + b * F.col("length") / stats["avg"])
-    for i in range(len(terms)):
-        n = stats["df"][i]
-        idf = F.log(1 + (stats["n"] - n + 0.5) / (n + 0.5))
+    norm = F.lit(k1) * (1 - b + b * F.col("length") / F.lit(stats["avg"] or 1.0))
+    for i, n in enumerate(stats["df"] if stats["n"] else []):
         tf = F.col("tf")[i]
-        score = score + F.when(tf > 0, idf * (tf * (k1 + 1) / (tf + norm))).otherwise(0.0)
+        score = score + F.when(tf > 0, F.log(F.lit(1 + (stats["n"] - n + 0.5) / (n + 0.5))) * (tf * (k1 + 1) / (tf + norm))).otherwise(0.0)
     hit = F.exists("tf", lambda x: x > 0)
     return (counts if keep_zero else counts.filter(hit)).select(id_col, score.alias("score"))
 

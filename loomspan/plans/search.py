@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from loomspan.functions.text import playbook_query, playbook_tokens, text_tokens
 from loomspan.operators import chunking, graph, retrieval, sessions
 from loomspan.plans.base import Registry
+from loomspan.sources.inverted import InvertedIndex
+from loomspan.sources.snapshots import shared_dir
 
 R = Registry()
 QUERY = "the onanding therein with erstable thing release"
@@ -36,6 +38,48 @@ def bm25_topk(t):
     return retrieval.top(retrieval.over_max(scored), 20, "doc_id", "raw").select("doc_id", F.round("score", 6).alias("score"))
 
 
+def indexed(t) -> InvertedIndex:
+    """A new index of all documents, in the shared folder."""
+    docs = t("documents")
+    index = InvertedIndex(docs.sparkSession, shared_dir(docs.sparkSession), buckets=16)
+    index.upsert(docs, "doc_id", text_tokens(F.col("text")), F.lit(1))
+    return index
+
+
+def indexed_top(index: InvertedIndex, scope=None, k: int = 50):
+    scored = index.bm25(TERMS, scope).withColumn("raw", F.round("score", 9))
+    return retrieval.top(scored, k, "id", "raw").select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def indexed_sql(table: str) -> str:
+    return f"SELECT doc_id, round(score, 6) AS score FROM {bm25_sql(table, 'doc_id', _TOK)} ORDER BY round(score, 9) DESC, doc_id LIMIT 50"
+
+
+@R.add("indexed_bm25_topk", indexed_sql("documents"))
+def indexed_bm25_topk(t):
+    return indexed_top(indexed(t))
+
+
+_CHANGED = "(SELECT doc_id, CASE lang WHEN 'fr' THEN text || ' erstable release thing' WHEN 'de' THEN 'the release' ELSE text END AS text FROM documents WHERE coalesce(lang, '') <> 'es')"
+
+
+@R.add("indexed_bm25_after_changes", indexed_sql(_CHANGED))
+def indexed_bm25_after_changes(t):
+    """Of French and German documents a second version, and none of the Spanish ones; a late first version changes nothing."""
+    index, docs = indexed(t), t("documents")
+    new = docs.withColumn("text", F.when(F.col("lang") == "fr", F.concat("text", F.lit(" erstable release thing"))).otherwise("the release"))
+    index.upsert(new.filter(F.col("lang").isin("fr", "de")), "doc_id", text_tokens(F.col("text")), F.lit(2))
+    index.remove(docs.filter("lang = 'es'"), "doc_id", F.lit(2))
+    index.upsert(docs.filter(F.col("lang").isin("es", "de")), "doc_id", text_tokens(F.col("text")), F.lit(1))
+    return indexed_top(index)
+
+
+@R.add("indexed_bm25_of_a_source", indexed_sql("(SELECT * FROM documents WHERE lang = 'en' AND n_chars > 200)"))
+def indexed_bm25_of_a_source(t):
+    """Statistics and ranks over the documents of a scope, from the index of all."""
+    return indexed_top(indexed(t), t("documents").filter("lang = 'en' AND n_chars > 200").select("doc_id"))
+
+
 @R.add("bm25_topk_unnormalized_zero_kept", f"SELECT doc_id, round(score, 6) AS score FROM {bm25_sql('documents', 'doc_id', _TOK, '')} ORDER BY round(score, 9), doc_id LIMIT 20")
 def bm25_zero(t):
     return bm25(t, True).orderBy(F.round("score", 9), "doc_id").limit(20).select("doc_id", F.round("score", 6).alias("score"))
