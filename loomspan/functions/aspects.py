@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,9 +33,9 @@ PATTERNS: dict[str, tuple[str, ...]] = {
     "label_schema": (r'"[A-Za-z0-9_+-]{3,}"',),
     "performance_latency": (_WORD % "ms|qps",),
 }
-#: Phrases that tell metrics, those that excuse a text about limits, and those that speak of tests.
+#: Phrases that tell metrics, those of them that do not by themselves make a text about limits one about metrics, and words of tests.
 METRIC_CONTEXT = ("准确率", "召回", "指标", "评测", "测试集", "测试结果", "模型精度", "精度测试", "无掉点", "提升", "下降")
-METRIC_EXCUSE = ("指标", "评测", "测试结果", "模型精度", "精度测试", "无掉点", "提升", "下降")
+BARE_CONTEXT = ("准确率", "召回", "测试集")
 METRIC_TEST = ("指标", "评测", "测试")
 #: Fields whose presence in a table row shows an aspect.
 TABLE_FIELDS = {
@@ -50,18 +52,27 @@ def flat(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", "")
 
 
-def shows(text: Column) -> dict[str, Column]:
-    """For each aspect whether the text shows it."""
-    f, raw = flat(text), F.coalesce(text, F.lit(""))
+def once(text: Column, make: Callable[[Column, Column], Column]) -> Column:
+    """``make`` of a text as it is and without white space; both are made once a row, as the item of an array of one."""
+    given = F.struct(F.coalesce(text, F.lit("")).alias("raw"), flat(text).alias("flat"))
+    return F.transform(F.array(given), lambda z: make(z["raw"], z["flat"]))[0]
+
+
+def shows(raw: Column, f: Column) -> dict[str, Column]:
+    """For each aspect whether the text shows it.
+
+    Metrics: a text that tells of limits alone shows none; any other one does by a metric's name, by a phrase that tells metrics
+    with a value or a word of tests, or by a precision with a value that is not said to be beyond any guarantee.
+    """
     out = {}
     for name, phrases in PHRASES.items():
         signs = [has_any(f, phrases)] if phrases else []
         signs += [raw.rlike(p) for p in PATTERNS.get(name, ())]
-        out[name] = F.lit(False) if not signs else signs[0] if len(signs) == 1 else F.greatest(*signs)
-    value = raw.rlike(METRIC_VALUE)
-    only_limits = out["limitation"] & ~raw.rlike(STRONG_METRIC) & ~has_any(f, METRIC_EXCUSE)
-    told = has_any(f, METRIC_CONTEXT) & (value | has_any(f, METRIC_TEST))
-    out["accuracy_metric"] = ~only_limits & (raw.rlike(ANY_METRIC) | told | (F.contains(f, F.lit("精度")) & value & ~F.contains(f, F.lit("无法保证"))))
+        out[name] = reduce(or_, signs, F.lit(False))
+    value, speaks = raw.rlike(METRIC_VALUE), has_any(f, METRIC_CONTEXT)
+    limits_alone = out["limitation"] & ~raw.rlike(STRONG_METRIC) & ~has_any(f, [p for p in METRIC_CONTEXT if p not in BARE_CONTEXT])
+    precision = value & F.contains(f, F.lit("精度")) & ~F.contains(f, F.lit("无法保证"))
+    out["accuracy_metric"] = F.when(limits_alone, False).when(raw.rlike(ANY_METRIC), True).when(speaks, value | has_any(f, METRIC_TEST)).otherwise(precision)
     return out
 
 
@@ -69,32 +80,40 @@ def chunk_aspects(text: Column, source: Column, fields: Column) -> Column:
     """All aspects of a chunk, ``general`` if there is none: by its source (deployment, table, other) and the fields it holds, then by its text."""
     by_source = [F.when(source == "deployment", "deployment"), F.when((source == "deployment") & F.array_contains(fields, "benchmark_info"), "accuracy_metric")]
     by_source += [F.when((source == "table") & F.arrays_overlap(fields, F.array(*map(F.lit, names))), aspect) for aspect, names in TABLE_FIELDS.items()]
-    found = F.array_distinct(F.array_compact(F.array(*by_source, *[F.when(ok, name) for name, ok in shows(text).items()])))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("general")))
+
+    def found(raw: Column, f: Column) -> Column:
+        return F.array_distinct(F.array_compact(F.array(*by_source, *[F.when(ok, name) for name, ok in shows(raw, f).items()])))
+
+    none = F.array().cast("array<string>")
+    return F.transform(F.array(once(text, found)), lambda a: F.when(a != none, a).otherwise(F.array(F.lit("general"))))[0]
 
 
 def section_type(text: Column, aspects: Column) -> Column:
     """The section a chunk belongs to: the first rule that holds."""
-    f, has = flat(text), lambda a: F.array_contains(aspects, F.lit(a))
-    rules = [
+    has = lambda a: F.array_contains(aspects, F.lit(a))
+    rules = lambda f: [
         (has("limitation") & has_any(f, BOUNDARY), "algorithm_boundary"), (has("accuracy_metric") & has_any(f, EVALUATION), "accuracy_eval"),
         (has("accuracy_metric") & has_any(f, PHRASES["release_change"]), "release_note"), (has("accuracy_metric"), "accuracy_metric"),
         (has("limitation"), "algorithm_boundary"), (has("input_output"), "input_output"), (has("model_artifact"), "model_artifact"), (has("deployment"), "deployment"),
         (has("label_schema"), "label_schema"), (has("performance_latency"), "performance_eval"), (has("owner_metadata"), "owner_metadata"), (has("release_change"), "release_note"),
     ]
-    return F.coalesce(*[F.when(ok, name) for ok, name in rules], F.lit("general"))
+    return once(text, lambda _, f: F.coalesce(*[F.when(ok, name) for ok, name in rules(f)], F.lit("general")))
 
 
 def answerability(aspect: str, text: Column, source: Column, aspects: Column, section: Column) -> Column:
     """How well a chunk answers a question of an aspect, -1 to 1.8: a base for having the aspect or one near it, and weighted signs."""
     if aspect == "general":
         return F.lit(0.0)
-    f, signs, has = flat(text), shows(text), lambda a: F.array_contains(aspects, F.lit(a))
+    return once(text, lambda raw, f: answer_score(aspect, raw, f, source, aspects, section))
+
+
+def answer_score(aspect: str, raw: Column, f: Column, source: Column, aspects: Column, section: Column) -> Column:
+    signs, has = shows(raw, f), lambda a: F.array_contains(aspects, F.lit(a))
     base = F.when(has(aspect), 0.7).when(has(NEAR[aspect]) if aspect in NEAR else F.lit(False), 0.35).otherwise(-0.12)
     limits, measured = has("limitation"), has("accuracy_metric")
     weights: dict[str, list[tuple[Column, float]]] = {
         "accuracy_metric": [
-            (signs["accuracy_metric"], 0.5), (F.coalesce(text, F.lit("")).rlike(METRIC_VALUE), 0.2), (section.isin("accuracy_eval", "release_note", "accuracy_metric"), 0.25),
+            (signs["accuracy_metric"], 0.5), (raw.rlike(METRIC_VALUE), 0.2), (section.isin("accuracy_eval", "release_note", "accuracy_metric"), 0.25),
             (limits & ~measured, -0.5), (limits & measured & F.contains(f, F.lit("无法保证")), -0.18), (has("label_schema") & ~measured, -0.22), (has("model_artifact") & ~measured, -0.25),
         ],
         "limitation": [(limits, 0.45), (has_any(f, BOUNDS), 0.35), (measured & ~limits, -0.3)],

@@ -69,6 +69,13 @@ def playbook_tokens(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(PLAYBOOK_TOKEN), F.lit(0)))
 
 
+def lexical_tokens(c: Column) -> Column:
+    """``playbook_tokens``, with the runs of two and three characters of CJK tokens of three or more after each; each once."""
+    chars = lambda t: F.filter(F.split(t, ""), lambda x: x != "")
+    runs = lambda t: F.concat(F.array(t), F.slice(with_runs(chars(t), 2, 3), F.length(t) + 1, F.greatest(2 * F.length(t) - 3, F.lit(0))))
+    return F.array_distinct(F.flatten(F.transform(playbook_tokens(c), lambda t: F.when(t.rlike("^[一-鿿]{3,}$"), runs(t)).otherwise(F.array(t)))))
+
+
 def stable_id(*cols: Column, length: int = 24) -> Column:
     """Leading digits of the SHA-1 of the parts, one a line; a null part counts as the text None."""
     return F.substring(F.sha1(F.concat_ws("\n", *[F.coalesce(c.cast("string"), F.lit("None")) for c in cols])), 1, length)

@@ -108,6 +108,64 @@ def round_robin(df: DataFrame, category: str, order: Column, n: int) -> DataFram
     return df.withColumn("place", place).filter(F.col("place") <= n).orderBy("place", category).limit(n)
 
 
+def least_used(df: DataFrame, category: str, kind: str, entity: str, id_col: str, quotas: dict[str, int], seed: int = 0) -> DataFrame:
+    """For each category in turn and each kind in order of ``quotas``, that many rows whose entities earlier cells have used least.
+
+    Ties go by a digest of seed, category and id. The result has ``place``, 1 for the first row taken; a cell with too few rows gives
+    what it has. Counters change with every cell, so the last step is a greedy in order, over a table whose size the quotas bound
+    and not the data: before a cell, at most T rows are taken, so of its first T + quota entities (by their first row) ``quota`` are
+    unused, and no row of a later entity, nor an entity's row beyond the quota, can be among those taken.
+    """
+    cells = df.filter(F.col(kind).isin(list(quotas))).select(category).distinct()
+    order = Window.orderBy(F.asc_nulls_first(category))  # over one row a category
+    cells = cells.select(F.col(category).alias("__c"), (F.row_number().over(order) - 1).alias("__turn"))
+    step, before, total = F.lit(None), F.lit(None), sum(quotas.values())
+    for i, k in enumerate(quotas):
+        step, before = F.when(F.col(kind) == k, i).otherwise(step), F.when(F.col(kind) == k, sum(list(quotas.values())[:i])).otherwise(before)
+    quota = F.create_map(*[x for k, n in quotas.items() for x in (F.lit(k), F.lit(n))])[F.col(kind)]
+    rows = df.filter(F.col(kind).isin(list(quotas))).select(category, kind, entity, id_col, selection_key(seed, F.col(category), F.col(id_col)).alias("__k"))
+    rows = rows.join(F.broadcast(cells), F.col(category).eqNullSafe(F.col("__c")))
+    rows = rows.select(category, kind, entity, id_col, "__k", (F.col("__turn") * len(quotas) + step).alias("__cell"), quota.alias("__quota"), (F.col("__turn") * total + before + quota).alias("__most"))
+    own = F.row_number().over(Window.partitionBy("__cell", entity).orderBy("__k", id_col))
+    rows = rows.withColumn("__own", own).filter(F.col("__own") <= max(quotas.values())).filter(F.col("__own") <= F.col("__quota"))
+    heads = rows.filter("__own = 1").select("__cell", F.col(entity).alias("__e"), "__most", F.row_number().over(Window.partitionBy("__cell").orderBy("__k", id_col)).alias("__at"))
+    heads = heads.filter(F.col("__at") <= F.col("__most")).drop("__most")
+    few = rows.alias("r").join(heads.withColumnRenamed("__cell", "__hc"), (F.col("__cell") == F.col("__hc")) & F.col(entity).eqNullSafe(F.col("__e"))).select(category, kind, entity, id_col, "__k", "__cell", "__quota")
+
+    def take(table):
+        used: dict = {}
+        taken = []
+        for _, cell in table.sort_values(["__cell", "__k", id_col]).groupby("__cell", sort=True):
+            names = [None if e != e else e for e in cell[entity]]
+            best = sorted(range(len(cell)), key=lambda i: used.get(names[i], 0))[: int(cell["__quota"].iloc[0])]  # noqa: B023
+            for i in best:
+                used[names[i]] = used.get(names[i], 0) + 1
+            taken += cell.index[best].tolist()
+        out = table.loc[taken, [category, kind, entity, id_col]]
+        return out.assign(place=range(1, len(out) + 1))
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return few.withColumn("__all", F.lit("one table")).groupBy("__all").applyInPandas(take, ", ".join(f"`{c}` {kinds[c]}" for c in (category, kind, entity, id_col)) + ", place long")
+
+
+def block_schedule(df: DataFrame, style: str, id_col: str, mix: dict[str, int], seed: int = 0) -> DataFrame:
+    """(style, id, block, value): each style's rows in blocks of as many rows as the mix has, every value as often in each block as the mix says.
+
+    Which rows share a block and which of them get a value go by digests of seed and id, so the schedule is the same in any run and
+    no style is shuffled in memory. A style's last block may be smaller; its ranks are stretched over the mix.
+    """
+    size = sum(mix.values())
+    rows = df.select(style, id_col, selection_key(seed, F.col(id_col)).alias("__k"))
+    placed = numbered(rows, [style], "__k", id_col).withColumn("block", F.floor((F.col("__place") - 1) / size))
+    held = F.least(F.lit(size), F.col("__size") - F.col("block") * size)
+    rank = F.row_number().over(Window.partitionBy(style, "block").orderBy(selection_key(f"{seed}:value", F.col(id_col)), id_col)) - 1
+    at, value, upto = F.floor(rank * size / held), F.lit(None).cast("string"), size
+    for name, n in reversed(mix.items()):
+        value = F.when(at < upto, name).otherwise(value)
+        upto -= n
+    return placed.select(style, id_col, F.col("block").cast("long").alias("block"), value.alias("value"))
+
+
 def entity_first(df: DataFrame, category: str, entity: str, ordinal: str, n: int) -> DataFrame:
     """All rows of the first ``n`` entities of each category, by where an entity first appears."""
     first = df.groupBy(category, entity).agg(F.min(ordinal).alias("__first"))

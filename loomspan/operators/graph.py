@@ -21,22 +21,23 @@ PATTERNS = [
 EXTRA = [("email", r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", 1), ("host", r"https?://([A-Za-z0-9.-]+)", 1)]
 
 
-def mentions(docs: DataFrame, id_col: str, text_col: str, patterns: list[tuple[str, str, int]] | None = None, most: int = 36) -> DataFrame:
-    """(id, kind, name): distinct entities of each text without regard to case, the first ``most`` by kind and place."""
+def mentions(docs: DataFrame, id_col: str, text_col: str, patterns: list[tuple[str, str, int]] | None = None, most: int | None = 36) -> DataFrame:
+    """(id, kind, name): distinct entities of each text without regard to case, the first ``most`` by kind and place (all if None)."""
     text = normalize_text(F.col(text_col))
 
     def of_kind(kind: str, pattern: str, group: int):
         return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.struct(F.lit(kind).alias("kind"), F.lower(x).alias("name")))
 
     found = [of_kind(*p) for p in patterns or PATTERNS]
-    return docs.select(id_col, F.explode(F.slice(F.array_distinct(F.flatten(F.array(*found))), 1, most)).alias("e")).select(id_col, "e.kind", "e.name")
+    names = F.array_distinct(F.flatten(F.array(*found)))
+    return docs.select(id_col, F.explode(names if most is None else F.slice(names, 1, most)).alias("e")).select(id_col, "e.kind", "e.name")
 
 
 def cooccurrences(m: DataFrame, id_col: str) -> DataFrame:
-    """(a, b, evidence): pairs of entities and the number of texts with both. A text has a bounded number of entities."""
+    """(a, b, evidence): pairs of entities and the number of texts with both. Pairs are made one after the other, not as an array of all."""
     names = m.groupBy(id_col).agg(F.array_sort(F.collect_set(F.concat_ws(":", "kind", "name"))).alias("n")).filter(F.size("n") > 1)
-    pair = F.flatten(F.transform("n", lambda a: F.transform(F.filter("n", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return names.select(F.explode(pair).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("evidence"))
+    one = names.select(F.posexplode("n").alias("i", "a"), "n")
+    return one.select("a", F.explode(F.slice("n", F.col("i") + 2, F.size("n"))).alias("b")).groupBy("a", "b").agg(F.count("*").alias("evidence"))
 
 
 def top_nodes(edges: DataFrame, n: int) -> DataFrame:

@@ -131,6 +131,21 @@ def longest_common(a: str, b: str) -> int:
     return best
 
 
+def common_subsequence(a: str, b: str) -> int:
+    """The length of the longest common subsequence. A row of the usual table is one number with a bit for each character of the longer
+    text, and each character of the shorter one moves all its bits at once."""
+    if len(a) < len(b):
+        a, b = b, a
+    codes = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = {chr(c): int.from_bytes(np.packbits(codes == c, bitorder="little").tobytes(), "little") for c in np.unique(codes[np.isin(codes, np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32))]).tolist()}
+    full = row = (1 << len(a)) - 1
+    for c in b:
+        if c in at:
+            hit = row & at[c]
+            row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
 def word_runs(df: DataFrame, text: str, n: int, out: str, sizes: Sequence[int] = ()) -> DataFrame:
     """A row for each run of ``n`` words with its hash; a text under ``n`` words gives one run of all its words. With ``sizes``, all runs of those sizes."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda x: x != "")
@@ -145,15 +160,21 @@ def word_runs(df: DataFrame, text: str, n: int, out: str, sizes: Sequence[int] =
     return df.withColumn(out, key).drop("__w", "__i").filter(F.col(out).isNotNull())
 
 
-def chunk_recall(pairs: DataFrame, key: str, source: str, found: str, threshold: float = 0.8) -> DataFrame:
-    """(key, ratio, hit): the longest substring of the source that a retrieved text has, as a share of the source; the best over a key's texts.
+def without_breaks(c: Column) -> Column:
+    """The text without spaces, line ends and line ends written out."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"\\n|[\n ]", "")
+
+
+def chunk_recall(pairs: DataFrame, key: str, source: str, found: str, threshold: float = 0.8, method: str = "substring") -> DataFrame:
+    """(key, ratio, hit): the longest substring (or ``subsequence``) of the source that a retrieved text has, as a share of the source; the best over a key's texts.
 
     A hit is a ratio above the threshold. Pairs are given, so nothing is compared that was not retrieved.
     """
+    longest = {"substring": longest_common, "subsequence": common_subsequence}[method]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ratio = [longest_common(s, f) / len(s) if s and f else 0.0 for s, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            ratio = [longest(s, f) / len(s) if s and f else 0.0 for s, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ratio, pa.float64())], [key, "ratio"])
 
     kind = pairs.schema[key].dataType.simpleString()

@@ -75,18 +75,30 @@ def two_key_lookup(t):
     return matching.lookup(o, facts, ("o_orderkey", "f1"), ("o_custkey", "f2"), "o", "fact").select("o_orderkey", "fact", "found_by")
 
 
+def sharing_runs(t):
+    """(item_id, item, text): each item with the documents that have four of its words in a row, at any place of both.
+
+    Items under four words are looked for as a whole. Runs carry ids only; texts come last, for pairs that share one. An item
+    without such a document has a null text.
+    """
+    b = t("benchmark").select("item_id", matching.without_breaks(F.col("text")).alias("item"), "text")
+    docs = t("documents").select("doc_id", F.xxhash64("text").alias("th"), "text")
+    bw = matching.word_runs(b.select("item_id", F.xxhash64("text").alias("ih"), "text"), "text", 4, "g").select("item_id", "ih", "g")
+    d = matching.word_runs(docs, "text", 4, "g", [1, 2, 3, 4]).select("doc_id", "th", "g")
+    pairs = d.join(bw, "g").select("item_id", "ih", "doc_id", "th").distinct()
+    found = pairs.join(docs.withColumn("text", matching.without_breaks(F.col("text"))).dropDuplicates(["doc_id", "th"]), ["doc_id", "th"]).select(F.col("item_id").alias("id"), "ih", F.col("text").alias("found"))
+    same = F.col("item_id").eqNullSafe(F.col("id")) & (F.xxhash64(b["text"]) == F.col("ih"))
+    return b.join(found, same, "left").select("item_id", "item", F.col("found").alias("text"))
+
+
 @R.add("chunk_recall")
 def chunk_recall(t):
-    """Ten searches for each item's first words are too many; an item is held against every document that has four of its words in a row, at any place of both.
+    return matching.chunk_recall(sharing_runs(t), "item_id", "item", "text")
 
-    Items under four words are looked for as a whole. An item without such a document counts as a miss, with ratio 0.
-    """
-    b = t("benchmark").select("item_id", F.col("text").alias("item"))
-    bw = matching.word_runs(b.select(F.col("item_id").alias("id"), F.col("item").alias("of")), "of", 4, "g")
-    d = matching.word_runs(t("documents").select("text"), "text", 4, "g", [1, 2, 3, 4])
-    found = d.join(bw, "g").select("id", "of", "text").distinct()
-    pairs = b.join(found, (F.col("item_id") == F.col("id")) & F.col("item").eqNullSafe(F.col("of")), "left").select("item_id", "item", "text")
-    return matching.chunk_recall(pairs, "item_id", "item", "text")
+
+@R.add("chunk_recall_subsequence")
+def chunk_recall_subsequence(t):
+    return matching.chunk_recall(sharing_runs(t), "item_id", "item", "text", method="subsequence")
 
 
 @R.add("nearest_same_group")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspan.functions.text import playbook_query, playbook_tokens, text_tokens
-from loomspan.operators import chunking, graph, retrieval, sessions
+from loomspan.operators import chunking, graph, playbook, retrieval, sessions
 from loomspan.plans.base import Registry
 from loomspan.sources.inverted import InvertedIndex
 from loomspan.sources.snapshots import shared_dir
@@ -189,6 +189,62 @@ def playbook_style_score(t):
     return c.filter((token > 0) | (keyword > 0)).select("conv_id", "turn", F.round(0.23 * keyword / 4.0 + 0.15 * token / 4.0, 6).alias("score"))
 
 
+_PT = "list_distinct(regexp_extract_all(lower({x}), '[a-z0-9][a-z0-9_./+-]{{1,80}}|[一-鿿]{{2,}}'))"
+_PN = "trim(regexp_replace(lower({x}), '[^a-z0-9一-鿿_./+-]+', ' ', 'g'))"
+
+
+def playbook_items(t):
+    """Turns as items: what a user says is feedback on a question, an assistant's turn binds fields, a system's one routes."""
+    c = t("conversations")
+    word = lambda n: F.coalesce(F.get(F.split(F.coalesce("text", F.lit("")), " "), n), F.lit(""))
+    user = F.col("role") == "user"
+    return c.select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("item_id"),
+        F.when(user, "online_feedback").when(F.col("role") == "assistant", "field_binding").otherwise("source_routing").alias("section"), F.coalesce("text", F.lit("")).alias("content"),
+        F.when(F.length("text") % 9 == 0, "inactive").otherwise("active").alias("status"), F.array(F.col("role"), word(0)).alias("tags"), F.array(F.when(user, "table").otherwise("document")).alias("source_hints"),
+        F.when(F.col("role") == "assistant", F.array(F.lit("field_lookup"), F.lit("x"))).otherwise(F.array(F.lit("aggregate"))).alias("query_intents"), F.array(word(1), word(2)).alias("expansion_terms"),
+        (F.lit(0.5) + F.coalesce(F.length("text"), F.lit(0)) % 5 / 10.0).alias("confidence"), F.col("turn").cast("double").alias("updated_at"),
+        F.when(user, F.when(F.contains("text", F.lit("the")), F.lit(QUERY)).otherwise(F.col("text"))).alias("source_query"), F.when(F.col("turn") % 4 == 0, "correction").otherwise("comment").alias("feedback_type"),
+    )
+
+
+_PW = lambda n: f"coalesce(string_split(coalesce(text, ''), ' ')[{n}], '')"
+_PITEMS = f"""it AS (SELECT conv_id || '-' || turn AS item_id, CASE role WHEN 'user' THEN 'online_feedback' WHEN 'assistant' THEN 'field_binding' ELSE 'source_routing' END AS section, coalesce(text, '') AS content, role || ' ' || {_PW(1)} AS tags,
+CASE role WHEN 'assistant' THEN 'field_lookup x' ELSE 'aggregate' END AS intents, {_PW(2)} || ' ' || {_PW(3)} AS exps, [lower(role), lower({_PW(1)}), lower({_PW(2)}), lower({_PW(3)}), CASE role WHEN 'assistant' THEN 'field_lookup' ELSE 'aggregate' END, CASE role WHEN 'assistant' THEN 'x' END] AS exact,
+0.5::DOUBLE + coalesce(length(text), 0) % 5 / 10.0::DOUBLE AS confidence, turn::DOUBLE AS updated_at, CASE WHEN role = 'user' THEN CASE WHEN contains(text, 'the') THEN '{QUERY}' ELSE text END END AS sq, CASE WHEN turn % 4 = 0 THEN 0.08::DOUBLE ELSE 0 END AS fix FROM conversations WHERE coalesce(length(text) % 9, 1) <> 0)"""
+
+
+def playbook_sql(limit: int) -> str:
+    tok, norm, q = lambda x: _PT.format(x=x), lambda x: _PN.format(x=x), [x for x in dict.fromkeys(QUERY.split())]
+    times = lambda x, n: ", ".join([tok(x)] * n)
+    return f"""WITH {_PITEMS}, w AS (SELECT *, flatten([{tok('section')}, {tok('content')}, {times('tags', 3)}, {times('intents', 3)}, {times('exps', 4)}, {times("coalesce(sq, '')", 3)}]) AS tk, {norm("concat_ws(' ', section, content, tags, exps, sq)")} AS body, {norm("coalesce(sq, '')")} AS nsq FROM it),
+s AS (SELECT count(*) AS n, greatest(sum(len(tk)) / count(*), 1.0)::DOUBLE AS mean FROM w), q AS (SELECT unnest({q!r}) AS t), f AS (SELECT item_id, t, len(list_filter(tk, lambda x: x = t)) AS tf, len(tk) AS dl, CASE WHEN list_contains(exact, t) THEN 1.4::DOUBLE WHEN contains(body, t) THEN 1.0 ELSE 0 END AS kw FROM w, q),
+d AS (SELECT t, count(*) FILTER (tf > 0) AS df FROM f GROUP BY 1), g AS (SELECT item_id, least(sum(CASE WHEN tf > 0 THEN ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / mean))) ELSE 0.0 END) / {len(q)}, 1.0) AS bm25, least(sum(kw) / {len(q)}, 1.0) AS keyword, count(*) FILTER (tf > 0) / {len(q)}.0::DOUBLE AS token FROM f JOIN d USING (t), s GROUP BY 1),
+r AS (SELECT w.*, bm25, keyword, token, CASE WHEN section = 'field_binding' THEN 0.5::DOUBLE ELSE 0 END AS intent, CASE section WHEN 'source_routing' THEN 0.15::DOUBLE WHEN 'field_binding' THEN 0.12::DOUBLE ELSE 0 END AS sb, CASE WHEN section = 'online_feedback' THEN fix + CASE WHEN nsq = '{QUERY}' THEN 0.9::DOUBLE ELSE 0 END ELSE 0 END AS fb
+FROM w JOIN g USING (item_id) WHERE section <> 'online_feedback' OR nsq IN ('', '{QUERY}'))
+SELECT item_id, round(0.42 * bm25 + 0.23 * keyword + 0.15 * token + 0.3 * intent + sb + fb + 0.15 * confidence, 6) AS score, round(bm25, 6) AS bm25, round(keyword, 6) AS keyword, round(token, 6) AS token, intent, sb AS section_bonus, fb AS feedback_bonus FROM r
+WHERE token > 0 OR intent > 0 OR sb > 0 OR fb > 0 OR keyword > 0 ORDER BY 2 DESC, confidence DESC, updated_at DESC, item_id LIMIT {limit}"""
+
+
+@R.add("playbook_search", playbook_sql(40))
+def playbook_search(t):
+    hits = playbook.search(playbook_items(t), QUERY, 40, ["deployment", "field_lookup"])
+    return hits.select("item_id", "score", *[F.round(c, 6).alias(c) for c in ("bm25", "keyword", "token")], "intent", "section_bonus", "feedback_bonus")
+
+
+@R.add("playbook_upkeep", f"""WITH {_PITEMS.replace("WHERE coalesce(length(text) % 9, 1) <> 0", "")}, a AS (SELECT item_id, section, content, coalesce(length(nullif(content, '')) % 9, 1) <> 0 AS active, confidence FROM it),
+n AS (SELECT * FROM a WHERE section = 'field_binding' AND length(content) % 2 = 0)
+SELECT section, count(*) AS items, count(*) FILTER (active) AS active, round(sum(confidence), 6) AS confidence FROM (SELECT item_id, section, active AND NOT (section = 'source_routing' OR length(content) % 5 = 0) AS active, confidence FROM a WHERE item_id NOT IN (SELECT item_id FROM n) UNION ALL SELECT item_id, section, true, 0.25::DOUBLE FROM n) GROUP BY 1""")
+def playbook_upkeep(t):
+    """Some items come in again under their ids with another confidence while others retire, in one snapshot."""
+    items = playbook_items(t)
+    table = playbook.PlaybookTable(items.sparkSession, shared_dir(items.sparkSession))
+    table.upsert(items)
+    again = items.filter((F.col("section") == "field_binding") & (F.length("content") % 2 == 0)).withColumns({"status": F.lit("active"), "confidence": F.lit(0.25)})
+    table.apply(again, items.filter((F.col("section") == "source_routing") | (F.length("content") % 5 == 0)))
+    return table.items().groupBy("section").agg(F.count("*").alias("items"), F.count_if(F.col("status") == "active").alias("active"), F.round(F.sum("confidence"), 6).alias("confidence"))
+
+
 _SQ = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 _KINDS = [("model", r"([A-Za-z0-9][A-Za-z0-9_./+-]{3,}\.(?:model|onnx|pt|pth|safetensors))"), ("version", r"\b([vV]?\d+(?:\.\d+){1,3}(?:[-_][A-Za-z0-9]+)?)\b"), ("oid", r"\b([a-fA-F0-9]{32,64})\b"), ("email", r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")]
 _MENTIONS = "(SELECT DISTINCT doc_id, kind, name FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, lower(unnest(regexp_extract_all({_SQ}, '{p}', 1))) AS name FROM documents" for k, p in _KINDS) + "))"
@@ -196,7 +252,7 @@ _MENTIONS = "(SELECT DISTINCT doc_id, kind, name FROM (" + " UNION ALL ".join(f"
 
 def found(t):
     patterns = [p for p in graph.PATTERNS if p[0] in ("model", "version", "oid")] + graph.EXTRA[:1]
-    return graph.mentions(t("documents"), "doc_id", "text", patterns, 1000)
+    return graph.mentions(t("documents"), "doc_id", "text", patterns, None)
 
 
 @R.add("entity_mentions", f"SELECT doc_id, kind, name FROM {_MENTIONS}")

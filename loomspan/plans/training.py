@@ -30,19 +30,26 @@ def benchmark_overlap_exact(t):
 
 @R.add("benchmark_contamination_contains", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def benchmark_contamination_contains(t):
-    """Items that stand word for word in a document: the item's first eight words are joined by hash, then containment is checked."""
-    words = F.split(F.col("text"), " ")
-    b = t("benchmark").select("item_id", F.col("text").alias("item"), words.alias("w")).filter("item != ''")
-    long_, short = b.filter(F.size("w") >= 9), b.filter(F.size("w") < 9)
-    key = lambda w, i: F.xxhash64(*[F.get(F.col(w), i + k) for k in range(1, 8)])  # noqa: E731  the item may begin inside a word
-    d = t("documents").select("doc_id", "text", words.alias("w"))
-    grams = d.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("w") - 1))).withColumn("k", key("w", F.col("i")))
-    keys = long_.select("item_id", "item", key("w", F.lit(0)).alias("k"))
-    hits = grams.join(keys, "k").filter(F.contains("text", "item")).select("doc_id", "item_id").distinct()
-    few = short.select("item_id", "item")
-    if few.limit(1).count():
-        hits = hits.unionByName(t("documents").join(few, F.contains("text", "item")).select("doc_id", "item_id"))
-    return hits
+    """Items that stand word for word in a document. An item of nine words or more is found by the hash of its second to eighth word,
+    a shorter one by that of its inner words, or by its letters in a row where it has no inner word; runs carry ids only, and texts
+    come last, for pairs that share one."""
+    b = t("benchmark").filter("text != ''").select("item_id", F.xxhash64("text").alias("ih"), F.col("text").alias("item"), F.split("text", " ").alias("w"))
+    docs = t("documents").filter("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), "text")
+    inner = F.least(F.size("w") - 2, F.lit(7))  # words between the first and the last stand whole in the document
+    keys = b.filter(F.size("w") > 2).select("item_id", "ih", inner.alias("n"), F.xxhash64(F.array_join(F.slice("w", F.lit(2), inner), " ")).alias("k"))
+    sizes = [r[0] for r in keys.select("n").distinct().collect()]  # seven at most
+    words = docs.select("doc_id", "th", F.split("text", " ").alias("w"))
+    runs = words.select("doc_id", "th", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.xxhash64(F.array_join(F.slice("w", F.col("i") + 1, n), " ")).alias("k")) for n in sizes or [7]])).alias("r")
+    pairs = runs.select("doc_id", "th", each).select("doc_id", "th", "r.*").join(keys, ["n", "k"]).select("doc_id", "th", "item_id", "ih")
+    if b.filter(F.size("w") <= 2).limit(1).count():
+        short = b.filter(F.size("w") <= 2).select("item_id", "ih", F.length("item").alias("n"), F.xxhash64("item").alias("k"))
+        lengths = [r[0] for r in short.select("n").distinct().collect()]  # as many as lengths of texts of two words or fewer
+        grams = docs.select("doc_id", "th", "text", F.explode(F.array(*map(F.lit, lengths))).alias("n")).filter(F.length("text") >= F.col("n"))
+        grams = grams.select("doc_id", "th", "n", "text", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1)).alias("i")).select("doc_id", "th", "n", F.xxhash64(F.substring("text", F.col("i"), F.col("n"))).alias("k"))
+        pairs = pairs.unionByName(grams.join(short, ["n", "k"]).select("doc_id", "th", "item_id", "ih"))
+    pairs = pairs.distinct().join(b.select(F.col("ih"), "item").distinct(), "ih")
+    return pairs.join(docs, ["doc_id", "th"]).filter(F.contains("text", "item")).select("doc_id", "item_id")
 
 
 @R.add("protected_overlap", """
@@ -54,6 +61,32 @@ def protected_overlap(t):
     return D.field_overlap(t("documents").withColumn("split", split), ["source", "n_chars"], "split")
 
 
+_CELLS = [(p, s, q) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW") for s, q in (("F", 6), ("O", 4))]
+
+
+def least_used_sql() -> str:
+    """One step for each cell: its rows by how often earlier steps have used their nation, and by digest."""
+    parts = ["o AS (SELECT o_orderkey, o_orderpriority AS p, o_orderstatus AS s, c_nationkey AS e, sha256('7' || chr(10) || o_orderpriority || chr(10) || o_orderkey) AS k FROM orders JOIN customer ON c_custkey = o_custkey)", "t0 AS (SELECT NULL::BIGINT AS o_orderkey, '' AS p, '' AS s, -1 AS e, 0::BIGINT AS place WHERE false)"]
+    for i, (p, s, q) in enumerate(_CELLS):
+        pick = f"SELECT o_orderkey, p, s, o.e, {sum(x[2] for x in _CELLS[:i])} + row_number() OVER (ORDER BY coalesce(n, 0), k, o_orderkey) AS place FROM o LEFT JOIN (SELECT e, count(*) AS n FROM t{i} GROUP BY 1) u ON u.e = o.e WHERE p = '{p}' AND s = '{s}' ORDER BY place LIMIT {q}"
+        parts.append(f"t{i + 1} AS MATERIALIZED (FROM t{i} UNION ALL ({pick}))")
+    return f"WITH {', '.join(parts)} SELECT p AS o_orderpriority, s AS o_orderstatus, e AS c_nationkey, o_orderkey, place FROM t{len(_CELLS)}"
+
+
+@R.add("least_used_quota", least_used_sql())
+def least_used_quota(t):
+    rows = t("orders").join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    return D.least_used(rows, "o_orderpriority", "o_orderstatus", "c_nationkey", "o_orderkey", {"F": 6, "O": 4}, seed=7)
+
+
+@R.add("block_schedule", """
+WITH p AS (SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY sha256('3' || chr(10) || o_orderkey)) - 1 AS pos, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders),
+b AS (SELECT *, pos // 10 AS block, least(10, n - (pos // 10) * 10) AS held FROM p), r AS (SELECT *, (row_number() OVER (PARTITION BY o_orderpriority, block ORDER BY sha256('3:value' || chr(10) || o_orderkey)) - 1) * 10 // held AS v FROM b)
+SELECT o_orderpriority, o_orderkey, block, CASE WHEN v < 6 THEN 'migrate' ELSE 'retry' END AS value FROM r""")
+def block_schedule(t):
+    return D.block_schedule(t("orders"), "o_orderpriority", "o_orderkey", {"migrate": 6, "retry": 4}, seed=3)
+
+
 @R.add("stratified_split", """
 WITH i AS (SELECT DISTINCT lang, doc_id FROM documents), r AS (SELECT *, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (PARTITION BY lang ORDER BY sha256('0' || chr(10) || doc_id)) AS r FROM i)
 SELECT lang, doc_id, CASE WHEN n > 1 AND r <= greatest(1, round_even(n * 0.1, 0)) THEN 'val' ELSE 'train' END AS split FROM r""")

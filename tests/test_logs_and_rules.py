@@ -76,3 +76,16 @@ def test_writers_caches_and_manifests(spark, tmp_path):
     assert files.verified(spark, f"{tmp_path}/data", {"x.bin": digest}).first().bytes == 3
     with pytest.raises(ValueError):
         files.verified(spark, f"{tmp_path}/data", {"x.bin": "0"})
+
+
+def test_metrics_of_every_combination(spark):
+    """A text shows metrics unless it tells of limits alone: by name, by context with a value or a test, or by a precision with a value."""
+    parts = {"limit": "边界", "strong": "recall", "iou": "iou", "value": "97.2%", "bare": "召回", "told": "提升", "test": "测试", "precision": "精度", "no": "无法保证"}
+    rows = [[k for i, k in enumerate(parts) if n >> i & 1] for n in range(2 ** len(parts))]
+    df = spark.createDataFrame([(r, " | ".join(parts[k] for k in r)) for r in rows], "r array<string>, t string")
+    got = df.select("r", A.once(F.col("t"), lambda raw, f: A.shows(raw, f)["accuracy_metric"]).alias("ok")).collect()
+    for r, ok in got:
+        has = set(r).__contains__
+        alone = (has("limit") or has("no")) and not has("strong") and not has("told")
+        spoken = (has("bare") or has("told")) and (has("value") or has("test"))
+        assert ok == (not alone and (has("strong") or has("iou") or spoken or has("precision") and has("value") and not has("no")))
