@@ -1,11 +1,10 @@
-"""Comparison of arms and seeds by resampling and simulation; selection and merging of data set rows."""
+"""Comparison of arms and seeds by resampling; selection and merging of data set rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions.percentiles import wilson
@@ -40,34 +39,6 @@ def mean_over_seeds(rows: DataFrame, keys: Sequence[str], seed: str, score: str,
     return out.filter(F.col("__n") == seeds).drop("__n")
 
 
-def acceptance_power(spark: SparkSession, simulations: int, clusters: int, size: int, reference: float, base: float, icc: float, reference_least: float, base_most: float, gap: float, seed: int = 3, block: int = 1000) -> DataFrame:
-    """One row: how probably a benchmark of correlated clusters is accepted, with a Wilson interval.
-
-    Success rates of clusters follow a beta distribution with the given correlation. Blocks of simulations are seeded by their number,
-    so results do not depend on how blocks are dealt out.
-    """
-    import numpy as np
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for b in pdf["id"]:
-                rng = np.random.default_rng([seed, int(b)])
-                n = min(block, simulations - int(b) * block)
-
-                def rate(mean: float, rng=rng, n=n) -> np.ndarray:
-                    c = 1 / icc - 1 if icc > 0 else 0
-                    p = rng.beta(mean * c, (1 - mean) * c, (n, clusters)) if icc > 0 else np.full((n, clusters), mean)
-                    return rng.binomial(size, p).sum(axis=1) / (clusters * size)
-
-                r, s = rate(reference), rate(base)
-                yield pd.DataFrame({"reference": r, "base": s, "ok": (r >= reference_least) & (s <= base_most) & (r - s >= gap)})
-
-    sims = spark.range(-(-simulations // block)).mapInPandas(run, "reference double, base double, ok boolean")
-    out = sims.agg(F.count("*").alias("simulations"), F.count_if("ok").alias("accepted"), F.median("reference").alias("median_reference"), F.median("base").alias("median_base"))
-    low, high = wilson(F.col("accepted"), F.col("simulations"))
-    return out.select("simulations", (F.col("accepted") / F.col("simulations")).alias("probability"), low.alias("low"), high.alias("high"), "median_reference", "median_base")
-
-
 def reviewed(rows: DataFrame, reviews: DataFrame, key: str, status: str, order: str, known: Sequence[str]) -> DataFrame:
     """Rows with the status of their last review; ``missing`` where there is none or it is unknown."""
     last = reviews.groupBy(key).agg(F.max_by(status, order).alias("__s"))

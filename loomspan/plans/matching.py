@@ -155,11 +155,6 @@ def mean_over_seeds(t):
     return resampling.mean_over_seeds(s, ["user_id", "event_type"], "seed", "v", 3).withColumn("score", F.round("score", 6))
 
 
-@R.add("acceptance_power")
-def acceptance_power(t):
-    return resampling.acceptance_power(t("region").sparkSession, 20_000, 30, 4, 0.9, 0.6, 0.1, 0.8, 0.7, 0.1)
-
-
 @R.add("review_merge", """
 WITH r AS (SELECT doc_id, CASE quality WHEN 1 THEN 'approve' ELSE 'reject' END AS s, toxic AS o FROM labels), l AS (SELECT doc_id, arg_max(s, o) AS s FROM r GROUP BY 1)
 SELECT coalesce(s, 'missing') AS status, count(*) AS n FROM documents LEFT JOIN l USING (doc_id) GROUP BY 1""")

@@ -89,11 +89,7 @@ def test_audits(spark):
     assert sorted(tuple(x) for x in bad.collect()) == [(1, "y"), (2, "set"), (2, "y")]
 
 
-def test_power_and_replacement(spark):
-    sure = resampling.acceptance_power(spark, 500, 20, 5, 0.95, 0.2, 0.1, 0.5, 0.5, 0.1).first()
-    never = resampling.acceptance_power(spark, 500, 20, 5, 0.3, 0.3, 0.0, 0.9, 0.5, 0.1).first()
-    assert sure.probability == 1 and never.probability == 0 and sure.simulations == 500
-    assert resampling.acceptance_power(spark, 500, 20, 5, 0.7, 0.5, 0.1, 0.6, 0.6, 0.1).first() == resampling.acceptance_power(spark, 500, 20, 5, 0.7, 0.5, 0.1, 0.6, 0.6, 0.1).first()
+def test_replacement(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     with pytest.raises(ValueError):
         resampling.replaced(rows, spark.createDataFrame([(3, "x")], "id int, v string"), "id", "v")
@@ -110,5 +106,5 @@ def test_recall_has_every_item_and_looks_at_all_of_it(spark):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     got = {r.item_id: (r.ratio, r.hit) for r in catalog.QUERIES["chunk_recall"](spark, path).collect()}
-    part = len(" five six seven eight nine ten") / len(items[0][1])
+    part = len("fivesixseveneightnineten") / len(items[0][1].replace(" ", ""))
     assert got == {1: (pytest.approx(part), False), 2: (1.0, True), 3: (0.0, False), 4: (0.0, False), 5: (0.0, False)}
