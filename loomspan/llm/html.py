@@ -6,7 +6,7 @@ import json
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 from itertools import chain
 
 import pyarrow as pa
@@ -21,82 +21,192 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 MARKS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies footer gdpr header masthead menu nav navbar navigation newsletter notice notices pager pagination popup promo promoted related share sharing sidebar signup skip social sponsor sponsored subscribe teaser toolbar widget".split())
 PARTS = re.compile(r"[^a-z0-9]+")
 HEADS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-
-
-class Blocks(HTMLParser):
-    """Text blocks of a page in order: (text, number of the marked article it stands in or 0, stands in boilerplate)."""
+#: Words of boxes. Inside an article a name of several words marks boilerplate only if marks and these are all it says.
+BOXES = frozenset("area bar block bottom box button buttons container content form group icons inner item items left link links list panel post posts right row section slot title top unit wrap wrapper".split())
+#: Elements whose content is no markup, and whose text is not shown.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+SILENT = frozenset("script style template noscript head title".split())
+#: Elements that an element ends by beginning, unless one of the others stands between them.
+IMPLIED = {
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)), "tr": (("tr",), ("table",)),
+    "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tbody": (("thead", "tbody", "tfoot"), ("table",)), "thead": (("thead", "tbody", "tfoot"), ("table",)), "tfoot": (("thead", "tbody", "tfoot"), ("table",)),
+}
+SPACE, NAME, EQUALS, BARE, TAG = (re.compile(p) for p in (r"[\s/]*", r"=?[^\s/>=]*", r"\s*=\s*", r"[^\s>]*", r"[A-Za-z][^\s/>]*"))
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in RAW}
+
+
+def attributes(page: str, p: int) -> tuple[dict[str, str], int, bool] | None:
+    """Attributes of a tag from ``p`` on, where it ends and whether it closes itself; None if it does not end. The first of a name counts."""
+    out: dict[str, str] = {}
+    while True:
+        space = SPACE.match(page, p)
+        p = space.end()
+        if p >= len(page):
+            return None
+        if page[p] == ">":
+            return out, p + 1, space[0].endswith("/")
+        name = NAME.match(page, p)
+        p, value = name.end(), ""
+        if equals := EQUALS.match(page, p):
+            p = equals.end()
+            if page[p : p + 1] in ('"', "'"):
+                end = page.find(page[p], p + 1)
+                if end < 0:
+                    return None
+                value, p = page[p + 1 : end], end + 1
+            else:
+                value = BARE.match(page, p)[0]
+                p += len(value)
+        out.setdefault(name[0].lower(), value)
+
+
+class Blocks:
+    """Text blocks of a page in order: (text, number of the marked article it stands in or 0, stands in boilerplate).
+
+    An article that stands in boilerplate keeps its number. Open elements are known by counts and by the places of each tag, and every
+    character is looked at a bounded number of times, so a page takes time in proportion to its length, whatever it holds.
+    """
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.out: list[tuple[str, int, bool]] = []
-        self.open: list[tuple[str, str, int]] = []  # element, its role (skip, main or none), its number
+        self.open: list[tuple[str, str]] = []  # element, its role (skip, main or none)
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # places of open elements that part blocks
+        self.mains: list[tuple[int, int]] = []  # number of a marked article, open boilerplate elements around it
         self.text: list[str] = []
-        self.n = 0
+        self.stands = (0, False)  # where the text at hand began
+        self.n = self.skips = self.silent = 0
 
     def flush(self) -> None:
         line = " ".join("".join(self.text).split())
         self.text.clear()
         if line:
-            last = max((k for k, (_, r, _) in enumerate(self.open) if r == "main"), default=-1)
-            inside = last >= 0 and all(r != "skip" for _, r, _ in self.open[last:])
-            self.out.append((line, self.open[last][2] if inside else 0, not inside and any(r == "skip" for _, r, _ in self.open)))
+            self.out.append((line, *self.stands))
 
-    def role(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
+    def role(self, tag: str, attrs: dict[str, str]) -> str:
         if tag in ("html", "body"):
             return ""
-        if any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs):
+        if "hidden" in attrs or attrs.get("aria-hidden") == "true":
             return "skip"
-        within = any(r == "main" for _, r, _ in self.open)
-        names = [PARTS.split(w.strip("-_")) for k, v in attrs if k in ("class", "id", "role") and v for w in v.lower().split()]
-        marked = {w for parts in names for w in (parts[0], parts[-1])} & (MARKS - {"header"} if within else MARKS)
+        within = bool(self.mains)
+        names = [PARTS.split(w.strip("-_")) for k in ("class", "id", "role") if k in attrs for w in unescape(attrs[k]).lower().split()]
+        marks = MARKS - {"header"} if within else MARKS
+        marked = any((x[0] in marks or x[-1] in marks) and (not within or all(w in marks or w in BOXES for w in x)) for x in names)
         if tag in ("article", "main") or ["main"] in names:
             return "skip" if marked else "main"
         return "skip" if marked or (tag in SKIP and not (within and tag == "header")) else ""
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    @staticmethod
+    def unseen(tag: str, role: str) -> bool:
+        """Whether text inside is no text of the page, or boilerplate inside a block, which goes on behind it."""
+        return tag in SILENT or (role == "skip" and tag not in BLOCKS)
+
+    def push(self, tag: str, role: str) -> None:
+        self.n += 1
+        if role == "main":
+            self.flush()
+            self.mains.append((self.n, self.skips))
+        self.skips += role == "skip"
+        self.silent += self.unseen(tag, role)
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.open))
+        self.open.append((tag, role))
+
+    def pop(self) -> None:
+        tag, role = self.open.pop()
+        self.places[tag].pop()
+        if tag in BLOCKS:
+            self.blocks.pop()
+        self.skips -= role == "skip"
+        self.silent -= self.unseen(tag, role)
+        if role == "main":
+            self.mains.pop()
+
+    def last(self, *tags: str) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def start(self, tag: str, attrs: dict[str, str], closed: bool) -> None:
         if tag in BLOCKS:
             self.flush()
         if tag == "br":
-            self.text.append(" ")
-        if tag in VOID:
+            self.data(" ")
+        if tag in VOID or closed:
             return
         role = self.role(tag, attrs)
         if tag in BLOCKS or tag in SKIP or role:
             if tag == "p" or tag in HEADS:
                 self.close("p")
-            self.n += 1
-            self.open.append((tag, role, self.n))
+            if tag in IMPLIED:
+                ended, walls = IMPLIED[tag]
+                if (k := self.last(*ended)) > self.last(*walls):
+                    self.cut(k)
+            self.push(tag, role)
+
+    def cut(self, k: int) -> None:
+        if len(self.open) - k > 1 or not self.unseen(*self.open[k]):
+            self.flush()
+        while len(self.open) > k:
+            self.pop()
 
     def close(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self.flush()
-                del self.open[k:]
-                return
-            if tag == "p" and self.open[k][0] != "p":
-                return
-
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in BLOCKS:
-            self.flush()
-        if tag == "br":
-            self.text.append(" ")
+        k = self.last(tag)
+        if k >= 0 and (tag != "p" or k == self.blocks[-1]):
+            self.cut(k)
 
-    def handle_endtag(self, tag: str) -> None:
+    def end(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
         self.close(tag)
 
-    def handle_data(self, data: str) -> None:
-        if not any(t in ("script", "style", "template", "noscript", "head", "title") for t, _, _ in self.open):
-            self.text.append(data)
+    def data(self, text: str) -> None:
+        if self.silent or not (self.text or text.strip()):
+            return
+        if not self.text:
+            number, around = self.mains[-1] if self.mains else (0, -1)
+            self.stands = (number if self.skips == around else 0, self.skips > 0)
+        self.text.append(text)
+
+    def feed(self, page: str) -> None:
+        """Tags, comments and text from left to right. A tag that does not end ends the page, a comment that does not end runs to its end."""
+        p = 0
+        while p < len(page):
+            at = page.find("<", p)
+            self.data(unescape(page[p : at if at >= 0 else len(page)]))
+            if at < 0:
+                break
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 2)
+                p = end + 3 if end >= 0 else len(page)
+            elif page[at + 1 : at + 2] in ("!", "?") or (page.startswith("</", at) and page[at + 2 : at + 3] and not TAG.match(page, at + 2)):
+                end = page.find(">", at + 2)
+                p = end + 1 if end >= 0 else len(page)
+            elif page.startswith("</", at) and (name := TAG.match(page, at + 2)):
+                end = page.find(">", name.end())
+                if end < 0:
+                    break
+                self.end(name[0].lower())
+                p = end + 1
+            elif name := TAG.match(page, at + 1):
+                read = attributes(page, name.end())
+                if not read:
+                    break
+                attrs, p, closed = read
+                tag = name[0].lower()
+                self.start(tag, attrs, closed)
+                if tag in RAW and not closed:
+                    end = RAW_END[tag].search(page, p)
+                    self.data(unescape(page[p : end.start() if end else len(page)]))
+                    p = end.start() if end else len(page)
+            else:
+                self.data("<")
+                p = at + 1
+        self.flush()
 
 
 def parse(page: str) -> list[tuple[str, int, bool]]:
     p = Blocks()
     p.feed(page)
-    p.goahead(1)
-    p.flush()
     return p.out
 
 
@@ -126,10 +236,10 @@ def near(a: str, b: str) -> int:
 
 
 def main_text(blocks: list[tuple[str, int, bool]], other: list[tuple[str, int, bool]] | None) -> str:
-    """Blocks joined by line feeds: those of the marked articles, or else of what no element marks as boilerplate; without the lines
-    shared with the nearest page where that leaves any."""
-    articles = {a for _, a, _ in blocks if a}
-    left = [(t, a) for t, a, skip in blocks if (a if articles else not skip)]
+    """Blocks joined by line feeds: those of the marked articles outside boilerplate (of all, if none stands outside), or else of what no
+    element marks as boilerplate; without the lines shared with the nearest page where that leaves any."""
+    articles = {a for _, a, skip in blocks if a and not skip} or {a for _, a, _ in blocks if a}
+    left = [(t, a) for t, a, skip in blocks if (a in articles if articles else not skip)]
     if other and len(articles) != 1:
         shared = common([t for t, _ in left], [t for t, _, _ in other])
         own = {a for k, (_, a) in enumerate(left) if k not in shared}
@@ -147,7 +257,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     leading characters is the nearest page. Lines of the two are aligned by a longest common subsequence and shared lines are deleted,
     where the page marks no article. Of several marked articles those without a line of their own are deleted. A single marked
     article stays whole: articles that quote each other or are copied would lose their own text to differencing. Elements that
-    say they are boilerplate (by their tag, or by the first or last part of a class, id or role) are left out.
+    say they are boilerplate (by their tag, or by the first or last part of a class, id or role) are left out. Inside an article a
+    name of several words says so only if all of them are words of boilerplate and boxes; an article inside such an element
+    counts only where no other one is marked.
 
     The order is cut into ranges at places drawn from up to 20 keys a range (200,000 in all), chosen by a hash: one range for
     ``rows_per_range`` pages, at least as many as there are shuffle partitions and at most ``most_ranges``, each a task. A host with most of all

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import ahocorasick
 import pyarrow as pa
@@ -51,10 +53,52 @@ def png(b: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
+#: Signatures of a kind in a blob from which on walks are told for all places at once.
+MANY = 8
+_tables: dict[str, tuple[bytes, Any]] = {}
+
+
+def table_of(kind: str, b: bytes, mark: bytes, make: Callable[[bytes, int], Any]) -> Any:
+    """``make`` of a blob with more than ``MANY`` marks, kept for the blob at hand; None for one with fewer."""
+    blob, table = _tables.get(kind, (None, None))
+    if blob is not b:
+        table = make(b, b.find(mark)) if b.count(mark) > MANY else None
+        _tables[kind] = (b, table)
+    return table
+
+
+def gif_next(b: bytes, p: int) -> int:
+    """Where the data blocks of an extension or image at ``p`` begin; 0 if there is none."""
+    if b[p] == 0x21:
+        return p + 2
+    return p + 11 + (3 << (b[p + 9] & 7) + 1 if b[p + 9] & 0x80 else 0) if b[p] == 0x2C and p + 11 <= len(b) else 0
+
+
+def gif_table(b: bytes, first: int) -> tuple[array, array]:
+    """For each place from ``first`` on, from the end backwards: where data blocks that begin there end, and where the file ends whose
+    next part begins there (twice that, plus 1 if an image is on the way; 0 if none does)."""
+    n = len(b)
+    blocks, ends = array("q", bytes(8 * (n + 1 - first))), array("q", bytes(8 * (n + 1 - first)))
+    for p in range(n - 1, first - 1, -1):
+        q = p + b[p] + 1
+        blocks[p - first] = p + 1 if not b[p] else blocks[q - first] if q < n else q + 1
+        if b[p] == 0x3B:
+            ends[p - first] = 2 * (p + 1)
+        elif start := gif_next(b, p):
+            q = blocks[start - first] if start < n else start + 1
+            end = ends[q - first] if q < n else 0
+            ends[p - first] = end and end | (b[p] == 0x2C)
+    return blocks, ends
+
+
 def gif(b: bytes, at: int) -> tuple[str, int] | None:
     if at + 13 > len(b):
         return None
     p = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 0x80 else 0)
+    if table := table_of("gif", b, b"GIF8", gif_table):
+        first = b.find(b"GIF8")
+        end = table[1][p - first] if p < len(b) else 0
+        return ("gif", (end >> 1) - at) if end & 1 else None
 
     def blocks(p: int) -> int:
         while p < len(b) and b[p]:
@@ -65,13 +109,11 @@ def gif(b: bytes, at: int) -> tuple[str, int] | None:
     while p < len(b):
         if b[p] == 0x3B:
             return ("gif", p + 1 - at) if images else None
-        if b[p] == 0x21:
-            p = blocks(p + 2)
-        elif b[p] == 0x2C and p + 11 <= len(b):
-            p = blocks(p + 11 + (3 << (b[p + 9] & 7) + 1 if b[p + 9] & 0x80 else 0))
-            images += 1
-        else:
+        start = gif_next(b, p)
+        if not start:
             return None
+        images += b[p] == 0x2C
+        p = blocks(start)
     return None
 
 
@@ -151,15 +193,31 @@ def zipped(b: bytes, at: int) -> tuple[str, int] | None:
     return ("zip", end + 22 + note - at) if at + offset + size == end and end + 22 + note <= len(b) else None
 
 
+def box(b: bytes, p: int) -> int:
+    """The end of a box that stands at ``p``, 0 if none does."""
+    n = u32(b, p, ">") if p + 8 <= len(b) else 0
+    return p + n if n >= 8 and p + n <= len(b) and bytes(b[p + 4 : p + 8]).isalnum() else 0
+
+
+def mp4_table(b: bytes, first: int) -> array:
+    """For each place from ``first`` - 4 on, from the end backwards: where boxes in a row from there end, twice that, plus 1 if there is a movie box."""
+    first = max(0, first - 4)
+    ends = array("q", bytes(8 * (len(b) + 1 - first)))
+    for p in range(len(b), first - 1, -1):
+        end = box(b, p)
+        ends[p - first] = ends[end - first] | (b[p + 4 : p + 8] == b"moov") if end else 2 * p
+    return ends
+
+
 def mp4(b: bytes, at: int) -> tuple[str, int] | None:
-    p, kinds = at, set()
-    while p + 8 <= len(b):
-        n = u32(b, p, ">")
-        if n < 8 or p + n > len(b) or not bytes(b[p + 4 : p + 8]).isalnum():
-            break
-        kinds.add(bytes(b[p + 4 : p + 8]))
-        p += n
-    return ("mp4", p - at) if b"moov" in kinds else None
+    if table := table_of("mp4", b, b"ftyp", mp4_table):
+        end = table[at - max(0, b.find(b"ftyp") - 4)]
+        return ("mp4", (end >> 1) - at) if end & 1 else None
+    p, movie = at, False
+    while end := box(b, p):
+        movie = movie or b[p + 4 : p + 8] == b"moov"
+        p = end
+    return ("mp4", p - at) if movie else None
 
 
 CHECKS: dict[str, Callable[[bytes, int], tuple[str, int] | None]] = {"png": png, "gif": gif, "jpeg": jpeg, "riff": riff, "bmp": bmp, "pdf": pdf, "gzip": gzip, "zip": zipped, "mp4": mp4}
