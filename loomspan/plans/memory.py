@@ -1,11 +1,13 @@
-"""Session memory, thread merges and ledgers over event and conversation logs."""
+"""Session memory, thread merges, supervision and schemas over event logs, conversations and documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.operators import supervision
 from loomspan.plans.base import Registry
+from loomspan.sources import schemas
 from loomspan.streaming import memory
 
 R = Registry()
@@ -68,3 +70,27 @@ coalesce(nullif(trim(split_part(text, ' ', 1)), ''), nullif(trim(CASE WHEN role
 def normalized_steps(t):
     rows = t("conversations").select("conv_id", "turn", F.col("text").alias("action"), F.split_part("text", F.lit(" "), F.lit(1)).alias("observation_id"), F.when(F.col("role") == "system", "sys").alias("pointer"))
     return memory.normalized_steps(rows, ["conv_id"], ["turn"], "action", ["observation_id", "pointer"], 2).select("conv_id", "turn", F.col("observation_event_id").alias("event"), "action")
+
+
+@R.add("supervision_audit")
+def supervision_audit(t):
+    import public_tokenizers
+
+    return supervision.supervision_audit(t("conversations"), "conv_id", "turn", "role", "text", public_tokenizers.path("byte_bpe_50k.json"), 512)
+
+
+_DEF = '{"type":"object","required":["lang"],"properties":{"lang":{"type":"string","description":" code "},"up":{"$ref":"#/defs/doc"}}}'
+
+
+@R.add("flattened_schemas", """
+WITH d AS (SELECT doc_id, coalesce(source, 'none') AS s, n_chars FROM documents)
+SELECT doc_id, unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS place, unnest([s, 'body', 'body.size', 'body.parts', 'body.parts[].lang', 'body.parts[].up', 'doc', 'doc.lang']) AS path, unnest(['string', 'object', 'integer | null', 'object[]', 'string', 'any', 'object', 'string']) AS type,
+unnest([true, false, true, false, true, false, false, true]) AS required, unnest([NULL, NULL, n_chars::VARCHAR, NULL, NULL, NULL, NULL, NULL]) AS "default", unnest(['one of a, b', '', 'characters', '', 'code', '', '', 'code']) AS description FROM d
+UNION ALL SELECT doc_id, 9, 'doc.up', 'any', false, NULL, '' FROM d""")
+def flattened_schemas(t):
+    """A schema for each document: its source and size name and fill fields, and a definition refers to itself."""
+    d = t("documents").withColumn("s", F.coalesce("source", F.lit("none")))
+    size = F.concat(F.lit('{"anyOf":[{"type":"integer"},{"type":"null"},{"type":"integer"}],"description":"characters","default":'), F.coalesce(F.col("n_chars").cast("string"), F.lit("null")), F.lit("}"))
+    body = F.concat(F.lit('{"type":"object","required":["size"],"properties":{"size":'), size, F.lit(',"parts":{"type":"array","items":{"$ref":"#/defs/doc"}}}}'))
+    schema = F.concat(F.lit('{"required":["'), "s", F.lit('"],"properties":{"'), "s", F.lit('":{"type":"string","enum":["a","b"]},"body":'), body, F.lit(',"doc":{"$ref":"#/defs/doc"}}}'))
+    return schemas.flattened(d.select("doc_id", schema.alias("schema"), F.create_map(F.lit("#/defs/doc"), F.lit(_DEF)).alias("refs")), "doc_id", "schema", "refs")
