@@ -56,7 +56,7 @@ def hybrid(lists: DataFrame, id_col: str, weights: dict[str, float], k: dict[str
         fused = fused.join(boosts.select(id_col, F.col("score").alias("__b")), id_col, "left").withColumn("score", F.col("score") + F.coalesce("__b", F.lit(0.0))).drop("__b")
     if threshold is not None:
         fused = fused.filter(F.col("score") >= threshold)
-    return fused.orderBy(F.desc("score"), id_col).limit(limit)
+    return fused.orderBy(F.desc(F.round("score", 9)), id_col).limit(limit)  # sums of equal parts in another order count as equal
 
 
 def to_parents(hits: DataFrame, parent: str, id_col: str) -> DataFrame:

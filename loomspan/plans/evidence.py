@@ -136,11 +136,12 @@ WHEN {_has('accuracy_metric')} THEN 'accuracy_metric' WHEN {_has('limitation')}
 WHEN {_has('label_schema')} THEN 'label_schema' WHEN {_has('performance_latency')} THEN 'performance_eval' WHEN {_has('owner_metadata')} THEN 'owner_metadata' WHEN {_has('release_change')} THEN 'release_note' ELSE 'general' END"""
 
 
-def chunk_rows(t):
+def chunk_rows(t, ids=None):
     """Documents as chunks, each with a sign of one kind of chunk behind its text."""
     pick = lambda k: F.get(F.array(*[F.lit(c[k]) for c in CHUNKS]), (F.col("doc_id") % len(CHUNKS)).cast("int"))
     said = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), pick(0))
-    df = t("documents").select(F.col("doc_id").alias("i"), F.explode(F.array(said)).alias("t"), pick(1).alias("s"), F.when(pick(2) != "", F.array(pick(2))).otherwise(F.array().cast("array<string>")).alias("k"))
+    docs = t("documents") if ids is None else t("documents").join(ids, "doc_id", "left_semi")
+    df = docs.select(F.col("doc_id").alias("i"), F.explode(F.array(said)).alias("t"), pick(1).alias("s"), F.when(pick(2) != "", F.array(pick(2))).otherwise(F.array().cast("array<string>")).alias("k"))
     df = df.withColumn("a", F.explode(F.array(A.chunk_aspects(F.col("t"), F.col("s"), F.col("k")))))  # made once a row
     return df.withColumn("sec", F.explode(F.array(A.section_type(F.col("t"), F.col("a")))))
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loomspan.functions import aspects as A
 from loomspan.functions.text import selection_key, squash_query, text_tokens
 from loomspan.operators import graph, matching, resampling, retrieval
-from loomspan.plans import search
+from loomspan.plans import evidence, search
 from loomspan.plans.base import Registry
+from loomspan.sources.snapshots import stored
 
 R = Registry()
 
@@ -23,24 +25,40 @@ def hashing_embedding_topk(t):
 _GRAPH = f"(SELECT doc_id, count(DISTINCT name) / 1.0 AS score FROM {search._MENTIONS} WHERE kind IN ('email', 'version') GROUP BY 1)"
 
 
+_REL_SCORE = evidence._sum([
+    (evidence._has("release_change"), 0.7), (f"NOT {evidence._has('release_change')} AND {evidence._has('accuracy_metric')}", 0.35), (f"NOT {evidence._has('release_change')} AND NOT {evidence._has('accuracy_metric')}", -0.12),
+    (evidence._SHOWS["release_change"], 0.35), (evidence._SHOWS["accuracy_metric"], 0.12), (f"s IN ('table', 'deployment') AND NOT {evidence._has('release_change')}", -0.2),
+])
+_NAMED = "least(2.0, CASE WHEN contains(l, 'onanding') OR contains(f, 'onanding') THEN 0.75 ELSE 0 END + CASE WHEN contains(l, 'with') OR contains(f, 'with') THEN 0.45 ELSE 0 END)::DOUBLE"
+_ROWS_HIT = "contains(l, 'onanding')::INT + contains(l, 'with')::INT + contains(l, 'release')::INT"
+_BOOST = f"""(SELECT i AS doc_id, CASE WHEN en <= 0 THEN sc * 0.02 - 0.65 ELSE sc * 0.38 + least(en, 1.0) * 0.18 END + CASE WHEN s IN ('table', 'deployment') THEN least(0.18, 0.035 * ({_ROWS_HIT})) ELSE 0 END AS boost
+FROM (SELECT *, greatest(-1.0, least(1.8, {_REL_SCORE})) AS sc, {_NAMED} AS en FROM (SELECT *, lower(t) AS l FROM {evidence._ASPECTS})))"""
+
+
 @R.add("hybrid_retrieve", f"""
 WITH l AS (SELECT doc_id, CASE list WHEN 'text' THEN 1.0 ELSE 1.0 END / (60 + place) AS s FROM {search._PLACED}),
 st AS (SELECT doc_id, 0.45 / (20 + row_number() OVER (ORDER BY n_chars DESC, doc_id)) AS s FROM (SELECT doc_id, n_chars FROM documents WHERE lang = 'en' ORDER BY n_chars DESC, doc_id LIMIT 50)),
 gp AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM {_GRAPH} WHERE doc_id IN (SELECT doc_id FROM l)),
 u AS (SELECT * FROM l UNION ALL SELECT * FROM st UNION ALL SELECT doc_id, 0.28 / (60 + place) FROM gp),
 f AS (SELECT doc_id, sum(s) AS score, count(*) AS n_lists FROM u GROUP BY 1),
-z AS (SELECT f.doc_id, f.score + 0.28 * coalesce(g.score, 0) + CASE WHEN d.lang = 'en' THEN 0.001 ELSE 0.0 END AS score, n_lists, coalesce(g.score, 0)::DOUBLE AS graph FROM f LEFT JOIN {_GRAPH} g ON g.doc_id = f.doc_id AND f.doc_id IN (SELECT doc_id FROM l) LEFT JOIN documents d ON d.doc_id = f.doc_id)
-SELECT doc_id, round(score, 9) AS score, n_lists, graph FROM z WHERE score >= 0.005 ORDER BY score DESC, doc_id LIMIT 20""")
+z AS (SELECT f.doc_id, f.score + 0.28 * coalesce(g.score, 0) + coalesce(b.boost, 0) AS score, n_lists, coalesce(g.score, 0)::DOUBLE AS graph FROM f LEFT JOIN {_GRAPH} g ON g.doc_id = f.doc_id AND f.doc_id IN (SELECT doc_id FROM l) LEFT JOIN {_BOOST} b ON b.doc_id = f.doc_id)
+SELECT doc_id, round(score, 9)::DOUBLE AS score, n_lists, graph FROM z WHERE score >= 0.005 ORDER BY round(score, 9) DESC, doc_id LIMIT 20""")
 def hybrid_retrieve(t):
+    """Lists of words, vectors, rows and the graph; what is found is boosted by how well its text answers the aspect that the question is about,
+    by the entities it names, and as a row by the words of the question in its fields."""
     lists = search.two_lists(t)
     d = t("documents")
     rows = retrieval.top(d.filter("lang = 'en'").select("doc_id", F.col("n_chars").cast("double").alias("score")), 50, "doc_id").withColumn("list", F.lit("structured"))
     mentions = search.found(t).filter(F.col("kind").isin("email", "version"))
     g = mentions.groupBy("doc_id").agg(F.countDistinct("name").cast("double").alias("score")).join(lists.select("doc_id").distinct(), "doc_id", "left_semi")
-    every = lists.unionByName(rows).unionByName(g.withColumn("list", F.lit("graph")))
-    boost = d.select("doc_id", F.when(F.col("lang") == "en", 0.001).otherwise(0.0).alias("score"))
-    out = matching.hybrid(every, "doc_id", {"graph": 0.28, "structured": 0.45}, {"structured": 20}, g, 0.28, boost, 0.005)
-    return out.withColumn("score", F.round("score", 9))
+    every = stored(lists.unionByName(rows).unionByName(g.withColumn("list", F.lit("graph"))))  # candidates of every list
+    chunks = evidence.chunk_rows(t, every.select("doc_id").distinct())
+    terms, body, aspect = ["onanding", "with"], F.col("t"), "release_change"
+    answer = A.answerability(aspect, body, F.col("s"), F.col("a"), F.col("sec"))
+    boost = A.lexical_boost(search.QUERY, body, F.col("s")) + A.aspect_boost(aspect, F.col("answer"), terms, body) + A.structured_boost(search.QUERY, [*terms, "release"], body, F.lit(None).cast("string"), F.col("s"))
+    boosts = chunks.withColumn("answer", F.explode(F.array(answer))).select(F.col("i").alias("doc_id"), boost.alias("score"))
+    out = matching.hybrid(every, "doc_id", {"graph": 0.28, "structured": 0.45}, {"structured": 20}, g, 0.28, boosts, 0.005)
+    return out.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "doc_id")
 
 
 @R.add("hits_to_parents", """
