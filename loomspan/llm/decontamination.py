@@ -13,12 +13,13 @@ from loomspan.llm.common import by_ids, stored
 MASKS = ("1110010111", "11011001011")
 #: With these, every pattern of substitutions that the limits allow (13 tokens, 80 % equal) is hit by a seed.
 MORE_MASKS = ("1111011", "1110111", "1110000100011")
-#: Non-letters and non-digits part tokens.
+#: Non-letters and non-digits part tokens; in scripts written without spaces every character is a token.
 BREAK = r"[^\p{L}\p{N}]+"
+UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 
 
 def tokens(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAK), "")
+    return F.array_remove(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), UNSPACED, " $1 "), BREAK), "")
 
 
 def seeds(df: DataFrame, words: str, pos: str, masks: tuple[str, ...]) -> DataFrame:
@@ -47,6 +48,7 @@ def find_leaks(
     min_equal: float = 0.8,
     min_exact: int = 5,
     max_broadcast_seeds: int = 500_000,
+    max_broadcast_bytes: int = 64_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
@@ -61,20 +63,25 @@ def find_leaks(
     alignment of the item with the document. ``hits`` counts hits of ``masks`` whose window, widened by ``reach`` tokens to both
     sides as far as both texts go, passes as a whole; it is 0 where only a span inside or beside the window does, or only a seed of ``more_masks``.
 
-    The benchmark's seeds are broadcast, in as many parts as keep each at ``max_broadcast_seeds`` rows, one pass over the
-    documents for each part; the windows of the documents are never shuffled. Only checked pairs are.
+    The benchmark's seeds are written once and broadcast in parts of about ``max_broadcast_seeds`` rows (by a hash of the seed, so that an
+    item of any length is split), one pass over the documents for each part. Tokens of the items that hits need are broadcast where
+    they take ``max_broadcast_bytes`` at most, and joined with the hits by a shuffle beyond. The windows of the documents are never
+    shuffled. Short items are broadcast by parts too.
 
     An item of fewer than ``min_overlap`` tokens, but ``min_exact`` or more, leaks where all its tokens stand in a row; ``hits`` counts the
     places. Shorter items are everyday phrases and no evidence.
 
-    Null and empty texts match nothing; null ids are ids like others. Repeated items and documents add to the hits of one pair. Returns
+    Null and empty texts match nothing; null ids are ids like others. Repeated items count once, repeated documents add to the hits of one pair. Returns
     doc_id, item_id, matched, overlap, hits.
     """
     items = bench.select(F.col(item_col).alias("__item"), tokens(F.col(item_text_col)).alias("__it"))
     short = stored(items.filter(F.size("__it").between(min_exact, min_overlap - 1)).select("__item", F.size("__it").alias("__n"), F.xxhash64("__it").alias("__seed"), "__it"))
     sizes = sorted(r[0] for r in short.select("__n").distinct().collect())  # fewer than ``min_overlap``
-    made = seeds(items, "__it", "__j", (*masks, *more_masks)).select("__item", "__j", "__mask", "__seed")
-    parts = max(1, -(-made.count() // max_broadcast_seeds))
+    long_ = stored(items.filter(F.size("__it") >= min_overlap).withColumn("__h", F.xxhash64("__item", "__it")).distinct())  # an item that repeats is itself
+    made = stored(seeds(long_, "__it", "__j", (*masks, *more_masks)).select("__h", "__j", "__mask", "__seed").filter("__seed IS NOT NULL"))
+    parts, short_parts = (max(1, -(-df.count() // max_broadcast_seeds)) for df in (made, short))
+    width = long_.agg(F.sum(F.aggregate("__it", F.lit(64).cast("long"), lambda n, t: n + F.octet_length(t) + 16))).first()[0] or 0
+    texts = F.broadcast(long_) if width <= max_broadcast_bytes else long_
     words = docs.select(F.col(id_col).alias("__doc"), tokens(F.col(text_col)).alias("__w"))
     span, most = max(map(len, masks)), 2 * min_overlap - 1
 
@@ -94,9 +101,8 @@ def find_leaks(
         return F.when(may, F.exists(F.array(same), within)).otherwise(False)  # the outer array makes the comparison run once
 
     def one(part: int) -> DataFrame:
-        mine = F.pmod(F.xxhash64("__item"), F.lit(parts)) == part
-        hits = seeds(words, "__w", "__i", (*masks, *more_masks)).drop("__mask").join(F.broadcast(made.filter(mine)), "__seed")
-        hits = hits.join(F.broadcast(items.filter(mine & (F.size("__it") >= min_overlap))), "__item")
+        mine = F.pmod("__seed", F.lit(parts)) == part
+        hits = seeds(words, "__w", "__i", (*masks, *more_masks)).drop("__mask").join(F.broadcast(made.filter(mine)), "__seed").join(texts, "__h")
         lo_all = F.greatest(F.lit(0), F.col("__j") - F.col("__i"))
         hi_all = F.least(F.size("__it"), F.size("__w") - F.col("__i") + F.col("__j"))
         hits = hits.withColumns({"__la": lo_all, "__ha": hi_all})
@@ -106,14 +112,14 @@ def find_leaks(
         best = F.struct(equal(F.col("__la"), F.col("__ha")).alias("m"), (F.col("__ha") - F.col("__la")).alias("o"))
         return hits.select("__doc", "__item", best.alias("__best"), whole.cast("long").alias("__whole"))
 
-    def exact() -> DataFrame:
-        """Short items: every run of as many tokens as some short item has, joined by hash and compared."""
+    def exact(part: int) -> DataFrame:
+        """Short items: every run of as many tokens as some short item has, joined by hash and compared on the spot."""
         at = words.withColumn("__i", F.explode(F.when(F.size("__w") >= sizes[0], F.sequence(F.lit(0), F.size("__w") - sizes[0])).otherwise(F.array().cast("array<int>"))))
         runs = F.array(*[F.when(F.col("__i") + n <= F.size("__w"), F.struct(F.lit(n).alias("__n"), F.xxhash64(F.slice("__w", F.col("__i") + 1, n)).alias("__seed"))) for n in sizes])
-        hits = at.select("__doc", "__w", "__i", F.inline(F.array_compact(runs))).join(short, ["__n", "__seed"]).filter(F.slice("__w", F.col("__i") + 1, F.col("__n")) == F.col("__it"))
+        hits = at.select("__doc", "__w", "__i", F.inline(F.array_compact(runs))).join(F.broadcast(short.filter(F.pmod("__seed", F.lit(short_parts)) == part)), ["__n", "__seed"]).filter(F.slice("__w", F.col("__i") + 1, F.col("__n")) == F.col("__it"))
         return hits.select("__doc", "__item", F.struct(F.col("__n").alias("m"), F.col("__n").alias("o")).alias("__best"), F.lit(1).cast("long").alias("__whole"))
 
-    found = reduce(DataFrame.unionByName, [*map(one, range(parts)), *([exact()] if sizes else [])])
+    found = reduce(DataFrame.unionByName, [*map(one, range(parts)), *(map(exact, range(short_parts)) if sizes else [])])
     best = found.groupBy("__doc", "__item").agg(F.max("__best").alias("__best"), F.sum("__whole").alias("hits"))
     return best.select(F.col("__doc").alias(id_col), F.col("__item").alias(item_col), F.col("__best.m").cast("long").alias("matched"), F.col("__best.o").cast("long").alias("overlap"), "hits")
 

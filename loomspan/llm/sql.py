@@ -31,24 +31,26 @@ def mixing(weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0, seed:
     return f"""WITH {', '.join(parts)} SELECT doc_id, size, ss AS source_size, target, ((whole + extra) * size)::BIGINT AS taken, (whole + extra)::INT AS copies FROM taken{rounds} x JOIN h ON x.src IS NOT DISTINCT FROM h.src"""
 
 
-def decontamination(masks: tuple[str, ...] = ("1110010111", "11011001011"), reach: int = 5, min_overlap: int = 13, min_equal: float = 0.8, min_exact: int = 5) -> str:
-    """Documents and items with equal tokens under a mask, and the check of the overlap around each hit."""
-    span, short = max(map(len, masks)), min(map(len, masks))
+def decontamination(masks: tuple[str, ...] = ("1110010111", "11011001011"), more: tuple[str, ...] = ("1111011", "1110111", "1110000100011"), reach: int = 5, min_overlap: int = 13, min_equal: float = 0.8, min_exact: int = 5) -> str:
+    """Documents and items with equal tokens under a mask; in the alignment of each hit, some span around it must have enough equal tokens."""
+    span, short, most = max(map(len, masks)), min(map(len, (*masks, *more))), 2 * min_overlap - 1
 
     def seeds(table: str, k: int, mask: str) -> str:
         at = [i for i, bit in enumerate(mask) if bit == "1"]
         key = " || chr(31) || ".join(f"w[i + {j + 1}]" for j in at)
-        return f"SELECT id, w, i, {k} AS m, {key} AS key FROM (SELECT id, w, unnest(range(0, len(w) - {short - 1})) AS i FROM {table}) WHERE i + {at[-1]} < len(w)"
+        return f"SELECT id, w, i, {k} AS m, {key} AS key FROM (SELECT id, w, unnest(range(0, len(w) - {short - 1})) AS i FROM {table}) WHERE i + {len(mask) - 1} < len(w)"
 
-    tokens = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
-    side = lambda table: " UNION ALL ".join(seeds(table, k, m) for k, m in enumerate(masks))
+    tokens = r"regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])', ' \1 ', 'g'), '[\p{L}\p{N}]+')"
+    side = lambda table: " UNION ALL ".join(seeds(table, k, m) for k, m in enumerate((*masks, *more)))
     equal = lambda lo, hi: f"len(list_filter(range({lo}, {hi}), lambda k: dw[k + i - j + 1] = iw[k + 1]))"
-    return f"""WITH docs AS (SELECT doc_id AS id, {tokens} AS w FROM documents), items AS (SELECT item_id AS id, {tokens} AS w FROM benchmark),
-a AS ({side('docs')}), b AS ({side('items')}), hit AS (SELECT a.id AS doc_id, b.id AS item_id, a.w AS dw, b.w AS iw, a.i AS i, b.i AS j FROM a JOIN b ON a.m = b.m AND a.key = b.key),
-lim AS (SELECT *, greatest(0, j - i) AS la, least(len(iw), len(dw) - i + j) AS ha FROM hit), win AS (SELECT *, greatest(la, j - {reach}) AS lo, least(ha, j + {span + reach}) AS hi FROM lim),
-ok AS (SELECT doc_id, item_id, {equal('la', 'ha')} AS m, ha - la AS o FROM win WHERE hi - lo >= {min_overlap} AND {equal('lo', 'hi')} >= (hi - lo) * {min_equal}::DOUBLE),
-e AS (SELECT d.id AS doc_id, i.id AS item_id, len(i.w) AS m, len(i.w) AS o FROM (SELECT id, w, unnest(range(0, len(w) - {min_exact - 1})) AS p FROM docs) d JOIN items i ON len(i.w) BETWEEN {min_exact} AND {min_overlap - 1} AND d.w[p + 1] = i.w[1] AND d.w[p + 1 : p + len(i.w)] = i.w)
-SELECT doc_id, item_id, arg_max(m, (m, o))::BIGINT AS matched, arg_max(o, (m, o))::BIGINT AS overlap, count(*) AS hits FROM (FROM ok UNION ALL FROM e) GROUP BY 1, 2"""
+    same = f"list_transform(range(greatest(la, j - {most - 1}), least(ha, j + {most})), lambda k: (dw[k + i - j + 1] = iw[k + 1])::INT)"
+    dense = f"len(list_filter(range({min_overlap}, least({most}, len(e)) + 1), lambda n: len(list_filter(range(0, len(e) - n + 1), lambda s: list_sum(e[s + 1 : s + n]) >= n * {min_equal}::DOUBLE)) > 0)) > 0"
+    return f"""WITH docs AS (SELECT doc_id AS id, {tokens} AS w FROM documents), items AS (SELECT DISTINCT item_id AS id, {tokens} AS w FROM benchmark),
+a AS ({side('docs')}), b AS ({side(f'(SELECT * FROM items WHERE len(w) >= {min_overlap})')}), hit AS (SELECT a.id AS doc_id, b.id AS item_id, a.w AS dw, b.w AS iw, a.i AS i, b.i AS j, a.m AS mask FROM a JOIN b ON a.m = b.m AND a.key = b.key),
+lim AS (SELECT *, greatest(0, j - i) AS la, least(len(iw), len(dw) - i + j) AS ha FROM hit), win AS (SELECT *, greatest(la, j - {reach}) AS lo, least(ha, j + {span + reach}) AS hi, {same} AS e FROM lim),
+ok AS (SELECT doc_id, item_id, {equal('la', 'ha')} AS m, ha - la AS o, (mask < {len(masks)} AND hi - lo >= {min_overlap} AND {equal('lo', 'hi')} >= (hi - lo) * {min_equal}::DOUBLE)::INT AS whole FROM win WHERE {dense}),
+e AS (SELECT d.id AS doc_id, i.id AS item_id, len(i.w) AS m, len(i.w) AS o, 1 AS whole FROM (SELECT id, w, unnest(range(0, len(w) - {min_exact - 1})) AS p FROM docs) d JOIN items i ON len(i.w) BETWEEN {min_exact} AND {min_overlap - 1} AND d.w[p + 1] = i.w[1] AND d.w[p + 1 : p + len(i.w)] = i.w)
+SELECT doc_id, item_id, arg_max(m, (m, o))::BIGINT AS matched, arg_max(o, (m, o))::BIGINT AS overlap, sum(whole)::BIGINT AS hits FROM (FROM ok UNION ALL FROM e) GROUP BY 1, 2"""
 
 
 def ngram_jaccard(n: int = 5, threshold: float = 0.8) -> str:

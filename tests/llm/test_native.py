@@ -30,6 +30,29 @@ def test_shards_are_contiguous_equal_and_gapless(spark, n):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_equal_rows_cross_shards_one_by_one(spark):
+    """Rows that are equal in id, size and checksum, null ids and null texts: places are those of a plain list."""
+    rows = [(7, "same words", "en", "s", 1)] * 200 + [(None, f"x{k % 3}", "en", "s", 1) for k in range(40)] + [(8, None, None, None, None)] * 5 + [(k, "a" * (k % 90), "en", "s", 1) for k in range(60)]
+    for n in (2, 7, 50):
+        got = shard_by_bytes(frame(spark, rows), n, blocks=3, max_broadcast_rows=(0, 10**6)[n % 2]).collect()
+        got.sort(key=lambda r: (r["__shard"], r["__slot"]))
+        order = [(r.doc_id is not None, r.doc_id or 0, r["__size"], r["__crc"]) for r in got]
+        assert order == sorted(order) and len(got) == len(rows)
+        total, before, slots = sum(r["__size"] for r in got), 0, defaultdict(list)
+        for r in got:
+            assert r["__shard"] == (2 * before + r["__size"]) * n // (2 * total)
+            before += r["__size"]
+            slots[r["__shard"]].append(r["__slot"])
+        assert all(s == list(range(len(s))) for s in slots.values())
+
+
+def test_no_text_in_windows_of_shards(spark, tmp_path):
+    frame(spark, [(k, f"text {k}", "en", "s", 1) for k in range(50)]).write.parquet(str(tmp_path / "d"))
+    plan = shard_by_bytes(spark.read.parquet(str(tmp_path / "d")), 4)._jdf.queryExecution().optimizedPlan()
+    parts = [n.strip() for n in plan.toString().split("\n") if "Window" in n]
+    assert len(parts) == 1 and "__n" in plan.toString()  # only rows that repeat a key are numbered, after a filter on its count
+
+
 def test_sharding_of_an_empty_table(spark):
     assert shard_by_bytes(frame(spark, []), 3).count() == 0
 
@@ -171,3 +194,35 @@ def test_leaks_of_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert find_leaks(frame(spark), bench).count() == 0
     assert find_leaks(frame(spark, []), bench).count() == 0
+
+
+def test_leaks_equal_their_sql_on_planted_passages(spark, tmp_path):
+    """Passages of 13 to 16 tokens from inside longer items with every number of substitutions, an item without spaces, short and repeated items."""
+    import duckdb
+
+    from loomspan.llm import sql
+
+    r = random.Random(6)
+    items = [(k, " ".join(f"w{k}x{i}" for i in range(30 + k))) for k in range(12)]
+    unspaced = "本次评测共收录三十六个字符的中文题目并且没有任何空格或者标点符号用于测试"
+    items += [(100, unspaced), (101, "five words in a row"), (102, None), (103, "too short"), (0, items[0][1])]
+    docs = [(500, "前文" + unspaced + "后文"), (501, unspaced), (502, "say five words in a row, five words in a row"), (503, None), (504, ""), (505, "too short"), (506, "same " * 400), (None, items[3][1]), (500, "again")]
+    for k in range(12):
+        for n in (12, 13, 14, 15, 16, 20):
+            words = items[k][1].split()
+            at = r.randint(0, len(words) - n)
+            part = words[at : at + n]
+            for place in r.sample(range(n), r.randint(0, n // 5 + 1)):
+                part[place] = f"other{place}"
+            docs.append((k * 100 + n, f"{prose('en', 9, k)} {' '.join(part)} {prose('en', 9, n)}"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark"))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}/*.parquet'")
+    d, b = (spark.read.parquet(str(tmp_path / t)) for t in ("documents", "benchmark"))
+    want = sorted(con.execute(f"SELECT doc_id, item_id, matched, overlap, hits FROM ({sql.decontamination()})").fetchall(), key=str)
+    for kw in ({}, {"max_broadcast_seeds": 300, "max_broadcast_bytes": 0}):
+        assert sorted(map(tuple, find_leaks(d, b, **kw).collect()), key=str) == want
+    pairs = {(r[0], r[1]) for r in want}
+    assert {(500, 100), (501, 100), (502, 101), (None, 3)} <= pairs and not {p for p in pairs if p[1] in (102, 103)} and 20 < len(pairs) < 70
