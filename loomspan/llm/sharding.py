@@ -17,14 +17,14 @@ def block_of(df: DataFrame, id_col: str, blocks: int) -> Column:
     return F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(id_col))), F.lit(0))
 
 
-def shard_by_bytes(docs: DataFrame, n_shards: int = 24, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 1_000_000, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, n_shards: int = 24, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 1_000_000, max_broadcast_rows: int = 400_000) -> DataFrame:
     """Put rows, in the order of their id, into ``n_shards`` contiguous shards of nearly equal bytes.
 
     A row weighs the UTF-8 bytes of its text plus 8. Its key is its id, size and checksum. Keys with their counts are written once, a few
     numbers each, and dealt to ranges of the id: one for ``block_rows`` keys, 256 to 5000 of them (or ``blocks``). Per-block totals,
     summed up over the blocks, and a running sum inside each block give every key its global byte offset and number; the shard is the
     equal share of all bytes in which the row's middle lies. No text goes through a sort or window: rows get their place by
-    a join on the key, which is broadcast up to ``max_broadcast_rows`` of 56 bytes, and shuffled with the rows beyond. No shard misses
+    a join on the key, which is broadcast up to ``max_broadcast_rows`` of about 150 bytes, and shuffled with the rows beyond. No shard misses
     its share by more than one row on either side.
 
     Null ids come first, a null text weighs 8, rows with equal keys are interchangeable and numbered among themselves, an empty
