@@ -40,7 +40,7 @@ def decontamination(masks: tuple[str, ...] = ("1110010111", "11011001011"), more
         key = " || chr(31) || ".join(f"w[i + {j + 1}]" for j in at)
         return f"SELECT id, w, i, {k} AS m, {key} AS key FROM (SELECT id, w, unnest(range(0, len(w) - {short - 1})) AS i FROM {table}) WHERE i + {len(mask) - 1} < len(w)"
 
-    tokens = r"regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])', ' \1 ', 'g'), '[\p{L}\p{N}]+')"
+    tokens = r"regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '([\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3005}-\x{3007}\x{3041}-\x{30FF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}])', ' \1 ', 'g'), '[\p{L}\p{N}]+')"
     side = lambda table: " UNION ALL ".join(seeds(table, k, m) for k, m in enumerate((*masks, *more)))
     equal = lambda lo, hi: f"len(list_filter(range({lo}, {hi}), lambda k: dw[k + i - j + 1] = iw[k + 1]))"
     same = f"list_transform(range(greatest(la, j - {most - 1}), least(ha, j + {most})), lambda k: (dw[k + i - j + 1] = iw[k + 1])::INT)"
