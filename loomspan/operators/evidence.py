@@ -126,10 +126,12 @@ def public_model_score(query: str, fields: Sequence[Column], name: Column, keywo
 
 
 def balanced_down(rows: DataFrame, cells: Sequence[str], id_col: str, seed: int, least: int = 1) -> DataFrame:
-    """Cut every cell to the size of the smallest one that has ``least`` rows or more, by a digest of the id; smaller cells stay whole."""
+    """Cut every cell to the size of the smallest one that has ``least`` rows or more, by a digest of the id; smaller cells stay whole. A cell
+    with most of all rows is sorted in ranges of the digest, not in one task."""
     from loomspan.functions.text import selection_key
+    from loomspan.operators.datasets import numbered
 
     sizes = rows.groupBy(*cells).agg(F.count("*").alias("n"))
     goal = sizes.filter(F.col("n") >= least).agg(F.min("n")).first()[0] or 0
-    place = F.row_number().over(Window.partitionBy(*cells).orderBy(selection_key(seed, F.col(id_col)), id_col))
-    return rows.withColumn("__p", place).filter(F.col("__p") <= F.lit(int(goal))).drop("__p")
+    placed = numbered(rows.withColumn("__k", selection_key(seed, F.col(id_col))), list(cells), "__k", id_col)
+    return placed.filter(F.col("__place") <= F.lit(int(goal))).select(*rows.columns)

@@ -50,3 +50,16 @@ def test_ids_of_merged_items_without_their_list(spark):
     for name in (None, "k1", "k2"):
         mine = sorted((k for k in range(200) if (None if k % 3 == 0 else f"k{k % 3}") == name), key=lambda k: (-(k % 5), -k))
         assert got[name] == (len(mine), "org-" + hashlib.sha1("|".join(map(str, mine)).encode()).hexdigest()[:16])
+
+
+def test_cells_are_cut_alike(spark):
+    from loomspan.functions.text import selection_key
+    from loomspan.operators import evidence
+
+    rows = spark.createDataFrame([(i, "hot" if i % 4 else (None, "b")[i % 8 == 0], i % 2) for i in range(160)] + [(900, "few", 0)], "id int, a string, b int")
+    got = {r.id for r in evidence.balanced_down(rows, ["a", "b"], "id", 3, least=3).collect()}
+    keys, cells = {r.id: r.k for r in rows.select("id", selection_key(3, F.col("id")).alias("k")).collect()}, {}
+    for r in rows.collect():
+        cells.setdefault((r.a, r.b), []).append(r.id)
+    goal = min(len(c) for c in cells.values() if len(c) >= 3)
+    assert got == {i for c in cells.values() for i in sorted(c, key=lambda i: (keys[i], i))[:goal]} and len(got) == sum(min(goal, len(c)) for c in cells.values())
