@@ -12,13 +12,13 @@ from loomspan.functions.rules import QUERY_INTENTS, all_rules
 from loomspan.functions.text import PLAYBOOK_TOKEN, lexical_tokens, playbook_query, playbook_tokens
 from loomspan.sources.snapshots import Snapshots, stored
 
-#: Columns of an item, weights of the score's terms, bonuses of sections, kinds of sources, and phrases of feedback items.
+#: Columns of an item, weights of the score's terms, bonuses of sections and phrases of feedback items; and the kinds of sources.
 ITEM = "item_id string, section string, content string, status string, tags array<string>, source_hints array<string>, query_intents array<string>, expansion_terms array<string>, confidence double, updated_at double, source_query string, feedback_type string"
 WEIGHTS = {"bm25": 0.42, "keyword": 0.23, "token": 0.15, "intent": 0.3, "confidence": 0.15}
 SECTION_BONUS = [("deployment", ("source_routing",), 0.15), ("field_lookup", ("field_binding", "answer_strategy"), 0.12), ("aggregate", ("aggregate_semantics",), 0.16)]
 EXACT_FEEDBACK, CORRECTION = 0.9, 0.08
 REPEATS = {"tags": 2, "expansion_terms": 3, "query_intents": 2}
-SOURCES = ("document", "table", "adela")
+SOURCES = ("document", "table", "deployment")
 ASKED, ANSWERED, CHECKED, NOTED = "用户针对问题“", "”提交了在线反馈，后续遇到相同或高度相似的问题应优先纠正。", "优先核对证据：", "备注："
 CORRECTED = "修正答案："
 

@@ -12,7 +12,7 @@ from loomspan.operators import playbook
 
 ITEMS = [
     ("a", "field_binding", "Bind the red field to 模型文件列表", "active", ["red", "Bolt"], ["table"], ["field_lookup"], ["owner", "bolt-9"], 0.7, 3.0, None, None),
-    ("b", "source_routing", "route nothing", "active", [], ["adela", "table"], [], [], 0.9, 2.0, None, None),
+    ("b", "source_routing", "route nothing", "active", [], ["deployment", "table"], [], [], 0.9, 2.0, None, None),
     ("c", "online_feedback", "the answer was red", "active", ["red"], ["document"], [], ["red bolt"], 1.0, 5.0, "Red  BOLT, 文件列表?", "correction"),
     ("d", "online_feedback", "the answer was red", "active", ["red"], [], [], ["red bolt"], 1.0, 5.0, "another question", "correction"),
     ("e", "query_expansion", "about 安全带 things; bolt colour", "active", None, ["Table"], None, ["safetybelt", "model", "colour wheel"], 0.2, None, None, None),
@@ -76,11 +76,11 @@ def test_terms_and_hints_of_hits(spark):
     assert told("red bolt 文件列表 colourwheel") == ["safetybelt", "model", "colour wheel"]  # a term of the item stands in the query
     assert told("things with bolt") == ["safetybelt", "model", "colour wheel"]  # a word of its content does
     assert told("bolt 安全绳带", aliases={"safetybelt": ["安全绳"]}) == ["safetybelt", "model", "colour wheel"]
-    assert [r.hint for r in playbook.source_hints(hits).orderBy("place").collect()] == ["document", "table", "adela"]
+    assert [r.hint for r in playbook.source_hints(hits).orderBy("place").collect()] == ["document", "table", "deployment"]
 
 
 def test_feedback_becomes_items(spark):
-    runs = spark.createDataFrame([("r1", "What OID, red?", ["table", "web"]), ("r2", "what oid  RED", []), ("r3", "?!", []), ("r4", "几个 red", ["adela"])], "run_id string, query string, sources array<string>")
+    runs = spark.createDataFrame([("r1", "What OID, red?", ["table", "web"]), ("r2", "what oid  RED", []), ("r3", "?!", []), ("r4", "几个 red", ["deployment"])], "run_id string, query string, sources array<string>")
     feedback = spark.createDataFrame([
         ("f1", "r1", "comment", None, "see Model-77", ["x"], 1.0), ("f2", "r2", "correction", "It is Bolt/9", None, ["structured::Table::k1", "document::d::k2"], 2.0),
         ("f3", "r3", "correction", "lost", None, None, 3.0), ("f4", "r4", "harmful", None, "", [], 4.0), ("f5", "r4", "missing", None, "red red", None, 5.0), ("f6", "none", "correction", "x", None, None, 6.0),
@@ -92,7 +92,7 @@ def test_feedback_becomes_items(spark):
     assert one.expansion_terms == ["Bolt/9", "what", "oid", "red", "it", "is", "k1", "k2"] and one.query_intents == ["release_table"] and one.tags == ["online-feedback", "correction", "what", "oid", "red"]
     assert one.content.split("\n")[1:] == [playbook.CORRECTED + "It is Bolt/9", playbook.CHECKED + "structured::Table::k1, document::d::k2"]
     two = got["几个 red"]
-    assert two.confidence == 0.92 and two.source_hints == ["adela"] and two.query_intents == ["aggregate"] and two.content.endswith(playbook.NOTED + "red red")
+    assert two.confidence == 0.92 and two.source_hints == ["deployment"] and two.query_intents == ["aggregate"] and two.content.endswith(playbook.NOTED + "red red")
     assert playbook.feedback_items(feedback, runs).columns == [c.split()[0] for c in playbook.ITEM.split(", ")]
 
 
