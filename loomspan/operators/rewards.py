@@ -6,6 +6,8 @@ action and args. Arrays of them are a case's steps in order.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,8 +84,59 @@ def repeats_a_tool(want: Column, got: Column, same: dict[str, str] | None = None
     return (F.size(want) > 1) & ~neighbours_alike(want, same or {}) & neighbours_alike(got, same or {})
 
 
-def case_score(want: Column, got: Column, forbidden: Column, process: dict[str, float] | None = None, same: dict[str, str] | None = None) -> Column:
-    """struct(score, passed, forbidden_hit, stopped_early, repeated): steps, no forbidden action and process terms over what could be had.
+def skipped_probe(want: Column, got: Column, probes: Sequence[str], then: str) -> Column:
+    """Whether the first decision is no probe where one was due: the expected steps begin with a probe followed by ``then``."""
+    due = (F.size(want) > 1) & act(F.get(want, F.lit(0))).isin(*probes) & (act(F.get(want, F.lit(1))) == then)
+    return F.coalesce(due & (F.size(got) > 0) & ~act(F.get(got, F.lit(0))).isin(*probes), F.lit(False))
+
+
+def left_open(want: Column, got: Column, same: dict[str, str] | None = None) -> Column:
+    """Whether the last expected step, which must finish, was taken by the right action without finishing."""
+    w, g = F.get(want, F.size(want) - 1), F.get(got, F.size(want) - 1)
+    right = family(act(w), same or {}) == family(act(g), same or {})
+    must = F.lower(w["args"][FINISH]) == "true"
+    done = F.coalesce(F.lower(g["args"][FINISH]) == "true", F.lit(False))
+    return F.coalesce(g.isNotNull() & right & must & ~done, F.lit(False))
+
+
+def online_step_score(
+    want: Column, got: Column, forbidden: Column, place: Column, total: Column, previous: Column, now: Column, before: Column, probe_due: Column,
+    process: dict[str, float] | None = None, same: dict[str, str] | None = None, probes: Sequence[str] = (), cap: float | None = None,
+) -> Column:
+    """The score of one sampled step from 0 to 1: its parts, no forbidden action, and the process terms that its place makes apply.
+
+    ``place`` of ``total`` counts from 1; ``previous`` is the action taken before, ``now`` and ``before`` are the expected actions of
+    this step and the one before it. Before the last step the decision must be a tool that goes on (``no_premature_stop``); after the
+    first it must not repeat a class that the expected steps do not repeat (``no_repeated_tool``); at the first it must be a probe if
+    one is due (``no_skip_required_probe``); at the last it must finish if the expected tool does (``final_tool_finish``; a step that
+    need not finish has the weight for free). Terms that do not apply count in neither the sum nor what could be had. A wrong action
+    has at most ``cap``. No decision gives 0.
+    """
+    process, same = process or {}, same or {}
+    detail = step_detail(want, got, same)
+    did, finish = act(got), F.lower(got["args"][FINISH])
+    goes_on = (got["kind"] == "tool") & ~did.isin(*STOPS) & (finish == "false")
+    fresh = (family(now, same) == family(before, same)) | (family(did, same) != family(F.coalesce(previous, F.lit("")), same))
+    must_finish = (F.coalesce(want["kind"], F.lit("tool")) == "tool") & (F.lower(want["args"][FINISH]) == "true")
+    closed = ~F.coalesce(must_finish, F.lit(False)) | F.coalesce(finish == "true", F.lit(False))
+    terms = [
+        ("no_premature_stop", place < total, goes_on), ("no_repeated_tool", place > 1, fresh),
+        ("no_skip_required_probe", (place == 1) & probe_due, did.isin(*probes)), ("final_tool_finish", place == total, closed),
+    ]
+    gained = step_score(detail) + F.when(F.coalesce(F.array_contains(forbidden, did), F.lit(False)), 0.0).otherwise(NO_FORBIDDEN)
+    most = F.lit(sum(STEP_WEIGHTS.values()) + NO_FORBIDDEN)
+    for name, applies, ok in terms:
+        if w := float(process.get(name, 0.0)):
+            gained = gained + w * _one(applies) * _one(ok)
+            most = most + w * _one(applies)
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), gained / most))
+    if cap is not None:
+        score = F.when(detail["action_match"] >= 1, score).otherwise(F.least(score, F.lit(min(1.0, max(0.0, cap)))))
+    return F.when(got.isNull() | want.isNull(), 0.0).otherwise(score)
+
+
+def case_score(want: Column, got: Column, forbidden: Column, process: dict[str, float] | None = None, same: dict[str, str] | None = None, probes: Sequence[str] = (), then: str = "") -> Column:
+    """struct(score, passed, forbidden_hit, stopped_early, repeated, skipped_probe, left_open): steps, no forbidden action and process terms over what could be had.
 
     A case without readable decisions (null) scores 0. It passes with a score of 1 at six digits.
     """
@@ -93,11 +146,14 @@ def case_score(want: Column, got: Column, forbidden: Column, process: dict[str,
     raw = F.aggregate(steps, F.lit(0.0), lambda s, x: s + x)
     hit = F.exists(made, lambda d: F.coalesce(F.array_contains(forbidden, act(d)), F.lit(False)))
     early, again = stopped_early(want, made), repeats_a_tool(want, made, same)
-    w_early, w_again = float(process.get("no_premature_stop", 0.0)), float(process.get("no_repeated_tool", 0.0))
-    most = sum(STEP_WEIGHTS.values()) * F.greatest(F.size(want), F.lit(1)) + NO_FORBIDDEN + w_early + w_again
-    gained = raw + F.when(hit, 0.0).otherwise(NO_FORBIDDEN) + F.when(early, 0.0).otherwise(w_early) + F.when(again, 0.0).otherwise(w_again)
+    skipped = skipped_probe(want, made, probes, then) if probes else F.lit(False)
+    unclosed = left_open(want, made, same)
+    terms = {"no_premature_stop": early, "no_repeated_tool": again, "no_skip_required_probe": skipped, "final_tool_finish": unclosed}
+    weights = {name: float(process.get(name, 0.0)) for name in terms}
+    most = sum(STEP_WEIGHTS.values()) * F.greatest(F.size(want), F.lit(1)) + NO_FORBIDDEN + sum(weights.values())
+    gained = raw + F.when(hit, 0.0).otherwise(NO_FORBIDDEN) + sum((F.when(fault, 0.0).otherwise(weights[name]) for name, fault in terms.items() if weights[name]), F.lit(0.0))
     score = F.when(got.isNull(), 0.0).otherwise(F.round(gained / most, 6))
-    return F.struct(score.alias("score"), (score >= 1).alias("passed"), hit.alias("forbidden_hit"), early.alias("stopped_early"), again.alias("repeated"))
+    return F.struct(score.alias("score"), (score >= 1).alias("passed"), hit.alias("forbidden_hit"), early.alias("stopped_early"), again.alias("repeated"), skipped.alias("skipped_probe"), unclosed.alias("left_open"))
 
 
 def format_score(prefix: Column, tail: Column, whole: Column, prefix_budget: int, tail_budget: int, most: int) -> Column:

@@ -391,3 +391,53 @@ def case_scores(t):
     got = F.transform("s", lambda x: F.struct(F.lit("tool").alias("kind"), x["g"].alias("action"), none.alias("args")))
     out = cases.select("user_id", W.case_score(want, got, F.array(F.lit("signup"))).alias("x"))
     return out.select("user_id", F.round("x.score", 4).alias("score"), "x.forbidden_hit")
+
+
+_DONE = """SELECT event_id, event_id // 3 AS k, event_id % 3 AS p, event_type AS w, CASE WHEN event_id % 11 = 0 THEN 'final_answer' WHEN event_id % 5 = 0 THEN 'view' ELSE event_type END AS g,
+CASE WHEN event_id % 3 = 2 THEN 'true' ELSE 'false' END AS wf, CASE WHEN event_id % 4 = 0 THEN 'false' WHEN event_id % 13 = 0 OR event_id % 3 = 2 THEN 'true' ELSE 'false' END AS gf FROM events"""
+_CLASS = "CASE WHEN {0} IN ('view', 'click') THEN 'look' ELSE {0} END"
+_SAME = {"view": "look", "click": "look"}
+
+
+def _done(t):
+    """Three events in a row are a case; the decision made differs now and then from the event, and finishes when it should not or not when it should."""
+    i = F.col("event_id")
+    made = F.when(i % 11 == 0, "final_answer").when(i % 5 == 0, "view").otherwise(F.col("event_type"))
+    flag = F.when(i % 4 == 0, "false").when((i % 13 == 0) | (i % 3 == 2), "true").otherwise("false")
+    return t("events").select("event_id", F.floor(i / 3).alias("k"), (i % 3).alias("p"), F.col("event_type").alias("w"), made.alias("g"), F.when(i % 3 == 2, "true").otherwise("false").alias("wf"), flag.alias("gf"))
+
+
+def _wanted(action, finish):
+    return F.struct(F.lit("tool").alias("kind"), action.alias("action"), F.create_map(F.lit(W.FINISH), finish).alias("args"), F.lit(None).cast("map<string,array<string>>").alias("contains"))
+
+
+def _made(action, finish):
+    return F.struct(F.lit("tool").alias("kind"), action.alias("action"), F.create_map(F.lit(W.FINISH), finish).alias("args"))
+
+
+@R.add("process_detectors", f"""
+WITH d AS ({_DONE}), c AS (SELECT k, count(*) AS n, list(w ORDER BY p) AS w, list(g ORDER BY p) AS g, list({_CLASS.format("w")} ORDER BY p) AS wc, list({_CLASS.format("g")} ORDER BY p) AS gc, list(gf ORDER BY p) AS gf, list(wf ORDER BY p) AS wf FROM d GROUP BY 1)
+SELECT k, n > 1 AND (g[1] = 'final_answer' OR gf[1] = 'true' OR (n > 2 AND (g[2] = 'final_answer' OR gf[2] = 'true'))) AS stopped_early,
+n > 1 AND NOT (wc[1] = wc[2] OR coalesce(wc[2] = wc[3], false)) AND ((gc[1] = gc[2] AND gc[1] <> 'final_answer') OR coalesce(gc[2] = gc[3] AND gc[2] <> 'final_answer', false)) AS repeated,
+n > 1 AND w[1] IN ('view', 'click') AND w[2] = 'purchase' AND g[1] NOT IN ('view', 'click') AS skipped_probe, wc[n] = gc[n] AND wf[n] = 'true' AND gf[n] <> 'true' AS left_open FROM c""")
+def process_detectors(t):
+    cases = _done(t).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("p", "w", "g", "wf", "gf"))).alias("s"))  # three steps
+    want, got = F.transform("s", lambda x: _wanted(x["w"], x["wf"])), F.transform("s", lambda x: _made(x["g"], x["gf"]))
+    faults = {"stopped_early": W.stopped_early(want, got), "repeated": W.repeats_a_tool(want, got, _SAME), "skipped_probe": W.skipped_probe(want, got, ("view", "click"), "purchase"), "left_open": W.left_open(want, got, _SAME)}
+    return cases.select("k", *[c.alias(name) for name, c in faults.items()])
+
+
+@R.add("online_step_reward", f"""
+WITH d AS (SELECT *, {_CLASS.format("w")} AS wc, {_CLASS.format("g")} AS gc FROM ({_DONE})), n AS (SELECT *, p + 1 AS place, lag(wc) OVER c AS wb, lag(gc) OVER c AS gb, p = 0 AND w IN ('view', 'click') AND coalesce(lead(w) OVER c = 'purchase', false) AS due, count(*) OVER (PARTITION BY k) AS n FROM d WINDOW c AS (PARTITION BY k ORDER BY p)),
+m AS (SELECT *, 0.1 + 0.1 + CASE WHEN wc = gc THEN 0.35 ELSE 0 END + 0.25 + CASE WHEN wf = gf THEN 0.1 ELSE 0 END + CASE WHEN g = 'signup' THEN 0 ELSE 0.1 END AS s,
+CASE WHEN place < n THEN 0.2 ELSE 0 END AS w1, CASE WHEN place > 1 THEN 0.1 ELSE 0 END AS w2, CASE WHEN due THEN 0.15 ELSE 0 END AS w3, CASE WHEN place = n THEN 0.3 ELSE 0 END AS w4 FROM n),
+r AS (SELECT event_id, wc = gc AS same, ((s + CASE WHEN g <> 'final_answer' AND gf = 'false' THEN w1 ELSE 0 END + CASE WHEN wb = wc OR gc <> gb THEN w2 ELSE 0 END + CASE WHEN g IN ('view', 'click') THEN w3 ELSE 0 END + CASE WHEN wf <> 'true' OR gf = 'true' THEN w4 ELSE 0 END)
+/ (1.0 + w1 + w2 + w3 + w4))::DOUBLE AS x FROM m)
+SELECT event_id, round(CASE WHEN same THEN x ELSE least(x, 0.5) END, 6) AS score FROM r""")
+def online_step_reward(t):
+    c = Window.partitionBy("k").orderBy("p")
+    d = _done(t).withColumns({"before": F.lag("w").over(c), "previous": F.lag("g").over(c), "after": F.lead("w").over(c), "n": F.count("*").over(Window.partitionBy("k"))})
+    due = (F.col("p") == 0) & F.col("w").isin("view", "click") & F.coalesce(F.col("after") == "purchase", F.lit(False))
+    process = {"no_premature_stop": 0.2, "no_repeated_tool": 0.1, "no_skip_required_probe": 0.15, "final_tool_finish": 0.3}
+    x = W.online_step_score(_wanted(F.col("w"), F.col("wf")), _made(F.col("g"), F.col("gf")), F.array(F.lit("signup")), F.col("p") + 1, F.col("n"), F.col("previous"), F.col("w"), F.col("before"), due, process, _SAME, ("view", "click"), 0.5)
+    return d.select("event_id", F.round(x, 6).alias("score"))
