@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions.text import normalize_text
 
+#: A place with no letter, digit or underscore before it, or behind it; written out, since what ``\b`` means beside other scripts depends on the Java version.
+_OPEN, _SHUT = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+
 #: The kinds of entities and their patterns (group number after each).
 PATTERNS = [
     ("model", r"([A-Za-z0-9][A-Za-z0-9_./+-]{3,}\.(?:model|onnx|pt|pth|safetensors))", 1),
-    ("version", r"\b([vV]?\d+(?:\.\d+){1,3}(?:[-_][A-Za-z0-9]+)?)\b", 1),
-    ("oid", r"\b([a-fA-F0-9]{32,64})\b", 1),
-    ("deployment", r"(?i)\b(?:did|rid|deployment_id|release_id)[:=\s_-]*(\d{4,})\b", 1),
-    ("platform", r"(?i)\b(cuda\d+(?:\.\d+)?-trt\d+(?:\.\d+)?-[a-z0-9]+-[A-Za-z0-9]+|acl-[A-Za-z0-9]+-[a-z0-9]+|cpu-[A-Za-z0-9]+-[a-z0-9]+)\b", 1),
+    ("version", _OPEN + r"([vV]?\d+(?:\.\d+){1,3}(?:[-_][A-Za-z0-9]+)?)" + _SHUT, 1),
+    ("oid", _OPEN + r"([a-fA-F0-9]{32,64})" + _SHUT, 1),
+    ("deployment", "(?i)" + _OPEN + r"(?:did|rid|deployment_id|release_id)[:=\s_-]*(\d{4,})" + _SHUT, 1),
+    ("platform", "(?i)" + _OPEN + r"(cuda\d+(?:\.\d+)?-trt\d+(?:\.\d+)?-[a-z0-9]+-[A-Za-z0-9]+|acl-[A-Za-z0-9]+-[a-z0-9]+|cpu-[A-Za-z0-9]+-[a-z0-9]+)" + _SHUT, 1),
     ("field", r"(输入|输出|阈值|推荐阈值|追加数据|优化点|标签|负责人|更新时间|推荐配置)", 1),
     ("scene", r"([一-鿿]{2,12}(?:检测|识别|分类|属性|特征|质量|模型|项目|场景))", 1),
 ]
@@ -59,3 +65,61 @@ def kind_counts(m: DataFrame, id_col: str) -> DataFrame:
 def best_of(df: DataFrame, group: str, by: str, id_col: str) -> DataFrame:
     w = Window.partitionBy(group).orderBy(F.desc(by), id_col)
     return df.withColumn("__p", F.row_number().over(w)).filter("__p = 1").drop("__p")
+
+
+def _named(node: str) -> tuple[Column, Column]:
+    """Kind and name of a node ``kind:name``."""
+    return F.substring_index(node, ":", 1), F.expr(f"substring(`{node}`, instr(`{node}`, ':') + 1)")
+
+
+def _chosen(kind: Column, kinds: Sequence[str], without: Sequence[str]) -> Column:
+    ok = kind.isin(*kinds) if kinds else F.lit(True)
+    return ok & ~kind.isin(*without) if without else ok
+
+
+def _any_term(terms: Sequence[str], *fields: Column) -> Column:
+    """Whether a term stands in one of the fields, without regard to case; true without terms."""
+    hits = [F.contains(F.lower(f), F.lit(t.lower())) for t in terms if t for f in fields]
+    return reduce(Column.__or__, hits) if hits else F.lit(True)
+
+
+def node_texts(m: DataFrame, id_col: str) -> DataFrame:
+    """(node, texts): every entity as ``kind:name`` and the number of texts with it."""
+    return m.select(id_col, F.concat_ws(":", "kind", "name").alias("node")).distinct().groupBy("node").agg(F.count("*").alias("texts"))
+
+
+def candidate_edges(edges: DataFrame, m: DataFrame, id_col: str, kinds: Sequence[str] = (), without: Sequence[str] = (), terms: Sequence[str] = (), least: int = 1, limit: int = 4000) -> DataFrame:
+    """The strongest edges with both ends told: (a_kind, a_name, a_texts, b_kind, b_name, b_texts, evidence).
+
+    Both ends must be of the ``kinds`` asked for and none of those left out; of the ``terms`` one must stand in a name or kind of either
+    end. Edges go by evidence, then by the texts of both ends, then by name. Filters come before the joins with the ends' counts; the
+    order needs no full sort.
+    """
+    a, b = _named("a"), _named("b")
+    rows = edges.filter(F.col("evidence") >= least).select("a", "b", "evidence", a[0].alias("a_kind"), a[1].alias("a_name"), b[0].alias("b_kind"), b[1].alias("b_name"))
+    rows = rows.filter(_chosen(F.col("a_kind"), kinds, without) & _chosen(F.col("b_kind"), kinds, without) & _any_term(terms, *map(F.col, ("a_name", "a_kind", "b_name", "b_kind"))))
+    texts = node_texts(m, id_col)
+    for end in "ab":
+        rows = rows.join(texts.select(F.col("node").alias(end), F.col("texts").alias(f"{end}_texts")), end, "left").withColumn(f"{end}_texts", F.coalesce(f"{end}_texts", F.lit(0)))
+    out = rows.orderBy(F.desc("evidence"), F.desc(F.col("a_texts") + F.col("b_texts")), F.lower("a_name"), F.lower("b_name"), "a", "b").limit(limit)
+    return out.select("a_kind", "a_name", "a_texts", "b_kind", "b_name", "b_texts", "evidence")
+
+
+def found_nodes(m: DataFrame, id_col: str, terms: Sequence[str], kinds: Sequence[str] = (), without: Sequence[str] = (), limit: int = 100) -> DataFrame:
+    """(rank, kind, name, texts): entities with one of the terms in their name or kind, by texts and name; for a search that no edge answers. No terms give none."""
+    rows = node_texts(m.filter(_chosen(F.col("kind"), kinds, without) & _any_term(terms, F.col("name"), F.col("kind"))), id_col)
+    kind, name = _named("node")
+    top = rows.orderBy(F.desc("texts"), F.lower(name), "node").limit(limit if any(terms) else 0)
+    rank = F.row_number().over(Window.orderBy(F.desc("texts"), F.lower("name"), "node"))  # over ``limit`` rows
+    return top.select("node", kind.alias("kind"), name.alias("name"), "texts").withColumn("rank", rank).select("rank", "kind", "name", "texts")
+
+
+def graph_counts(texts: DataFrame, source: str, m: DataFrame, edges: DataFrame) -> DataFrame:
+    """(what, value, n, evidence): texts by source, entities and mentions by kind, edges by the kinds they connect with the sum of their evidence."""
+    none = F.lit(None).cast("long").alias("evidence")
+    by_source = texts.groupBy(F.col(source).cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit("texts").alias("what"), "value", "n", none)
+    per = m.groupBy("kind", "name").agg(F.count("*").alias("k")).groupBy("kind").agg(F.count("*").alias("entities"), F.sum("k").alias("mentions"))
+    kinds = per.select(F.explode(F.array(*[F.struct(F.lit(w).alias("what"), F.col("kind").alias("value"), F.col(w).alias("n")) for w in ("entities", "mentions")])).alias("x")).select("x.*", none)
+    between = F.concat_ws("-", _named("a")[0], _named("b")[0])
+    links = edges.groupBy(between.alias("value")).agg(F.count("*").alias("n"), F.sum("evidence").alias("evidence")).select(F.lit("edges").alias("what"), "value", "n", "evidence")
+    return by_source.unionByName(kinds).unionByName(links)

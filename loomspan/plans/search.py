@@ -284,6 +284,39 @@ def entity_kind_counts(t):
     return graph.kind_counts(found(t), "doc_id")
 
 
+_LINKED = "(SELECT l_orderkey AS doc_id, 'flag' AS kind, l_returnflag AS name FROM lineitem UNION SELECT l_orderkey, 'part', 'p' || (l_partkey % 50) FROM lineitem UNION SELECT l_orderkey, 'supplier', 's' || (l_suppkey % 30) FROM lineitem)"
+_LINKS = f"(SELECT a.kind AS ak, a.name AS an, b.kind AS bk, b.name AS bn, count(*) AS evidence FROM {_LINKED} a JOIN {_LINKED} b ON a.doc_id = b.doc_id AND a.kind || ':' || a.name < b.kind || ':' || b.name GROUP BY 1, 2, 3, 4)"
+_TEXTS = f"(SELECT kind, name, count(*) AS texts FROM {_LINKED} GROUP BY 1, 2)"
+
+
+def linked(t):
+    """Orders as texts; flags, parts and suppliers of their lines as entities."""
+    numbered = lambda letter, c, n: F.concat(F.lit(letter), (F.col(c) % n).cast("string"))
+    e = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("name")) for k, c in (("flag", F.col("l_returnflag")), ("part", numbered("p", "l_partkey", 50)), ("supplier", numbered("s", "l_suppkey", 30)))])
+    return t("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.explode(e).alias("e")).select("doc_id", "e.kind", "e.name").distinct()
+
+
+@R.add("candidate_edges", f"""
+SELECT ak AS a_kind, an AS a_name, x.texts AS a_texts, bk AS b_kind, bn AS b_name, y.texts AS b_texts, evidence FROM {_LINKS} JOIN {_TEXTS} x ON x.kind = ak AND x.name = an JOIN {_TEXTS} y ON y.kind = bk AND y.name = bn
+WHERE evidence >= 2 AND ak <> 'flag' AND bk <> 'flag' AND (contains(an, 'p1') OR contains(bn, 'p1') OR contains(an, 's2') OR contains(bn, 's2')) ORDER BY evidence DESC, x.texts + y.texts DESC, an, bn, ak, bk LIMIT 200""")
+def candidate_edges(t):
+    m = linked(t)
+    return graph.candidate_edges(graph.cooccurrences(m, "doc_id"), m, "doc_id", without=["flag"], terms=["P1", "s2"], least=2, limit=200)
+
+
+@R.add("found_nodes", f"SELECT row_number() OVER (ORDER BY texts DESC, name, kind)::INT AS rank, kind, name, texts FROM {_TEXTS} WHERE kind IN ('part', 'supplier') AND (contains(name, '7') OR contains(kind, 'upp')) ORDER BY 1 LIMIT 25")
+def found_nodes(t):
+    return graph.found_nodes(linked(t), "doc_id", ["7", "UPP"], kinds=["part", "supplier"], limit=25)
+
+
+@R.add("graph_counts", f"""
+SELECT 'texts' AS what, o_orderstatus AS value, count(*) AS n, NULL::BIGINT AS evidence FROM orders GROUP BY 2 UNION ALL SELECT 'entities', kind, count(*), NULL FROM {_TEXTS} GROUP BY 2 UNION ALL SELECT 'mentions', kind, sum(texts)::BIGINT, NULL FROM {_TEXTS} GROUP BY 2
+UNION ALL SELECT 'edges', ak || '-' || bk, count(*), sum(evidence)::BIGINT FROM {_LINKS} GROUP BY 2""")
+def graph_counts(t):
+    m = linked(t)
+    return graph.graph_counts(t("orders"), "o_orderstatus", m, graph.cooccurrences(m, "doc_id"))
+
+
 @R.add("text_chunks")
 def text_chunks(t):
     return chunking.chunks(t("documents"), "doc_id", "text")
