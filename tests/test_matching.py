@@ -50,6 +50,22 @@ def test_nearest_texts_by_brute_force(spark):
         matching.nearest_texts(spark.createDataFrame(q, "g int, q long, t string"), spark.createDataFrame(c, "g int, c long, t string"), "g", "q", "t", "c", "t", most_queries=3)
 
 
+def test_ratios_until_they_stay_below(spark):
+    r = random.Random(6)
+    texts = ["", "a", "x" * 40] + ["".join(r.choice("abcde é") for _ in range(r.randint(0, 60))) for _ in range(40)]
+    for a in texts:
+        for b in texts:
+            m = SequenceMatcher(None, a, b, autojunk=False)
+            sums, full = (matching.letter_sums(a), matching.letter_sums(b)), m.ratio()
+            assert matching.ratio_from(m, *sums, -1.0) == matching.ratio_from(m, *sums, full) == full
+            assert matching.ratio_from(m, *sums, full + 1e-9) in (-1.0, full)
+    q = spark.createDataFrame([(0, 1, "abc abd")], "g int, q long, t string")
+    c = spark.createDataFrame([(0, 9, "abd"), (0, 7, "abc abd x"), (0, 8, "abc abd x"), (0, 5, "zz")], "g int, c long, t string").coalesce(1)
+    out = matching.nearest_texts(q, c, "g", "q", "t", "c", "t", parts=3)
+    assert [tuple(x) for x in out.select("q", "c").collect()] == [(1, 7)]
+    assert "RoundRobinPartitioning(3)" in out._jdf.queryExecution().toString()  # one file of candidates is compared by several tasks
+
+
 def test_lookup_prefers_the_first_key(spark):
     rows = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, None, "z"), (4, None, None)], "id long, k1 string, k2 string")
     facts = spark.createDataFrame([("a", "y", 1, "old"), ("a", "q", 2, "new"), (None, "y", 3, "by second")], "f1 string, f2 string, o int, v string")
