@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomspan.operators import answers as A
@@ -16,11 +15,15 @@ _ORDER = ["l_linenumber", "l_partkey", "l_extendedprice"]
 
 def labelled_texts(t):
     """A text for each order: its lines as records, the family told only where it changes, between lines that say nothing."""
-    w = Window.partitionBy("l_orderkey").orderBy(*_ORDER)
-    li = t("lineitem").withColumn("was", F.lag("l_returnflag").over(w)).withColumn("p", F.row_number().over(w))
     line = lambda label, c: F.concat(F.lit(f" {label} : "), c.cast("string"))
-    text = F.concat_ws("\n", F.when(F.coalesce(F.col("was") != F.col("l_returnflag"), F.lit(True)), line("Family", F.col("l_returnflag"))), line("Name", F.col("l_partkey")), F.lit("Note: none"), line("Size", F.col("l_quantity").cast("int")), F.when(F.col("l_linestatus") == "F", line("Status", F.col("l_linestatus"))), F.lit("--"))
-    return li.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", text.alias("x")))), lambda x: x["x"]), "\r\n").alias("text"))
+    lines = F.array_sort(F.collect_list(F.struct(*_ORDER, "l_returnflag", "l_quantity", "l_linestatus")))  # of one order
+
+    def said(x, was):
+        parts = [F.when(F.coalesce(was != x["l_returnflag"], F.lit(True)), line("Family", x["l_returnflag"])), line("Name", x["l_partkey"]), F.lit("Note: none"), line("Size", x["l_quantity"].cast("int")), F.when(x["l_linestatus"] == "F", line("Status", x["l_linestatus"])), F.lit("--")]
+        return F.concat_ws("\n", *parts)
+
+    text = F.array_join(F.transform("ls", lambda x, k: said(x, F.get("ls", k - 1)["l_returnflag"])), "\r\n")
+    return t("lineitem").groupBy("l_orderkey").agg(lines.alias("ls")).select("l_orderkey", text.alias("text"))
 
 
 def records(t):

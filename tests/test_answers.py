@@ -37,6 +37,14 @@ def test_records_equal_a_walk_over_the_lines(spark):
     assert len(got[1002]) == 3000 and all(r == {"family": "f", "name": "n", "size": "1"} for r in got[1002])
 
 
+def test_records_are_read_where_their_document_lies(spark):
+    docs = spark.range(20).select("id", F.lit("Family: f\nName: a\nSize: 1\nName: b:c \nOther: x").alias("text")).repartition(3)
+    out = A.labelled_records(docs, "id", F.col("text"), LABELS, "family", "name", ["name", "size"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Sort" not in plan  # the one that deals the documents here
+    assert sorted(tuple(r)[1:4] for r in out.collect()) == sorted([(0, "f", "a"), (1, "f", "b:c")] * 20)
+
+
 def test_summaries_and_requested_fields(spark):
     aliases = {"size": ["dimension", "SIZE"], "owner": ["owner", "who"]}
     assert A.requested_fields("Which Size?", aliases) == ["size"] and A.requested_fields("who, what dimension", aliases) == ["size", "owner"]
