@@ -138,10 +138,14 @@ def online_step_score(
 def case_score(want: Column, got: Column, forbidden: Column, process: dict[str, float] | None = None, same: dict[str, str] | None = None, probes: Sequence[str] = (), then: str = "") -> Column:
     """struct(score, passed, forbidden_hit, stopped_early, repeated, skipped_probe, left_open): steps, no forbidden action and process terms over what could be had.
 
-    A case without readable decisions (null) scores 0. It passes with a score of 1 at six digits.
+    A case without readable decisions (null) scores 0. It passes with a score of 1 at six digits. Both arrays are made once a row, as the
+    item of an array of one, and not again for each step that looks into them.
     """
-    process = process or {}
-    made = F.coalesce(got, F.array().cast("array<struct<kind:string,action:string,args:map<string,string>>>"))
+    pair = F.struct(want.alias("want"), F.coalesce(got, F.array().cast("array<struct<kind:string,action:string,args:map<string,string>>>")).alias("made"), got.isNull().alias("none"))
+    return F.transform(F.array(pair), lambda z: _case_score(z["want"], z["made"], z["none"], forbidden, process or {}, same, probes, then))[0]
+
+
+def _case_score(want: Column, made: Column, none: Column, forbidden: Column, process: dict[str, float], same: dict[str, str] | None, probes: Sequence[str], then: str) -> Column:
     steps = F.transform(want, lambda w, i: step_score(step_detail(w, F.get(made, i), same)))
     raw = F.aggregate(steps, F.lit(0.0), lambda s, x: s + x)
     hit = F.exists(made, lambda d: F.coalesce(F.array_contains(forbidden, act(d)), F.lit(False)))
@@ -152,7 +156,7 @@ def case_score(want: Column, got: Column, forbidden: Column, process: dict[str,
     weights = {name: float(process.get(name, 0.0)) for name in terms}
     most = sum(STEP_WEIGHTS.values()) * F.greatest(F.size(want), F.lit(1)) + NO_FORBIDDEN + sum(weights.values())
     gained = raw + F.when(hit, 0.0).otherwise(NO_FORBIDDEN) + sum((F.when(fault, 0.0).otherwise(weights[name]) for name, fault in terms.items() if weights[name]), F.lit(0.0))
-    score = F.when(got.isNull(), 0.0).otherwise(F.round(gained / most, 6))
+    score = F.when(none, 0.0).otherwise(F.round(gained / most, 6))
     return F.struct(score.alias("score"), (score >= 1).alias("passed"), hit.alias("forbidden_hit"), early.alias("stopped_early"), again.alias("repeated"), skipped.alias("skipped_probe"), unclosed.alias("left_open"))
 
 

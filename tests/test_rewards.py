@@ -71,3 +71,13 @@ def test_online_step_scores(spark):
     assert online(spark, ("tool", "bad", {"finish_after_tool": "false"}), 1, terms, want=first) == pytest.approx((0.55 + 0.2) / 1.6)  # no probe, forbidden
     assert online(spark, ("tool", "bad", {"finish_after_tool": "false"}), 1, terms, want=first, due=False) == pytest.approx((0.55 + 0.2) / 1.2)
     assert online(spark, ("end", "", None), 1, {"no_premature_stop": 0.2}, want=first) == pytest.approx((0.10 + 0.25 + 0.10) / 1.2)
+
+
+def test_arrays_of_a_case_are_made_once(spark):
+    none, lists = F.lit(None).cast("map<string,string>"), F.lit(None).cast("map<string,array<string>>")
+    step = lambda x: F.struct(F.lit("tool").alias("kind"), F.concat(F.lit("a"), x.cast("string")).alias("action"), none.alias("args"))
+    want = F.transform("numbers", lambda x: F.struct(step(x)["kind"].alias("kind"), step(x)["action"].alias("action"), none.alias("args"), lists.alias("contains")))
+    score = rewards.case_score(want, F.transform("numbers", step), F.array(F.lit("a7")))
+    assert str(score).count("numbers") == 3  # the steps wanted, those made, and whether any were
+    got = [tuple(r.x)[:3] for r in spark.createDataFrame([(list(range(3)),), (list(range(9)),), (None,)], "numbers array<int>").select(score.alias("x")).collect()]
+    assert got[0] == (1.0, True, False) and got[1][2] and got[1][0] < 1 and got[2][0] == 0.0
