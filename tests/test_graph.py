@@ -30,3 +30,13 @@ def test_nodes_and_counts(spark):
     docs = spark.createDataFrame([(1, "s"), (2, "s"), (3, None)], "doc int, src string")
     got = {(r.what, r.value): (r.n, r.evidence) for r in graph.graph_counts(docs, "src", m, graph.cooccurrences(m, "doc")).collect()}
     assert got == {("texts", "s"): (2, None), ("texts", None): (1, None), ("entities", "x"): (2, None), ("entities", "y"): (2, None), ("mentions", "x"): (5, None), ("mentions", "y"): (3, None), ("edges", "x-x"): (1, 2), ("edges", "x-y"): (3, 3)}
+
+
+def test_patterns_are_looked_for_where_their_signs_are(spark):
+    texts = ["see net-a.onnx and biggest.safetensors", "a.MODEL v1.2.3", "x@y.org  at http://h.com/p", "none", None, "w.pth"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    patterns = [graph.PATTERNS[0], *graph.EXTRA]
+    m = graph.mentions(docs, "id", "text", patterns, None)
+    assert sorted(map(tuple, m.collect())) == [(0, "model", "biggest.safetensors"), (0, "model", "net-a.onnx"), (2, "email", "x@y.org"), (2, "host", "h.com")]
+    assert m._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1  # the text is made once for all patterns
+    assert set(graph.HOLDS) <= {p for _, p, _ in graph.PATTERNS + graph.EXTRA}
