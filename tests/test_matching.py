@@ -124,3 +124,9 @@ def test_recall_has_every_item_and_looks_at_all_of_it(spark):
     got = {r.item_id: (r.ratio, r.hit) for r in catalog.QUERIES["chunk_recall"](spark, path).collect()}
     part = len("fivesixseveneightnineten") / len(items[0][1].replace(" ", ""))
     assert got == {1: (pytest.approx(part), False), 2: (1.0, True), 3: (0.0, False), 4: (0.0, False), 5: (0.0, False)}
+
+
+def test_hashed_vectors_in_parts(spark):
+    docs = spark.createDataFrame([(k, ["a", "b", f"t{k}"] * (k % 3)) for k in range(25)], "id long, toks array<string>").coalesce(1)
+    rows = lambda n: [tuple(r) for r in matching.hashed_vectors(docs, "id", F.col("toks"), 8, rows=n).orderBy("id").collect()]
+    assert rows(1) == rows(7) == rows(1000) and len(rows(7)) == 25
