@@ -40,3 +40,11 @@ def test_patterns_are_looked_for_where_their_signs_are(spark):
     assert sorted(map(tuple, m.collect())) == [(0, "model", "biggest.safetensors"), (0, "model", "net-a.onnx"), (2, "email", "x@y.org"), (2, "host", "h.com")]
     assert m._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1  # the text is made once for all patterns
     assert set(graph.HOLDS) <= {p for _, p, _ in graph.PATTERNS + graph.EXTRA}
+
+
+def test_questions_share_one_pass_over_the_texts(spark):
+    from loomspan.plans import evidence
+
+    docs = spark.createDataFrame([(0, "acc 97%"), (1, None)], "doc_id long, text string")
+    out = evidence.answerability(lambda name: docs)
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 6
