@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -106,20 +107,17 @@ def ahead(text: str, most: int = 1000, look: int = 128) -> Iterator[str]:
         start = stop
 
 
-def chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 900, overlap: int = 120, cut: Callable[[str], Iterator[str]] | None = None) -> DataFrame:
+def chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 900, overlap: int = 120, cut: Callable[[str], Iterator[str]] | None = None, most_rows: int = 2000) -> DataFrame:
     """(id, chunk_no, chunk_id, text). The cut depends on the one before, so it is a function over Arrow batches; ids are columns.
-    ``cut`` is the rule (``cuts`` with size and overlap if none is given)."""
+    ``cut`` is the rule (``cuts`` with size and overlap if none is given). A task opens one text at a time and gives out ``most_rows`` chunks at a time."""
     rule = cut or (lambda t: cuts(t, size, overlap))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, numbers, texts = [], [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, piece in enumerate(rule(t)):
-                    ids.append(i)
-                    numbers.append(k)
-                    texts.append(piece)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], [id_col, "chunk_no", "text"])
+            made = ((i.as_py(), k, piece) for i, t in zip(batch.column(0), batch.column(1), strict=True) for k, piece in enumerate(rule(t.as_py())))
+            while part := [*islice(made, most_rows)]:
+                ids, numbers, texts = zip(*part, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], [id_col, "chunk_no", "text"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     made = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, chunk_no int, text string")

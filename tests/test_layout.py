@@ -105,3 +105,9 @@ def test_key_values_and_redaction(spark):
     assert values(spark, [("阈值: 0.5, > 3 and > 3",)], "c string", J.thresholds(F.col("c")))[0][0] == ["阈值: 0.5", "> 3"]
     got = values(spark, [(True, ""), (False, ""), (None, "e"), (None, None)], "ok boolean, e string", J.outcome(F.col("ok"), F.col("e")))
     assert [g[0] for g in got] == ["success", "failure", "failure", "unknown"]
+
+
+def test_chunks_are_given_out_in_parts(spark):
+    docs = spark.createDataFrame([(k, "word. " * (k * 40)) for k in range(6)] + [(6, None)], "id long, text string").coalesce(1)
+    rows = lambda n: [tuple(r) for r in chunking.chunks(docs, "id", "text", cut=chunking.sentence_chunks, most_rows=n).orderBy("id", "chunk_no").collect()]
+    assert rows(1) == rows(4) == rows(10_000) and len(rows(4)) > 20
