@@ -8,11 +8,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.sources.snapshots import Snapshots
+from loomspan.sources.snapshots import Snapshots, stored
+
+
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(id, version, length, term, tf, head) for each term of each row's ``tokens``, from the runs of the sorted array. A row without tokens
+    gives one row without a term; ``head`` is true for one row of each. Each generator is a barrier: what is made before it is made once a row."""
+    length = F.greatest(F.coalesce(F.size("tokens"), F.lit(0)), F.lit(0)).alias("length")
+    row = docs.select("id", "version", length, F.explode(F.array(F.sort_array("tokens"))).alias("t"))
+    first = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda i: (i == 0) | ~F.get("t", i).eqNullSafe(F.get("t", i - 1)))
+    runs = row.select("*", F.explode(F.array(F.when(F.col("length") > 0, first))).alias("s"))
+    each = runs.select("*", F.posexplode_outer("s").alias("k", "i")).withColumn("term", F.get("t", F.col("i")))
+    tf = F.when(F.col("term").isNull(), 0).otherwise(F.coalesce(F.get("s", F.col("k") + 1), F.col("length")) - F.col("i"))
+    return each.select("id", "version", "length", "term", tf.cast("int").alias("tf"), (F.coalesce("k", F.lit(0)) == 0).alias("head"))
 
 
 class InvertedIndex:
-    """Postings (term, id, tf, length) of documents, in ``buckets`` folders by the term's hash and sorted by term inside.
+    """Postings (term, id, tf, length) of documents, in ``buckets`` folders by the term's hash and in order of the term's first bytes inside each file.
 
     Tables: ``postings``, to which each change adds; ``live``, the latest version of each id with its length and the change that wrote
     it, where a removed id stays with its version; ``dead``, postings that a later version has replaced, left out by readers until
@@ -27,18 +39,43 @@ class InvertedIndex:
     def _bucket(self, term: Column) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
+    def _write_sorted(self, posts: DataFrame) -> dict:
+        """Each task's postings in a file for each bucket, by the first six bytes of the term. Bucket and bytes make one number, by which Spark
+        sorts without comparing rows; with a writer for each bucket no second sort by bucket comes behind."""
+        start = F.conv(F.rpad(F.hex(F.coalesce("term", F.lit(""))), 12, "0"), 16, 10).cast("long")
+        ordered = posts.sortWithinPartitions(F.shiftleft(F.col("bucket").cast("long"), 48) + start)
+        name, conf = "spark.sql.maxConcurrentOutputFileWriters", self.spark.conf
+        before = conf.get(name)
+        conf.set(name, max(int(before), self.buckets + 1))
+        try:
+            return self.tables.write(ordered, ["bucket"])
+        finally:
+            conf.set(name, before)
+
     def upsert(self, docs: DataFrame, id_col: str, tokens: Column, version: Column) -> int:
         """Put documents in. A row replaces the kept one of its id unless its version is lower; of several rows of an id the one of the
-        highest version counts (of these, the one with the most tokens, then the greatest in order). Null ids are left out."""
+        highest version counts (of these, the one with the most tokens, then the greatest in order). Null ids are left out.
+
+        ``docs`` is read twice, first for its ids. Only rows of an id that comes more than once are brought together; all others are
+        counted and sorted in the task that reads them, so each task writes its documents' postings and no text or token is shuffled.
+        """
         base, gen = self.tables.number(), self.tables.number() + 1
-        rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), version.cast("long").alias("version"), F.explode(F.array(tokens)).alias("tokens"))
-        best = F.max(F.struct("version", F.size("tokens").alias("length"), "tokens")).alias("d")
-        place = rows.groupBy("id").agg(best).select("id", "d.version", "d.length", F.posexplode_outer("d.tokens").alias("pos", "term"))
-        counted = place.groupBy("id", "version", "length", "term").agg(F.count("term").cast("int").alias("tf"), F.coalesce(F.min("pos") == 0, F.lit(True)).alias("head"))
-        posts = counted.select("term", "id", "tf", "length", "version", "head", F.lit(gen).alias("gen"), self._bucket(F.coalesce("term", F.lit(""))).alias("bucket"))
-        entry = self.tables.write(posts.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id"), ["bucket"])
+        rows = docs.filter(F.col(id_col).isNotNull()).withColumn("__id", F.col(id_col)).withColumn("__version", version.cast("long"))
+        twice = stored(rows.groupBy("__id").agg(F.count("*").alias("n")).filter("n > 1").select("__id"))
+
+        def split(part: DataFrame) -> DataFrame:
+            return part.select(F.col("__id").alias("id"), F.col("__version").alias("version"), F.explode(F.array(tokens)).alias("tokens"))
+
+        if twice.isEmpty():
+            one = split(rows)
+        else:
+            best = F.max(F.struct("version", F.size("tokens").alias("length"), "tokens")).alias("d")
+            of_many = split(rows.join(twice, "__id", "left_semi")).groupBy("id").agg(best).select("id", "d.version", "d.tokens")
+            one = split(rows.join(twice, "__id", "left_anti")).unionByName(of_many)
+        posts = term_counts(one).select("term", "id", "tf", "length", "version", "head", F.lit(gen).alias("gen"), self._bucket(F.coalesce("term", F.lit(""))).alias("bucket"))
+        entry = self._write_sorted(posts)
         # a document's first term, or the row without a term that an empty one has, stands for it
-        heads = self.tables.load(entry).filter("head").select("id", "version", "gen", "length", F.lit(False).alias("gone"))
+        heads = stored(self.tables.load(entry).filter("head").select("id", "version", "gen", "length", F.lit(False).alias("gone")))
         return self._publish(base, heads, entry)
 
     def remove(self, ids: DataFrame, id_col: str, version: Column) -> int:
@@ -49,11 +86,13 @@ class InvertedIndex:
 
     def _publish(self, base: int, heads: DataFrame, posts: dict | None) -> int:
         old = self.tables.manifest(base)["tables"]
-        row = F.struct("version", "gen", "length", "gone")
-        both = self.tables.read("live", base).unionByName(heads) if base else heads
-        per = both.groupBy("id").agg(F.max(row).alias("best"), F.min(row).alias("other"), F.count("*").alias("n"))
-        live = self.tables.write(per.select("id", "best.*"))
-        dead = self.tables.write(per.filter((F.col("n") > 1) & ~F.col("other.gone")).select("id", "other.gen"), after=old.get("dead"))
+        if base:
+            row = F.struct("version", "gen", "length", "gone")
+            per = self.tables.read("live", base).unionByName(heads).groupBy("id").agg(F.max(row).alias("best"), F.min(row).alias("other"), F.count("*").alias("n"))
+            live = self.tables.write(per.select("id", "best.*"))
+            dead = self.tables.write(per.filter((F.col("n") > 1) & ~F.col("other.gone")).select("id", "other.gen"), after=old.get("dead"))
+        else:  # ids come once, and nothing was there that they could replace
+            live, dead = self.tables.write(heads.select("id", "version", "gen", "length", "gone")), self.tables.write(heads.limit(0).select("id", "gen"))
         if posts and old:
             posts = {**posts, "folders": [*old["postings"]["folders"], *posts["folders"]]}
         return self._commit(base, {"postings": posts or old.get("postings"), "live": live, "dead": dead})
@@ -91,6 +130,7 @@ class InvertedIndex:
             ids = scope.select(F.col(scope.columns[0]).alias("id")).distinct()
             live, posts = live.join(ids, "id", "left_semi"), posts.join(ids, "id", "left_semi")
             n, filled, total = self._counts(live)
+        posts = stored(posts)  # a few numbers for each document with a term of the query, read for counts and for scores
         found = {r["term"]: r["df"] for r in posts.groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row for each term of the query
         weight = F.lit(0.0)
         for t, df in found.items():

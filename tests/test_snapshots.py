@@ -112,3 +112,37 @@ def test_texts_are_read_once(spark):
     assert plan.count("regexp_extract_all") == 0
     once = retrieval.token_counts(docs, "id", text_tokens(F.col("text")), ["red", "nut"])._jdf.queryExecution().optimizedPlan().toString()
     assert once.count("regexp_extract_all(lower(coalesce(text") <= 2  # words and CJK characters
+
+
+def shuffled(spark, work):
+    """What ``work`` gives, and the rows that it shuffled."""
+    sc = spark._jsc.sc()
+
+    def total():
+        sc.listenerBus().waitUntilEmpty()
+        none = spark._sc._gateway.new_array(spark._jvm.double, 0)
+        stages = sc.statusStore().stageList(None, False, False, none, spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = total()
+    return work(), total() - before
+
+
+def test_an_index_is_written_without_a_shuffle_of_tokens(spark, tmp_path):
+    index, tok = InvertedIndex(spark, str(tmp_path / "i"), buckets=4), text_tokens(F.col("text"))
+    docs = {k: " ".join(f"word{k + j % 30}" for j in range(300)) for k in range(50)}
+    _, rows = shuffled(spark, lambda: index.upsert(frame(spark, list(docs.items())), "id", tok, F.lit(1)))
+    assert rows < 500  # 1,500 postings of 15,000 tokens; ids and counts are few
+    _, rows = shuffled(spark, lambda: index.upsert(frame(spark, [*docs.items(), (7, "word7 " * 400)]), "id", tok, F.lit(2)))
+    assert rows < 600  # of the id that comes twice two rows are brought together
+    assert plain(docs | {7: "word7 " * 400}, ["word7", "word9"]) == scores(index.bm25(["word7", "word9"]))
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def test_terms_of_odd_token_arrays(spark, tmp_path):
+    index = InvertedIndex(spark, str(tmp_path / "i"), buckets=4)
+    rows = [(1, ["b", None, "a", None, "b"]), (2, []), (3, None), (4, ["一二", "a", "averylongterm1", "averylongterm2"])]
+    index.upsert(spark.createDataFrame(rows, "id long, toks array<string>"), "id", F.col("toks"), F.lit(1))
+    found = {(r.term, r.id, r.tf, r.length) for r in index.tables.read("postings").collect() if r.term is not None}
+    assert found == {("a", 1, 1, 5), ("b", 1, 2, 5), *((t, 4, 1, 4) for t in rows[3][1])}
+    assert {(r.id, r.length) for r in index.tables.read("live").collect()} == {(1, 5), (2, 0), (3, 0), (4, 4)}
