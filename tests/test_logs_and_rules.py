@@ -89,3 +89,18 @@ def test_metrics_of_every_combination(spark):
         alone = (has("limit") or has("no")) and not has("strong") and not has("told")
         spoken = (has("bare") or has("told")) and (has("value") or has("test"))
         assert ok == (not alone and (has("strong") or has("iou") or spoken or has("precision") and has("value") and not has("no")))
+
+
+def test_texts_signs_are_made_once(spark, tmp_path):
+    from loomspan.plans import catalog
+
+    rows = [(1, "Acc 97.5 % of\tall\x0b\f\r\n runs", "en", "a", 9), (2, None, None, None, 0), (3, "map 0.5", "en", "a", 7), (4, "1.0 top 1", "en", "a", 9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    out = catalog.QUERIES["retrieval_boosts"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ppi|ap|iou)") == 1 and "regexp_replace" not in plan
+    assert out.count() == 4
+    same = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select(
+        (A.flat(F.col("text")) == F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", "")).alias("flat"), (A.has_value(F.coalesce("text", F.lit(""))) == F.coalesce("text", F.lit("")).rlike(A.METRIC_VALUE)).alias("value")
+    )
+    assert {tuple(r) for r in same.collect()} == {(True, True)}
