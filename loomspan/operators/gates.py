@@ -76,9 +76,12 @@ def audit_table(reference: DataFrame, results: DataFrame, key: str, run: str, va
     return out.withColumn("agree", agree)
 
 
-def rescored(samples: DataFrame, steps: DataFrame, key: Sequence[str], score: Column) -> DataFrame:
-    """Samples scored again against the step rows they belong to; a sample without its step row stays, unscored."""
-    return samples.join(steps, list(key), "left").withColumn("rescored", score)
+def rescored(samples: DataFrame, steps: DataFrame, key: Sequence[str], score: Column, most: int = 500_000) -> DataFrame:
+    """Samples scored again against the step rows they belong to; a sample without its step row stays, unscored. Both are dealt by the key
+    to so many tasks that each gets about ``most`` samples, so more samples make more tasks and not larger ones; a later grouping by the
+    key and more stays in these tasks."""
+    n = max(samples.sparkSession.sparkContext.defaultParallelism, -(-samples.count() // most))
+    return samples.repartition(n, *key).join(steps.repartition(n, *key).hint("merge"), list(key), "left").withColumn("rescored", score)
 
 
 def two_score_audit(rows: DataFrame, group: str, first: str, second: str, low: float = 0.8) -> DataFrame:

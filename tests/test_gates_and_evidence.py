@@ -49,3 +49,15 @@ def test_text_functions(spark):
     row = spark.createDataFrame([([5, 6, 2, 7], 'say "hint: go \\" on" end', "a​ b·c  模型 精度")], "ids array<int>, h string, c string")
     got = row.select(text.eos_trimmed(F.col("ids"), 2).alias("i"), text.eos_trimmed(F.col("ids"), 9).alias("j"), text.without_prefix_hint(F.col("h"), "hint:").alias("h"), text.clean_text(F.col("c")).alias("c")).first()
     assert (got.i, got.j, got.h, got.c) == ([5, 6], [5, 6, 2, 7], 'say "" end', "a b c模型精度")
+
+
+def test_more_samples_make_more_tasks(spark):
+    from loomspan.operators import gates
+
+    samples = spark.range(40_000).select((F.col("id") % 10_000).alias("k"), F.lit(2.0).alias("q"))
+    steps = spark.range(5_000).select(F.col("id").alias("k"), F.lit(3.0).alias("w"))
+    few, many = (gates.rescored(samples, steps, ["k"], F.col("q") * F.col("w"), most=most) for most in (40_000, 1_000))
+    assert few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and many.rdd.getNumPartitions() == 40
+    total = many.groupBy("k").agg(F.count("*").alias("n"), F.sum("rescored").alias("s"))
+    assert total.rdd.getNumPartitions() == 40  # no further shuffle
+    assert {(r.n, r.s) for r in total.filter("k < 5000").collect()} == {(4, 24.0)} and {(r.n, r.s) for r in total.filter("k >= 5000").collect()} == {(4, None)}
