@@ -1,4 +1,8 @@
+import ast
+import os
 import random
+import subprocess
+import sys
 import time
 
 import pytest
@@ -92,3 +96,24 @@ def test_pages_without_and_with_several_articles():
     two = "<article><p>{}</p></article><article><p>{}</p></article>"
     assert text(two.format("own", "shared"), "<p>shared</p>") == "own" and text(two.format("shared", "shared"), "<p>shared</p>" * 2) == "shared\nshared"
     assert text("<article><p>shared</p></article>", "<p>shared</p>") == "shared"
+
+
+def test_leaks_of_a_long_text_fit_a_small_heap(tmp_path):
+    """A text of 15,000 words with 50 places where a long item stands and 50 where a short one does: its hits, each with all words, took gigabytes."""
+    script = """
+import sys
+from pyspark.sql import SparkSession
+from loomspan.llm.decontamination import find_leaks
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "file://" + sys.argv[1]).getOrCreate()
+item, brief = " ".join(f"t{k}" for k in range(40)), "six words in a row here"
+place = lambda n: " ".join(f"x{n}y{k}" for k in range(127)) + f" {item} " + " ".join(f"z{n}y{k}" for k in range(127)) + f" {brief} "
+docs = spark.createDataFrame([(1, place(0)), (2, "".join(map(place, range(50)))), (3, "other " * 15000)], "doc_id long, text string")
+bench = spark.createDataFrame([(7, item), (8, brief)], "item_id long, text string")
+print("FOUND", sorted(map(tuple, find_leaks(docs, bench).collect())))
+"""
+    env = {**os.environ, "PYSPARK_SUBMIT_ARGS": "--driver-memory 700m pyspark-shell", "PYTHONPATH": os.pathsep.join(p for p in sys.path if p)}
+    said = subprocess.run([sys.executable, "-c", script, str(tmp_path)], env=env, capture_output=True, text=True, timeout=300)
+    assert "FOUND" in said.stdout, said.stderr[-1500:]
+    found = {r[:2]: r[2:] for r in ast.literal_eval(said.stdout.rpartition("FOUND")[2].strip())}
+    assert {k: v[:2] for k, v in found.items()} == {(1, 7): (40, 40), (1, 8): (6, 6), (2, 7): (40, 40), (2, 8): (6, 6)}
+    assert [found[2, k][2] for k in (7, 8)] == [50 * found[1, k][2] for k in (7, 8)] and found[1, 8][2] == 1
