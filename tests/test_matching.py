@@ -66,6 +66,36 @@ def test_ratios_until_they_stay_below(spark):
     assert "RoundRobinPartitioning(3)" in out._jdf.queryExecution().toString()  # one file of candidates is compared by several tasks
 
 
+def test_texts_compared_at_once_are_as_compared_one_by_one(monkeypatch):
+    r = random.Random(8)
+    for letters in ("ab", "abcde ", "abcdefghijklmnop é检\U0001f600", "a"):
+        for k in range(25):
+            q = "".join(r.choice(letters) for _ in range(r.choice([0, 3, 60, 200])))
+            texts = ["".join(r.choice(letters) for _ in range(r.randint(0, r.choice([3, 30, 150])))) for _ in range(20)] + [q, q[: len(q) // 2] + "zz" + q[len(q) // 2 :]]
+            texts.sort(key=len)
+            full = [SequenceMatcher(None, t, q, autojunk=False).ratio() for t in texts]
+            held, asked, best = matching.Texts(list(range(22)), texts), matching.Asked(q), (max(full), full.index(max(full)))
+            monkeypatch.setattr(matching, "PIECE", 80_000 if k % 2 else 100)
+            table, some = asked.windows(held.letters), np.arange(22)
+            assert held.ratios(asked, table, some, -1.0).tolist() == full
+            assert all(g == f or (g == -1.0 and f < best[0]) for g, f in zip(held.ratios(asked, table, some, best[0]), full, strict=True))
+            assert all(2.0 * m >= f * (len(t) + len(q)) or not t + q for m, f, t in zip(held.in_order(asked, some), full, texts, strict=True))
+            assert held.best(asked, (-1.0, None)) == held.best(asked, (best[0], None)) == best and held.best(asked, (best[0], -1)) == (best[0], -1)
+    same, asked = matching.Texts([1], ["ab" * 2000]), matching.Asked("ba" * 2000)
+    assert same.longest(asked.windows(same.letters), same.start[:1], same.start[1:], np.array([0]), np.array([4000]), hits=1000) is None
+
+
+def test_texts_that_cannot_be_nearest_are_not_compared_one_by_one(monkeypatch):
+    r, one, calls = random.Random(9), matching.ratio_from, []
+    words = ["".join(r.choice("etaoinshr") for _ in range(r.randint(2, 8))) for _ in range(300)]
+    text = lambda: " ".join(r.choice(words) for _ in range(30))
+    texts, q = sorted((text() for _ in range(300)), key=len), text()
+    monkeypatch.setattr(matching, "ratio_from", lambda *x: calls.append(1) or one(*x))
+    best = matching.Texts(list(range(300)), texts).best(matching.Asked(q), (-1.0, None))
+    assert best == max(((SequenceMatcher(None, t, q, autojunk=False).ratio(), k) for k, t in enumerate(texts)), key=lambda x: (x[0], -x[1]))
+    assert len(calls) < 30
+
+
 def test_lookup_prefers_the_first_key(spark):
     rows = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, None, "z"), (4, None, None)], "id long, k1 string, k2 string")
     facts = spark.createDataFrame([("a", "y", 1, "old"), ("a", "q", 2, "new"), (None, "y", 3, "by second")], "f1 string, f2 string, o int, v string")
