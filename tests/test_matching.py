@@ -76,13 +76,14 @@ def test_texts_compared_at_once_are_as_compared_one_by_one(monkeypatch):
             full = [SequenceMatcher(None, t, q, autojunk=False).ratio() for t in texts]
             held, asked, best = matching.Texts(list(range(22)), texts), matching.Asked(q), (max(full), full.index(max(full)))
             monkeypatch.setattr(matching, "PIECE", 80_000 if k % 2 else 100)
-            table, some = asked.windows(held.letters), np.arange(22)
-            assert held.ratios(asked, table, some, -1.0).tolist() == full
-            assert all(g == f or (g == -1.0 and f < best[0]) for g, f in zip(held.ratios(asked, table, some, best[0]), full, strict=True))
+            some, other = np.arange(22), matching.Asked(q[::-1] + "b")
+            both = held.ratios([other, asked], held.table([other, asked]), np.array([0, 1] * 22), np.repeat(some, 2), np.full(44, -1.0)).tolist()
+            assert both[1::2] == full and both[::2] == [SequenceMatcher(None, t, other.text, autojunk=False).ratio() for t in texts]
+            assert all(g == f or (g == -1.0 and f < best[0]) for g, f in zip(held.ratios([asked], held.table([asked]), some * 0, some, np.full(22, best[0])), full, strict=True))
             assert all(2.0 * m >= f * (len(t) + len(q)) or not t + q for m, f, t in zip(held.in_order(asked, some), full, texts, strict=True))
-            assert held.best(asked, (-1.0, None)) == held.best(asked, (best[0], None)) == best and held.best(asked, (best[0], -1)) == (best[0], -1)
+            assert held.best([asked] * 3, [(-1.0, None), (best[0], None), (best[0], -1)]) == [best, best, (best[0], -1)]
     same, asked = matching.Texts([1], ["ab" * 2000]), matching.Asked("ba" * 2000)
-    assert same.longest(asked.windows(same.letters), same.start[:1], same.start[1:], np.array([0]), np.array([4000]), hits=1000) is None
+    assert same.longest(same.table([asked]), np.array([0]), same.start[:1], same.start[1:], np.array([0]), np.array([4000]), hits=1000) is None
 
 
 def test_texts_that_cannot_be_nearest_are_not_compared_one_by_one(monkeypatch):
@@ -91,7 +92,7 @@ def test_texts_that_cannot_be_nearest_are_not_compared_one_by_one(monkeypatch):
     text = lambda: " ".join(r.choice(words) for _ in range(30))
     texts, q = sorted((text() for _ in range(300)), key=len), text()
     monkeypatch.setattr(matching, "ratio_from", lambda *x: calls.append(1) or one(*x))
-    best = matching.Texts(list(range(300)), texts).best(matching.Asked(q), (-1.0, None))
+    best = matching.Texts(list(range(300)), texts).best([matching.Asked(q)], [(-1.0, None)])[0]
     assert best == max(((SequenceMatcher(None, t, q, autojunk=False).ratio(), k) for k, t in enumerate(texts)), key=lambda x: (x[0], -x[1]))
     assert len(calls) < 30
 
